@@ -113,8 +113,10 @@ def incidence(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str =
             used, local = np.unique(cd[by], return_inverse=True)
             rows.append((int(keys[0]) % (1 << bits), AROUND, pack(keys[used], ns[used], local, ch[by])))
         for k, hs, ds in ((COLD, h[~common], doc[~common]), (COUNTS, h[first[n >= FREQUENT]], n[n >= FREQUENT])):
+            if not len(hs):
+                continue
             block = (hs >> np.uint64(BITS - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else block
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(block)], strict=True):
                 if k == COLD:
                     used, local = np.unique(ds[a:b], return_inverse=True)
