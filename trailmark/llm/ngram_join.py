@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import shuffle_partitions, stored
 from trailmark.llm.components import connected_components
-from trailmark.llm.shingles import chunks, digest, shingle_sets
+from trailmark.llm.shingles import chunks, digests, shingle_sets
 
 BITS, FREQUENT, FLUSH, LAST = 48, 64, 1_500_000, (1 << 31) - 1
 META = "key long, n long, d1 long, d2 long"
@@ -42,16 +42,18 @@ COLD, COUNTS, AROUND = 0, 1, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as differences, byte plane by byte plane, compressed."""
+    """Non-negative integer arrays, byte plane by byte plane, compressed; ascending ones as differences."""
     import zstandard
 
     out = [np.uint32(len(arrays)).tobytes()]
     for a in arrays:
-        with np.errstate(over="ignore"):
-            d = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
-        planes = d.view(np.uint8).reshape(-1, 8).T
-        width = max((i + 1 for i in range(8) if planes[i].any()), default=0)
-        out += [np.array([len(a), width], np.uint32).tobytes(), planes[:width].tobytes()]
+        d = a.astype(np.uint64)
+        rising = bool((d[1:] >= d[:-1]).all())
+        if rising:
+            d = np.diff(d, prepend=np.uint64(0))
+        width = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
+        planes = d.view(np.uint8).reshape(-1, 8)[:, :width].T
+        out += [np.array([len(a), width, rising], np.uint32).tobytes(), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -61,11 +63,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 4, []
     for _ in range(int(np.frombuffer(raw, np.uint32, 1)[0])):
-        n, width = map(int, np.frombuffer(raw, np.uint32, 2, at))
-        planes = np.zeros((8, n), np.uint8)
-        planes[:width] = np.frombuffer(raw, np.uint8, n * width, at + 8).reshape(width, n)
-        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64))
-        at += 8 + n * width
+        n, width, rising = map(int, np.frombuffer(raw, np.uint32, 3, at))
+        d = np.zeros((n, 8), np.uint8)
+        d[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 12).reshape(width, n).T
+        d = d.view(np.uint64).ravel()
+        out.append(np.cumsum(d, dtype=np.uint64) if rising else d)
+        at += 12 + n * width
     return out
 
 
@@ -80,9 +83,8 @@ def shingle_meta(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(a, b - a), size)
-                marks = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], ["key", "n", "d1", "d2"])
+                h, begin = shingle_sets(batch.column(1).slice(a, b - a), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), *map(pa.array, digests(h, begin))], ["key", "n", "d1", "d2"])
 
     return docs.select(F.col(doc_id).cast("long").alias("key"), text).mapInArrow(work, META)
 
@@ -91,22 +93,16 @@ def incidence(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str =
     """(block, kind, blob): packed columns of the incidence matrix, one message per block and batch."""
     schema = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
-    def messages(keys: list, sets: list) -> Iterator[pa.RecordBatch]:
-        marks: dict = {}
-        for k, s in zip(keys, sets, strict=True):  # equal sets of a batch are sent once, for the least key
-            m = (len(s), *digest(s))
-            if m not in marks or k < marks[m][0]:
-                marks[m] = (k, s)
-        held = sorted(marks.values(), key=lambda x: x[0])
-        keys, ns = np.array([k for k, _ in held], np.int64), np.array([len(s) for _, s in held], np.int64)
-        h = np.concatenate([s for _, s in held]) >> np.uint64(64 - BITS)
-        doc = np.repeat(np.arange(len(held)), ns)
+    def messages(held: list) -> Iterator[pa.RecordBatch]:
+        keys, ns = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        h, doc = np.concatenate([x[2] for x in held]) >> np.uint64(64 - BITS), np.repeat(np.arange(len(keys)), ns)
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         n = np.diff(np.r_[first, len(h)])
         common = np.repeat(n >= FREQUENT, n)
         rows: list[tuple[int, int, bytes]] = []
+        place = np.zeros(len(keys), np.int64)
         if common.any():
             ch, cd = h[common], doc[common]
             by = np.lexsort((ch, cd))
@@ -119,26 +115,34 @@ def incidence(docs: DataFrame, bits: int, *, doc_id: str = "doc_id", text: str =
             cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(block)], strict=True):
                 if k == COLD:
-                    used, local = np.unique(ds[a:b], return_inverse=True)
+                    used = np.flatnonzero(np.bincount(ds[a:b], minlength=len(keys)))
+                    place[used] = np.arange(len(used))
+                    local = place[ds[a:b]]
                     rows.append((int(block[a]), k, pack(keys[used], ns[used], local, hs[a:b])))
                 else:
                     rows.append((int(block[a]), k, pack(hs[a:b], ds[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets, held = [], [], 0
+        seen, held, n = set(), [], 0
         for batch in batches:
             for a, b in chunks(batch.column(1)):
-                for k, s in zip(batch.column(0).slice(a, b - a).to_pylist(), shingle_sets(batch.column(1).slice(a, b - a), size), strict=True):
-                    if k is not None and len(s):
-                        keys.append(k)
-                        sets.append(s)
-                        held += len(s)
-                if held >= FLUSH:
-                    yield from messages(keys, sets)
-                    keys, sets, held = [], [], 0
-        if keys:
-            yield from messages(keys, sets)
+                h, begin = shingle_sets(batch.column(1).slice(a, b - a), size)
+                keys, marks = batch.column(0).slice(a, b - a).to_pylist(), zip(np.diff(begin).tolist(), *(d.tolist() for d in digests(h, begin)), strict=True)
+                take = np.zeros(len(keys), bool)
+                for i, (k, m) in enumerate(zip(keys, marks, strict=True)):
+                    # of equal sets of a batch one is sent; their digests link the others to it
+                    if k is not None and m[0] > 0 and m not in seen:
+                        take[i] = True
+                        seen.add(m)
+                ns = np.diff(begin)
+                held.append((np.array([k for k, t in zip(keys, take, strict=True) if t], np.int64), ns[take], h[np.repeat(take, ns)]))
+                n += int(ns[take].sum())
+                if n >= FLUSH:
+                    yield from messages(held)
+                    seen, held, n = set(), [], 0
+        if n:
+            yield from messages(held)
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(work, "block int, kind int, blob binary")
 

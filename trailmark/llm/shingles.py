@@ -55,27 +55,36 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return _mix((total[e] - total[s]) * power[s] if n else np.zeros(0, np.uint64)), np.searchsorted(s, off)
 
 
-def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text; a shorter text is one shingle, an empty one has none."""
+def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct shingles of each text in ascending order, one text behind the other; where each begins, and the end).
+
+    A text of fewer words is one shingle, an empty one has none.
+    """
     w, at = word_hashes(texts)
     odd = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    n = np.diff(at)
     with np.errstate(over="ignore"):
         full = np.zeros(max(0, len(w) - size + 1), np.uint64)
         for j in range(size):
             full += w[j : j + len(full)] * odd[j]
         full = _mix(full)
-        out = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a >= size:
-                out.append(np.unique(full[a : b - size + 1]))
-            elif b > a:
-                out.append(_mix((w[a:b] * odd[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
-            else:
-                out.append(full[:0])
-    return out
+        parts = []
+        for a, k in zip(at[:-1], n, strict=True):
+            if k >= size:
+                parts.append(np.sort(full[a : a + k - size + 1]))
+            elif k:
+                parts.append(_mix((w[a : a + k] * odd[:k]).sum(dtype=np.uint64, keepdims=True) + np.uint64(k)))
+    raw = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    size_of = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    begin = np.r_[0, np.cumsum(size_of)]
+    fresh = np.ones(len(raw), bool)
+    fresh[1:] = raw[1:] != raw[:-1]
+    fresh[begin[:-1][size_of > 0]] = True
+    return raw[fresh], np.r_[0, np.cumsum(fresh)][begin]
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that tell sets apart."""
+def digests(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums per set that tell sets apart."""
     with np.errstate(over="ignore"):
-        return int(_mix(s).sum(dtype=np.uint64).astype(np.int64)), int(_mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64).astype(np.int64))
+        sums = [np.r_[np.uint64(0), np.cumsum(_mix(h ^ np.uint64(k)), dtype=np.uint64)] for k in (0, BASE)]
+        return tuple((x[begin[1:]] - x[begin[:-1]]).view(np.int64) for x in sums)
