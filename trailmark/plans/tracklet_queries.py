@@ -18,7 +18,7 @@ V = {
 SELECT tracklet, coalesce(i.n, 0) AS indeg, coalesce(o.n, 0) AS outdeg FROM fx_tracklets
 LEFT JOIN (SELECT dst, count(*) AS n FROM fx_edges GROUP BY 1) i ON tracklet = i.dst LEFT JOIN (SELECT src, count(*) AS n FROM fx_edges GROUP BY 1) o ON tracklet = o.src""",
     "vw_single": "SELECT t.*, coalesce(area > 35 AND area < 182, false) AND indeg <= 1 AND outdeg <= 1 AND label <> 'MultiAnt' AS single FROM fx_tracklets t JOIN vw_deg d ON t.tracklet = d.tracklet",
-    "vw_cmd": "SELECT 'all' AS colony, 'A' || i AS id, 100 * (i + 1) AS fi, 100 * (i + 1) + 40 AS ff FROM (SELECT unnest(range(4)) AS i) UNION ALL SELECT i::VARCHAR, 'A' || (i + 4), 500 * (i + 1), 500 * (i + 1) + 90 FROM (SELECT unnest(range(3)) AS i)",
+    "vw_cmd": "SELECT 'all' AS colony, 'A' || i AS id, 1000 + 300 * (i + 1) AS fi, 1000 + 300 * (i + 1) + 40 AS ff FROM (SELECT unnest(range(4)) AS i) UNION ALL SELECT i::VARCHAR, 'A' || (i + 4), 700 * (i + 2), 700 * (i + 2) + 90 FROM (SELECT unnest(range(3)) AS i)",
     "vw_rows": "SELECT tracklet, frame, ((tracklet * 7919 + frame * 31) % 1000) / 1000.0::DOUBLE AS x, ((tracklet * 104729 + frame * 17) % 1000) / 1000.0::DOUBLE AS y, area + frame % 7 AS area FROM fx_untagged",
 }
 
@@ -32,7 +32,7 @@ def edges(spark, d):
 
 
 def commands(spark):
-    rows = [("all", f"A{i}", 100 * (i + 1), 100 * (i + 1) + 40) for i in range(4)] + [(str(i), f"A{i + 4}", 500 * (i + 1), 500 * (i + 1) + 90) for i in range(3)]
+    rows = [("all", f"A{i}", 1000 + 300 * (i + 1), 1000 + 300 * (i + 1) + 40) for i in range(4)] + [(str(i), f"A{i + 4}", 700 * (i + 2), 700 * (i + 2) + 90) for i in range(3)]
     return spark.createDataFrame(rows, "colony string, id string, fi long, ff long")
 
 
@@ -135,9 +135,9 @@ def singles_only(spark, d):
     return tracks(spark, d).select("tracklet", tk.is_single_label(F.col("label"), IDS, []).alias("single"))
 
 
-@query("SELECT tracklet FROM fx_tracklets WHERE EXISTS (SELECT 1 FROM (SELECT unnest([150, 151, 900, 2000]) AS f) WHERE f BETWEEN fi AND ff)")
+@query("SELECT tracklet FROM fx_tracklets WHERE EXISTS (SELECT 1 FROM (SELECT unnest([1150, 1151, 1900, 2900]) AS f) WHERE f BETWEEN fi AND ff)")
 def in_time(spark, d):
-    return iv.in_time(tracks(spark, d), spark.createDataFrame([(x,) for x in (150, 151, 900, 2000)], "frame long")).select("tracklet")
+    return iv.in_time(tracks(spark, d), spark.createDataFrame([(x,) for x in (1150, 1151, 1900, 2900)], "frame long")).select("tracklet")
 
 
 @query("SELECT tracklet, label FROM fx_tracklets WHERE contains(tracklet::VARCHAR, '77')")
