@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.components import connected_components, cut
 from trailmark.operators.intervals import overlaps
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the cluster names, which ends its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmark-"))
-    return df.checkpoint()
-
-
 def build_edges(links: DataFrame, names: DataFrame) -> DataFrame:
     """Edges by number from links (parent, child) by name and names (name, tracklet); unknown ends drop out."""
     s, d = names.select(F.col("name").alias("parent"), F.col("tracklet").alias("src")), names.select(F.col("name").alias("child"), F.col("tracklet").alias("dst"))
@@ -40,27 +31,10 @@ def coparents(edges: DataFrame) -> DataFrame:
     return siblings(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, *, every: int = 4, max_rounds: int = 200) -> DataFrame:
-    """(tracklet, component): the least node number that each node reaches along edges in either direction.
-
-    Labels move along edges and then jump to their own label's label, so rounds grow with the
-    logarithm of the longest path; state is cut every few rounds.
-    """
-    e = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    lab = cut(nodes.select("tracklet", F.col("tracklet").alias("component")))
-    before = None
-    for _ in range(max_rounds):
-        for _ in range(every):
-            near = e.join(lab.withColumnRenamed("tracklet", "src"), "src").groupBy(F.col("dst").alias("tracklet")).agg(F.min("component").alias("m"))
-            lab = lab.join(near, "tracklet", "left").select("tracklet", F.least("component", "m").alias("component"))
-            up = lab.select(F.col("tracklet").alias("component"), F.col("component").alias("m"))
-            lab = lab.join(up, "component", "left").select("tracklet", F.least("component", "m").alias("component"))
-        lab = cut(lab)
-        now = lab.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return lab
-        before = now
-    raise RuntimeError("components did not settle")
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tracklet, component): the least node number that each node reaches along edges in either direction."""
+    c = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("tracklet").join(c, F.col("tracklet") == F.col("node"), "left").select("tracklet", F.coalesce("component", "tracklet").alias("component"))
 
 
 def hop_distance(edges: DataFrame, depth: int, sources: DataFrame | None = None) -> DataFrame:

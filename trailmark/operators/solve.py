@@ -259,7 +259,7 @@ def infer_counts(nodes: DataFrame, edges: DataFrame, *, rounds: int = 50, small:
     their sum less its known siblings; the same along children. Repeated until nothing changes; in a round all nodes
     are judged by the last round's counts, so the order of nodes does not matter.
     """
-    from trailmark.operators.graph import cut
+    from trailmark.operators.components import cut
     from trailmark.operators.tracks import degrees
 
     d = nodes.join(degrees(nodes, edges), "tracklet")

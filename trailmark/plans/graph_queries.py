@@ -9,6 +9,7 @@ from trailmark.operators import graph as gr
 from trailmark.operators import intervals as iv
 from trailmark.operators import solve as sv
 from trailmark.operators import tracks as tk
+from trailmark.operators.components import cut
 from trailmark.plans.registry import query
 from trailmark.plans.tracklet_queries import AREA, IDS
 from trailmark.plans.tracklet_queries import V as TV
@@ -153,9 +154,9 @@ def link_single(spark, d):
 def _solved(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
-    n = gr.cut(solver_nodes(t, e))
+    n = cut(solver_nodes(t, e))
     gone = iv.temporal_removals(t, removal_commands(spark))
-    return n, e, gr.cut(sv.solve(n, e, gr.bottleneck_pairs(t, e), gone, IDS))
+    return n, e, cut(sv.solve(n, e, gr.bottleneck_pairs(t, e), gone, IDS))
 
 
 @query(None)
