@@ -167,18 +167,25 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 1000, pa
     total, lost = pages.agg(F.sum(F.octet_length(body)), F.count_if(F.col(page_id).isNull())).first()
     if lost:
         raise ValueError("records are named by their id, which may not be null")
-    d = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), body.alias("payload"))
-    d = d.join(revisits(pages, min_revisit=min_revisit, page_id=page_id, payload=payload), "page", "left")
+    d = pages.select(F.col(page_id).cast("long").alias("page"), F.lit(1).alias("kind"), F.xxhash64(body, F.col(url)).alias("tie"), F.col(url).alias("url"), body.alias("payload"), F.lit(None).cast("long").alias("refers_to"))
+    # a revisit's target travels as a row in front of its page, so the payloads are dealt out once
+    marks = revisits(pages, min_revisit=min_revisit, page_id=page_id, payload=payload)
+    d = d.unionByName(marks.select(F.col("page").cast("long").alias("page"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), F.col("refers_to").cast("long").alias("refers_to")), allowMissingColumns=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n = TaskContext.get().partitionId(), 0
 
         def records() -> Iterator[bytes]:
             nonlocal n
+            marked, target = None, None
             for batch in batches:
-                for row in zip(*(batch.column(i) for i in range(4)), strict=True):
+                for row in zip(*(batch.column(i) for i in range(5)), strict=True):
+                    page, kind, url, payload, refers_to = (x.as_py() for x in row)
+                    if kind == 0:
+                        marked, target = page, refers_to
+                        continue
                     n += 1
-                    yield record(*(x.as_py() for x in row))
+                    yield record(page, url, payload, target if page == marked else None)
 
         with WholeFile(folder, f"part-{number:06d}.warc.zst") as out:
             for part in frames(records()):
@@ -186,8 +193,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 1000, pa
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int64())], ["file", "records"])
 
     n = max(1, -(-(total or 0) // BYTES_PER_FILE))
-    ordered = d.withColumn("tie", F.xxhash64("payload", "url")).repartitionByRange(n, "page", "tie").sortWithinPartitions("page", "tie")
-    return stored(ordered.select("page", "url", "payload", "refers_to").mapInArrow(work, "file int, records long"), "archives")
+    ordered = d.repartitionByRange(n, "page").sortWithinPartitions("page", "kind", "tie")
+    return stored(ordered.select("page", "kind", "url", "payload", "refers_to").mapInArrow(work, "file int, records long"), "archives")
 
 
 def read_archives(spark, folder: str, *, payload: bool = True) -> DataFrame:
