@@ -9,8 +9,8 @@ running sum. A file is a sequence of blocks of whole documents:
     block  = u32 documents, u32 ids, u32 data bytes, i64 key per document, u32 length per
              document, control bytes, data bytes            (all little-endian)
 
-Text is cut by the tokenizer's own pre-tokenizer pattern; each task keeps a table of the chunks it
-has met and lets the library encode each once. Texts that hold a special token's string go to the
+Text is cut where the pre-tokenizer always cuts, between words and white space; each task keeps a
+table of the units it has met and lets the library encode each once. Texts that hold a special token's string go to the
 library as a whole.
 
 Defined results: a null or empty text is its end id alone. Documents are ordered by key, and rows that
@@ -19,10 +19,10 @@ repeat a key by their ids; a null key is refused, since the files are ordered by
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,12 @@ from trailmark.llm.common import shared_dir, stored
 from trailmark.llm.files import WholeFile, as_uri, read_files
 
 MAGIC = b"RKVB0001"
-#: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_ROWS, BATCH, IDS_PER_FILE, IDS_PER_BLOCK = 300_000, 256, 4_000_000, 500_000
+#: Fixed value: white space as the byte-level pre-tokenizer sees it.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A run of other characters with the blank before it, or white space up to that blank. The pre-tokenizer cuts
+#: such units further, but never joins two of them, so each may be encoded alone.
+UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+TABLE_ROWS, BATCH, IDS_PER_FILE, IDS_PER_BLOCK = 600_000, 256, 4_000_000, 500_000
 #: Bytes of each of the four ids that a control byte speaks of.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
 
@@ -51,27 +54,42 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class ChunkTable:
-    """Pre-tokenizer chunk -> its ids, segmented by the library when first met."""
+def id_type(path: str) -> str:
+    """The little-endian type that holds every id of the vocabulary."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
-    def __init__(self, path: str):
-        import regex
 
+class UnitTable:
+    """Unit of text -> its ids as bytes, encoded by the library when first met."""
+
+    def __init__(self, path: str):
         self.tk, self.rows = tokenizer(path), {}
-        self.find = regex.compile(PATTERN).findall
+        self.kind = id_type(path)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[] if i in whole else self.find(t) for i, t in enumerate(texts)]
-        new = list({c for s in split for c in s} - self.rows.keys())
-        if len(self.rows) + len(new) > TABLE_ROWS:
-            self.rows.clear()
-            new = list(set(chain.from_iterable(split)))
-        for c, e in zip(new, self.tk.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.rows[c] = e.ids
-        get = self.rows.__getitem__
-        return [self.tk.encode(t, add_special_tokens=False).ids if i in whole else list(chain.from_iterable(map(get, split[i]))) for i, t in enumerate(texts)]
+    def packed(self, text: str) -> bytes:
+        return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.packed(text)
+        units, rows = UNIT.findall(text), self.rows
+        try:
+            return b"".join(map(rows.__getitem__, units))
+        except KeyError:
+            new = [u for u in dict.fromkeys(units) if u not in rows]
+        if len(rows) + len(new) > TABLE_ROWS:
+            rows.clear()
+            new = list(dict.fromkeys(units))
+        for u, e in zip(new, self.tk.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            rows[u] = np.array(e.ids, self.kind).tobytes()
+        return b"".join(map(rows.__getitem__, units))
+
+
+@lru_cache(maxsize=1)
+def unit_table(path: str) -> UnitTable:
+    """One table per worker process, which its later tasks use again."""
+    return UnitTable(path)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -97,27 +115,28 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, ids): ids of each text with the end id, as little-endian u32 bytes."""
+    """(key, n, ids): ids of each text with the end id, as bytes of the type id_type."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(tokenizer_path)
+        table = unit_table(tokenizer_path)
+        end = np.array([end_id], table.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                found = [np.array([*ids, end_id], "<u4") for ids in table.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "n", "ids"])
+                found = [table.encode(t or "") + end for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(end) for x in found], pa.int64()), pa.array(found, pa.binary())], ["key", "n", "ids"])
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(work, "key long, n long, ids binary")
 
 
-def frequencies(ids: DataFrame, vocabulary: int) -> DataFrame:
+def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> DataFrame:
     """(id, n) over all documents: one row per id and task, then summed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=vocabulary)
+            every = b"".join(batch.column(0).to_pylist())
+            total += np.bincount(np.frombuffer(every, kind), minlength=vocabulary)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["id", "n"])
 
@@ -127,11 +146,12 @@ def frequencies(ids: DataFrame, vocabulary: int) -> DataFrame:
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the corpus in key order; returns (file, docs, ids) per file, already written."""
     folder = as_uri(folder)
-    ids = stored(token_ids(docs, tokenizer_path, end_id=end_id, key=key, text=text), "token-ids")
+    ids = stored(token_ids(docs, tokenizer_path, end_id=end_id, key=key, text=text), "token-ids", "zstd")
     if ids.where("key is null").limit(1).count():
         raise ValueError("token files are ordered by key, which may not be null")
     vocabulary = tokenizer(tokenizer_path).get_vocab_size()
-    counted = frequencies(ids, vocabulary).orderBy(F.desc("n"), "id").collect()  # at most a row per vocabulary entry
+    kind = id_type(tokenizer_path)
+    counted = frequencies(ids, vocabulary, kind).orderBy(F.desc("n"), "id").collect()  # at most a row per vocabulary entry
     by_rank = np.array([r["id"] for r in counted], "<u4")
     rank = np.zeros(vocabulary, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -152,7 +172,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: in
             for batch in batches:
                 for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     keys.append(k)
-                    rows.append(np.frombuffer(x.as_py(), "<u4"))
+                    rows.append(np.frombuffer(x.as_py(), kind))
                     held += len(rows[-1])
                     n_docs, n_ids = n_docs + 1, n_ids + len(rows[-1])
                     if held >= IDS_PER_BLOCK:
