@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import WS_CHARS, words
+from trailmark.llm.common import WS_CHARS, stored, words
 
 SYMBOLS = "#*$%&|<>"
 #: rule -> (score over the metric columns, candidate cutoffs from strict to lax)
@@ -154,7 +154,9 @@ def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, text
     good = labels.groupBy(doc_id).agg(F.min("quality").alias("quality")).where("quality = 1")
     held = good.orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(max_holdout)
     found = docs.join(F.broadcast(held.select(doc_id)), doc_id, "left_semi")  # bounded: max_holdout ids
-    return select_cutoffs(holdout_counts(with_metrics(found, text), held, stratum, doc_id=doc_id), alpha, delta)
+    metrics = [F.col(f"__q_{m}") for m in (*METRICS, "n_lines", "n_capitals", "n_bangs")]
+    measured = stored(with_metrics(found, text).select(doc_id, stratum, *metrics), "holdout")
+    return select_cutoffs(holdout_counts(measured, held, stratum, doc_id=doc_id), alpha, delta)
 
 
 def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -175,5 +177,7 @@ def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", *, text: s
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs without the documents that the rules reject, columns as before."""
-    judged = judge(docs, calibrate(docs, labels, stratum), stratum)
-    return judged.where("__q_kept").select(*docs.columns)
+    judged = judge(docs, stored(calibrate(docs, labels, stratum), "cutoffs"), stratum)
+    # a generated column keeps the planner from writing the whole chain of metrics into the filter
+    verdict = judged.select(*docs.columns, F.explode(F.array("__q_kept")).alias("__q_verdict"))
+    return verdict.where("__q_verdict").select(*docs.columns)
