@@ -2,7 +2,7 @@
 
 A classifier fitted on a bounded number of labelled documents (hashed words, naive-Bayes log odds,
 of which only the significant ones are kept) gives every document a posterior over the domains
-of the label table. Rates w >= floor are then fitted by projected gradient descent on the squared
+of the label table. Rates between floor and ceiling (repeats of a document) are then fitted by projected gradient descent on the squared
 distance between expected token totals, sum of w * tokens * posterior, and the targets. The
 gradient is scaled by 1 / (tokens of the domain), which bounds the Hessian from above, so each
 step lowers the error. A round is one aggregation to as many sums as there are domains; a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import stored, words
 
-BUCKETS, MAX_LABELLED, SIGNIFICANT, ROUNDS = 4096, 20_000, 4.0, 25
+BUCKETS, MAX_LABELLED, SIGNIFICANT, ROUNDS, CEILING = 4096, 20_000, 4.0, 25, 4.0
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -82,11 +82,12 @@ def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]
     return d.withColumn("__m_tokens", tokens.cast("long")).drop("__m_text", "__m_b", "__m_w", "__m_s", "__m_e")
 
 
-def fit_rates(soft: DataFrame, weights: Sequence[float], *, floor: float = 0.0, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[Column, dict]:
+def fit_rates(soft: DataFrame, weights: Sequence[float], *, floor: float = 0.0, ceiling: float = CEILING, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[Column, dict]:
     """(rate expression over ``__m_p``, report) so that expected token totals stand in the ratio ``weights``.
 
     The total is kept with floor 0; with floor 1 (each document at least once) it grows until the
-    largest surplus domain fits.
+    largest surplus domain fits. No document is taken more than ``ceiling`` times; where the targets
+    need more, the nearest totals within the bounds are reached.
     """
     k = len(weights)
     p = [F.get("__m_p", F.lit(i)) for i in range(k)]
@@ -108,7 +109,7 @@ def fit_rates(soft: DataFrame, weights: Sequence[float], *, floor: float = 0.0,
         step: Column = F.lit(0.0)
         for g, b, x in zip(gap, base, p, strict=True):
             step = step + F.lit(g / b if b > 0 else 0.0) * x
-        rate = F.greatest(F.lit(float(floor)), rate - step)
+        rate = F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), rate - step))
         now = [x or 0.0 for x in soft.agg(*mass(rate)).first()]
     return rate, {"target": target, "reached": now, "errors": errors}
 
@@ -119,11 +120,11 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 0.0) -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 0.0, ceiling: float = CEILING) -> tuple[DataFrame, dict]:
     """(docs with __m_tokens, __m_p, __m_rate, __m_copies; report). Posteriors are stored once; text stays where it is."""
     model = fit_classifier(docs, label_domains(labels), len(weights))
     soft = stored(with_posteriors(docs, model).select("__m_tokens", "__m_p"), "posteriors")
-    rate, report = fit_rates(soft, weights, floor=floor)
+    rate, report = fit_rates(soft, weights, floor=floor, ceiling=ceiling)
     out = with_posteriors(docs, model).withColumn("__m_rate", F.round(rate, 6))
     return out.withColumn("__m_copies", copies(F.col("__m_rate"), F.col("doc_id"))), report
 
@@ -137,7 +138,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor
     return d.select("doc_id", F.col("__m_tokens").alias("n_tokens"), F.transform("__m_p", lambda x: F.round(x, 6)).alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def repeat(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 1.0) -> DataFrame:
+def repeat(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 1.0, ceiling: float = 2.0) -> DataFrame:
     """docs, each row as often as the mix asks for, columns as before."""
-    mixed, _ = mix(docs, labels, weights, floor=floor)
+    mixed, _ = mix(docs, labels, weights, floor=floor, ceiling=ceiling)
     return mixed.withColumn("__m_i", F.explode(F.array_repeat(F.lit(0), F.col("__m_copies")))).select(*docs.columns)
