@@ -8,10 +8,15 @@ ceil(t * n) of its n shingles. Columns are ordered by rarity; two documents with
 one of their first n - ceil(t * n) + 1 columns (prefix), so only these columns are multiplied.
 
 A column with m documents has m * m / 2 products, so before any pairs are made documents are
-compared with one pivot each (two rounds) and joined into components. From then on a column
+compared with a few pivots of their columns and joined into components: first with the document that
+has the fewest shingles of its own (an original rather than an edited copy), then, round by round, those
+outside a column's largest component with random ones. Rounds end when the products between components
+that are left are a few per column entry, or when they no longer shrink. From then on a column
 only gives pairs that lie in different components: those of documents outside its largest
-component. Their overlaps in the prefix are added up over columns, pairs that cannot reach the
-bound are dropped, and the rest is computed in full. No pair of the threshold is lost: it either
+component. A pair is dropped where its sizes without columns held by one document alone, or the parity
+bitmaps of its columns (each differing column flips one bit), show too small an overlap. The others' overlaps in
+the prefix are added up over columns: outside both prefixes a pair shares less than need(n) columns, so
+those whose sum cannot reach the bound are dropped, and the rest is computed in full. No pair of the threshold is lost: it either
 lies in one component already or is compared.
 
 Frequent shingles: one found 64 times or more in one batch sends its block only a count, and the
@@ -25,11 +30,12 @@ with its own n_shingles. Hashes of 64 bits tell shingles apart, 48 of them in co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import shuffle_partitions, stored
@@ -39,6 +45,8 @@ from trailmark.llm.shingles import chunks, digests, shingle_sets
 BITS, FREQUENT, FLUSH, LAST = 48, 64, 1_500_000, (1 << 31) - 1
 META = "key long, n long, d1 long, d2 long"
 COLD, COUNTS, AROUND = 0, 1, 2
+#: Random pivots of a column in a round; products per column entry at which rounds end.
+PIVOTS, ENOUGH = 8, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -227,7 +235,7 @@ def _columns(blob: bytes) -> np.ndarray:
 
 
 def _prefixes(percent: int):
-    """(column, key, n) for the columns of each document's prefix; columns held by it alone come first."""
+    """(column, key, n, alone) for the columns of each document's prefix; columns held by it alone come first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,11 +246,21 @@ def _prefixes(percent: int):
                 at.append(np.full(len(h), i))
             if hs:
                 take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), batch.column("key").take(take), batch.column("n").take(take)], ["h", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), *(batch.column(c).take(take) for c in ("key", "n", "alone"))], ["h", "key", "n", "alone"])
 
     return work
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, s0..s3): of each of 256 classes of columns, whether a document holds an odd number of them."""
+    for batch in batches:
+        odd = np.zeros((batch.num_rows, 256), np.uint8)
+        for i, blob in enumerate(batch.column("columns").to_pylist()):
+            odd[i] = np.bincount(_columns(blob) & 255, minlength=256) & 1
+        s = np.packbits(odd, axis=1).view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(4))], ["key", "s0", "s1", "s2", "s3"])
+
+
 def _similar(percent: int):
     """The pairs whose sets have 100 * overlap >= percent * union."""
 
@@ -275,10 +293,37 @@ def _labelled(prefix: DataFrame, links: list[DataFrame]) -> DataFrame:
     for x in links[1:]:
         known = known.union(x)
     comp = connected_components(known)
-    return prefix.join(comp, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
+    joined = prefix.join(comp, F.col("key") == F.col("node"), "left").select("h", "key", "n", "alone", F.coalesce("component", "key").alias("c"))
+    return stored(joined, "labelled")
+
+
+def _leads(p: DataFrame, orders: list[Column]) -> DataFrame:
+    """Per column that joins components: its largest one, its entries in and outside it, and the first document of each order."""
+    first = [F.min(F.struct(o.alias("o"), "key", "n", "alone", "c")) for o in orders]
+    each = p.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), *[x.alias(f"v{i}") for i, x in enumerate(first)])
+    main = each.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts"), F.array(*[F.min(f"v{i}") for i in range(len(orders))]).alias("pivots"))
+    return main.where("parts > 1").drop("parts")
+
+
+def _possible(n: Column, alone: Column, m: Column, also_alone: Column, percent: int) -> Column:
+    """Whether sets of n and m, of which so many are in no other set, can be similar at all."""
+    return (100 + percent) * F.least(n - alone, m - also_alone) >= percent * (n + m)
+
+
+def _pivot_pairs(p: DataFrame, leads: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b): documents outside their column's largest component and the pivots they share most columns with.
+
+    What the limit of ``most`` leaves out is met by later rounds or by the exact rest.
+    """
+    met = p.join(leads.select("h", "main", "pivots"), "h").where("c <> main")
+    pivots = F.array_distinct(F.transform("pivots", lambda v: F.struct(v.key.alias("key"), v.n.alias("n"), v.alone.alias("alone"), v.c.alias("c"))))
+    met = met.select("key", F.explode(F.filter(pivots, lambda v: (v.c != F.col("c")) & _possible(v.n, v.alone, F.col("n"), F.col("alone"), percent))).alias("v"))
+    count = met.groupBy("key", F.col("v.key").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
+    best = count.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "pivot")), False), 1, most).alias("best"))
+    return best.select(F.col("key").alias("a"), F.explode("best.pivot").alias("b"))
 
 
-def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, pivots: int = 2) -> DataFrame:
+def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """Links (a, b) that join all documents of similarity percent / 100 or more into their components.
 
     Texts with equal sets may be missing from the links; their digests tell them.
@@ -288,25 +333,33 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
     bits = max(2, (2 * parts - 1).bit_length())
     sent = incidence(docs, bits, doc_id=doc_id, text=text, size=size).groupBy("block").applyInArrow(_shared_columns(parts), "bucket int, blob binary")
     sets = stored(sent.groupBy("bucket").applyInArrow(_survivors(percent), "key long, n long, alone long, columns binary"), "shingle-sets")
-    prefix = stored(sets.mapInArrow(_prefixes(percent), "h long, key long, n long"), "prefixes")
+    prefix = stored(sets.mapInArrow(_prefixes(percent), "h long, key long, n long, alone long"), "prefixes")
     links: list[DataFrame] = []
-    near = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    for turn in range(pivots):
-        p = _labelled(prefix, links)
-        if turn:
-            p = stored(p, "labelled")
-        lead = p.groupBy("h").agg(F.min_by(F.struct("key", "n", "c"), F.struct(F.xxhash64(F.lit(turn), "key"), "key")).alias("v"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-        met = p.join(lead.where("c1 <> c2"), "h").where((F.col("c") != F.col("v.c")) & near(F.col("n"), F.col("v.n")))
-        count = met.groupBy("key", F.col("v.key").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
-        best = count.groupBy("key").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b"))
-        links.append(stored(verify(best.select(F.col("key").alias("a"), "b"), sets, percent), "pivot-links"))
-    p = stored(_labelled(prefix, links), "labelled")
-    main = p.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    x = p.join(main.select("h", "main"), "h").where("c <> main").select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = p.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    # a pair outside both its main components is met from either side, and counted once
-    met = x.join(y, "h").where((F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).groupBy("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    entries = prefix.count()
+    p, before, turn = _labelled(prefix, links), math.inf, 0
+    while True:
+        seeds = [F.xxhash64(F.lit(turn * PIVOTS + i), "key") for i in range(PIVOTS)] if turn else [F.try_divide("alone", "n"), F.xxhash64("key")]
+        leads = stored(_leads(p, seeds), "leads")
+        left = leads.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
+        if not left or turn and (left <= ENOUGH * entries or left > 0.9 * before):
+            break
+        links.append(stored(verify(_pivot_pairs(p, leads, percent, len(seeds)), sets, percent), "pivot-links"))
+        p, before, turn = _labelled(prefix, links), left if turn else math.inf, turn + 1
+    marks = sets.mapInArrow(_bitmaps, "key long, s0 long, s1 long, s2 long, s3 long")
+    rest = stored(p.join(leads.select("h", "main"), "h").join(marks, "key"), "rest")
+    part = ("key", "n", "alone", "c", "s0", "s1", "s2", "s3")
+    x = rest.where("c <> main").select("h", "main", F.struct(*part).alias("x"))
+    y = rest.select("h", F.struct(*part).alias("y"))
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = F.col("x.alone") + F.col("y.alone")
+    for k in range(4):
+        differ = differ + F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}")))
+    # sets that differ in d have an overlap of (n + m - d) / 2; a pair outside its main component is met from either side
+    fits = _possible(n, F.col("x.alone"), m, F.col("y.alone"), percent) & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
+    once = (F.col("y.c") == F.col("main")) | (F.col("x.key") < F.col("y.key"))
+    met = x.join(y, "h").where((F.col("x.c") != F.col("y.c")) & once & fits)
+    count = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest(n, m)).alias("n"), F.max(n + m).alias("both"))
+    pairs = count.where((100 + percent) * (F.col("k") + F.ceil(F.col("n") * percent / 100) - 1) >= percent * F.col("both"))
     links.append(stored(verify(pairs, sets, percent), "pair-links"))
     out = links[0]
     for e in links[1:]:
