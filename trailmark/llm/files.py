@@ -38,5 +38,13 @@ def as_uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
+def made(folder: str) -> str:
+    """The folder's URI; it is made at once, so that it can be read if no task has a row to write."""
+    folder = as_uri(folder)
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    return folder
+
+
 def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import shared_dir, stored
-from trailmark.llm.files import WholeFile, as_uri, read_files
+from trailmark.llm.files import WholeFile, as_uri, made, read_files
 
 MAGIC = b"RKVB0001"
 #: Fixed value: white space as the byte-level pre-tokenizer sees it.
@@ -145,7 +145,7 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> DataFrame:
 
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the corpus in key order; returns (file, docs, ids) per file, already written."""
-    folder = as_uri(folder)
+    folder = made(folder)
     ids = stored(token_ids(docs, tokenizer_path, end_id=end_id, key=key, text=text), "token-ids", "zstd")
     if ids.where("key is null").limit(1).count():
         raise ValueError("token files are ordered by key, which may not be null")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import shared_dir, stored
-from trailmark.llm.files import WholeFile, as_uri, read_files
+from trailmark.llm.files import WholeFile, as_uri, made, read_files
 
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 BYTES_PER_FILE, DICT_BYTES, SAMPLE_BYTES, PIECE = 24 << 20, 32 << 10, 1 << 20, 16 << 10
@@ -162,7 +162,7 @@ def revisits(pages: DataFrame, *, min_revisit: int = 1000, page_id: str = "page_
 
 def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 1000, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Write the archives in id order; returns (file, records) per file, already written."""
-    folder = as_uri(folder)
+    folder = made(folder)
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     total, lost = pages.agg(F.sum(F.octet_length(body)), F.count_if(F.col(page_id).isNull())).first()
     if lost:
