@@ -72,9 +72,10 @@ def cells(df: DataFrame, dims: Sequence[str], bits: int) -> DataFrame:
     df = df.withColumns({f"__k{i}": sort_key(df, c) for i, c in enumerate(dims)})
     cuts = df.agg(*[F.percentile_approx(f"__k{i}", share, 2000).alias(f"k{i}") for i in range(len(dims))]).first()
     for i in range(len(dims)):
-        edges = sorted(set(cuts[i] or []))
+        # without any value one edge that none exceeds: a constant cell would be folded through all steps of the curve
+        edges = sorted(set(cuts[i] or [])) or [float("inf")]
         key = F.col(f"__k{i}")
-        at = F.size(F.filter(F.lit([float(e) for e in edges]).cast("array<double>"), lambda e: e < key)) if edges else F.lit(0)  # noqa: B023
+        at = F.size(F.filter(F.lit([float(e) for e in edges]).cast("array<double>"), lambda e: e < key))  # noqa: B023
         df = df.withColumn(f"__c{i}", F.when(F.col(f"__k{i}").isNull(), F.lit(0)).otherwise(F.least(at, F.lit((1 << bits) - 1))))
     return df.drop(*[f"__k{i}" for i in range(len(dims))])
 
