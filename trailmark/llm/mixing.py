@@ -1,12 +1,18 @@
 """Mixing to target weights with soft domain membership.
 
-A classifier fitted on a bounded number of labelled documents (hashed words, naive-Bayes log odds,
-of which only the significant ones are kept) gives every document a posterior over the domains
-of the label table. Rates between floor and ceiling (repeats of a document) are then fitted by projected gradient descent on the squared
-distance between expected token totals, sum of w * tokens * posterior, and the targets. The
-gradient is scaled by 1 / (tokens of the domain), which bounds the Hessian from above, so each
-step lowers the error. A round is one aggregation to as many sums as there are domains; a
-document's rate is an expression over its posterior and the residuals so far, so no state moves.
+A classifier fitted on a bounded number of labelled documents gives every document a posterior over
+the domains of the label table. On one half of the labels, words whose log odds between domains are
+significant get these as weights; no two words share a weight. On the other half a softmax over a
+document's summed weights, the same by length, and shares of symbols, capitals, exclamation marks
+and repeats is fitted, each document weighing as its tokens, so that there the expected token totals
+are the labelled ones, whatever the length of the texts.
+
+Rates between floor and ceiling (repeats of a document) follow from multipliers, one per domain:
+rate = 1 + sum of multiplier * posterior, clipped, which is the least change of the rates that meets
+the targets. The multipliers are fitted by Newton steps on the distance between expected token totals,
+sum of rate * tokens * posterior, and the targets, or by gradient steps where these do not lower it.
+A round is one aggregation to a few sums, and no state moves. Where no rates within the bounds
+meet the targets, a warning gives the targets and the totals reached, and the report holds them.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and takes part at its rate.
 Labels that are null or of unknown documents are not used; of repeated labels the largest domain
@@ -17,14 +23,17 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import stored, words
+from trailmark.llm.common import WS_CHARS, stored, words
 
-BUCKETS, MAX_LABELLED, SIGNIFICANT, ROUNDS, CEILING = 4096, 20_000, 4.0, 25, 4.0
+SLOTS, MAX_WORDS, MAX_LABELLED, SIGNIFICANT, ROUNDS, CEILING = 1 << 15, 4096, 20_000, 4.0, 60, 4.0
+SYMBOLS = "#*$%&|<>"
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -33,85 +42,210 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", d.alias("domain")).where("domain is not null and doc_id is not null")
 
 
-def _buckets(text: Column) -> Column:
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+def _hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
+
+
+def _word_weights(docs: DataFrame, n_domains: int, text: str) -> list[tuple[int, list[float]]]:
+    """(hash of a word, log odds per domain relative to domain 0) of the most significant words. docs have ``__m_domain``."""
+    size = {r["__m_domain"]: r["count"] for r in docs.groupBy("__m_domain").count().collect()}
+    per = [F.count(F.when(F.col("__m_domain") == d, 1)) for d in range(n_domains)]
+    met = docs.select("__m_domain", F.explode(_hashes(F.coalesce(F.col(text), F.lit("")))).alias("h")).groupBy("h").agg(*[n.alias(f"n{d}") for d, n in enumerate(per)])
+    odds, sure = [], []
+    for d in range(1, n_domains):
+        here, base = F.col(f"n{d}") + 0.5, F.col("n0") + 0.5
+        w = F.log(here / (size.get(d, 0) + 1)) - F.log(base / (size.get(0, 0) + 1))
+        z = F.abs(w) / F.sqrt(1 / here + 1 / base)
+        odds.append(F.when(z > SIGNIFICANT, F.round(w, 4)).otherwise(0.0))
+        sure.append(z)
+    found = met.withColumns({"w": F.array(*odds), "z": F.greatest(F.lit(0.0), F.lit(0.0), *sure)})
+    best = found.where(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "h").limit(MAX_WORDS).select("h", "w").collect()
+    return [(r["h"], list(r["w"])) for r in best]
+
+
+def _with_features(docs: DataFrame, weights: list[tuple[int, list[float]]], n_domains: int, text: str) -> DataFrame:
+    """docs with ``__m_tokens`` and ``__m_f``, what the softmax takes."""
+    slots: dict[int, tuple[int, list[float]]] = {}
+    for h, w in weights:  # the more significant of two words in one slot comes first
+        slots.setdefault(h % SLOTS, (h, w))
+
+    def table(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), kind)  # a constant array, so that a word is one lookup
+
+    ids = table([slots[i][0] if i in slots else 0 for i in range(SLOTS)], "array<bigint>")
+    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
+    d = docs.withColumn("__m_text", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumns({"__m_h": _hashes(F.col("__m_text")), "__m_w": words(F.col("__m_text"))})
+    t, w = F.col("__m_text"), F.col("__m_w")
+    tokens = F.when(F.get(w, F.lit(0)) == "", F.lit(0)).otherwise(F.size(w))
+    less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    inked = F.greatest(F.length(F.translate(t, WS_CHARS, "")), F.lit(1))
+    d = d.withColumns({
+        "__m_tokens": tokens.cast("long"),
+        "__m_distinct": F.size("__m_h"),
+        "__m_style": F.array(*[F.log1p(50.0 * less(c) / inked) for c in (SYMBOLS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?")]),
+        "__m_h": F.filter("__m_h", lambda h: F.get(ids, slot(h)) == h),
+    }).drop("__m_text", "__m_w")
+
+    def summed(k: int) -> Column:
+        odds = table([slots[i][1][k] if i in slots else 0.0 for i in range(SLOTS)], "array<double>")
+        return F.aggregate("__m_h", F.lit(0.0), lambda s, h: s + F.get(odds, slot(h)))
+
+    d = d.withColumn("__m_sums", F.array(*map(summed, range(n_domains - 1))).cast("array<double>"))
+    squash = lambda x, y: x / (1.0 + F.abs(x) / y)
+    n = F.sqrt(F.col("__m_distinct").cast("double"))
+    shape = F.array(F.log1p(F.col("__m_tokens").cast("double")), F.log((F.col("__m_tokens") + 1.0) / (F.col("__m_distinct") + 1.0)))
+    f = F.concat(F.array(F.lit(1.0)), F.transform("__m_sums", lambda x: squash(x, 20.0)), F.transform("__m_sums", lambda x: squash(x / n, 2.0)), "__m_style", shape)
+    return d.withColumn("__m_f", f).drop("__m_h", "__m_distinct", "__m_style", "__m_sums")
+
+
+def _softmax(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n_domains: int, *, ridge: float = 1e-3) -> np.ndarray:
+    """Coefficients (domain, feature), those of domain 0 being 0, by Newton's method; the first feature is the constant 1."""
+    n, m, k = *x.shape, n_domains - 1
+    mean, sd = x.mean(0), x.std(0)
+    mean[0], sd = 0.0, np.where(sd > 1e-9, sd, 1.0)
+    sd[0] = 1.0
+    z, hot = (x - mean) / sd, np.eye(n_domains)[y]
+    theta, keep = np.zeros((k, m)), np.full((k, m), ridge * weight.sum())
+    keep[:, 0] = 0.0
+
+    def loss(th: np.ndarray) -> tuple[float, np.ndarray]:
+        s = np.concatenate([np.zeros((n, 1)), z @ th.T], 1)
+        s -= s.max(1, keepdims=True)
+        e = np.exp(s)
+        norm = e.sum(1, keepdims=True)
+        return float((weight * (np.log(norm[:, 0]) - (s * hot).sum(1))).sum() + (keep * th * th).sum() / 2), e / norm
 
+    now, p = loss(theta)
+    for _ in range(50):
+        grad = ((weight[:, None] * (p - hot))[:, 1:].T @ z + keep * theta).ravel()
+        curve = np.diag(keep.ravel() + 1e-9 * weight.sum())
+        for a in range(k):
+            for b in range(k):
+                r = weight * p[:, a + 1] * ((a == b) - p[:, b + 1])
+                curve[a * m : a * m + m, b * m : b * m + m] += (z * r[:, None]).T @ z
+        step, size = np.linalg.solve(curve, grad).reshape(k, m), 1.0
+        while size > 1e-6 and (there := loss(theta - size * step))[0] > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        theta, done, (now, p) = theta - size * step, now - there[0] < 1e-10 * weight.sum(), there
+        if done:
+            break
+    theta = theta / sd
+    theta[:, 0] -= theta[:, 1:] @ mean[1:]
+    return np.concatenate([np.zeros((1, m)), theta]).round(6)
+
+
+Model = tuple[list[tuple[int, list[float]]], list[list[float]]]
 
-def fit_classifier(docs: DataFrame, domains: DataFrame, n_domains: int, *, max_labelled: int = MAX_LABELLED, text: str = "text") -> tuple[list[float], list[list[float]]]:
-    """(log prior per domain, per domain a weight for each bucket, all relative to domain 0).
 
-    At most ``max_labelled`` labelled documents, in hash order, are read; what reaches the driver
-    is a count per bucket and domain.
+def fit_classifier(docs: DataFrame, domains: DataFrame, n_domains: int, *, max_labelled: int = MAX_LABELLED, text: str = "text") -> Model:
+    """(weights of words, coefficients of the softmax per domain).
+
+    At most ``max_labelled`` labelled documents, in hash order, are read. What reaches the driver is
+    ``MAX_WORDS`` words of one half and a dozen numbers for each document of the other.
     """
-    one = domains.groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    one = domains.where(F.col("domain").between(0, n_domains - 1)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     held = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("__m_id"), F.col("domain").alias("__m_domain"))
-    found = docs.join(F.broadcast(held), F.col("doc_id") == F.col("__m_id"))  # bounded: max_labelled rows
-    met = found.select("__m_domain", F.explode(F.concat(F.array(F.lit(-1)), _buckets(F.coalesce(F.col(text), F.lit("")))))).groupBy("__m_domain", "col").agg(F.count(F.lit(1)).alias("n"))
-    count = {(r["__m_domain"], r["col"]): r["n"] for r in met.collect()}
-    size = [count.get((d, -1), 0) for d in range(n_domains)]
-    prior = [math.log((s + 1) / (size[0] + 1)) for s in size]
-    weights = []
-    for d in range(n_domains):
-        row = []
-        for b in range(BUCKETS):
-            here, base = count.get((d, b), 0) + 0.5, count.get((0, b), 0) + 0.5
-            w = math.log(here / (size[d] + 1)) - math.log(base / (size[0] + 1))
-            row.append(round(w, 6) if abs(w) > SIGNIFICANT * math.sqrt(1 / here + 1 / base) else 0.0)
-        weights.append(row)
-    return prior, weights
-
-
-def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], *, text: str = "text") -> DataFrame:
+    found = docs.select("doc_id", text).join(F.broadcast(held), F.col("doc_id") == F.col("__m_id"))  # bounded: max_labelled rows
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    weights = _word_weights(found.where(half == 0), n_domains, text)
+    rows = _with_features(found.where(half == 1), weights, n_domains, text).select("__m_domain", "__m_tokens", "__m_f").collect()
+    if not rows:
+        return weights, np.zeros((n_domains, 6 + 2 * (n_domains - 1))).tolist()
+    rows.sort(key=lambda r: (r["__m_domain"], r["__m_tokens"], r["__m_f"]))
+    x = np.array([r["__m_f"] for r in rows], float)
+    # half a mean document of each domain, as a domain may have no labels
+    x = np.concatenate([x, np.repeat(x.mean(0, keepdims=True), n_domains, 0)])
+    y = np.array([*(r["__m_domain"] for r in rows), *range(n_domains)])
+    tokens = np.array([r["__m_tokens"] for r in rows], float)
+    weight = np.concatenate([tokens / max(tokens.mean(), 1.0), np.full(n_domains, 0.5)])
+    return weights, _softmax(x, y, weight, n_domains).tolist()
+
+
+def with_posteriors(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with ``__m_tokens`` (words) and ``__m_p`` (posterior per domain)."""
-    prior, weights = model
-    d = docs.withColumn("__m_text", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumns({"__m_b": _buckets(F.col("__m_text")), "__m_w": words(F.col("__m_text"))})
-    # one constant array, so a bucket's weights are one lookup
-    table = F.from_json(F.lit(json.dumps([[w[b] for w in weights[1:]] for b in range(BUCKETS)])), "array<array<double>>")
-    used = [b for b in range(BUCKETS) if any(w[b] for w in weights)]
-    d = d.withColumn("__m_b", F.array_intersect("__m_b", F.from_json(F.lit(json.dumps(used)), "array<int>")))
+    weights, theta = model
+    d = _with_features(docs, weights, len(theta), text)
 
-    def score(k: int) -> Column:
-        return F.lit(prior[k]) + F.aggregate("__m_b", F.lit(0.0), lambda s, b: s + F.get(F.get(table, b), F.lit(k - 1)))
+    def score(row: list[float]) -> Column:
+        s = F.lit(0.0)
+        for i, c in enumerate(row):
+            s = s + F.get("__m_f", F.lit(i)) * F.lit(float(c))
+        return s
 
-    scores = [F.lit(0.0), *map(score, range(1, len(prior)))]
-    d = d.withColumn("__m_s", F.array(*scores))
+    d = d.withColumn("__m_s", F.array(*map(score, theta)))
     d = d.withColumn("__m_e", F.transform("__m_s", lambda s: F.exp(s - F.array_max("__m_s"))))
     d = d.withColumn("__m_p", F.transform("__m_e", lambda e: e / F.aggregate("__m_e", F.lit(0.0), lambda a, b: a + b)))
-    tokens = F.when(F.get("__m_w", F.lit(0)) == "", F.lit(0)).otherwise(F.size("__m_w"))
-    return d.withColumn("__m_tokens", tokens.cast("long")).drop("__m_text", "__m_b", "__m_w", "__m_s", "__m_e")
+    return d.drop("__m_f", "__m_s", "__m_e")
 
 
 def fit_rates(soft: DataFrame, weights: Sequence[float], *, floor: float = 0.0, ceiling: float = CEILING, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[Column, dict]:
     """(rate expression over ``__m_p``, report) so that expected token totals stand in the ratio ``weights``.
 
-    The total is kept with floor 0; with floor 1 (each document at least once) it grows until the
-    largest surplus domain fits. No document is taken more than ``ceiling`` times; where the targets
-    need more, the nearest totals within the bounds are reached.
+    The total is kept with floor 0; with a higher floor the ratio alone is asked for, and the total
+    grows as far as it needs. No document is taken more than ``ceiling`` times. The report's ``gap`` is
+    the summed distance of the totals from their targets over the total; where it is above
+    ``tolerance``, the targets were not met.
     """
     k = len(weights)
     p = [F.get("__m_p", F.lit(i)) for i in range(k)]
-    share = [w / sum(weights) for w in weights]
+    share = np.array(weights, float) / sum(weights)
+    t = F.col("__m_tokens")
     # a decimal sum does not depend on the order of its terms
-    mass = lambda rate: [F.sum((rate * F.col("__m_tokens") * x).cast("decimal(38,6)")).cast("double") for x in p]
-    base = [x or 0.0 for x in soft.agg(*mass(F.lit(1.0))).first()]
-    total = sum(base)
-    if floor > 0:
-        total = max([total, *(floor * b / s for b, s in zip(base, share, strict=True) if s > 0)])
-    target = [s * total for s in share]
-    rate: Column = F.lit(1.0) if floor <= 1 else F.lit(float(floor))
-    errors, now = [], base
+    exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
+
+    def rate(multipliers: np.ndarray) -> tuple[Column, Column]:
+        free = F.lit(1.0)
+        for m, x, s in zip(multipliers, p, share, strict=True):
+            free = free + F.lit(float(m)) * (x - F.lit(float(s)) if floor > 0 else x)
+        return F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), free)), free
+
+    def totals(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token totals, and their derivatives: the products of posteriors over the documents off the bounds."""
+        r, free = rate(multipliers)
+        moving = F.when((free >= floor) & (free <= ceiling), t).otherwise(0)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = [x or 0.0 for x in soft.agg(*[exact(r * t * x) for x in p], *[exact(moving * p[i] * p[j]) for i, j in pairs]).first()]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return np.array(row[:k]), curve
+
+    now, curve = totals(np.zeros(k))
+    kept = now.sum()
+    shift = np.eye(k) - np.outer(share, np.ones(k)) if floor > 0 else np.eye(k)
+    target = lambda x: share * (x.sum() if floor > 0 else kept)
+    error = lambda x: float(np.abs(x - target(x)).sum() / max(x.sum() if floor > 0 else kept, 1.0))
+    multipliers, errors, idle = np.zeros(k), [error(now)], 0
+    widest = max(float(np.trace(shift @ curve @ shift.T)), 1.0)  # at least the greatest slope anywhere
     for _ in range(rounds):
-        gap = [x - t for x, t in zip(now, target, strict=True)]
-        errors.append(sum(map(abs, gap)) / max(total, 1.0))
-        if errors[-1] <= tolerance or len(errors) > 3 and errors[-2] - errors[-1] < tolerance * errors[-1]:
+        if errors[-1] <= tolerance or idle == 3:
             break
-        step: Column = F.lit(0.0)
-        for g, b, x in zip(gap, base, p, strict=True):
-            step = step + F.lit(g / b if b > 0 else 0.0) * x
-        rate = F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), rate - step))
-        now = [x or 0.0 for x in soft.agg(*mass(rate)).first()]
-    return rate, {"target": target, "reached": now, "errors": errors}
+        bend, gap = shift @ curve @ shift.T, now - target(now)
+        newton = np.linalg.solve(bend + 1e-9 * widest * np.eye(k), gap)
+        # a gradient step of this length never adds to the distance; it helps where documents leave their bounds
+        for size, step in ((1.0, newton), (0.5, newton), (0.2, newton), (0.0, gap / widest)):
+            there = multipliers - (size or 1.0) * step
+            then, curve_then = totals(there)
+            fallen = 1 - float(np.linalg.norm(then - target(then)) / np.linalg.norm(gap))
+            if fallen > 0.1 * size:
+                break
+        idle = idle + 1 if fallen < 1e-3 else 0
+        if fallen > 0:
+            multipliers, now, curve = there, then, curve_then
+            errors.append(error(now))
+    report = {"target": target(now).tolist(), "reached": now.tolist(), "errors": errors, "gap": errors[-1], "met": errors[-1] <= tolerance, "ceiling": ceiling}
+    return rate(multipliers)[0], report
+
+
+def warn_unmet(report: dict) -> dict:
+    """The report; a warning tells of targets that no rates within the bounds meet."""
+    if not report["met"]:
+        parts = [f"{x:.0f} of {t:.0f}" for x, t in zip(report["reached"], report["target"], strict=True)]
+        warnings.warn(f"mixing targets not met, gap {report['gap']:.4f}: tokens {', '.join(parts)}", stacklevel=2)
+    return report
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -125,6 +259,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor:
     model = fit_classifier(docs, label_domains(labels), len(weights))
     soft = stored(with_posteriors(docs, model).select("__m_tokens", "__m_p"), "posteriors")
     rate, report = fit_rates(soft, weights, floor=floor, ceiling=ceiling)
+    warn_unmet(report)
     out = with_posteriors(docs, model).withColumn("__m_rate", F.round(rate, 6))
     return out.withColumn("__m_copies", copies(F.col("__m_rate"), F.col("doc_id"))), report
 
@@ -133,7 +268,8 @@ def rates(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor
     """(doc_id, n_tokens, posterior, rate, copies), without the texts."""
     model = fit_classifier(docs, label_domains(labels), len(weights))
     soft = stored(with_posteriors(docs, model).select("doc_id", "__m_tokens", "__m_p"), "posteriors")
-    rate, _ = fit_rates(soft, weights, floor=floor)
+    rate, report = fit_rates(soft, weights, floor=floor)
+    warn_unmet(report)
     d = soft.withColumn("rate", F.round(rate, 6))
     return d.select("doc_id", F.col("__m_tokens").alias("n_tokens"), F.transform("__m_p", lambda x: F.round(x, 6)).alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
