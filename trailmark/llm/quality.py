@@ -36,7 +36,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "capitals": ("n_capitals / word_chars", (0.1, 0.2, 0.3, 0.5, 0.7)),
     "bangs": ("n_bangs / n_words", (0.05, 0.1, 0.2, 0.5, 1.0)),
 }
-ALPHA, DELTA, MAX_HOLDOUT = 0.05, 0.05, 200_000
+ALPHA, DELTA = 0.05, 0.05
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -149,11 +149,10 @@ def select_cutoffs(counts: DataFrame, alpha: float = ALPHA, delta: float = DELTA
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, text: str = "text", doc_id: str = "doc_id",
-              alpha: float = ALPHA, delta: float = DELTA, max_holdout: int = MAX_HOLDOUT) -> DataFrame:
-    """Safe cutoffs from at most ``max_holdout`` labelled good documents, taken in hash order."""
-    good = labels.groupBy(doc_id).agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = good.orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(max_holdout)
-    found = docs.join(F.broadcast(held.select(doc_id)), doc_id, "left_semi")  # bounded: max_holdout ids
+              alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Safe cutoffs from all labelled good documents."""
+    held = labels.groupBy(doc_id).agg(F.min("quality").alias("quality")).where("quality = 1")
+    found = docs.join(held.select(doc_id), doc_id, "left_semi")
     metrics = [F.col(f"__q_{m}") for m in (*METRICS, "n_lines", "n_capitals", "n_bangs")]
     measured = stored(with_metrics(found, text).select(doc_id, stratum, *metrics), "holdout")
     return select_cutoffs(holdout_counts(measured, held, stratum, doc_id=doc_id), alpha, delta)
