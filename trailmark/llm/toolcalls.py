@@ -10,7 +10,7 @@ is the variant's own rendering: sorted keys at every level, no white space.
 
 Defined results (status): ``linked``; ``no_result``; ``orphan_result`` (a result without call);
 ``duplicate`` (a later call or result with an identifier that is taken; the first by turn, then by
-content, counts); ``cycle``. Missing identifiers link with nothing: a call is ``no_result``, a result
+content, counts, and the later one keeps its own turn, name, arguments, errors and content); ``cycle``. Missing identifiers link with nothing: a call is ``no_result``, a result
 ``orphan_result``. A parent that is unknown is no parent but an error ``parent:<id>``.
 Errors are sorted texts: ``malformed`` (no JSON object), ``tool:<name>`` (no such schema),
 ``missing:<arg>``, ``type:<arg>``, ``range:<arg>``, ``unknown:<arg>``.
@@ -29,10 +29,19 @@ ID = ["conv", "call"]
 
 def _first(df: DataFrame, *ties: str) -> DataFrame:
     """The first row per identifier, by an aggregate, so that a frequent identifier is combined before the shuffle."""
-    rest = [c for c in df.columns if c not in ID]
+    rest = [c for c in df.columns if c not in ID]  # with the ties, which tell the first from the others
     return df.groupBy(*ID).agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("x"), F.count(F.lit(1)).alias("same")).select(*ID, "x.*", "same")
 
 
+def _repeats(df: DataFrame, first: DataFrame, turn: str, same: str) -> DataFrame:
+    """Rows of df behind the first of their identifier, each with its own columns, and ``again`` that tells equal rows apart."""
+    head = first.where(F.col(same) > 1).select(*ID, F.col(turn).alias("f_turn"), F.col("tie").alias("f_tie"))
+    each = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).join(head, ID)
+    is_first = F.col("turn").eqNullSafe(F.col("f_turn")) & F.col("tie").eqNullSafe(F.col("f_tie"))
+    left = each.withColumn("n", F.col("n") - is_first.cast("long")).where("n > 0")
+    return left.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "f_turn", "f_tie")
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv, call, depth): 0 without parent, null on or behind a cycle. calls: (conv, call, parent), identifiers distinct."""
     known = calls.select("conv", F.col("call").alias("up"))
@@ -51,17 +60,17 @@ def depths(calls: DataFrame) -> DataFrame:
     return d.select("conv", "call", F.when(F.col("jump").isNull(), F.col("depth")).alias("depth"))
 
 
-def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv, call, errors) for calls whose arguments break their schema.
+def argument_errors(calls: DataFrame, schemas: DataFrame, key: list[str] = ID) -> DataFrame:
+    """(conv, call, errors), or other columns that tell calls apart in place of the first two, for calls whose arguments break their schema.
 
     schemas: (name, param, type, required, low, high), type one of string, integer, number, boolean.
     """
-    args = calls.select(*ID, "name", F.from_json("arguments", "map<string,variant>").alias("args"))
+    args = calls.select(*key, "name", F.from_json("arguments", "map<string,variant>").alias("args"))
     tools = schemas.groupBy("name").agg(F.collect_set("param").alias("params"))
     bad = F.col("args").isNull()
     d = args.join(tools, "name", "left")
     shape = d.select(
-        *ID,
+        *key,
         F.explode(
             F.when(bad, F.array(F.lit("malformed")))
             .when(F.col("params").isNull(), F.array(F.concat(F.lit("tool:"), F.coalesce("name", F.lit("")))))
@@ -85,8 +94,8 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)), F.lit("range:"))
     )
     values = args.where("args is not null").join(schemas, "name").withColumn("fault", fault).where("fault is not null")
-    each = shape.unionByName(values.select(*ID, F.concat("fault", "param").alias("e")))
-    return each.groupBy(*ID).agg(F.array_sort(F.collect_set("e")).alias("errors"))
+    each = shape.unionByName(values.select(*key, F.concat("fault", "param").alias("e")))
+    return each.groupBy(*key).agg(F.array_sort(F.collect_set("e")).alias("errors"))
 
 
 def canonical(arguments: Column) -> Column:
@@ -103,9 +112,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     calls = calls.select(*ID, F.col("turn").cast("long").alias("turn"), "parent", "name", "arguments")
     results = results.select(*ID, F.col("turn").cast("long").alias("turn"), "content")
     tie = F.xxhash64("parent", "name", "arguments")
-    first = stored(_first(calls.where(sound).withColumn("tie", tie), "turn", "tie"), "calls")
-    answer = _first(results.where(sound).withColumn("tie", F.xxhash64("content")), "turn", "tie").select(*ID, F.col("turn").alias("r_turn"), "content", F.col("same").alias("r_same"))
-    met = first.hint("shuffle_hash").join(answer, ID, "full")
+    asked, answered = calls.where(sound).withColumn("tie", tie), results.where(sound).withColumn("tie", F.xxhash64("content"))
+    first = stored(_first(asked, "turn", "tie"), "calls")
+    answer = _first(answered, "turn", "tie").select(*ID, F.col("turn").alias("r_turn"), "content", F.col("same").alias("r_same"), "tie")
+    met = first.drop("tie").hint("shuffle_hash").join(answer.drop("tie"), ID, "full")
     d = met.join(depths(first.select(*ID, "parent")), ID, "left").join(argument_errors(first, schemas), ID, "left")
     is_call = F.col("same").isNotNull()
     known = first.select("conv", F.col("call").alias("parent"), F.lit(True).alias("known"))
@@ -122,9 +132,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         "content",
         F.lit(0).alias("again"),
     )
-    # what repeats an identifier keeps its own row; content tells only the number of repeats apart
-    more = first.where("same > 1").select(*ID, "turn", "name", F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))).alias("again")).unionByName(
-        answer.where("r_same > 1").select(*ID, F.col("r_turn").alias("turn"), F.explode(F.sequence(F.lit(2), F.col("r_same").cast("int"))).alias("again")), allowMissingColumns=True
+    # what repeats an identifier keeps its own row
+    more = stored(_repeats(asked, first, "turn", "same").withColumn("dup", F.monotonically_increasing_id()), "repeats")
+    faults = argument_errors(more, schemas, ["dup"])
+    more = more.join(faults, "dup", "left").join(known, ["conv", "parent"], "left")
+    more = more.withColumn("errors", F.array_sort(F.concat(F.coalesce("errors", F.array().cast("array<string>")), lost.cast("array<string>"))))
+    more = more.select(*ID, "turn", "name", "errors", "arguments", "tie", "again").unionByName(
+        _repeats(answered, answer, "r_turn", "r_same").select(*ID, "turn", "content", "tie", "again"), allowMissingColumns=True
     )
     row = row.unionByName(more.withColumn("status", F.lit("duplicate")), allowMissingColumns=True)
     loose = calls.where(~sound).select(*ID, "turn", "name", F.lit("no_result").alias("status"), "arguments").unionByName(
@@ -132,7 +146,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     )
     row = row.unionByName(loose, allowMissingColumns=True)
     row = row.withColumns({"errors": F.coalesce("errors", F.array().cast("array<string>")), "o_depth": F.coalesce("depth", F.lit(1 << 40)), "o_status": F.when(F.col("status") == "linked", 0).otherwise(1)})
-    ranked, _ = global_rank(row, ["conv", "o_depth", "turn", "call", "o_status", "status", "again"], "tool-calls")
+    ranked, _ = global_rank(row, ["conv", "o_depth", "turn", "call", "o_status", "status", "tie", "again"], "tool-calls")
     start = ranked.groupBy("conv").agg(F.min("__rank").alias("start")).withColumnRenamed("conv", "s_conv")
     out = ranked.join(start, F.col("conv").eqNullSafe(F.col("s_conv")))
     # keys in sorted order: arguments stand before all others
