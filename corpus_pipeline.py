@@ -14,7 +14,8 @@ from trailmark.llm import lines, mixing, ngram_join, pieces, quality
 from trailmark.llm.common import shared_dir
 from trailmark.llm.queries import tokenizer_path
 
-#: Shares of good, poor and toxic tokens after the quality rules; no document is left out or taken more than twice.
+#: Shares of good, poor and toxic tokens after the quality rules; no document is left out, and none is taken more than
+#: twice unless the shares need it. A warning tells of shares that are not met.
 MIX_WEIGHTS = (0.88, 0.04, 0.08)
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once or twice, as the target weights of the domains ask for."""
+    """Each document once or more, as the target weights of the domains ask for."""
     return mixing.repeat(docs, _labels(spark, sf_dir), MIX_WEIGHTS, floor=1.0)
 
 
@@ -57,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("encode_pieces", encode_pieces),
 ]
 
-#: SQL cannot express the classifier of the mixing stage and the tokenizer; the stages are tested by brute force.
+#: SQL cannot express the classifier of the mixing stage and the tokenizer; tests check what each stage promises.
 ORACLE_SQL = None
 
 

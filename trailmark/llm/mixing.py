@@ -254,11 +254,16 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 0.0, ceiling: float = CEILING) -> tuple[DataFrame, dict]:
-    """(docs with __m_tokens, __m_p, __m_rate, __m_copies; report). Posteriors are stored once; text stays where it is."""
+def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 0.0, ceiling: float = CEILING, widest: float = 0.0) -> tuple[DataFrame, dict]:
+    """(docs with __m_tokens, __m_p, __m_rate, __m_copies; report). Posteriors are stored once; text stays where it is.
+
+    While the targets are not met, the ceiling is doubled, up to ``widest``.
+    """
     model = fit_classifier(docs, label_domains(labels), len(weights))
     soft = stored(with_posteriors(docs, model).select("__m_tokens", "__m_p"), "posteriors")
     rate, report = fit_rates(soft, weights, floor=floor, ceiling=ceiling)
+    while not report["met"] and (ceiling := 2 * ceiling) <= widest:
+        rate, report = fit_rates(soft, weights, floor=floor, ceiling=ceiling)
     warn_unmet(report)
     out = with_posteriors(docs, model).withColumn("__m_rate", F.round(rate, 6))
     return out.withColumn("__m_copies", copies(F.col("__m_rate"), F.col("doc_id"))), report
@@ -274,7 +279,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor
     return d.select("doc_id", F.col("__m_tokens").alias("n_tokens"), F.transform("__m_p", lambda x: F.round(x, 6)).alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def repeat(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 1.0, ceiling: float = 2.0) -> DataFrame:
-    """docs, each row as often as the mix asks for, columns as before."""
-    mixed, _ = mix(docs, labels, weights, floor=floor, ceiling=ceiling)
+def repeat(docs: DataFrame, labels: DataFrame, weights: Sequence[float], *, floor: float = 1.0, ceiling: float = 2.0, widest: float = 8.0) -> DataFrame:
+    """docs, each row as often as the mix asks for, columns as before; a warning tells of targets not met."""
+    mixed, _ = mix(docs, labels, weights, floor=floor, ceiling=ceiling, widest=widest)
     return mixed.withColumn("__m_i", F.explode(F.array_repeat(F.lit(0), F.col("__m_copies")))).select(*docs.columns)
