@@ -1,5 +1,7 @@
 """Readers, writers, and streams that must agree with their batch forms."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,15 @@ def test_parameters(spark):
     assert p.fps == 25.0 and fl.Parameters.from_json(p.to_json()) == p and p.as_table(spark).count() > 5
 
 
+def drained(writer):
+    """Run a stream over what lies there; a stream that does not end fails the test."""
+    q = writer.trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+
+
 def blobs(n=30):
     rows = [(1, f, t) for f in range(1, n + 1) for t in (1, 2) if not (t == 2 and 10 <= f <= 14)]
     return rows + [(2, f, 1) for f in range(1, 8)]
@@ -72,28 +83,33 @@ def test_tracklets_stream_like_batch(spark, tmp_path):
     # a last blob far ahead closes what is open
     spark.createDataFrame([(1, 900, 9), (2, 900, 9)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = lc.stream_tracklets(s, most=8).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    drained(lc.stream_tracklets(s, most=8).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append"))
     got = sorted((r["movie"], r["fi"], r["ff"], r["n"]) for r in spark.table("closed").collect())
     want = sorted((r["movie"], r["fi"], r["ff"], r["n"]) for r in lc.batch_tracklets(spark.createDataFrame(rows, schema), most=8).collect())
     assert got == want and len(got) > 6
 
 
+def test_silent_movie_closes(spark, tmp_path):
+    schema = "movie long, frame long, track long, ts timestamp"
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    for rows in ([(1, f, 1, at(f)) for f in range(1, 6)], [(2, 1, 1, at(50))], [(2, 2, 1, at(55))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = lc.stream_tracklets(s, ts="ts", late="1 second", silent_ms=10_000)
+    drained(out.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append"))
+    assert [(r["movie"], r["fi"], r["ff"], r["n"]) for r in spark.table("silent").collect()] == [(1, 1, 5, 5)]
+
+
 def test_windows_on_stream_and_table(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(str(tmp_path / "e"))
     batch = {tuple(r) for r in lc.windowed_counts(e, late="1 hour", width="6 hours").select("start", "event_type", "n").collect()}
     s = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
-    q = lc.windowed_counts(s, late="1 hour", width="6 hours").writeStream.format("memory").queryName("w").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
+    drained(lc.windowed_counts(s, late="1 hour", width="6 hours").writeStream.format("memory").queryName("w").outputMode("complete"))
     assert {tuple(r) for r in spark.table("w").select("start", "event_type", "n").collect()} == batch
     assert lc.sessions(e, late="1 hour", gap="30 minutes").agg(F.sum("n")).first()[0] == e.count()
     seen = []
-    q = lc.for_each_movie(s, [lambda d: seen.append(d.count())]).start()
-    q.processAllAvailable()
-    q.stop()
+    drained(lc.for_each_movie(s, [lambda d: seen.append(d.count())]))
     assert sum(seen) == e.count()
 
 

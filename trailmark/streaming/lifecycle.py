@@ -63,11 +63,12 @@ def lifecycle_step(frames: pd.DataFrame, state: dict, *, most: int, max_gap: int
     return out, {"last": state["last"], "serial": serial, "open": open_}
 
 
-def stream_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, timeout_ms: int = 60_000) -> DataFrame:
+def stream_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, ts: str | None = None, late: str = "1 minute", silent_ms: int = 60_000) -> DataFrame:
     """Closed tracklets of a stream of blobs (movie, frame, track), one state per movie.
 
-    Frames of a movie arrive in order (one camera writes them); the state holds its open tracklets only. A movie
-    that is silent for timeout_ms closes all of them.
+    Frames of a movie arrive in order (one camera writes them); the state holds its open tracklets only. With an
+    event-time column ``ts``, a movie that is silent until the watermark has passed its last batch by silent_ms
+    closes all of them; without one, tracklets close by the movie's later frames alone.
     """
     import json
 
@@ -80,12 +81,17 @@ def stream_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, tim
             out = [tuple(v) for v in now["open"].values()]
             state.remove()
         else:
-            out, now = lifecycle_step(pd.concat(list(parts)), now, most=most, max_gap=max_gap)
+            rows = pd.concat(list(parts))
+            out, now = lifecycle_step(rows, now, most=most, max_gap=max_gap)
             state.update((now["last"], now["serial"], json.dumps(now["open"])))
-            state.setTimeoutDuration(timeout_ms)
+            if ts:
+                newest = int(rows[ts].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + silent_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["movie", "tracklet", "fi", "ff", "n"])
 
-    return blobs.groupBy("movie").applyInPandasWithState(work, LIFE_OUT, LIFE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    stream = blobs.withWatermark(ts, late) if ts else blobs
+    return stream.groupBy("movie").applyInPandasWithState(work, LIFE_OUT, LIFE_STATE, "append", timeout)
 
 
 def batch_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1) -> DataFrame:
