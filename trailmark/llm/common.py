@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.components import local_dir
+
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
@@ -16,12 +17,13 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, notebooks) is a local folder made.
+    Where that setting is absent, a local master (tests, notebooks) gets a local folder; on a cluster, whose executors would
+    not see it, this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="trailmark-")
+        base = known.get() if known.isDefined() else local_dir(spark)
     return f"{base.rstrip('/')}/trailmark/{name}-{uuid.uuid4().hex}"
 
 

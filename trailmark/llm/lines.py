@@ -2,13 +2,16 @@
 
 Every line becomes a 128-bit hash of its key with document and position. These rows are dealt
 out by ranges of (hash, document), sorted by (hash, document, position), and streamed: the
-first row of a (hash, document) run stands for the document. A frequent line spreads over
-several ranges, because the document takes part in the range; its counts meet as one partial
-row per task. The result is a run-length coded keep bitmap per document that loses lines.
+first row of a (hash, document) run stands for the document, and each line's documents are counted inside
+its range. A frequent line spreads over several ranges, because the document takes part in the range;
+such lines, at the ends of ranges, are counted again over all of them as one partial row per task. The
+result is a run-length coded keep bitmap per document that loses lines.
 
 Defined results: a null or empty text is one empty line. A row without doc_id neither loses
 lines nor holds a key. Rows that repeat a doc_id are versions of one document: they count as one
-holder and each has its own bitmap. Of a line that a document repeats, all copies go or all stay.
+holder and each has its own bitmap. Of a line that a document repeats, all copies go or all stay. A very long
+text or line is handled whole in its row. An empty table gives no rows. Internal columns begin with ``__l_``; those
+of docs may have any other name.
 """
 
 from __future__ import annotations
@@ -41,14 +44,32 @@ def line_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", mi
     )
 
 
+def held_lines(rows: DataFrame) -> DataFrame:
+    """rows (range, h1, h2, doc, first, ...) with docs, the documents that hold the line, and last, the largest of them.
+
+    A line whose rows lie inside one range is counted there. Only the first and the last line of a range can go on in
+    another; these, two per range at most, are counted over all ranges and sent to every task.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    one = F.col("first").cast("long")
+    key = F.struct("h1", "h2")
+    ends = rows.groupBy("range").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = ends.select(F.explode(F.array("low", "high")).alias("k")).select("k.h1", "k.h2").distinct()
+    across = rows.where("first").join(F.broadcast(ends), ["h1", "h2"])  # bounded: two lines per range
+    across = stored(across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("all_docs"), F.max("doc").alias("all_last")), "lines-across")
+    here = Window.partitionBy("range", "h1", "h2")
+    d = rows.repartitionById(n, F.col("range")).withColumns({"docs": F.sum(one).over(here), "last": F.max("doc").over(here)})
+    d = d.join(F.broadcast(across), ["h1", "h2"], "left")
+    return d.withColumns({"docs": F.coalesce("all_docs", "docs"), "last": F.coalesce("all_last", "last")}).drop("all_docs", "all_last")
+
+
 def keep_bitmaps(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, version, dropped, keep): documents that lose lines; keep lists the kept runs [start, stop)."""
     keys = ["h1", "h2", "doc"]
     dealt = line_rows(docs, text=text, doc_id=doc_id, min_chars=min_chars).repartitionByRange(shuffle_partitions(docs.sparkSession), *keys)
     run = Window.partitionBy(*keys).orderBy("version", "pos")
-    rows = stored(dealt.withColumn("first", F.row_number().over(run) == 1), "lines")
-    held = rows.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= min_docs)
-    lost = rows.join(held, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
+    rows = stored(dealt.withColumns({"first": F.row_number().over(run) == 1, "range": F.spark_partition_id()}), "lines")
+    lost = held_lines(rows).where((F.col("docs") >= min_docs) & (F.col("doc") < F.col("last")))
     per = lost.groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = F.col("gone")
     runs = F.transform(
