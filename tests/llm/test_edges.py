@@ -120,14 +120,47 @@ def test_rates_reach_their_targets(spark):
     assert all(b <= a + 1e-9 for a, b in zip(report["errors"], report["errors"][1:]))
 
 
-def test_hilbert(docs, none):
-    d = hilbert.hilbert_shards(docs.withColumn("tie", F.xxhash64("text")), ["lang", "source", "n_chars", "doc_id"], ["doc_id", "tie"])
-    rows = d.select("__shard", "__slot").collect()
-    per = {s: sorted(r["__slot"] for r in rows if r["__shard"] == s) for s in range(8)}
-    assert sum(map(len, per.values())) == len(TEXTS)
+SIZE = "octet_length(coalesce(text, '')) + 1"
+
+
+def test_hilbert(spark, docs, none):
+    from trailmark.llm import common
+
+    tied = docs.withColumns({"tie": F.xxhash64("text"), "slice": F.lit(1), "value": F.lit("v"), "k": F.lit(2)})
+    path = common.shared_dir(spark, "shards")
+    d = hilbert.hilbert_shards(tied, ["lang", "source", "n_chars", "doc_id"], ["doc_id", "tie"], size=F.expr(SIZE), path=path)
+    rows = d.collect()
+    per = {s: sorted((r["__slot"], r["__h"], r["doc_id"]) for r in rows if r["__shard"] == s) for s in range(8)}
+    assert sorted((r["doc_id"], r["text"] or "") for r in rows) == sorted((k, t or "") for k, t in TEXTS)
     assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
-    assert all(v == list(range(len(v))) for v in per.values())
-    assert hilbert.hilbert_shards(none.withColumn("tie", F.lit(0)), ["lang", "n_chars"], ["doc_id", "tie"]).count() == 0
+    assert all([x[0] for x in v] == list(range(len(v))) for v in per.values())
+    order = [x[1:] for s in range(8) for x in per[s]]
+    assert order == sorted(order)  # the shards are runs of the curve
+    assert set(d.columns) == {*tied.columns, "__h", "__slot", "__shard"}
+    assert hilbert.hilbert_shards(none.withColumn("tie", F.lit(0)), ["lang", "n_chars"], ["doc_id", "tie"], size=F.expr(SIZE)).count() == 0
+    nulls = docs.withColumns({"doc_id": F.lit(None).cast("long"), "tie": F.xxhash64("text"), "lang": F.lit(None).cast("string")})
+    found = hilbert.hilbert_shards(nulls, ["lang", "doc_id"], ["doc_id", "tie"], size=F.expr(SIZE)).collect()
+    assert sorted(r["__slot"] + 100 * r["__shard"] for r in found) == sorted(s + 100 * k for k, v in per.items() for s, _, _ in v)
+
+
+def test_text_cells_follow_the_rows(spark):
+    """Values that begin alike fall into cells of their own, by their share of the rows."""
+    df = spark.createDataFrame([(f"https://common-head.example/{i:03d}",) for i in range(64) for _ in range(1 + 63 * (i == 0))], "url string")
+    cell = hilbert.cells(df, ["url"], 4)["__c0"]
+    got = {r["url"][-3:]: r["c"] for r in df.select("url", cell.alias("c")).distinct().collect()}
+    assert got["000"] == 0 and got["001"] >= 8 and got["063"] == 15
+    assert [got[k] for k in sorted(got)] == sorted(got.values())
+
+
+def test_files_prune_on_each_dimension(spark):
+    """A file of a shard spans a part of every dimension, so a filter on any of them skips most files."""
+    from trailmark.llm import common
+
+    df = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1000)).alias("b"), F.col("id").alias("tie"))
+    path = common.shared_dir(spark, "shards")
+    d = hilbert.hilbert_shards(df, ["a", "b"], ["tie"], size=F.lit(1), n_shards=16, path=path)
+    span = d.groupBy(F.input_file_name()).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "ab"]).collect()
+    assert len(span) >= 16 and all(sum(r[c] for r in span) / len(span) < 500 for c in "ab")
 
 
 def test_hilbert_neighbours_touch(spark):
@@ -153,6 +186,14 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Rows of one vec_id under two labels, or with two vectors, are separate vectors; sure and doubtful pairs add up."""
+    far, turn = [0.0, 1.0, 0.0], lambda c: [c, float(np.sqrt(1 - c * c)), 0.0]
+    rows = [(5, 0, [1.0, 0.0, 0.0]), (1, 0, [1.0, 0.01, 0.0]), (5, 1, [1.0, 0.0, 0.0]), (2, 1, [1.0, 0.02, 0.0]), (3, 1, turn(0.9301)), (5, 1, far), (4, 1, turn(0.9299))]
+    out = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect())
+    assert out == [(1, 1, 1, True), (2, 3, 2, True), (3, 3, 2, False), (4, 2, 2, False), (5, 0, 5, True), (5, 1, 1, False), (5, 2, 2, False)]
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, 0, "a", None, "search", '{"words": 3, "query_md5": "x"}'), (1, 2, "b", "a", "search", "no json"), (1, 4, "c", "d", "rank", "{}"), (1, 6, "d", "c", "rank", None),

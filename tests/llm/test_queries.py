@@ -41,10 +41,13 @@ def test_token_files_against_the_library(spark):
 
 def test_shards(spark):
     rows = queries()["op9_hilbert_shards"](spark, SMALL).collect()
-    per = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)}
-    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert all(v == list(range(len(v))) for v in per.values())
+    want = {k: (len(t.encode()) + 1, zlib.crc32(t.encode())) for k, t in texts_of(spark)}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == want and len(rows) == len(want)
+    per = {s: sorted((r["slot"], r["hilbert"], r["doc_id"]) for r in rows if r["shard"] == s) for s in range(8)}
+    assert all([x[0] for x in v] == list(range(len(v))) for v in per.values())
     assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
+    order = [x[1:] for s in range(8) for x in per[s]]
+    assert order == sorted(order)
 
 
 def test_pipeline(spark):

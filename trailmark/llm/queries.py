@@ -75,11 +75,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    d = hilbert.hilbert_shards(docs, ["lang", "source", "n_chars", "doc_id"], ["doc_id", "tie"])
     text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    d = hilbert.hilbert_shards(docs, ["lang", "source", "n_chars", "doc_id"], ["doc_id", "tie"], size=size)
     return d.select(
         "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
+        size.alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         F.col("__shard").alias("shard"),
