@@ -2,17 +2,22 @@
 
 Vectors are scaled to length 1 and rounded to int8 with one step width each; the length of
 what rounding took away is kept. For unit vectors u, v with roundings U, V and errors e:
-|u.v - U.V| <= e_u * |v| + |U| * e_v, so a pair whose rounded product plus that bound is below
-the threshold cannot be linked; only the others are computed again in double precision.
+|u.v - U.V| <= e_u * |v| + |U| * e_v. A pair whose rounded product less that bound reaches the threshold is
+linked; one whose product plus the bound stays below it is not; only pairs in between are computed again in
+double precision, from the full vectors, which are joined to these pairs alone.
 
 Equal vectors of one label form a class and are compared once. Each label's classes are dealt
-into tiles of bounded size, and a task multiplies two tiles. From a tile pair come, per vector,
-the number of links and the least vector it reaches there, never the pairs themselves.
+into tiles of bounded size, and a task multiplies two tiles, of which int8 components, a step and an error per
+vector travel. From a tile pair come, per class, the number of certain links and the least class it reaches
+there, and the uncertain pairs. A label's work grows with the square of its distinct vectors, as all of its pairs
+are asked for; it is spread over its pairs of tiles, and each tile travels once per tile of its label.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 vectors without label, link with nothing. Vectors of different length do not link. Rows that
-repeat a vec_id are separate vectors. A row without vec_id is dropped from the links, and is its
-own row with null component.
+repeat a vec_id are separate vectors, in one label or several; a component's id is the least vec_id of its rows, of
+which all rows with that vec_id are kept. A row without vec_id is dropped from the links, and is its
+own row with null component. Vectors of any length are compared whole. An empty table gives no rows. Other
+columns of vectors are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,70 +32,90 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import stored
 from trailmark.llm.components import connected_components, forest
 
-TILE = 1024
+#: Vectors of a tile, and rows of one tile whose products are held at a time.
+TILE, STRIP = 4096, 512
 #: Slack for double rounding of norms, products and bounds; far above what 1e6 components can add up to.
 SLACK = 1e-9
+TILE_NAMES = ["label", "dim", "tile", "tiles", "nodes", "copies", "q", "step", "error"]
+TILE_KINDS = "label long, dim int, tile int, tiles int, nodes binary, copies binary, q binary, step binary, error binary"
+TILE_SCHEMA = pa.schema([("label", pa.int64()), *[(c, pa.int32()) for c in TILE_NAMES[1:4]], *[(c, pa.binary()) for c in TILE_NAMES[4:]]])
+#: sure rows: a class, its certain links and the least class it reaches by them; the others: two classes in doubt
+LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("sure", pa.bool_())])
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # first, so that squares neither overflow nor vanish
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _quantised(table: pa.Table) -> pa.Table:
-    """One tile: ids, weights, the vectors, their int8 roundings, step widths and error lengths."""
-    dim = table.column("dim")[0].as_py()
-    v = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    u = v / np.abs(v).max(axis=1, keepdims=True)  # first, so that squares neither overflow nor vanish
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
+def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(int8 roundings of the unit vectors, step widths, lengths of what rounding took away)"""
+    u = _units(v)
     step = np.abs(u).max(axis=1) / 127
     q = np.rint(u / step[:, None]).astype(np.int8)
-    error = np.linalg.norm(u - q * step[:, None], axis=1) + SLACK
-    cells = [_bytes(table.column(c).to_numpy()) for c in ("rep", "copies")] + [_bytes(v), _bytes(q), _bytes(step), _bytes(error)]
-    head = [table.column(c)[0].as_py() for c in ("label", "dim", "tile", "tiles")]
-    return pa.Table.from_pylist([dict(zip(TILE_SCHEMA_NAMES, head + cells, strict=True))], schema=TILE_SCHEMA)
-
-
-TILE_SCHEMA_NAMES = ["label", "dim", "tile", "tiles", "ids", "copies", "v", "q", "step", "error"]
-TILE_SCHEMA = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("tile", pa.int32()), ("tiles", pa.int32())] + [(c, pa.binary()) for c in TILE_SCHEMA_NAMES[4:]])
-LINK_SCHEMA = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    return q, step, np.linalg.norm(u - q * step[:, None], axis=1) + SLACK
 
 
-def _tile(row: dict) -> dict:
-    d = row["dim"]
-    f = lambda c, t: np.frombuffer(row[c], t)
-    return {"ids": f("ids", np.int64), "copies": f("copies", np.int64), "v": f("v", np.float64).reshape(-1, d), "q": f("q", np.int8).reshape(-1, d), "step": f("step", np.float64), "error": f("error", np.float64)}
+def _tile_of(table: pa.Table) -> pa.Table:
+    dim = table.column("dim")[0].as_py()
+    v = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    cells = [np.ascontiguousarray(x).tobytes() for x in (table.column("node").to_numpy(), table.column("copies").to_numpy(), *quantise(v))]
+    return pa.Table.from_pylist([dict(zip(TILE_NAMES, [table.column(c)[0].as_py() for c in TILE_NAMES[:4]] + cells, strict=True))], schema=TILE_SCHEMA)
 
 
-def _cosines(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    v, w = v / np.abs(v).max(axis=1, keepdims=True), w / np.abs(w).max(axis=1, keepdims=True)
-    return (v * w).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((w * w).sum(axis=1)))
+def _opened(row: dict) -> dict:
+    kinds = {"nodes": np.int64, "copies": np.int64, "q": np.int8, "step": np.float64, "error": np.float64}
+    out = {c: np.frombuffer(row[c], t) for c, t in kinds.items()}
+    return out | {"q": out["q"].reshape(-1, row["dim"])}
 
 
-def tile_links(x: dict, y: dict, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the linked pairs of two tiles, each unordered pair once."""
+def tile_pairs(x: dict, y: dict, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs of two tiles that may be linked, each unordered pair once, and which of them surely are."""
     exact = np.float32 if x["q"].shape[1] * 127 * 127 < 1 << 24 else np.float64  # in which int8 products add up exactly
-    product = (x["q"].astype(exact) @ y["q"].astype(exact).T).astype(np.float64)
-    most = product * x["step"][:, None] * y["step"][None, :] + x["error"][:, None] + (1 + x["error"][:, None]) * y["error"][None, :]
-    i, j = np.nonzero(np.triu(most >= threshold, 1) if same else most >= threshold)
-    sure = np.concatenate([_cosines(x["v"][i[k : k + 65536]], y["v"][j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    return i[sure], j[sure]
-
-
-def _pair_links(threshold: float):
+    right, found = y["q"].astype(exact).T, []
+    for at in range(0, len(x["q"]), STRIP):
+        e, s = x["error"][at : at + STRIP, None], x["step"][at : at + STRIP, None]
+        near = (x["q"][at : at + STRIP].astype(exact) @ right).astype(np.float64) * s * y["step"][None, :]
+        slack = e + (1 + e) * y["error"][None, :]
+        may = near + slack >= threshold
+        if same:
+            may &= np.arange(at, at + len(may))[:, None] < np.arange(len(y["q"]))[None, :]
+        i, j = np.nonzero(may)
+        found.append((i + at, j, near[i, j] - slack[i, j] >= threshold))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _links_of(threshold: float):
     def work(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         same = rows[0]["i"] == rows[0]["j"]
-        tiles = [_tile(r) for r in rows]
+        tiles = [_opened(r) for r in rows]
         x, y = (tiles[0], tiles[0]) if same else tiles
-        i, j = tile_links(x, y, same, threshold)
-        ids = np.concatenate([x["ids"][i], y["ids"][j]])
-        if not len(ids):
-            return LINK_SCHEMA.empty_table()
-        nodes, at = np.unique(ids, return_inverse=True)
+        i, j, sure = tile_pairs(x, y, same, threshold)
+        doubt = [x["nodes"][i[~sure]], y["nodes"][j[~sure]]]
+        i, j = i[sure], j[sure]
+        nodes, at = np.unique(np.concatenate([x["nodes"][i], y["nodes"][j]]), return_inverse=True)
         links = np.zeros(len(nodes), np.int64)
         np.add.at(links, at, np.concatenate([y["copies"][j], x["copies"][i]]))
-        known, root = forest(x["ids"][i], y["ids"][j])
-        return pa.Table.from_arrays([pa.array(nodes), pa.array(links), pa.array(root[np.searchsorted(known, nodes)])], schema=LINK_SCHEMA)
+        root = nodes
+        if len(nodes):
+            known, least = forest(x["nodes"][i], y["nodes"][j])
+            root = least[np.searchsorted(known, nodes)]
+        n = len(doubt[0])
+        cols = [np.concatenate([nodes, doubt[0]]), np.concatenate([root, doubt[1]]), np.concatenate([links, np.zeros(n, np.int64)])]
+        return pa.Table.from_arrays([*map(pa.array, cols), pa.array(np.arange(len(nodes) + n) < len(nodes))], schema=LINK_SCHEMA)
+
+    return work
+
+
+def _exactly(threshold: float):
+    """The pairs whose cosine in double precision reaches the threshold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, 1)) for c in ("va", "vb"))
+            keep = (_units(v) * _units(w)).sum(axis=1) >= threshold if batch.num_rows else np.zeros(0, bool)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
     return work
 
@@ -103,17 +128,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str
     d = d.withColumns({"c1": F.xxhash64("vector"), "c2": F.xxhash64(F.lit(1), "vector")})
     key = ["label", "c1", "c2"]
     classes = d.where("vector is not null").groupBy(*key).agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
-    classes = stored(classes.withColumn("dim", F.size("vector")), "vector-classes")
+    # a class has a number of its own, as several may hold one vec_id
+    classes = stored(classes.withColumns({"dim": F.size("vector"), "node": F.monotonically_increasing_id()}), "vector-classes")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiles = stored(dealt.select("label", "dim", "tile", "tiles", "rep", "copies", "vector").groupBy("label", "dim", "tile").applyInArrow(_quantised, "label long, dim int, tile int, tiles int, ids binary, copies binary, v binary, q binary, step binary, error binary"), "tiles")
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiles = stored(dealt.select("label", "dim", "tile", "tiles", "node", "copies", "vector").groupBy("label", "dim", "tile").applyInArrow(_tile_of, TILE_KINDS), "tiles")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     pairs = tiles.withColumn("o", other).withColumns({"i": F.least("tile", "o"), "j": F.greatest("tile", "o")}).drop("o")
-    found = stored(pairs.groupBy("label", "dim", "i", "j").applyInArrow(_pair_links(threshold), "rep long, links long, root long"), "vector-links")
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per = classes.select(*key, "rep", "copies").join(linked, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    per = per.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    met = stored(pairs.groupBy("label", "dim", "i", "j").applyInArrow(_links_of(threshold), "a long, b long, links long, sure boolean"), "vector-links")
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("vector").alias(f"v{s}"), F.col("copies").alias(f"n{s}"))
+    doubt = met.where("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
+    more = stored(doubt.mapInArrow(_exactly(threshold), "a long, b long, na long, nb long"), "vector-doubts")
+    sure = met.where("sure")
+    linked = sure.select(F.col("a").alias("node"), "links").union(more.select("a", "nb")).union(more.select("b", "na")).groupBy("node").agg(F.sum("links").alias("links"))
+    parts = stored(connected_components(sure.select("a", "b").union(more.select("a", "b"))).withColumnRenamed("component", "part"), "vector-parts")
+    per = classes.select(*key, "rep", "copies", "node").join(linked, "node", "left").join(parts, "node", "left")
+    per = stored(per.withColumn("part", F.coalesce("part", "node")), "vector-classes-linked")
+    least = per.groupBy("part").agg(F.min("rep").alias("component"))
+    per = per.join(least, "part").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     rows = d.select("vec", *key, F.col("vector").isNotNull().alias("sound"))
     out = rows.where("sound").join(per, key).select("vec", "n_links", "component").unionByName(
         rows.where("not sound").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component"))
