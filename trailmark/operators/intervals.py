@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.blocks import block_of
+
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], *, width: int, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """Pairs of rows of one group whose intervals overlap, as an equi join on blocks of frames.
@@ -36,12 +38,16 @@ def frame_to_movie(df: DataFrame, movies: DataFrame, *, open_end: bool = False)
     Movies are equi joined on blocks of frames, so no comparison with all movies is made.
     """
     if open_end:
-        # an as-of join: movies and frames in one ordered sequence, the last movie is carried on
-        m = movies.select(F.col("fi").alias("__at"), F.lit(0).alias("__o"), F.col("m").alias("__m"), F.col("fi").alias("__fi"))
+        # an as-of join: movies and frames in one ordered sequence of blocks; a block's first frames take the last movie before it
+        m = movies.select(F.col("fi").alias("__at"), F.lit(0).alias("__o"), F.struct(F.col("fi").alias("fi"), F.col("m").alias("m")).alias("__m"))
         d = df.withColumns({"__at": F.col("frame"), "__o": F.lit(1)}).unionByName(m, allowMissingColumns=True)
-        w = Window.orderBy("__at", "__o").rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumns({"m": F.last("__m", True).over(w), "mf": F.col("__at") - F.last("__fi", True).over(w) + 1})
-        return d.where("__o = 1").select(*df.columns, "m", "mf")
+        d = d.withColumn("__b", block_of("__at"))
+        w = Window.partitionBy("__b").orderBy("__at", "__o").rowsBetween(Window.unboundedPreceding, 0)
+        ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+        tops = d.groupBy("__b").agg(F.max("__m").alias("__top")).select("__b", F.last("__top", True).over(ahead).alias("__before"))
+        d = d.withColumn("__m", F.last("__m", True).over(w)).where("__o = 1").join(tops, "__b")
+        d = d.withColumn("__m", F.coalesce("__m", "__before"))
+        return d.select(*df.columns, "__m.m", (F.col("frame") - F.col("__m.fi") + 1).alias("mf"))
     width = 64
     m = movies.select("m", "fi", "ff", F.explode(F.sequence(F.floor(F.col("fi") / width).cast("long"), F.floor(F.col("ff") / width).cast("long"))).alias("__b"))
     d = df.withColumn("__b", F.floor(F.col("frame") / width).cast("long")).join(m, "__b").where((F.col("fi") <= F.col("frame")) & (F.col("frame") <= F.col("ff")))

@@ -49,6 +49,22 @@ def divide(df: DataFrame, order: str, k: int) -> DataFrame:
     return df.withColumn("part", F.ntile(k).over(Window.orderBy(order)))
 
 
+def downsample(df: DataFrame, order: str, every: int) -> DataFrame:
+    """Each ``every``-th of consecutive numbers, from the first on."""
+    return df.where(F.pmod(F.col(order) - 1, F.lit(every)) == 0)
+
+
+def random_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows in an order that is random but the same in every run; each partition hands on n rows at most."""
+    return df.orderBy(*shuffled(key)).limit(n)
+
+
+def solve_groups(movies: DataFrame, size: int) -> DataFrame:
+    """(grp, first_m, last_m, movies): movies that are solved together."""
+    g = movies.groupBy(F.floor(F.col("m") / size).cast("long").alias("grp"))
+    return g.agg(F.min("m").alias("first_m"), F.max("m").alias("last_m"), F.array_sort(F.collect_list("m")).alias("movies"))
+
+
 def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """(colony, other, same) for rows joined by colony: whether ids and ids2 hold the same elements."""
     j = a.join(b, "colony")
@@ -64,15 +80,17 @@ def merge_later(tables: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "__i").alias("__v")).select(*key, "__v.*")
 
 
-def global_difference(df: DataFrame, value: str, tie: str, block: int = 3_600_000_000) -> DataFrame:
-    """df with dt: the difference to the previous row in the order of (value, tie) over the whole table.
+def global_difference(df: DataFrame, value: str, tie: str, block: int = 3_600_000_000, order: str | None = None) -> DataFrame:
+    """df with dt: the difference to the previous row in the order of (order, tie) over the whole table; order is the value itself unless given.
 
-    Rows are cut into blocks of the value; inside a block a window does it, and a block's first row
-    takes the greatest value of the nearest earlier block, found over one row per block.
+    Rows are cut into blocks of the order; inside a block a window does it, and a block's first row
+    takes the last value of the nearest earlier block, found over one row per block.
     """
-    d = df.withColumn("__b", F.floor(F.col(value) / block).cast("long"))
-    w = Window.partitionBy("__b").orderBy(value, tie)
-    tops = d.groupBy("__b").agg(F.max(value).alias("__top"))
+    order = order or value
+    d = df.withColumn("__b", F.floor(F.col(order) / block).cast("long"))
+    w = Window.partitionBy("__b").orderBy(order, tie)
+    tops = d.groupBy("__b").agg(F.max_by(value, F.struct(order, tie)).alias("__top"))
     before = tops.select("__b", F.lag("__top").over(Window.orderBy("__b")).alias("__before"))
-    d = d.withColumn("dt", F.col(value) - F.lag(value).over(w)).join(before, "__b")
-    return d.withColumn("dt", F.coalesce("dt", F.col(value) - F.col("__before"))).drop("__b", "__before")
+    first = F.lag(F.lit(1)).over(w).isNull()
+    d = d.withColumns({"dt": F.col(value) - F.lag(value).over(w), "__first": first}).join(before, "__b")
+    return d.withColumn("dt", F.when(F.col("__first"), F.col(value) - F.col("__before")).otherwise(F.col("dt"))).drop("__b", "__before", "__first")

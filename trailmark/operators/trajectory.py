@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailmark.model import wrap
+from trailmark.operators.blocks import in_block, known_neighbours, own_rows, running_count, with_halo
 
 
 def by_frame(*key: str) -> WindowSpec:
@@ -28,9 +29,10 @@ def densify(xy: DataFrame, frames: DataFrame, ants: DataFrame | None = None) ->
 
 
 def step_speed(dense: DataFrame, *, key: Sequence[str] = ("ant",), fps: float = 1.0, name: str = "v") -> DataFrame:
-    """Distance moved since the previous row of the key, times fps."""
-    w = by_frame(*key)
-    return dense.withColumn(name, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) * fps)
+    """Distance moved since the frame before, times fps; dense has a row per key and frame."""
+    w = in_block(*key)
+    d = with_halo(dense, 1, 0)
+    return own_rows(d.withColumn(name, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) * fps))
 
 
 def filter_jumps(dense: DataFrame, dmax: float) -> DataFrame:
@@ -40,39 +42,29 @@ def filter_jumps(dense: DataFrame, dmax: float) -> DataFrame:
     return d.withColumns({c: F.when(~far, F.col(c)) for c in ("x", "y")}).drop("__d")
 
 
-def neighbours(column: str, w: WindowSpec) -> tuple[Column, Column, Column, Column]:
-    """(last known value, its frame, next known value, its frame) around each row."""
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(column).isNotNull(), F.col("frame"))
-    return F.last(column, True).over(back), F.last(at, True).over(back), F.first(column, True).over(ahead), F.first(at, True).over(ahead)
-
-
 def interpolate(dense: DataFrame, columns: Sequence[str] = ("x", "y"), *, key: Sequence[str] = ("ant",), ends: str = "null") -> DataFrame:
     """Fill missing values on the line between their known neighbours.
 
     ends: ``null`` leaves what has no neighbour on one side, ``clamp`` repeats the nearest value.
     """
-    w, out = by_frame(*key), {}
+    out = {}
     for c in columns:
-        v0, f0, v1, f1 = neighbours(c, w)
+        (v0, f0), (v1, f1) = ((F.col(f"__{c}{k}")["v"], F.col(f"__{c}{k}")["frame"]) for k in (0, 1))
         line = F.when(f1 == f0, v0).otherwise(v0 + (v1 - v0) * (F.col("frame") - f0) / (f1 - f0))
         out[c] = F.coalesce(line, v0, v1) if ends == "clamp" else line
-    return dense.withColumns(out)
+    return known_neighbours(dense, columns, key).withColumns(out).select(*dense.columns)
 
 
 def interpolate_gaps(dense: DataFrame, *, max_frames: int = 300, max_distance: float = 0.01, key: Sequence[str] = ("ant",), mark: int = 5) -> DataFrame:
     """Fill gaps of at most max_frames rows across which the ant moved at most max_distance; filled rows get ass_type ``mark``."""
-    w = by_frame(*key)
-    (x0, f0, x1, f1), (y0, _, y1, _) = neighbours("x", w), neighbours("y", w)
-    d = dense.withColumns({"__x0": x0, "__f0": f0, "__x1": x1, "__f1": f1, "__y0": y0, "__y1": y1})
-    gap = F.col("x").isNull() & (F.col("__f1") - F.col("__f0") - 1 <= max_frames) & (F.hypot(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) <= max_distance)
-    part = (F.col("frame") - F.col("__f0")) / (F.col("__f1") - F.col("__f0"))
-    gap = F.coalesce(gap, F.lit(False))
-    d = d.withColumn("__gap", gap).withColumns(
-        {c: F.when(F.col("__gap"), F.col(f"__{c}0") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * part).otherwise(F.col(c)) for c in ("x", "y")}
-        | {"ass_type": F.when(F.col("__gap"), mark).otherwise(F.col("ass_type"))}
-    )
-    return d.drop("__x0", "__f0", "__x1", "__f1", "__y0", "__y1", "__gap")
+    d = known_neighbours(dense, ["x", "y"], key)
+    v = {f"{c}{k}": F.col(f"__{c}{k}")["v"] for c in "xy" for k in (0, 1)}
+    f0, f1 = F.col("__x0")["frame"], F.col("__x1")["frame"]
+    gap = F.col("x").isNull() & (f1 - f0 - 1 <= max_frames) & (F.hypot(v["x1"] - v["x0"], v["y1"] - v["y0"]) <= max_distance)
+    part = (F.col("frame") - f0) / (f1 - f0)
+    d = d.withColumn("__gap", F.coalesce(gap, F.lit(False)))
+    filled = {c: F.when(F.col("__gap"), v[f"{c}0"] + (v[f"{c}1"] - v[f"{c}0"]) * part).otherwise(F.col(c)) for c in "xy"}
+    return d.withColumns(filled | {"ass_type": F.when(F.col("__gap"), mark).otherwise(F.col("ass_type"))}).select(*dense.columns)
 
 
 def nest(dense: DataFrame) -> DataFrame:
@@ -87,13 +79,12 @@ def rolling(column: str, w: WindowSpec, before: int, after: int, how: str = "mea
     return F.when(F.count(column).over(over) == before + after + 1, value.over(over))
 
 
-def smooth_by_movie(frames: DataFrame, columns: Sequence[str], window: int, *, order: str = "frame") -> DataFrame:
-    """Centred moving medians with NULL at the edges; windows up to about 200 rows, see kernels for longer ones.
-
-    The whole frame axis is one sequence: a row per frame of the colony, not of its ants.
-    """
-    w, half = Window.orderBy(order), window // 2
-    return frames.withColumns({f"{c}_s": rolling(c, w, half, window - 1 - half, "median") for c in columns})
+def smooth_by_movie(frames: DataFrame, columns: Sequence[str], window: int) -> DataFrame:
+    """Centred moving medians with NULL at the edges, of a row per frame; windows up to about 200 rows, see kernels for longer ones."""
+    half = window // 2
+    after = window - 1 - half
+    d = with_halo(frames, half, after)
+    return own_rows(d.withColumns({f"{c}_s": rolling(c, in_block(), half, after, "median") for c in columns}))
 
 
 def outside(dense: DataFrame, nests: DataFrame, radius: float) -> DataFrame:
@@ -138,45 +129,52 @@ def path_length(dense: DataFrame) -> DataFrame:
 
 def stops(moving: DataFrame, window: int, vthresh: float) -> DataFrame:
     """moving (ant, frame, v, outside) with stop: slow over the trailing window, counted only outside."""
-    d = moving.withColumn("vo", F.col("v") * F.col("outside").cast("double"))
-    mean = rolling("vo", by_frame("ant"), window - 1, 0)
-    return d.withColumn("stop", F.coalesce((mean < vthresh) & F.col("outside"), F.lit(False))).drop("vo")
+    d = with_halo(moving.withColumn("vo", F.col("v") * F.col("outside").cast("double")), window - 1, 0)
+    mean = rolling("vo", in_block("ant"), window - 1, 0)
+    return own_rows(d.withColumn("stop", F.coalesce((mean < vthresh) & F.col("outside"), F.lit(False)))).drop("vo")
 
 
 def gradient(column: str, w: WindowSpec) -> Column:
     """Central differences, one-sided at both ends of the sequence."""
     before, here, after = F.lag(column).over(w), F.col(column), F.lead(column).over(w)
-    n = F.row_number().over(w)
-    first, last = n == 1, F.lead(F.lit(1)).over(w).isNull()
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
     return F.when(first & last, F.lit(None)).when(first, after - here).when(last, here - before).otherwise((after - before) / 2)
 
 
+def gradients(dense: DataFrame, columns: dict[str, str], *, key: Sequence[str] = ("ant",)) -> DataFrame:
+    """dense with the gradients of columns, new name -> column, along the frames of each key."""
+    w = in_block(*key)
+    return own_rows(with_halo(dense, 1, 1).withColumns({n: gradient(c, w) for n, c in columns.items()}))
+
+
 def kinematics(dense: DataFrame, *, dt: float = 1.0, key: Sequence[str] = ("ant",), per_second: bool = False) -> DataFrame:
     """dense with v, a, an (normal acceleration) and curvature.
 
-    The derivatives are multiplied by dt, as in the published analysis; per_second divides instead.
+    The derivatives are multiplied by dt, as in the published analysis; per_second divides instead. A block looks two
+    rows to either side: of the inner one it needs the central difference.
     """
-    w, s = by_frame(*key), 1 / dt if per_second else dt
-    d = dense.withColumns({"vx": gradient("x", w) * s, "vy": gradient("y", w) * s})
+    w, s = in_block(*key), 1 / dt if per_second else dt
+    d = with_halo(dense, 2, 2).withColumns({"vx": gradient("x", w) * s, "vy": gradient("y", w) * s})
     d = d.withColumn("v", F.hypot("vx", "vy")).withColumns({"ax": gradient("vx", w) * s, "ay": gradient("vy", w) * s, "a": gradient("v", w) * s})
     cross = F.col("vx") * F.col("ay") - F.col("vy") * F.col("ax")
-    return d.withColumns({"an": F.try_divide(cross, F.col("v")), "curvature": F.try_divide(cross, F.pow("v", F.lit(3.0)))}).drop("vx", "vy", "ax", "ay")
+    d = d.withColumns({"an": F.try_divide(cross, F.col("v")), "curvature": F.try_divide(cross, F.pow("v", F.lit(3.0)))}).drop("vx", "vy", "ax", "ay")
+    return own_rows(d)
 
 
 def segments(df: DataFrame, column: str, *, key: Sequence[str] = ("ant",)) -> DataFrame:
-    """Runs of one value: (key..., value, start, stop, length); missing values are a value of their own."""
-    w = by_frame(*key)
-    new = (~F.col(column).eqNullSafe(F.lag(column).over(w))) | (F.row_number().over(w) == 1)
-    d = df.withColumn("__run", F.sum(new.cast("long")).over(w))
+    """Runs of one value over a row per frame: (key..., value, start, stop, length); missing values are a value of their own."""
+    w = in_block(*key)
+    new = F.lag(F.lit(1)).over(w).isNull() | ~F.col(column).eqNullSafe(F.lag(column).over(w))
+    d = own_rows(with_halo(df, 1, 0).withColumn("__new", new))
+    d = running_count(d, F.col("__new"), "__run", key)
     g = d.groupBy(*key, "__run").agg(F.first(column).alias("value"), F.min("frame").alias("start"), F.max("frame").alias("stop"), F.count(F.lit(1)).alias("length"))
     return g.drop("__run")
 
 
 def onsets(df: DataFrame, condition: Column, *, key: Sequence[str] = ()) -> DataFrame:
-    """df with edge: +1 on the row where the condition begins, -1 where it has ended, else 0."""
-    w = Window.partitionBy(*key).orderBy("frame")
-    c = F.coalesce(condition, F.lit(False)).cast("int")
-    return df.withColumn("edge", F.coalesce(c - F.lag(c).over(w), F.lit(0)))
+    """df, a row per frame, with edge: +1 on the row where the condition begins, -1 where it has ended, else 0."""
+    d = with_halo(df.withColumn("__c", F.coalesce(condition, F.lit(False)).cast("int")), 1, 0)
+    return own_rows(d.withColumn("edge", F.coalesce(F.col("__c") - F.lag("__c").over(in_block(*key)), F.lit(0)))).drop("__c")
 
 
 def angle_to(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -186,10 +184,11 @@ def angle_to(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def antenna_power(pose: DataFrame, window: int) -> DataFrame:
     """pose (ant, frame, a1, a2: antenna angles) with the moving mean of squared angle changes and their coherence."""
-    w, half = by_frame("ant"), window // 2
-    d = pose.withColumns({f"d{i}": wrap(F.col(f"a{i}") - F.lag(f"a{i}").over(w)) for i in (1, 2)})
+    w, half = in_block("ant"), window // 2
+    d = with_halo(pose, half + 1, half).withColumns({f"d{i}": wrap(F.col(f"a{i}") - F.lag(f"a{i}").over(w)) for i in (1, 2)})
     d = d.withColumns({"p1": F.col("d1") * F.col("d1"), "p2": F.col("d2") * F.col("d2"), "p12": F.col("d1") * F.col("d2")})
     d = d.withColumns({c: rolling(c, w, half, window - 1 - half) for c in ("p1", "p2", "p12")})
+    d = own_rows(d)
     return d.select("ant", "frame", (F.col("p1") + F.col("p2")).alias("power"), F.try_divide(F.col("p12"), F.sqrt(F.col("p1") * F.col("p2"))).alias("coherence"))
 
 

@@ -156,9 +156,7 @@ _W = "WINDOW w AS (PARTITION BY ant ORDER BY frame)"
 
 @query(f"SELECT frame, ant, {_grad('x')} AS gx, {_grad('y')} AS gy FROM vw_inside {_W}", V)
 def gradient(spark, d):
-    w = tr.by_frame("ant")
-    g = tr.interpolate(dense(spark, d))
-    return g.select("frame", "ant", tr.gradient("x", w).alias("gx"), tr.gradient("y", w).alias("gy"))
+    return tr.gradients(tr.interpolate(dense(spark, d)), {"gx": "x", "gy": "y"}).select("frame", "ant", "gx", "gy")
 
 
 @query(f"""

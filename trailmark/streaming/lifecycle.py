@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trailmark.operators.blocks import BLOCK
+from trailmark.operators.sampling import global_difference
+
 
 def tracking_dt(dat: DataFrame, *, fps: float) -> DataFrame:
     """dat with tracking_dt: difference of timestamps, else dt, else 1 / fps. One row per frame of one recording."""
-    step = F.col("timestamp") - F.lag("timestamp").over(Window.orderBy("frame"))
-    return dat.withColumn("tracking_dt", F.coalesce(step, F.col("dt"), F.lit(1 / fps)))
+    d = global_difference(dat.withColumnRenamed("dt", "__dt"), "timestamp", "frame", BLOCK, order="frame")
+    return d.withColumn("tracking_dt", F.coalesce("dt", "__dt", F.lit(1 / fps))).drop("dt").withColumnRenamed("__dt", "dt")
+
+
+def drop_interrupted(dat: DataFrame, *, keep: bool = False) -> DataFrame:
+    """Frames at which the recording was interrupted are not tracked, unless they are asked for."""
+    return dat if keep else dat.where(F.coalesce(F.col("interrupt") != 1, F.lit(True)))
 
 
 def link_clusters(members: DataFrame) -> DataFrame:
@@ -31,6 +39,14 @@ def link_single(candidates: DataFrame, ratio: float = 5.0) -> DataFrame:
     return g.select("frame", "roi", F.when(F.col("hi") > ratio * F.col("lo"), F.col("near")).otherwise(F.col("large")).alias("blob"))
 
 
+LINKING = {"clusters": link_clusters, "single": link_single}
+
+
+def link(frames: DataFrame, how: str | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between frames by a strategy of LINKING, or by any function of the frames' candidates."""
+    return (LINKING[how] if isinstance(how, str) else how)(frames)
+
+
 def continuations(links: DataFrame) -> DataFrame:
     """Links whose source has no other link out and whose target has no other link in."""
     return links.withColumns({"__o": F.count(F.lit(1)).over(Window.partitionBy("src")), "__i": F.count(F.lit(1)).over(Window.partitionBy("dst"))}).where("__o = 1 and __i = 1").drop("__o", "__i")
