@@ -140,15 +140,22 @@ def test_orientation_is_the_cheapest_sequence():
     import itertools
 
     rng = np.random.default_rng(3)
-    away = lambda a: abs((a + math.pi) % (2 * math.pi) - math.pi)
-    o, m, s = rng.uniform(-3, 3, 8), rng.uniform(-3, 3, 8), rng.random(8)
+    n, c = 8, kn.HeadCosts()
+    o, m, v, e = rng.uniform(-3, 3, n), rng.uniform(-3, 3, n), rng.uniform(0, 0.01, n), rng.uniform(0.5, 0.9, n)
 
     def cost(a):
-        return sum(away(a[i] - m[i]) * s[i] for i in range(8)) + sum(away(a[i] - a[i - 1]) for i in range(1, 8))
+        moving = [c.w_max / (1 + math.exp(-(v[i] - c.v_centre) / c.v_width)) if v[i] <= c.v_max else 0.0 for i in range(n)]
+        turning = [(c.e_max - c.e_min) / (1 + math.exp(-(e[i] - c.e_centre) / c.e_width)) + c.e_min for i in range(n)]
+        return sum(moving[i] * abs(a[i] - m[i]) + turning[i] * abs(a[i] - a[i - 1]) for i in range(1, n))
 
-    best = min(cost([x + math.pi * f for x, f in zip(o, flip, strict=True)]) for flip in itertools.product((0, 1), repeat=8))
-    assert math.isclose(cost(kn.fix_orientation(o, m, s)), best, rel_tol=1e-9)
-    assert len(kn.fix_orientation(np.zeros(0), np.zeros(0), np.zeros(0))) == 0
+    every = {flip: cost([x + math.pi * f for x, f in zip(o, flip, strict=True)]) for flip in itertools.product((0, 1), repeat=n)}
+    got = kn.fix_orientation(o, e, v, m)
+    flips = tuple(int(abs((g - x + 1) % (2 * math.pi) - 1) > 0.5) for g, x in zip(got, o, strict=True))
+    assert math.isclose(every[flips], min(every.values()), rel_tol=1e-9)
+    assert ((got >= -math.pi) & (got < math.pi)).all()
+    assert len(kn.fix_orientation(*[np.zeros(0)] * 4)) == 0
+    still = kn.fix_orientation(np.zeros(3), np.full(3, 0.8), np.full(3, np.nan), np.full(3, np.nan))  # unknown motion costs nothing
+    assert (still == 0).all()
 
 
 def test_ellipse(spark):
@@ -163,7 +170,7 @@ def test_pca(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 3)) * [3, 1, 0.2]
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, v array<double>")
-    mean, axes, var = kn.pca(d, "v", 3, 2)
+    mean, axes, var = kn.pca(d, "v", 2)
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(var, np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1][:2])
     got = np.array([r["pc"] for r in kn.project(d, "v", mean, axes).orderBy("i").collect()])
     assert np.allclose(got, (x - mean) @ axes.T)
@@ -196,6 +203,9 @@ def test_vote_branches(spark):
     assert vote(spark, [one(0, 0.95)] * 4) == ("Unknown", 0.0, -1)
     label, score, best = vote(spark, [one(0, 0.95)] * 5 + [one(0, 0.97)] + [one(1, 0.9)])
     assert (label, best) == ("A", 5) and score > 5
+    # two ant classes: the frame of the winner's greatest probability counts, not that of another class
+    rows = [one(0, 0.95)] * 4 + [one(0, 0.96), one(1, 0.99), one(0, 0.95)]
+    assert vote(spark, rows)[0] == "A" and vote(spark, rows)[2] == 4
     assert vote(spark, [one(3), one(2)])[0] == "NoAnt"  # a tie goes to the label seen first
 
 
@@ -218,12 +228,14 @@ def diamond():
     nodes = pd.DataFrame({"tracklet": [1, 2, 3, 4, 5], "colony": 0, "fi": [1, 1, 11, 21, 21], "ff": [10, 10, 20, 30, 30], "len": 10, "area": 1.0, "label": ["A", "B", "", "A", ""], "score": [5.0, 4.0, 0.0, 3.0, 0.0], "single": [True, True, False, True, True], "noant": False})
     edges = pd.DataFrame({"src": [1, 2, 3, 3], "dst": [3, 3, 4, 5]})
     none = pd.DataFrame({"src": [], "dst": [], "hops": []}).astype("int64")
-    return nodes, edges, none, pd.DataFrame({"tracklet": [], "id": []})
+    return nodes, edges, none, pd.DataFrame({"tracklet": [], "id": []}), NO_COMMANDS
+
+
+NO_COMMANDS = pd.DataFrame({"command": [], "tracklet": [], "value": [], "line": []})
 
 
 def test_solver_passes_ids_through_a_merge():
-    nodes, edges, pairs, gone = diamond()
-    r = sv.solve_colony(nodes, edges, pairs, gone, ["A", "B"])
+    r = sv.solve_colony(*diamond(), ["A", "B"])
     got = {(t, i) for t, i, a in zip(r["tracklet"], r["id"], r["assigned"], strict=True) if a}
     assert got == {(1, "A"), (2, "B"), (3, "A"), (3, "B"), (4, "A"), (5, "B")}
 
@@ -231,10 +243,96 @@ def test_solver_passes_ids_through_a_merge():
 def test_solver_prefers_the_better_source():
     nodes = pd.DataFrame({"tracklet": [1, 2], "colony": 0, "fi": [1, 5], "ff": [10, 14], "len": 10, "area": 1.0, "label": ["A", "A"], "score": [1.0, 2.0], "single": True, "noant": False})
     none = pd.DataFrame({"src": [], "dst": [], "hops": []}).astype("int64")
-    r = sv.solve_colony(nodes, none, none, pd.DataFrame({"tracklet": [], "id": []}), ["A"])
+    r = sv.solve_colony(nodes, none, none, pd.DataFrame({"tracklet": [], "id": []}), NO_COMMANDS, ["A"])
     assert {(t, a) for t, a in zip(r["tracklet"], r["assigned"], strict=True)} == {(2, True)}
 
 
+class Plain:
+    """The rules of propagation written as plain recursion over sets, to compare with."""
+
+    def __init__(self, nodes, edges, ids):
+        self.n = nodes.sort_values(["fi", "tracklet"]).to_dict("records")
+        self.span = {r["tracklet"]: (r["fi"], r["ff"]) for r in self.n}
+        self.single = {r["tracklet"]: r["single"] for r in self.n}
+        self.up = {t: [a for a, b in edges if b == t] for t in self.span}
+        self.down = {t: [b for a, b in edges if a == t] for t in self.span}
+        self.possible = {(t, i) for t in self.span for i in ids}
+        self.assigned, self.ids = {}, ids
+
+    def assign(self, t, i, score):
+        if (t, i) in self.assigned or (t, i) not in self.possible:
+            return 0
+        self.assigned[t, i] = score
+        if self.single[t]:
+            self.possible -= {(t, j) for j in self.ids if (t, j) not in self.assigned}
+        lo, hi = self.span[t]
+        self.possible -= {(o, i) for o, (a, b) in self.span.items() if a <= hi and b >= lo and (o, i) not in self.assigned}
+        return 1 + self.propagate(t, i, score)
+
+    def propagate(self, t, i, score):
+        made = 0
+        for side in (self.up, self.down):
+            can = [m for m in side[t] if (m, i) in self.possible]
+            if not any((m, i) in self.assigned for m in side[t]) and len(can) == 1:
+                made += self.assign(can[0], i, score)
+        return made
+
+    def sweep(self):
+        while sum(self.propagate(t, i, self.assigned[t, i]) for t in [r["tracklet"] for r in self.n] for i in self.ids if (t, i) in self.assigned):
+            pass
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_solver_propagates_like_plain_recursion(seed):
+    r = np.random.default_rng(seed)
+    k, ids = 14, ["A", "B", "C"]
+    fi = r.integers(1, 40, k)
+    nodes = pd.DataFrame({"tracklet": np.arange(k), "colony": 0, "fi": fi, "ff": fi + r.integers(0, 12, k), "single": r.random(k) < 0.6})
+    edges = [(a, b) for a in range(k) for b in range(k) if nodes["fi"][b] > nodes["ff"][a] and r.random() < 0.25]
+    c, plain = sv.Colony(nodes, pd.DataFrame(edges, columns=["src", "dst"]), ids), Plain(nodes, edges, ids)
+    at = {t: n for n, t in enumerate(c.nodes["tracklet"])}
+    for t, i in zip(r.permutation(k)[:5], r.integers(0, 3, 5), strict=True):
+        assert c.assign(at[t], int(i), float(t)) == plain.assign(t, ids[i], float(t))
+    c.sweep()
+    plain.sweep()
+    number = {n: t for t, n in at.items()}
+    assert {(number[n], ids[i]): c.score[n, i] for n, i in zip(*np.nonzero(c.assigned), strict=True)} == plain.assigned
+    assert {(number[n], ids[i]) for n, i in zip(*np.nonzero(c.possible), strict=True)} == plain.possible
+
+
+def test_solver_follows_the_parents_side_first():
+    # 3 comes from 1 and leads to 4; by the parent's path 1 -> 2 -> 4's rival the id is taken before the child is looked at
+    nodes = pd.DataFrame({"tracklet": [1, 2, 3], "colony": 0, "fi": [1, 11, 5], "ff": [4, 20, 10], "single": [False, True, True]})
+    edges = pd.DataFrame({"src": [1, 1, 3], "dst": [3, 2, 2]})
+    c = sv.Colony(nodes, edges, ["A"])
+    c.assign(1, 0, 1.0)
+    assert c.assigned[:, 0].tolist() == [True, True, True]
+
+
+def test_solver_takes_manual_commands():
+    nodes, edges, pairs, gone, _ = diamond()
+    said = pd.DataFrame({"command": ["assign", "single", "eliminate"], "tracklet": [5, 3, 4], "value": ["A", "0", "A"], "line": [1, 2, 3]})
+    r = sv.solve_colony(nodes, edges, pairs, gone, said, ["A", "B"])
+    got = {(t, i): s for t, i, a, s in zip(r["tracklet"], r["id"], r["assigned"], r["score"], strict=True) if a}
+    assert got[5, "A"] == math.inf and (4, "A") not in got and got[4, "B"] == 4.0
+    groups = nodes.assign(score=1.0)
+    unsafe = sv.solve_colony(groups, edges, pairs, pd.DataFrame({"tracklet": [1], "id": ["A"]}), NO_COMMANDS, ["A", "B"], safe=False)
+    assert (1, "A") in {(t, i) for t, i, a in zip(unsafe["tracklet"], unsafe["id"], unsafe["assigned"], strict=True) if a}
+
+
+def test_solve_groups_are_solved_apart(spark):
+    nodes, edges, *_ = diamond()
+    n = spark.createDataFrame(nodes.assign(grp=[0, 0, 0, 1, 1]))
+    e = spark.createDataFrame(edges)
+    pairs, gone = spark.createDataFrame([], "src long, dst long, hops long"), spark.createDataFrame([], "tracklet long, id string")
+    s = {(r["tracklet"], r["id"]) for r in sv.solve(n, e, pairs, gone, ["A", "B"]).where("assigned").collect()}
+    assert s == {(1, "A"), (2, "B"), (3, "A"), (3, "B"), (4, "A")}
+    told = spark.createDataFrame([("assign", 5, "B", 1)], "command string, tracklet long, value string, line long")
+    s = {(r["tracklet"], r["id"]) for r in sv.solve(n, e, pairs, gone, ["A", "B"], commands=told).where("assigned").collect()}
+    assert (5, "B") in s
+
+
 def test_solver_invariants(spark):
     from trailmark.plans.graph_queries import solve
 

@@ -13,13 +13,15 @@ def argmax(p: str):
     return F.array_position(p, F.array_max(p)).cast("int") - 1
 
 
-def tracklet_vote(scores: DataFrame, classes: Sequence[str], *, ant: Sequence[str], non_ant: Sequence[str], multi: Sequence[str], other: Sequence[str] = (), confidence: bool = True, factor: float = 0.5) -> DataFrame:
+def tracklet_vote(scores: DataFrame, classes: Sequence[str], *, ant: Sequence[str], non_ant: Sequence[str], multi: Sequence[str], other: Sequence[str] = (), confidence: bool = True, factor: float = 0.5,
+                  tracklets: DataFrame | None = None) -> DataFrame:
     """(tracklet, label, score, best_frame) from scores (tracklet, frame, p), the first rule that fits:
 
     all frames non-ant: the most common label; any multi and no ant, or more than a quarter multi: the most
     common multi label; all in other, or no ant frame: the most common label; else the ant class with the
-    greatest sum over ant frames, its sum as score, and the frame of the greatest ant probability. Ties go to
-    what is seen first, in frame order or class order. With confidence, an uncertain result is Unknown.
+    greatest sum over ant frames, its sum as score, and the ant frame of the greatest probability of this class.
+    Ties go to what is seen first, in frame order or class order. With confidence, an uncertain result is Unknown.
+    Tracklets of ``tracklets`` without any frame are Unknown.
     Only the last rule gives a score and a frame; the others give 0 and -1. Label counts are aggregates per
     (tracklet, label), so nothing is gathered per tracklet.
     """
@@ -39,11 +41,11 @@ def tracklet_vote(scores: DataFrame, classes: Sequence[str], *, ant: Sequence[st
     a = f.where(isin(ant))
     sums = a.groupBy("tracklet").agg(
         *[F.sum(p).alias(f"s{i}") for i, p in enumerate(ant_p())],
+        *[F.max_by("frame", F.struct(p, -F.col("frame"))).alias(f"f{i}") for i, p in enumerate(ant_p())],
         F.max(F.greatest(*ant_p())).alias("top"),
-        F.max_by("frame", F.struct(F.greatest(*ant_p()), -F.col("frame"))).alias("frame"),
     )
-    s = F.array(*[F.col(f"s{i}") for i in range(len(ant))])
-    sums = sums.withColumn("s", s).select("tracklet", F.get(F.array(*[F.lit(c) for c in ant]), argmax("s")).alias("won"), F.array_max("s").alias("sum"), "top", "frame")
+    every = lambda x: F.array(*[F.col(f"{x}{i}") for i in range(len(ant))])
+    sums = sums.withColumn("s", every("s")).select("tracklet", F.get(F.array(*[F.lit(c) for c in ant]), argmax("s")).alias("won"), F.array_max("s").alias("sum"), "top", F.get(every("f"), argmax("s")).alias("frame"))
     d = kinds.join(sums, "tracklet", "left")
     many = ((F.col("n_multi") > 0) & (F.col("n_ant") == 0)) | (F.col("n_multi") > 0.25 * F.col("n"))
     plain = (F.col("n_non") == F.col("n")) | (F.col("n_other") == F.col("n")) | (F.col("n_ant") == 0)
@@ -52,7 +54,11 @@ def tracklet_vote(scores: DataFrame, classes: Sequence[str], *, ant: Sequence[st
         unsure = (F.col("top") < 1 - 0.2 * factor) | ((F.col("n_ant") < 5) & (F.col("top") < 1 - 0.02 * factor))
     voted = ~((F.col("n_non") == F.col("n")) | many | plain | unsure)
     label = F.when(F.col("n_non") == F.col("n"), F.col("common")).when(many, F.col("common_multi")).when(plain, F.col("common")).when(unsure, "Unknown").otherwise(F.col("won"))
-    return d.select("tracklet", label.alias("label"), F.when(voted, F.col("sum")).otherwise(0.0).alias("score"), F.when(voted, F.col("frame")).otherwise(-1).alias("best_frame"))
+    out = d.select("tracklet", label.alias("label"), F.when(voted, F.col("sum")).otherwise(0.0).alias("score"), F.when(voted, F.col("frame")).otherwise(-1).alias("best_frame"))
+    if tracklets is None:
+        return out
+    none = {"label": "Unknown", "score": 0.0, "best_frame": -1}
+    return tracklets.select("tracklet").join(out, "tracklet", "left").fillna(none)
 
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -52,18 +53,43 @@ def median_filter(df: DataFrame, column: str, k: int, *, key: Sequence[str], edg
     return df.join(med, [*keys, "frame"], "left")
 
 
-def fix_orientation(orient: np.ndarray, move: np.ndarray, speed: np.ndarray, turn_cost: float = 1.0) -> np.ndarray:
-    """An axis has two heads. Per frame choose orient or orient + pi: the cheapest sequence under turning
-    between frames and, weighted by speed, pointing away from the direction of motion."""
-    n = len(orient)
+@dataclass(frozen=True)
+class HeadCosts:
+    """Fixed values of the head's cost: turning weighs between e_min and e_max by eccentricity, moving off the head's direction up to w_max by
+    speed and nothing above v_max; both weights are sigmoids about a centre."""
+
+    v_max: float = 0.008
+    w_max: float = 0.25
+    v_width: float = 0.0005
+    v_centre: float = 0.003
+    e_max: float = 0.7
+    e_min: float = 0.01
+    e_centre: float = 0.7
+    e_width: float = 0.025
+
+    def moving(self, v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.where(v <= self.v_max, self.w_max / (1 + np.exp(-(v - self.v_centre) / self.v_width)), 0.0)
+
+    def turning(self, e: np.ndarray) -> np.ndarray:
+        return (self.e_max - self.e_min) / (1 + np.exp(-(e - self.e_centre) / self.e_width)) + self.e_min
+
+
+def fix_orientation(orient: np.ndarray, eccentricity: np.ndarray, speed: np.ndarray, move: np.ndarray, costs: HeadCosts | None = None) -> np.ndarray:
+    """An axis has two heads: per frame orient or orient + pi, by the cheapest sequence of turns from the frame before and of
+    distances from the direction of motion towards the frame (speed and move of a row are those of the step that leads to it).
+
+    Differences are taken as they are, without wrapping; an unknown cost counts as none, a tie keeps the unturned head.
+    """
+    n, costs = len(orient), costs or HeadCosts()
     if n == 0:
         return orient
-    away = lambda a: np.abs((a + math.pi) % (2 * math.pi) - math.pi)
     both = np.stack([orient, orient + math.pi], axis=1)
-    local = np.nan_to_num(away(both - move[:, None]) * speed[:, None])
-    cost, came = local[0].copy(), np.zeros((n, 2), np.int8)
+    local = np.nan_to_num(costs.moving(speed)[:, None] * np.abs(both - move[:, None]))
+    turn = np.nan_to_num(costs.turning(eccentricity))
+    cost, came = np.zeros(2), np.zeros((n, 2), np.int8)
     for t in range(1, n):
-        step = turn_cost * away(both[t][None, :] - both[t - 1][:, None]) + cost[:, None]
+        step = turn[t] * np.abs(both[t][None, :] - both[t - 1][:, None]) + cost[:, None]
         came[t] = step.argmin(axis=0)
         cost = step.min(axis=0) + local[t]
     k, out = int(cost.argmin()), np.empty(n)
@@ -73,16 +99,16 @@ def fix_orientation(orient: np.ndarray, move: np.ndarray, speed: np.ndarray, tur
     return (out + math.pi) % (2 * math.pi) - math.pi
 
 
-def fix_orientations(rows: DataFrame) -> DataFrame:
-    """(tracklet, frame, orient) for rows (tracklet, frame, x, y, orient); a tracklet has a bounded number of rows."""
+def fix_orientations(rows: DataFrame, costs: HeadCosts | None = None) -> DataFrame:
+    """(tracklet, frame, orient) for rows (tracklet, frame, x, y, orient, eccentricity, dt); a tracklet has a bounded number of rows."""
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("frame")
-        dx, dy = np.gradient(p["x"].to_numpy()) if len(p) > 1 else np.zeros(len(p)), np.gradient(p["y"].to_numpy()) if len(p) > 1 else np.zeros(len(p))
-        fixed = fix_orientation(p["orient"].to_numpy(), np.arctan2(dy, dx), np.hypot(dx, dy))
+        vx, vy = (np.r_[np.nan, np.diff(p[c].to_numpy(float))] / p["dt"].to_numpy(float) for c in ("x", "y"))
+        fixed = fix_orientation(p["orient"].to_numpy(float), p["eccentricity"].to_numpy(float), np.hypot(vx, vy), np.arctan2(vy, vx), costs)
         return pd.DataFrame({"tracklet": p["tracklet"].to_numpy(), "frame": p["frame"].to_numpy(), "orient": fixed})
 
-    return rows.select("tracklet", "frame", "x", "y", "orient").groupBy("tracklet").applyInPandas(work, "tracklet long, frame long, orient double")
+    return rows.select("tracklet", "frame", "x", "y", "orient", "eccentricity", "dt").groupBy("tracklet").applyInPandas(work, "tracklet long, frame long, orient double")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -168,23 +194,42 @@ def wavelets(rows: DataFrame, column: str, *, key: str = "ant", n_scales: int =
     return rows.select(key, "frame", column).groupBy(key).applyInPandas(work, f"{key} string, frame long, w array<double>")
 
 
-def gram(rows: DataFrame, column: str, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance, n) of an array column from sums of products, a dim x dim row in all."""
-    x = [F.get(column, F.lit(i)).cast("double") for i in range(dim)]
-    sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(dim) for j in range(i, dim)]
-    r = rows.agg(F.count(column).alias("n"), *sums).first()
-    mean = np.array([r[f"s{i}"] for i in range(dim)]) / r["n"]
-    second = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(dim)] for i in range(dim)]) / r["n"]
-    return mean, second - np.outer(mean, mean), r["n"]
+def gram(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, covariance, n) of an array column: each task adds up the products of its rows, Spark adds up the tasks' sums.
 
+    Rows without an array, or with a missing component, are left out; dim x dim sums come to the driver.
+    """
 
-def pca(rows: DataFrame, column: str, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def work(parts):
+        total = None
+        for p in parts:
+            x = np.stack([np.asarray(v, float) for v in p[column]]) if len(p) else np.zeros((0, 0))
+            if not len(x):
+                continue
+            x = np.column_stack([np.ones(len(x)), x])
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    full = rows.select(column).where(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull()))
+    got = full.mapInPandas(work, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    side = 1 + max((r["i"] for r in got), default=0)
+    m = np.zeros((side, side))
+    for r in got:
+        m[r["i"], r["j"]] = r["s"]
+    n = m[0, 0]
+    mean = m[0, 1:] / n if n else m[0, 1:]
+    return mean, m[1:, 1:] / max(n, 1) - np.outer(mean, mean), int(n)
+
+
+def pca(rows: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, k axes as rows, their variances); each axis points to its largest component."""
-    mean, cov, _ = gram(rows, column, dim)
+    mean, cov, _ = gram(rows, column)
     value, axis = np.linalg.eigh(cov)
     order = np.argsort(value)[::-1][:k]
     axes = axis[:, order].T
-    return mean, axes * np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])[:, None], value[order]
+    return mean, axes * np.sign(axes[np.arange(len(order)), np.abs(axes).argmax(axis=1)])[:, None], value[order]
 
 
 def project(rows: DataFrame, column: str, mean: np.ndarray, axes: np.ndarray, name: str = "pc") -> DataFrame:

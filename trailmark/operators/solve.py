@@ -1,14 +1,16 @@
-"""Identity propagation over the tracklet graph, one colony per task.
+"""Identity propagation over the tracklet graph, one solve group of a colony per task.
 
-The rules depend on the order in which they fire, so a colony is solved by a sequential kernel;
-colonies are independent and are spread by Spark. Nodes are ordered by (fi, tracklet), sources by
-descending score, then node order.
+The rules depend on the order in which they fire, so a group is solved by a sequential kernel; groups (movies of one
+colony that are solved together, see ``sampling.solve_groups``) are independent and are spread by Spark. A
+group's size is set by its number of movies, not by the length of the recording. Nodes are ordered by
+(fi, tracklet), sources by descending score, then node order.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,11 @@ STATE = "colony long, tracklet long, id string, possible boolean, assigned boole
 class Colony:
     """possible / assigned / score of every (node, id), and the rules that change them."""
 
-    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame, ids: Sequence[str]):
+    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame, ids: Sequence[str], *, safe: bool = True):
         nodes = nodes.sort_values(["fi", "tracklet"], kind="stable").reset_index(drop=True)
-        self.nodes, self.ids = nodes, list(ids)
+        self.nodes, self.ids, self.safe = nodes, list(ids), safe
         self.fi, self.ff = nodes["fi"].to_numpy(), nodes["ff"].to_numpy()
+        self.longest = int((self.ff - self.fi).max()) if len(nodes) else 0
         at = {t: i for i, t in enumerate(nodes["tracklet"])}
         self.up, self.down = defaultdict(list), defaultdict(list)
         for a, b in zip(edges["src"], edges["dst"], strict=True):
@@ -37,41 +40,58 @@ class Colony:
         self.possible, self.assigned = np.ones(shape, bool), np.zeros(shape, bool)
         self.score, self.contradictions = np.full(shape, np.nan), 0
         self.single = nodes["single"].to_numpy(bool)
+        self.weight = {}  # node -> score of a source, 1000 for one of the manual configuration
+        self.given: set[int] = set()
 
     def alive_with(self, n: int) -> np.ndarray:
-        return np.flatnonzero((self.fi <= self.ff[n]) & (self.ff >= self.fi[n]))
-
-    def assign(self, n: int, i: int, score: float) -> int:
-        """Give node n the id i and follow what it implies; returns the number of assignments."""
-        made, todo = 0, [(n, i, score)]
+        """Nodes that share a frame with n: they begin no later than it ends, and no more than the longest life before it."""
+        a, b = np.searchsorted(self.fi, self.fi[n] - self.longest), np.searchsorted(self.fi, self.ff[n], "right")
+        return a + np.flatnonzero(self.ff[a:b] >= self.fi[n])
+
+    def take(self, n: int, i: int, score: float) -> bool:
+        """Give node n the id i, without what follows from it."""
+        if self.assigned[n, i]:
+            return False
+        if self.safe and not self.possible[n, i]:
+            self.contradictions += 1
+            return False
+        self.assigned[n, i], self.score[n, i] = True, score
+        if self.single[n]:
+            self.possible[n] = self.assigned[n]
+        there = self.alive_with(n)
+        self.possible[there[~self.assigned[there, i]], i] = False
+        return True
+
+    def follow(self, n: int, i: int, score: float) -> int:
+        """Assign what node n's id implies, depth first: the parents' side to its end, then the children's as they are by then."""
+        made, todo = 0, [(n, 0)]
         while todo:
-            n, i, score = todo.pop()
-            if self.assigned[n, i]:
-                continue
-            if not self.possible[n, i]:
-                self.contradictions += 1
-                continue
-            self.assigned[n, i], self.score[n, i], made = True, score, made + 1
-            if self.single[n]:
-                self.possible[n] = self.assigned[n]
-            there = self.alive_with(n)
-            lose = there[~self.assigned[there, i]]
-            self.possible[lose, i] = False
-            todo += [(m, i, score) for m in self.implied(n, i)]
+            n, side = todo.pop()
+            if side == 0:
+                todo.append((n, 1))
+            m = self.implied(self.down[n] if side else self.up[n], i)
+            if m is not None and self.take(m, i, score):
+                made += 1
+                todo.append((m, 0))
         return made
 
-    def implied(self, n: int, i: int) -> Iterator[int]:
-        """The only possible parent, and the only possible child, if none of its kind is assigned."""
-        for side in (self.up[n], self.down[n]):
-            if side and not self.assigned[side, i].any():
-                can = [m for m in side if self.possible[m, i]]
-                if len(can) == 1:
-                    yield can[0]
+    def implied(self, side: list[int], i: int) -> int | None:
+        """The only possible node of one side, if none there is assigned."""
+        if not side or self.assigned[side, i].any():
+            return None
+        can = [m for m in side if self.possible[m, i]]
+        return can[0] if len(can) == 1 else None
+
+    def assign(self, n: int, i: int, score: float) -> int:
+        return 1 + self.follow(n, i, score) if self.take(n, i, score) else 0
 
     def sweep(self) -> int:
         made = 0
         while True:
-            new = sum(self.assign(m, i, self.score[n, i]) for n, i in zip(*map(list, np.nonzero(self.assigned)), strict=True) for m in list(self.implied(n, i)))
+            new = 0
+            for n in np.flatnonzero(self.assigned.any(axis=1)):
+                for i in np.flatnonzero(self.assigned[n]):
+                    new += self.follow(n, i, self.score[n, i])
             if not new:
                 return made
             made += new
@@ -93,22 +113,19 @@ class Colony:
         while True:
             new = 0
             for a, b in pairs:
-                both = self.possible[a] & self.possible[b]
-                for i in np.flatnonzero(both & (self.assigned[a] != self.assigned[b])):
-                    if self.path(a, b, i):
-                        have, lack = (a, b) if self.assigned[a, i] else (b, a)
-                        new += self.assign(lack, i, self.score[have, i])
+                either = self.possible[a] & self.possible[b] & (self.assigned[a] | self.assigned[b])
+                found = [i for i in np.flatnonzero(either) if not (self.assigned[a, i] and self.assigned[b, i]) and self.path(a, b, i)]
+                of_a, of_b = self.score[a].copy(), self.score[b].copy()
+                new += sum(self.assign(a, i, of_b[i]) for i in found)
+                new += sum(self.assign(b, i, of_a[i]) for i in found)
             if not new:
                 return made
             made += new
 
     def propagate(self, pairs: list[tuple[int, int]]) -> int:
         made = self.sweep()
-        while True:
-            new = self.use_pairs(pairs)
-            if not new:
-                return made
-            made += new + self.sweep()
+        paired = self.use_pairs(pairs)
+        return made + paired + (self.sweep() if paired else 0)
 
     def components(self, i: int) -> list[np.ndarray]:
         left, out = set(np.flatnonzero(self.possible[:, i]).tolist()), []
@@ -129,19 +146,20 @@ class Colony:
         """Per id keep the best components that do not overlap in time; drop the others, prune what is kept."""
         lost = 0
         first, last = (self.fi.min(), self.ff.max()) if len(self.fi) else (0, 0)
-        source, weight = self.nodes["source"].to_numpy(bool), self.nodes["score"].to_numpy(float)
         for i in range(len(self.ids)):
             parts = self.components(i)
             rows = []
             for p in parts:
-                lo, hi, s = self.fi[p].min(), self.ff[p].max(), p[source[p]]
-                value = (hi - lo + 1) * (0.1 + self.assigned[p, i].mean()) * (0.1 + len(s)) * (weight[s].max() if len(s) else 0.1)
-                rows.append([value, lo, hi, len(s) > 0, p])
-            bare = [r[0] for r in rows if not r[3]]
+                lo, hi = self.fi[p].min(), self.ff[p].max()
+                source, given = [self.weight[n] for n in p.tolist() if n in self.weight], sum(n in self.given for n in p.tolist())
+                best = 1000.0 if given else max(source, default=0.1)
+                value = (hi - lo + 1) * (0.1 + self.assigned[p, i].mean()) * (0.1 + len(source) + given) * best
+                rows.append([value, lo, hi, bool(source), bool(source or given), p])
+            bare = [r[0] for r in rows if not r[4]]
             for r in rows:
-                r[0] -= max(bare) if bare and not r[3] else 0
+                r[0] -= max(bare) if bare and not r[4] else 0
             kept: list = []
-            for value, lo, hi, has, p in sorted(rows, key=lambda r: (-r[0], r[1], int(r[4][0]))):
+            for _, lo, hi, has, _, p in sorted(rows, key=lambda r: (-r[0], r[1], int(r[5][0]))):
                 clash = [k for k in kept if k[0] <= hi and k[1] >= lo]
                 edge = not edge_mode and (lo == first or hi == last)
                 if not clash or edge:
@@ -177,8 +195,10 @@ class Colony:
         return lost
 
 
-def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame, removed: pd.DataFrame, ids: Sequence[str], *, rounds: int = 10, small: float = 1e-6) -> pd.DataFrame:
-    c = Colony(nodes, edges, ids)
+def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame, removed: pd.DataFrame, commands: pd.DataFrame, ids: Sequence[str], *,
+                 rounds: int = 10, small: float = 1e-6, stitch: bool = False, safe: bool = True) -> pd.DataFrame:
+    """One group: filters, removals, the manual commands single, eliminate and assign in this order, sources, rounds of rules."""
+    c = Colony(nodes, edges, ids, safe=safe)
     at = {t: i for i, t in enumerate(c.nodes["tracklet"])}
     number = {x: i for i, x in enumerate(c.ids)}
     out = c.nodes["noant"].to_numpy(bool)
@@ -188,12 +208,24 @@ def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame,
     for t, x in zip(removed["tracklet"], removed["id"], strict=True):
         if t in at and x in number:
             c.possible[at[t], number[x]] = False
+    said = {k: [(at[t], v) for t, v in g.sort_values("line")[["tracklet", "value"]].itertuples(index=False) if t in at] for k, g in commands.groupby("command")}
+    for n, v in said.get("single", []):
+        c.single[n] = v == "1"
+    for n, v in said.get("eliminate", []):
+        if v in number and not c.assigned[n, number[v]]:
+            c.possible[n, number[v]] = False
+    for n, v in said.get("assign", []):
+        if v in number:
+            c.assign(n, number[v], math.inf)
+            c.given.add(n)
     links = [(at[a], at[b]) for a, b in pairs.sort_values(["hops", "src", "dst"])[["src", "dst"]].itertuples(index=False) if a in at and b in at]
     c.nodes["source"] = c.single & c.nodes["label"].isin(c.ids).to_numpy()
-    for n in c.nodes[c.nodes["source"]].sort_values("score", ascending=False, kind="stable").index:
-        c.assign(n, number[c.nodes.at[n, "label"]], float(c.nodes.at[n, "score"]))
+    sources = c.nodes[c.nodes["source"]].sort_values("score", ascending=False, kind="stable").index
+    c.weight = {n: float(c.nodes.at[n, "score"]) for n in sources}
+    for n in sources:
+        c.assign(n, number[c.nodes.at[n, "label"]], c.weight[n])
     c.propagate(links)
-    c.filter_components(edge_mode=True)
+    c.filter_components(edge_mode=stitch)
     for _ in range(rounds):
         if not c.propagate(links) or not c.filter_components(edge_mode=False):
             break
@@ -202,27 +234,45 @@ def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame,
     return pd.DataFrame({"colony": c.nodes["colony"].to_numpy()[n], "tracklet": c.nodes["tracklet"].to_numpy()[n], "id": np.array(c.ids, object)[i], "possible": c.possible[n, i], "assigned": c.assigned[n, i], "score": c.score[n, i], "finalized": done[n]})
 
 
-def solve(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFrame, ids: Sequence[str]) -> DataFrame:
+def solve(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFrame, ids: Sequence[str], *, commands: DataFrame | None = None,
+          stitch: bool = False, safe: bool = True) -> DataFrame:
     """(colony, tracklet, id, possible, assigned, score, finalized), rows that are possible or assigned.
 
-    nodes: (colony, tracklet, fi, ff, len, area, label, score, single, noant); edges, pairs and removed are
-    given their colony by their nodes. One kind of row per table is sent to the colony's task.
+    nodes: (colony, tracklet, fi, ff, len, area, label, score, single, noant[, grp]); a group is a colony, or with grp
+    a part of it, and links between groups are not followed. edges, pairs, removed and commands (command, tracklet, value, line)
+    are given their group by their nodes. One kind of row per table is sent to the group's task.
+    stitch drops components at the group's first and last frame on the first pass too; without safe, an assignment
+    overrules what was eliminated.
     """
-    home = nodes.select("tracklet", "colony")
-    n = nodes.select("colony", "tracklet", "fi", "ff", "len", "area", "label", "score", "single", "noant", F.lit("n").alias("kind"))
+    if "grp" not in nodes.columns:
+        nodes = nodes.withColumn("grp", F.lit(0).cast("long"))
+    home = nodes.select("tracklet", "colony", "grp")
+    n = nodes.select("colony", "grp", "tracklet", "fi", "ff", "len", "area", "label", "score", "single", "noant", F.lit("n").alias("kind"))
     e = edges.select("src", "dst").join(home.withColumnRenamed("tracklet", "src"), "src").withColumn("kind", F.lit("e"))
     p = pairs.select("src", "dst", "hops").join(home.withColumnRenamed("tracklet", "src"), "src").withColumn("kind", F.lit("p"))
     r = removed.select("tracklet", "id").join(home, "tracklet").withColumn("kind", F.lit("r"))
     every = n.unionByName(e, True).unionByName(p, True).unionByName(r, True)
+    if commands is None:
+        every = every.withColumns({"command": F.lit(None).cast("string"), "value": F.lit(None).cast("string"), "line": F.lit(None).cast("long")})
+    else:
+        every = every.unionByName(commands.select("command", "tracklet", "value", F.col("line").cast("long").alias("line")).join(home, "tracklet").withColumn("kind", F.lit("c")), True)
 
     def work(df: pd.DataFrame) -> pd.DataFrame:
-        part = {k: df[df["kind"] == k].reset_index(drop=True) for k in "nepr"}
+        part = {k: df[df["kind"] == k].reset_index(drop=True) for k in "neprc"}
         for k, cols in (("e", ["src", "dst"]), ("p", ["src", "dst", "hops"]), ("n", ["tracklet", "fi", "ff", "len"])):
             part[k][cols] = part[k][cols].astype("int64")
         part["n"][["single", "noant"]] = part["n"][["single", "noant"]].astype(bool)
-        return solve_colony(part["n"], part["e"], part["p"], part["r"], ids)
+        return solve_colony(part["n"], part["e"], part["p"], part["r"], part["c"], ids, stitch=stitch, safe=safe)
+
+    return every.groupBy("colony", "grp").applyInPandas(work, STATE)
+
 
-    return every.groupBy("colony").applyInPandas(work, STATE)
+def effective_ids(tracks: DataFrame, auto: DataFrame, manual: DataFrame, injected: DataFrame) -> DataFrame:
+    """tracks with propid and propscore: injected (tracklet, label, score) before manual (tracklet, label; score infinite) before automatic ids."""
+    side = lambda d, s: d.select("tracklet", F.col("label").alias(f"{s}id"), *([F.col("score").alias(f"{s}score")] if s != "manual" else []))
+    d = tracks.join(side(auto, "auto"), "tracklet", "left").join(side(manual, "manual"), "tracklet", "left").join(side(injected, "in"), "tracklet", "left")
+    score = F.when(F.col("inid").isNotNull(), F.col("inscore")).when(F.col("manualid").isNotNull(), F.lit(float("inf"))).otherwise(F.coalesce("autoscore", F.lit(0.0)))
+    return d.withColumns({"propid": F.coalesce("inid", "manualid", "autoid", F.lit("")), "propscore": score}).drop("autoscore", "inscore", "inid", "manualid", "autoid")
 
 
 def soft_assign(state: DataFrame, nodes: DataFrame, parts: DataFrame, *, long: int = 2000) -> DataFrame:

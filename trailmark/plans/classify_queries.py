@@ -17,8 +17,8 @@ V = {
 SELECT tracklet, sum(n) AS n, coalesce(sum(n) FILTER (WHERE label LIKE 'C%'), 0) AS n_ant, coalesce(sum(n) FILTER (WHERE label = 'NoAnt'), 0) AS n_non, coalesce(sum(n) FILTER (WHERE label = 'MultiAnt'), 0) AS n_multi,
   arg_max(label, n * 1000 - seen) AS common, 'MultiAnt' AS common_multi FROM vw_c GROUP BY tracklet""",
     "vw_s": """
-SELECT tracklet, list_position(s, list_max(s)) - 1 AS won, list_max(s) AS sum, top, frame FROM (
-  SELECT tracklet, [sum(p[1]), sum(p[2]), sum(p[3]), sum(p[4]), sum(p[5]), sum(p[6]), sum(p[7])] AS s, max(list_max(p[1:7])) AS top, arg_max(frame, list_max(p[1:7])) AS frame FROM vw_f WHERE label LIKE 'C%' GROUP BY tracklet)""",
+SELECT tracklet, list_position(s, list_max(s)) - 1 AS won, list_max(s) AS sum, top, f[list_position(s, list_max(s))] AS frame FROM (
+  SELECT tracklet, [sum(p[1]), sum(p[2]), sum(p[3]), sum(p[4]), sum(p[5]), sum(p[6]), sum(p[7])] AS s, max(list_max(p[1:7])) AS top, [arg_max(frame, p[1]), arg_max(frame, p[2]), arg_max(frame, p[3]), arg_max(frame, p[4]), arg_max(frame, p[5]), arg_max(frame, p[6]), arg_max(frame, p[7])] AS f FROM vw_f WHERE label LIKE 'C%' GROUP BY tracklet)""",
     "vw_truth": "SELECT 'C' || (e.label % 7) AS truth, f.label AS predicted FROM embeddings e JOIN vw_f f ON e.vec_id // 5 = f.tracklet AND e.vec_id % 5 = f.frame",
 }
 

@@ -24,9 +24,18 @@ def medfilt_shrink(spark, d):
     return kn.median_filter(n, "nest_x", 101, key=["colony"], edge="shrink", block=200).select("frame", "nest_x_med")
 
 
+@query("""
+SELECT f.frame, quantile_cont(coalesce(nest_x, 0), 0.5) OVER w AS nest_x_med FROM (SELECT unnest(range(-49, 771)) AS frame) f LEFT JOIN vw_nest n ON f.frame = n.frame
+WINDOW w AS (ORDER BY f.frame ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) QUALIFY f.frame BETWEEN 1 AND 720""", V)
+def medfilt_zero(spark, d):
+    """Zero-padded edges; the published analysis uses 36,001 frames, more than the fixture has."""
+    n = tr.nest(dense(spark, d)).withColumn("colony", F.lit(1).cast("long"))
+    return kn.median_filter(n, "nest_x", 101, key=["colony"], edge="zero", block=200).select("frame", "nest_x_med")
+
+
 @query(None)
 def fix_orientation(spark, d):
-    u = fx.untagged(fx.tracklets(spark, d).where("colony < 3")).withColumn("orient", F.atan2("y", "x"))
+    u = fx.untagged(fx.tracklets(spark, d)).withColumns({"eccentricity": F.col("tracklet") % 10 / 10.0, "dt": F.lit(100.0)}).withColumn("orient", F.atan2("y", "x"))
     return kn.fix_orientations(u)
 
 
@@ -38,16 +47,25 @@ def cross_movie_links(spark, d):
 
 @query(None)
 def wavelet(spark, d):
-    return kn.wavelets(tr.interpolate(dense(spark, d), ends="clamp"), "x", n_scales=5)
+    return kn.wavelets(tr.interpolate(dense(spark, d), ends="clamp"), "x")
 
 
 def _components(spark, d):
-    return fx.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("v"))
+    return fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("""
+WITH u AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS m FROM u GROUP BY i)
+SELECT a.i AS i, b.i AS j, round(avg(a.v * b.v) - any_value(ma.m) * any_value(mb.m), 9) + 0.0 AS cov FROM u a JOIN u b ON a.vec_id = b.vec_id JOIN m ma ON a.i = ma.i JOIN m mb ON b.i = mb.i GROUP BY ALL""")
+def covariance(spark, d):
+    _, cov, _ = kn.gram(_components(spark, d), "v")
+    rows = [(i, j, round(float(x), 9) + 0.0) for i, r in enumerate(cov) for j, x in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
 
 
 @query(None)
 def pca(spark, d):
-    mean, axes, var = kn.pca(_components(spark, d), "v", 6, 3)
+    mean, axes, var = kn.pca(_components(spark, d), "v", 3)
     rows = [(i, float(var[i]), [float(x) for x in axes[i]]) for i in range(3)]
     return spark.createDataFrame(rows, "axis int, variance double, loading array<double>")
 
@@ -55,7 +73,7 @@ def pca(spark, d):
 @query(None)
 def pca_project(spark, d):
     x = _components(spark, d)
-    mean, axes, _ = kn.pca(x, "v", 6, 3)
+    mean, axes, _ = kn.pca(x, "v", 3)
     return kn.project(x, "v", mean, axes).select("vec_id", "pc")
 
 
@@ -72,6 +90,6 @@ def knn_kl(spark, d):
 @query(None)
 def fit_ellipse(spark, d):
     a = F.col("i") * 0.7
-    t = fx.tracklets(spark, d).where("colony < 3").select("tracklet", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    t = fx.tracklets(spark, d).select("tracklet", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
     r1, r2 = F.col("tracklet") % 7 + 3, F.col("tracklet") % 3 + 1
     return kn.fit_ellipse(t.select("tracklet", (F.cos(a) * r1 + F.col("tracklet") % 10).alias("x"), (F.sin(a) * r2 + 1).alias("y")), "tracklet")
