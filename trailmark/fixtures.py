@@ -80,8 +80,10 @@ def untagged(tracks: DataFrame) -> DataFrame:
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
-    """(tracklet, frame, p): class probabilities, the softmax of 40 times the first ten components."""
-    e = table(spark, path, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda v: 40.0 * v.cast("double")).alias("z"))
+    """(tracklet, frame, p): class probabilities, the softmax of 40 times ten sums of every tenth component."""
+    each = lambda k: F.transform(F.sequence(k, F.size("embedding") - 1, F.lit(10)), lambda i: F.get("embedding", i).cast("double"))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: 40.0 * F.aggregate(each(k), F.lit(0.0), lambda a, v: a + v))
+    e = table(spark, path, "embeddings").select("vec_id", sums.alias("z"))
     e = e.withColumn("w", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     total = F.aggregate("w", F.lit(0.0), lambda a, v: a + v)
     return e.select(F.floor(F.col("vec_id") / 5).cast("long").alias("tracklet"), (F.col("vec_id") % 5).alias("frame"), F.transform("w", lambda v: v / total).alias("p"))

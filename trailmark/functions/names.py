@@ -110,3 +110,9 @@ def movie_index(path: Column) -> Column:
 def behaviour_of(path: Column) -> Column:
     """scores_<behaviour>_<m>.csv; the behaviour may hold underscores."""
     return F.regexp_extract(path, r"scores_(.+)_\d+\.csv$", 1)
+
+
+def subdir(m: Column, size: int) -> Column:
+    """The folder 'a_b' of a movie, with a..b the numbers that share it."""
+    a = F.floor((m - 1) / size).cast("long") * size
+    return F.concat_ws("_", (a + 1).cast("string"), (a + size).cast("string"))

@@ -49,16 +49,18 @@ def importance(intervals: DataFrame) -> DataFrame:
     return intervals.select("id", F.col("t1").alias("at")).distinct().join(starts, ["id", "at"], "left_anti")
 
 
-def ant_frames(frames: DataFrame, table: DataFrame, rows: DataFrame, *, hide_ends: bool = False) -> DataFrame:
-    """One ant on a dense frame axis through its tracklet table (tracklet, fi, ff, single).
+def ant_frames(first: int, last: int, table: DataFrame, rows: DataFrame, *, key: Sequence[str] = ("ant",), hide_ends: bool = False) -> DataFrame:
+    """Every ant on a dense frame axis through its tracklet table (key..., tracklet, fi, ff, single).
 
     Area only where the tracklet is single; hide_ends removes the positions of the first and last frame of
     tracklets that are not.
     """
-    d = rows.join(table.select("tracklet", "fi", "ff", "single"), "tracklet").where((F.col("frame") >= F.col("fi")) & (F.col("frame") <= F.col("ff")))
+    k = list(key)
+    d = rows.join(table.select(*k, "tracklet", "fi", "ff", "single"), "tracklet").where((F.col("frame") >= F.col("fi")) & (F.col("frame") <= F.col("ff")))
     end = ~F.col("single") & ((F.col("frame") == F.col("fi")) | (F.col("frame") == F.col("ff"))) if hide_ends else F.lit(False)
-    p = d.groupBy("frame").agg(F.max_by(F.struct(F.when(~end, F.col("x")).alias("x"), F.when(~end, F.col("y")).alias("y"), F.when(F.col("single"), F.col("area")).alias("area"), "single"), F.struct("fi", "tracklet")).alias("p"))
-    return frames.select("frame").join(p, "frame", "left").select("frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
+    p = d.groupBy(*k, "frame").agg(F.max_by(F.struct(F.when(~end, F.col("x")).alias("x"), F.when(~end, F.col("y")).alias("y"), F.when(F.col("single"), F.col("area")).alias("area"), "single"), F.struct("fi", "tracklet")).alias("p"))
+    axis = table.select(*k).distinct().withColumn("frame", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+    return axis.join(p, [*k, "frame"], "left").select(*k, "frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
 
 
 def wide(xy: DataFrame, ants: Sequence[str], columns: Sequence[str] = ("x", "y")) -> DataFrame:

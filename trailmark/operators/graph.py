@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.components import connected_components, cut
-from trailmark.operators.intervals import overlaps
+from trailmark.operators.intervals import overlap_join, overlaps
 
 
 def build_edges(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -73,7 +73,9 @@ def bottleneck_pairs(nodes: DataFrame, edges: DataFrame, *, depth: int = 10) ->
     near = pairs.where("hops = 1 and outdeg = 1 and t_in = 1").select("src", "dst", "hops")
     far = pairs.where("hops > 1")
     pair = ["src", "dst"]
-    mid = far.join(n.select("colony", F.col("tracklet").alias("mid"), "fi", "ff"), "colony").where("mid <> src and mid <> dst and fi < t_fi and ff > s_ff")
+    # alive strictly between: an overlap with the frames behind src and before dst, found by blocks of frames
+    gap = far.select("colony", "src", "dst", (F.col("s_ff") + 1).alias("fi"), (F.col("t_fi") - 1).alias("ff"))
+    mid = overlap_join(gap, n.withColumnRenamed("tracklet", "mid"), ["colony"], width=32).select(F.col("src_a").alias("src"), F.col("dst_a").alias("dst"), F.col("mid_b").alias("mid")).where("mid <> src and mid <> dst")
     r1, r2 = reach.select("src", F.col("dst").alias("mid"), F.lit(True).alias("from_s")), reach.select(F.col("src").alias("mid"), "dst", F.lit(True).alias("to_t"))
     mid = mid.join(r1, ["src", "mid"], "left").join(r2, ["mid", "dst"], "left")
     odd = mid.where(F.coalesce("from_s", F.lit(False)) != F.coalesce("to_t", F.lit(False))).select(*pair)
@@ -154,3 +156,54 @@ def build_chains(links: DataFrame, nodes: DataFrame, *, max_rounds: int = 40) ->
             break
         d = new
     return d.select("node", F.col("up").alias("chain"), "pos")
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without the tracklets of ``gone``; their links go too."""
+    n = nodes.join(gone.select("tracklet"), "tracklet", "left_anti")
+    g = gone.select("tracklet")
+    return n, edges.join(g, edges.src == g.tracklet, "left_anti").join(g, edges.dst == g.tracklet, "left_anti")
+
+
+def add_links(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """edges with links (src, dst) whose ends exist and whose target begins after the source ends."""
+    n = lambda s: nodes.select(F.col("tracklet").alias(s), F.col("fi" if s == "dst" else "ff").alias(f"__{s}"))
+    ok = links.select("src", "dst").join(n("src"), "src").join(n("dst"), "dst").where("__dst > __src").select("src", "dst")
+    return edges.select("src", "dst").union(ok).distinct()
+
+
+def rename_nodes(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with tracklets renumbered by names (tracklet, new); those without a new number keep theirs."""
+    to = lambda c: names.select(F.col("tracklet").alias(c), F.col("new").alias(f"__{c}"))
+    n = nodes.join(to("tracklet"), "tracklet", "left").withColumn("tracklet", F.coalesce("__tracklet", "tracklet")).drop("__tracklet")
+    e = edges.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+    return n, e.withColumns({"src": F.coalesce("__src", "src"), "dst": F.coalesce("__dst", "dst")}).drop("__src", "__dst")
+
+
+def split_nodes(nodes: DataFrame, edges: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracklets cut before the frames of points (tracklet, frame, new): the first part keeps the number and the links in, the
+    second gets the new number and the links out, and a link joins them. Points outside a tracklet's life do nothing."""
+    p = points.select("tracklet", F.col("frame").alias("__at"), F.col("new").alias("__new"))
+    d = nodes.join(p, "tracklet", "left").withColumn("__cut", F.coalesce((F.col("__at") > F.col("fi")) & (F.col("__at") <= F.col("ff")), F.lit(False)))
+    first = d.withColumn("ff", F.when(F.col("__cut"), F.col("__at") - 1).otherwise(F.col("ff")))
+    second = d.where("__cut").withColumns({"tracklet": F.col("__new"), "fi": F.col("__at")})
+    n = first.unionByName(second).drop("__at", "__new", "__cut")
+    if "len" in n.columns:
+        n = n.withColumn("len", F.col("ff") - F.col("fi") + 1)
+    made = d.where("__cut").select(F.col("tracklet").alias("src"), F.col("__new").alias("dst"))
+    e = edges.select("src", "dst").join(made.withColumnRenamed("dst", "__to"), "src", "left").select(F.coalesce("__to", "src").alias("src"), "dst")
+    return n, e.union(made)
+
+
+def clear_ids(state: DataFrame, tracklets: DataFrame) -> DataFrame:
+    """The state of a solved graph without what is assigned to some tracklets; the ids stay possible."""
+    t = tracklets.select("tracklet", F.lit(True).alias("__clear"))
+    d = state.join(t, "tracklet", "left").withColumn("__clear", F.coalesce("__clear", F.lit(False)))
+    return d.withColumns({"assigned": F.col("assigned") & ~F.col("__clear"), "score": F.when(~F.col("__clear"), F.col("score")), "finalized": F.col("finalized") & ~F.col("__clear")}).drop("__clear")
+
+
+def node_flags(state: DataFrame, points: DataFrame) -> DataFrame:
+    """points (tracklet, id) with possible and assigned; what the state does not hold is neither."""
+    s = state.select("tracklet", "id", "possible", "assigned")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return points.join(s, ["tracklet", "id"], "left").select("tracklet", "id", no("possible"), no("assigned"))

@@ -88,6 +88,49 @@ def tracklet_velocity(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"vx": vx, "vy": vy}).withColumns({"vnorm": F.hypot("vx", "vy"), "vang": F.atan2("vy", "vx")}).drop("vx", "vy")
 
 
+def scaled(rows: DataFrame, scale: float) -> DataFrame:
+    """rows with x and y in real units and rarea, the area in real units."""
+    return rows.withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale, "rarea": F.col("area") * (scale * scale)})
+
+
+def with_name(tracks: DataFrame, part: str) -> DataFrame:
+    """Tracklets whose name holds a text."""
+    return tracks.where(F.col("tracklet").cast("string").contains(part))
+
+
+def with_ids(tracks: DataFrame, ids: list[str], above: float = float("-inf")) -> DataFrame:
+    """Tracklets of certain labels with a score above a limit."""
+    return tracks.where(F.col("label").isin(*ids) & (F.col("score") > above))
+
+
+def known_rows(rows: DataFrame, columns: list[str], label: str | None = None) -> DataFrame:
+    """Rows whose columns are present; with label also those whose label is not empty."""
+    d = rows.dropna(subset=columns)
+    return d if label is None else d.where(F.coalesce(F.col(label), F.lit("")) != "")
+
+
+def nearest_blob(centres: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(tracklet, frame, blob, dist): of the blobs (frame, blob, x, y) of a frame the one nearest to the tracklet's centre; the lower number on a tie."""
+    j = centres.select("tracklet", "frame", F.col("x").alias("cx"), F.col("y").alias("cy")).join(blobs.select("frame", "blob", "x", "y"), "frame")
+    j = j.withColumn("dist", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
+    return j.groupBy("tracklet", "frame").agg(F.min(F.struct("dist", "blob")).alias("p")).select("tracklet", "frame", "p.blob", "p.dist")
+
+
+def positions_at(rows: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
+    """points (target, frame, offset) with the target's columns at frame + offset; NULL where it has no row there."""
+    at = rows.select("target", F.col("frame").alias("__at"), *columns)
+    return points.withColumn("__at", F.col("frame") + F.col("offset")).join(at, ["target", "__at"], "left").drop("__at")
+
+
+def close_tracklets(rows: DataFrame, cells: DataFrame, size: float, *, area: tuple[float, float], eccentricity: tuple[float, float]) -> DataFrame:
+    """What is known when tracklets are closed: their stats, colony, and the number of frames that pass the quality limits.
+
+    rows: (tracklet, frame, x, y, area, eccentricity). Orientation is set right by ``kernels.fix_orientations``.
+    """
+    passed = frame_quality(rows, area=area, eccentricity=eccentricity).groupBy("tracklet").agg(F.count_if("passed").alias("passed"))
+    return tracklet_stats(rows).join(colony_of(rows, cells, size), "tracklet").join(passed, "tracklet")
+
+
 def split_every(rows: DataFrame, most: int = 600) -> DataFrame:
     """rows (chain, frame, ...) with tracklet part: a chain is cut after every ``most`` rows."""
     w = Window.partitionBy("chain").orderBy("frame")

@@ -108,8 +108,43 @@ def derivative_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return rows.withColumns({f"d{c}": (F.col(c) - F.lag(c).over(w)) / F.col("dt") for c in features})
 
 
-def place_features(rows: DataFrame, cx: float, cy: float) -> DataFrame:
-    """rows with distance and angle to the centre, and n_same: rows of the frame within 0.001 in x and y cells."""
-    d = rows.withColumns({"dist_center": F.hypot(F.col("x") - cx, F.col("y") - cy), "angle_center": F.atan2(F.col("y") - cy, F.col("x") - cx)})
-    cell = [F.floor(F.col(c) / 0.001) for c in ("x", "y")]
-    return d.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy("colony", "frame", *cell)))
+def arena_features(rows: DataFrame, grid: DataFrame, *, cell: float, centre: tuple[float, float], scale: float, key: Sequence[str]) -> DataFrame:
+    """rows (x, y, theta, area) with area in real units and dist_ and angle_ to the centre, the wall, the open wall and the frame's median.
+
+    grid (cx, cy, wall, wall_angle, openwall, openwall_angle) holds the arena's distances per cell, a picture's number of rows;
+    angles are theta less the direction. Rows outside the grid have no distance to walls.
+    """
+    d = rows.withColumns({"__cx": F.floor(F.col("x") / cell).cast("long"), "__cy": F.floor(F.col("y") / cell).cast("long")})
+    d = d.join(grid.withColumnsRenamed({"cx": "__cx", "cy": "__cy"}), ["__cx", "__cy"], "left")
+    mid = rows.groupBy(*key).agg(F.percentile("x", 0.5).alias("__mx"), F.percentile("y", 0.5).alias("__my"))
+    d = d.join(mid, list(key))
+    to = lambda x, y: {"dist": scale * F.hypot(F.col("x") - x, F.col("y") - y), "angle": F.col("theta") - F.atan2(F.col("y") - y, F.col("x") - x)}
+    out = {f"{k}_{n}": c for n, (x, y) in (("center", (F.lit(centre[0]), F.lit(centre[1]))), ("median", (F.col("__mx"), F.col("__my")))) for k, c in to(x, y).items()}
+    out |= {f"dist_{w}": scale * F.col(w) for w in ("wall", "openwall")} | {f"angle_{w}": F.col("theta") - F.col(f"{w}_angle") for w in ("wall", "openwall")}
+    return d.withColumns(out | {"area": F.col("area") * (scale * scale)}).drop("__cx", "__cy", "__mx", "__my", "wall", "wall_angle", "openwall", "openwall_angle")
+
+
+def blob_mates(rows: DataFrame, *, near: float, scale: float, key: Sequence[str]) -> DataFrame:
+    """rows with n_in_blob, those of the frame closer than ``near`` (itself included), and frac_in_blob, their share of the frame.
+
+    Positions are entered in cells of that size, and a row meets its own and the eight cells about it only.
+    """
+    size = near / scale
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    d = rows.withColumns({"__cx": cell("x"), "__cy": cell("y"), "__all": F.count(F.lit(1)).over(Window.partitionBy(*key))})
+    step = F.sequence(F.lit(-1), F.lit(1))
+    seen = rows.select(*key, F.col("x").alias("__x"), F.col("y").alias("__y"), cell("x").alias("__cx"), cell("y").alias("__cy"))
+    seen = seen.withColumn("__i", F.explode(step)).withColumn("__j", F.explode(step)).withColumns({"__cx": F.col("__cx") + F.col("__i"), "__cy": F.col("__cy") + F.col("__j")}).drop("__i", "__j")
+    j = d.join(seen, [*key, "__cx", "__cy"], "left").withColumn("__near", scale * F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) < near)
+    n = j.groupBy("tracklet", "frame").agg(F.count_if("__near").alias("n_in_blob"), F.max("__all").alias("__all"))
+    return rows.join(n, ["tracklet", "frame"]).withColumn("frac_in_blob", F.col("n_in_blob") / F.col("__all")).drop("__all")
+
+
+def at_frames(dat: DataFrame, points: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """points with columns of the frame data at their frame; missing where there is none."""
+    return points.join(dat.select("frame", *columns), "frame", "left")
+
+
+def by_movie(dat: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frame data with the movie and movie frame of frames (frame, m, mf)."""
+    return frames.join(dat, "frame")

@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("trajectory_queries", "tracklet_queries", "untagged_queries", "classify_queries", "graph_queries", "export_queries", "kernel_queries")
+MODULES = ("trajectory_queries", "tracklet_queries", "untagged_queries", "classify_queries", "graph_queries", "export_queries", "kernel_queries", "extra_queries")
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")
 

@@ -34,9 +34,9 @@ def export_groupids(spark, d):
     return ex.group_ids(_single(spark, d), IDS)
 
 
-@query("SELECT tracklet AS target, count(*) AS n, min(frame) AS first_frame, arg_min(x * 0.02 * 1000, frame) AS x0, arg_max(y * 0.02 * 1000, frame) AS y1, any_value(sqrt(area) * 0.02 * 1000 / 4 * sqrt(1 - 0.36)) AS b FROM fx_untagged WHERE colony = 2 GROUP BY tracklet")
+@query("SELECT tracklet AS target, count(*) AS n, min(frame) AS first_frame, arg_min(x * 0.02 * 1000, frame) AS x0, arg_max(y * 0.02 * 1000, frame) AS y1, any_value(sqrt(area) * 0.02 * 1000 / 4 * sqrt(1 - 0.36)) AS b FROM fx_untagged GROUP BY tracklet")
 def export_trx(spark, d):
-    u = fx.untagged(fx.tracklets(spark, d).where("colony = 2")).select(F.col("tracklet").alias("target"), "frame", "x", "y", F.sqrt("area").alias("majax"), F.lit(0.36).alias("eccentricity"))
+    u = fx.untagged(fx.tracklets(spark, d)).select(F.col("tracklet").alias("target"), "frame", "x", "y", F.sqrt("area").alias("majax"), F.lit(0.36).alias("eccentricity"))
     t = ex.targets(u, 0.02)
     return t.select("target", F.size("trx").cast("long").alias("n"), F.col("trx")[0]["frame"].alias("first_frame"), F.col("trx")[0]["x"].alias("x0"), F.element_at("trx", -1)["y"].alias("y1"), F.element_at("trx", 1)["b"].alias("b"))
 
@@ -55,13 +55,14 @@ def jaaba_importance(spark, d):
 
 
 @query("""
-WITH p AS (SELECT frame, arg_max(CASE WHEN single OR frame NOT IN (fi, ff) THEN x END, fi * 10000000 + u.tracklet) AS _, max_by(struct_pack(x := CASE WHEN single OR frame NOT IN (fi, ff) THEN x END, area := CASE WHEN single THEN u.area END, single := single), fi * 10000000 + u.tracklet) AS p
-  FROM fx_untagged u JOIN vw_single t ON u.tracklet = t.tracklet WHERE u.colony = 4 AND label = 'A3' GROUP BY frame)
-SELECT f.frame, p.p.x AS x, p.p.area AS area, coalesce(p.p.single, false) AS single FROM (SELECT unnest(range(1, 3001)) AS frame) f LEFT JOIN p ON f.frame = p.frame""", TV)
+WITH p AS (SELECT u.colony, label, frame, max_by(struct_pack(x := CASE WHEN single OR frame NOT IN (fi, ff) THEN x END, area := CASE WHEN single THEN u.area END, single := single), fi * 10000000 + u.tracklet) AS p
+  FROM fx_untagged u JOIN vw_single t ON u.tracklet = t.tracklet WHERE label LIKE 'A%' GROUP BY ALL),
+a AS (SELECT colony, label, unnest(range(1, 3001)) AS frame FROM (SELECT DISTINCT colony, label FROM fx_tracklets WHERE label LIKE 'A%'))
+SELECT a.colony, a.label, a.frame, p.p.x AS x, p.p.area AS area, coalesce(p.p.single, false) AS single FROM a LEFT JOIN p ON a.colony = p.colony AND a.label = p.label AND a.frame = p.frame""", TV)
 def ant_frames(spark, d):
-    s = _single(spark, d).where("colony = 4 and label = 'A3'")
-    frames = spark.range(1, 3001).withColumnRenamed("id", "frame")
-    return ex.ant_frames(frames, s, fx.untagged(s.drop("single")), hide_ends=True).select("frame", "x", "area", "single")
+    s = _single(spark, d).where(F.col("label").isin(*IDS))
+    rows = fx.untagged(s.drop("single")).drop("colony")
+    return ex.ant_frames(1, 3000, s, rows, key=["colony", "label"], hide_ends=True).select("colony", "label", "frame", "x", "area", "single")
 
 
 @query("SELECT frame, max(x) FILTER (WHERE ant = 'U01') AS U01_x, max(y) FILTER (WHERE ant = 'U01') AS U01_y, max(x) FILTER (WHERE ant = 'U02') AS U02_x, max(y) FILTER (WHERE ant = 'U02') AS U02_y FROM fx_xy GROUP BY frame")

@@ -25,7 +25,7 @@ SELECT tracklet, colony, frame, ((tracklet * 7919 + frame * 31) % 1000) / 1000.0
 FROM (SELECT tracklet, colony, area, unnest(range(fi, ff + 1)) AS frame FROM fx_tracklets)""",
     "fx_scores": """
 SELECT vec_id // 5 AS tracklet, vec_id % 5 AS frame, list_transform(w, lambda v: v / list_sum(w)) AS p FROM (
-  SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS w FROM (SELECT vec_id, list_transform(embedding[1:10], lambda v: 40.0::DOUBLE * v::DOUBLE) AS z FROM embeddings))""",
+  SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS w FROM (SELECT vec_id, list_transform(range(10), lambda k: 40.0::DOUBLE * list_sum(list_transform(range(k + 1, len(embedding) + 1, 10), lambda i: embedding[i]::DOUBLE))) AS z FROM embeddings))""",
     "fx_dat": "SELECT frame, avg(v) AS S1, " + ", ".join(f"avg(v) FILTER (WHERE k = {k}) AS T{k + 1}" for k in range(4)) + """ FROM (
   SELECT floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::BIGINT + 1 AS frame, user_id % 4 AS k, value AS v FROM events) GROUP BY frame""",
 }

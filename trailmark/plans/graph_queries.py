@@ -83,15 +83,15 @@ def cc_score(spark, d):
     return gr.component_scores(parts, n)
 
 
-@query("WITH RECURSIVE " + REACH.format(depth=5) + " SELECT src, dst, min(hops) AS hops FROM vw_reach GROUP BY ALL")
+@query("WITH RECURSIVE " + REACH.format(depth=10) + " SELECT src, dst, min(hops) AS hops FROM vw_reach GROUP BY ALL")
 def hop_distance(spark, d):
-    return gr.hop_distance(fx.edges(nodes(spark, d)), 5)
+    return gr.hop_distance(fx.edges(nodes(spark, d)), 10)
 
 
-@query("WITH RECURSIVE " + REACH.format(depth=4) + " SELECT DISTINCT src, dst FROM vw_reach WHERE src % 3 = 0 AND src <> dst")
+@query("WITH RECURSIVE " + REACH.format(depth=10) + " SELECT DISTINCT src, dst FROM vw_reach WHERE src <> dst")
 def descendants(spark, d):
     t = nodes(spark, d)
-    return gr.descendants(fx.edges(t), t.where("tracklet % 3 = 0"), 4)
+    return gr.descendants(fx.edges(t), t, 10)
 
 
 @query("WITH RECURSIVE " + REACH.format(depth=10) + """,

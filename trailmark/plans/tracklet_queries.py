@@ -74,9 +74,9 @@ def load_ids(spark, d):
     return r.select("tracklet", "autoid", "manualid", "propid", kind.alias("kind"))
 
 
-@query("SELECT m FROM fx_movies WHERE m NOT IN (SELECT DISTINCT m FROM fx_xy WHERE ant = 'U03')")
+@query("SELECT m FROM fx_movies WHERE m NOT IN (SELECT DISTINCT m FROM fx_xy WHERE ant = 'U03' AND mf = 7 AND x > 0.003)")
 def missing_movies(spark, d):
-    return fx.movies(spark).select("m").join(fx.xy(spark, d).where("ant = 'U03'").select("m"), "m", "left_anti")
+    return fx.movies(spark).select("m").join(fx.xy(spark, d).where("ant = 'U03' and mf = 7 and x > 0.003").select("m"), "m", "left_anti")
 
 
 @query("SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) AS dt_us, event_id // 1000 AS folder FROM events")
@@ -142,12 +142,12 @@ def in_time(spark, d):
 
 @query("SELECT tracklet, label FROM fx_tracklets WHERE contains(tracklet::VARCHAR, '77')")
 def with_name(spark, d):
-    return tracks(spark, d).where(F.col("tracklet").cast("string").contains("77")).select("tracklet", "label")
+    return tk.with_name(tracks(spark, d), "77").select("tracklet", "label")
 
 
 @query("SELECT tracklet FROM fx_tracklets WHERE label IN ('A1', 'A5') AND score > 200000")
 def with_ids(spark, d):
-    return tracks(spark, d).where(F.col("label").isin("A1", "A5") & (F.col("score") > 200000)).select("tracklet")
+    return tk.with_ids(tracks(spark, d), ["A1", "A5"], 200000).select("tracklet")
 
 
 @query("""
@@ -168,16 +168,15 @@ def blob_filter(spark, d):
 
 @query("""
 SELECT tracklet, CASE WHEN min(c) = max(c) THEN min(c) END AS colony FROM (
-  SELECT tracklet, CASE WHEN floor(x * 4) < 2 THEN 1 WHEN floor(y * 4) < 2 THEN 2 END AS c FROM fx_untagged WHERE tracklet % 7 = 0) GROUP BY tracklet""")
+  SELECT tracklet, CASE WHEN floor(x * 4) < 2 THEN 1 WHEN floor(y * 4) < 2 THEN 2 END AS c FROM fx_untagged) GROUP BY tracklet""")
 def colony_of_tracklet(spark, d):
     cells = spark.createDataFrame([(x, y, 1 if x < 2 else 2) for x in range(4) for y in range(4) if x < 2 or y < 2], "cx long, cy long, colony int")
-    return tk.colony_of(fx.untagged(tracks(spark, d).where("tracklet % 7 = 0")), cells, 0.25)
+    return tk.colony_of(fx.untagged(tracks(spark, d)), cells, 0.25)
 
 
-@query("SELECT tracklet, frame, x * 0.02 AS x, y * 0.02 AS y, area * 0.0004 AS rarea FROM fx_untagged WHERE colony = 3")
+@query("SELECT tracklet, frame, x * 0.02 AS x, y * 0.02 AS y, area * 0.0004 AS rarea FROM fx_untagged")
 def scale_xy(spark, d):
-    u = fx.untagged(tracks(spark, d).where("colony = 3"))
-    return u.select("tracklet", "frame", (F.col("x") * 0.02).alias("x"), (F.col("y") * 0.02).alias("y"), (F.col("area") * 0.0004).alias("rarea"))
+    return tk.scaled(fx.untagged(tracks(spark, d)), 0.02).select("tracklet", "frame", "x", "y", "rarea")
 
 
 @query("SELECT event_id, f.frame, m, mf FROM (SELECT event_id, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::BIGINT + 1 AS frame FROM events) f JOIN fx_frames x ON f.frame = x.frame")
@@ -240,9 +239,9 @@ def tracklet_stats(spark, d):
 
 @query("""
 SELECT tracklet, frame, sqrt(vx * vx + vy * vy) AS vnorm, atan2(vy, vx) AS vang FROM (
-  SELECT tracklet, frame, (x - lag(x) OVER w) / 0.1 AS vx, (y - lag(y) OVER w) / 0.1 AS vy FROM fx_untagged WHERE colony = 2 WINDOW w AS (PARTITION BY tracklet ORDER BY frame))""")
+  SELECT tracklet, frame, (x - lag(x) OVER w) / 0.1 AS vx, (y - lag(y) OVER w) / 0.1 AS vy FROM fx_untagged WINDOW w AS (PARTITION BY tracklet ORDER BY frame))""")
 def tracklet_velocity(spark, d):
-    u = fx.untagged(tracks(spark, d).where("colony = 2")).withColumn("dt", F.lit(0.1))
+    u = fx.untagged(tracks(spark, d)).withColumn("dt", F.lit(0.1))
     return tk.tracklet_velocity(u).select("tracklet", "frame", "vnorm", "vang")
 
 
@@ -269,9 +268,9 @@ def assignment_report(spark, d):
     return tk.assignment_report(t.where(F.col("label").isin(*IDS)).select("colony", F.col("label").alias("id"), "len"), e, one.union(every))
 
 
-@query("SELECT ant, frame, arg_max(x, tracklet) AS x, max(tracklet) AS tracklet FROM (SELECT u.tracklet, frame, x, 'C' || u.colony || label AS ant FROM fx_untagged u JOIN fx_tracklets t ON u.tracklet = t.tracklet WHERE label LIKE 'A%' AND u.colony < 5) GROUP BY ant, frame")
+@query("SELECT ant, frame, arg_max(x, tracklet) AS x, max(tracklet) AS tracklet FROM (SELECT u.tracklet, frame, x, 'C' || u.colony || label AS ant FROM fx_untagged u JOIN fx_tracklets t ON u.tracklet = t.tracklet WHERE label LIKE 'A%') GROUP BY ant, frame")
 def stitch_xy(spark, d):
-    t = tracks(spark, d).where(F.col("label").isin(*IDS) & (F.col("colony") < 5))
+    t = tracks(spark, d).where(F.col("label").isin(*IDS))
     u = fx.untagged(t).join(t.select("tracklet", F.concat(F.lit("C"), F.col("colony").cast("string"), "label").alias("ant")), "tracklet")
     return tk.stitch(u, "tracklet").select("ant", "frame", "x", "tracklet")
 
@@ -355,13 +354,12 @@ def divide2groups(spark, d):
 
 @query("SELECT m FROM fx_movies WHERE (m - 1) % 4 = 0")
 def downsample(spark, d):
-    return fx.movies(spark).where(F.pmod(F.col("m") - 1, F.lit(4)) == 0).select("m")
+    return sm.downsample(fx.movies(spark), "m", 4).select("m")
 
 
 @query("SELECT m // 10 AS grp, min(m) AS first_m, max(m) AS last_m, string_agg(m::VARCHAR, ',' ORDER BY m) AS movies FROM fx_movies GROUP BY 1")
 def solve_groups(spark, d):
-    g = fx.movies(spark).groupBy(F.floor(F.col("m") / 10).cast("long").alias("grp"))
-    return g.agg(F.min("m").alias("first_m"), F.max("m").alias("last_m"), F.array_join(F.array_sort(F.collect_list("m")), ",").alias("movies"))
+    return sm.solve_groups(fx.movies(spark), 10).withColumn("movies", F.array_join("movies", ","))
 
 
 @query("SELECT a.colony, b.colony AS other, a.ids = b.ids AS same FROM (SELECT colony, list_sort(list(DISTINCT label)) AS ids FROM fx_tracklets GROUP BY 1) a JOIN (SELECT colony, list_sort(list(DISTINCT label)) AS ids FROM fx_tracklets GROUP BY 1) b ON b.colony = a.colony + 1")
@@ -378,5 +376,4 @@ def dict_merge(spark, d):
 
 @query("SELECT m, format('{}_{}', 10 * ((m - 1) // 10) + 1, 10 * ((m - 1) // 10) + 10) AS subdir FROM fx_movies")
 def subdirs(spark, d):
-    a = F.floor((F.col("m") - 1) / 10).cast("long") * 10
-    return fx.movies(spark).select("m", F.concat_ws("_", (a + 1).cast("string"), (a + 10).cast("string")).alias("subdir"))
+    return fx.movies(spark).select("m", names.subdir(F.col("m"), 10).alias("subdir"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark import fixtures as fx
-from trailmark.operators import tracks as tk
+from trailmark.functions import scalars as sc
+from trailmark.operators import pose as ps
 from trailmark.operators import untagged as ug
 from trailmark.plans.registry import query
 
 V = {
-    "vw_u": "SELECT *, sqrt(area) AS majax, sum(area) OVER (PARTITION BY colony, frame) AS total_area, area / nullif(sum(area) OVER (PARTITION BY colony, frame), 0) AS w FROM fx_untagged WHERE colony < 6",
+    "vw_u": "SELECT *, sqrt(area) AS majax, sum(area) OVER (PARTITION BY colony, frame) AS total_area, area / nullif(sum(area) OVER (PARTITION BY colony, frame), 0) AS w FROM fx_untagged",
     "vw_med": """
 SELECT colony, frame, CASE WHEN most > half THEN top WHEN c IS NULL THEN low WHEN c = half THEN (v + coalesce(n, v)) / 2 ELSE n END AS median FROM (
   SELECT colony, frame, arg_max(x, area) AS top, max(area) AS most, any_value(half) AS half, min(x) AS low, max(cum) FILTER (WHERE cum <= half) AS c,
@@ -22,7 +23,7 @@ SELECT colony, frame, CASE WHEN most > half THEN top WHEN c IS NULL THEN low WHE
 
 
 def rows(spark, d):
-    return fx.untagged(fx.tracklets(spark, d).where("colony < 6")).withColumn("majax", F.sqrt("area"))
+    return fx.untagged(fx.tracklets(spark, d)).withColumn("majax", F.sqrt("area"))
 
 
 KEY = ("colony", "frame")
@@ -75,7 +76,7 @@ def zscore(spark, d):
 
 @query("SELECT f.frame, m, S1 FROM fx_dat d JOIN fx_frames f ON d.frame = f.frame")
 def frmdata_by_movie(spark, d):
-    return fx.frames(spark).join(fx.dat(spark, d), "frame").select("frame", "m", "S1")
+    return ug.by_movie(fx.dat(spark, d), fx.frames(spark)).select("frame", "m", "S1")
 
 
 @query("SELECT x.m, x.mf, x.ant, 24 * (x.m - 1) + x.mf AS frame FROM fx_xy x")
@@ -96,12 +97,31 @@ def relative_bins(spark, d):
     return ug.relative_bins(fx.xy(spark, d), [0.0, 0.01, 0.02, 0.05], "x").select("ant", "frame", "bin", "fraction")
 
 
+_FEATURES = ("area", "dist_center", "angle_center", "dist_wall", "angle_wall", "dist_openwall", "angle_openwall", "dist_median", "angle_median")
+
+
 @query("""
-SELECT tracklet, frame, (x - lag(x) OVER w) / 0.1 AS dx, dist_center, angle_center, count(*) OVER (PARTITION BY colony, frame, floor(x / 0.001), floor(y / 0.001)) AS n_same FROM (
-  SELECT *, sqrt((x - 0.5) ** 2 + (y - 0.5) ** 2) AS dist_center, atan2(y - 0.5, x - 0.5) AS angle_center FROM vw_u) WINDOW w AS (PARTITION BY tracklet ORDER BY frame)""", V)
+WITH m AS (SELECT colony, frame, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM vw_u GROUP BY ALL),
+g AS (SELECT u.tracklet, u.colony, u.frame, u.x, u.y, u.area * 0.0004 AS area, atan2(u.y, u.x) AS theta, floor(u.x * 4)::BIGINT AS cx, floor(u.y * 4)::BIGINT AS cy, mx, my FROM vw_u u JOIN m ON u.colony = m.colony AND u.frame = m.frame),
+f AS (SELECT tracklet, colony, frame, area, 0.02 * sqrt((x - 0.5) ** 2 + (y - 0.5) ** 2) AS dist_center, theta - atan2(y - 0.5, x - 0.5) AS angle_center,
+  0.02 * (cx + cy + 1) AS dist_wall, theta - (cx - cy) / 4.0 AS angle_wall, 0.02 * (cx + 1) AS dist_openwall, theta - cy / 4.0 AS angle_openwall,
+  0.02 * sqrt((x - mx) ** 2 + (y - my) ** 2) AS dist_median, theta - atan2(y - my, x - mx) AS angle_median FROM g)
+SELECT tracklet, frame, """ + ", ".join(f"round({c}, 9) + 0.0 AS {c}, round(({c} - lag({c}) OVER w) / 0.1, 7) + 0.0 AS d{c}" for c in _FEATURES) + """
+FROM f WINDOW w AS (PARTITION BY tracklet ORDER BY frame)""", V)
 def jaaba_features(spark, d):
-    f = ug.derivative_features(ug.place_features(rows(spark, d), 0.5, 0.5).withColumn("dt", F.lit(0.1)), ["x"])
-    return f.select("tracklet", "frame", "dx", "dist_center", "angle_center", "n_same")
+    """Distances to walls come from a grid of cells (cx, cy), as a picture of the arena gives them."""
+    grid = spark.range(16).select((F.col("id") % 4).alias("cx"), F.floor(F.col("id") / 4).cast("long").alias("cy"))
+    grid = grid.select("cx", "cy", (F.col("cx") + F.col("cy") + 1.0).alias("wall"), ((F.col("cx") - F.col("cy")) / 4.0).alias("wall_angle"), (F.col("cx") + 1.0).alias("openwall"), (F.col("cy") / 4.0).alias("openwall_angle"))
+    u = rows(spark, d).withColumns({"theta": F.atan2("y", "x"), "dt": F.lit(0.1)})
+    f = ug.derivative_features(ug.arena_features(u, grid, cell=0.25, centre=(0.5, 0.5), scale=0.02, key=KEY), _FEATURES)
+    return f.select("tracklet", "frame", *[(F.round(c, 9) + 0.0).alias(c) for c in _FEATURES], *[(F.round(f"d{c}", 7) + 0.0).alias(f"d{c}") for c in _FEATURES])
+
+
+@query("""
+SELECT a.tracklet, a.frame, count(*) FILTER (WHERE 0.02 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.001) AS n_in_blob, avg((0.02 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.001)::INT::DOUBLE) AS frac_in_blob
+FROM vw_u a JOIN vw_u b ON a.colony = b.colony AND a.frame = b.frame GROUP BY ALL""", V)
+def jaaba_social(spark, d):
+    return ug.blob_mates(rows(spark, d), near=0.001, scale=0.02, key=KEY).select("tracklet", "frame", "n_in_blob", "frac_in_blob")
 
 
 @query("SELECT frame, coalesce(S1 - lag(S1) OVER (ORDER BY frame), T1, 0.1) AS tracking_dt FROM fx_dat")
@@ -114,7 +134,7 @@ def tracking_dt(spark, d):
 @query("SELECT f.frame, S1 AS dt FROM (SELECT unnest([10, 20, 30, 999]) AS frame) f LEFT JOIN fx_dat d ON f.frame = d.frame")
 def frame_intervals(spark, d):
     p = spark.createDataFrame([(x,) for x in (10, 20, 30, 999)], "frame long")
-    return p.join(fx.dat(spark, d).select("frame", F.col("S1").alias("dt")), "frame", "left")
+    return ug.at_frames(fx.dat(spark, d).withColumnRenamed("S1", "dt"), p, ["dt"])
 
 
 @query("SELECT ant, frame, atan2(0.05 - x, 0.05 - y) AS a, ((x * 100 + 1.5) % 3) - 1.5 AS wrapped FROM fx_xy")
@@ -127,38 +147,35 @@ def angle_fn(spark, d):
 
 @query("SELECT tracklet, frame, list_transform(p, lambda v: v / list_sum(p)) AS p FROM fx_scores".replace("list_transform(p, lambda v: v / list_sum(p)) AS p", "round(p[1] / list_sum(p), 12) AS p1, round(p[10] / list_sum(p), 12) AS p10"))
 def row_normalize(spark, d):
-    total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
-    n = fx.scores(spark, d).select("tracklet", "frame", F.transform("p", lambda v: v / total).alias("p"))
+    n = fx.scores(spark, d).select("tracklet", "frame", sc.row_normal(F.col("p")).alias("p"))
     return n.select("tracklet", "frame", F.round(F.get("p", F.lit(0)), 12).alias("p1"), F.round(F.get("p", F.lit(9)), 12).alias("p10"))
 
 
 @query("SELECT tracklet, round(x0 + w / 2.0 - s / 2.0) AS bx, round(y0 + h / 2.0 - s / 2.0) AS by, s AS size FROM (SELECT *, greatest(w, h) + 4 AS s FROM (SELECT tracklet, tracklet % 101 AS x0, tracklet % 97 AS y0, tracklet % 13 + 2 AS w, tracklet % 7 + 3 AS h FROM fx_tracklets))")
 def squarebbox(spark, d):
     t = fx.tracklets(spark, d).selectExpr("tracklet", "tracklet % 101 as x0", "tracklet % 97 as y0", "tracklet % 13 + 2 as w", "tracklet % 7 + 3 as h")
-    t = t.withColumn("size", F.greatest("w", "h") + 4)
-    at = lambda a, b: F.round(F.col(a) + F.col(b) / 2 - F.col("size") / 2)
-    return t.select("tracklet", at("x0", "w").alias("bx"), at("y0", "h").alias("by"), "size")
+    x, y, size = sc.square_box(*[F.col(c) for c in ("x0", "y0", "w", "h")])
+    return t.select("tracklet", x.alias("bx"), y.alias("by"), size.alias("size"))
 
 
 @query("SELECT coalesce(a.ant, b.ant) AS ant, coalesce(a.frame, b.frame) AS frame, coalesce(a.x, b.x) AS x FROM (SELECT * FROM fx_xy WHERE frame % 2 = 0) a FULL JOIN (SELECT ant, frame, x + 1 AS x FROM fx_xy WHERE frame % 3 = 0) b ON a.ant = b.ant AND a.frame = b.frame")
 def combine_pose(spark, d):
     x = fx.xy(spark, d)
-    pose = x.where("frame % 3 = 0").select("ant", "frame", (F.col("x") + 1).alias("px"))
-    return x.where("frame % 2 = 0").join(pose, ["ant", "frame"], "full").select("ant", "frame", F.coalesce("x", "px").alias("x"))
+    pose = x.where("frame % 3 = 0").select("ant", "frame", (F.col("x") + 1).alias("x"))
+    return ps.combined(x.where("frame % 2 = 0"), pose, ["ant", "frame"], ["x"])
 
 
 @query("SELECT ant, frame, CASE WHEN x * 10 >= 0.3 THEN x * (x * 10) END AS x, CASE WHEN x * 10 >= 0.3 THEN y * (x * 10) END AS y FROM fx_xy")
 def pose_mask(spark, d):
-    x = fx.xy(spark, d).withColumn("likelihood", F.col("x") * 10)
-    ok = F.least("likelihood", F.lit(1e9)) >= 0.3
-    return x.select("ant", "frame", *[F.when(ok, F.col(c) * F.col("likelihood")).alias(c) for c in ("x", "y")])
+    d = fx.xy(spark, d)
+    x, y = ps.weighted(F.col("x") * 10, 0.3, F.col("x"), F.col("y"))
+    return d.select("ant", "frame", x.alias("x"), y.alias("y"))
 
 
 @query("SELECT a.ant, a.frame, a.x - r.x AS x, a.y - r.y AS y FROM fx_xy a JOIN fx_xy r ON a.frame = r.frame AND r.ant = 'U00' WHERE a.ant <> 'U00'")
 def pose_relative(spark, d):
     x = fx.xy(spark, d)
-    r = x.where("ant = 'U00'").select("frame", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    return x.where("ant <> 'U00'").join(r, "frame").select("ant", "frame", (F.col("x") - F.col("rx")).alias("x"), (F.col("y") - F.col("ry")).alias("y"))
+    return ps.relative_to(x.where("ant <> 'U00'"), x.where("ant = 'U00'"), ["frame"]).select("ant", "frame", "x", "y")
 
 
 @query("SELECT f.frame, f.m, 'U' || lpad(i::VARCHAR, 2, '0') AS ant, ((f.mf * 37 + i) % 100) / 100.0::DOUBLE AS score FROM fx_frames f, (SELECT unnest(range(4)) AS i)")

@@ -138,6 +138,46 @@ def missing(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.select("m").distinct().join(done.select("m"), "m", "left_anti")
 
 
+def write_graph(path: str, nodes: DataFrame, edges: DataFrame, node_ids: DataFrame | None = None) -> None:
+    """Nodes (tracklet, colony, m, ...), edges (colony, m, src, dst; m is the parent's movie) and the long table of ids, each split by colony and movie."""
+    tables = {"nodes": nodes, "edges": edges} | ({"node_ids": node_ids} if node_ids is not None else {})
+    for name, df in tables.items():
+        by = [c for c in ("colony", "m") if c in df.columns]
+        df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, table: str, *, colonies: Sequence[int] | None = None, movies: Sequence[int] | None = None) -> DataFrame:
+    """A table of a stored graph; colonies and movies choose folders, so the others are not read."""
+    d = spark.read.parquet(f"{path}/{table}")
+    if colonies is not None:
+        d = d.where(F.col("colony").isin(*colonies))
+    return d.where(F.col("m").isin(*movies)) if movies is not None else d
+
+
+def write_xy(df: DataFrame, path: str) -> None:
+    """Trajectories (colony, type, m, ...): final, without propagation or untagged ones in folders of their own."""
+    df.repartition("type", "colony", "m").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "colony", "m").parquet(path)
+
+
+def read_xy(spark: SparkSession, path: str, *, type: str = "final", colony: int | None = None, movies: Sequence[int] | None = None, ants: Sequence[str] | None = None) -> DataFrame:
+    d = spark.read.parquet(path).where(F.col("type") == type)
+    for c, keep in (("colony", None if colony is None else [colony]), ("m", movies), ("ant", ants)):
+        d = d if keep is None else d.where(F.col(c).isin(*keep))
+    return d
+
+
+def read_pose(spark: SparkSession, path: str | Sequence[str], movies: Sequence[int] | None = None) -> DataFrame:
+    """Pose files turned to Parquet (tracklet, ix, bodypart, x, y, likelihood[, m])."""
+    d = nan_to_null(spark.read.parquet(*([path] if isinstance(path, str) else path)))
+    return d if movies is None else d.where(F.col("m").isin(*movies))
+
+
+def append_command(spark: SparkSession, path: str, command: str, tracklet: str, value: object) -> None:
+    """One more line 'command tracklet value' of a folder of manual commands; truth values are written as 1 and 0."""
+    text = str(int(value)) if isinstance(value, bool) else str(value)
+    spark.createDataFrame([(f"{command} {tracklet} {text}",)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, sep=sep, header=True, nullValue="")
 
