@@ -13,19 +13,23 @@ has the fewest shingles of its own (an original rather than an edited copy), the
 outside a column's largest component with random ones. Rounds end when the products between components
 that are left are a few per column entry, or when they no longer shrink. From then on a column
 only gives pairs that lie in different components: those of documents outside its largest
-component. A pair is dropped where its sizes without columns held by one document alone, or the parity
+component, multiplied in blocks of bounded size. A pair is dropped where its sizes without columns held by one document alone, or the parity
 bitmaps of its columns (each differing column flips one bit), show too small an overlap. The others' overlaps in
 the prefix are added up over columns: outside both prefixes a pair shares less than need(n) columns, so
 those whose sum cannot reach the bound are dropped, and the rest is computed in full. No pair of the threshold is lost: it either
 lies in one component already or is compared.
 
+The products add up the overlap in the prefixes only, as all columns of a pair would be many times the rows; the overlap
+that decides is counted from the two sets of the few pairs that are left.
+
 Frequent shingles: one found 64 times or more in one batch sends its block only a count, and the
 documents' rows go around the block, spread by batch. All such shingles come last in the order.
 
 Defined results: null or empty texts have no shingles and link with nothing. Texts with equal
 shingle sets are one class. A row without doc_id has a null component and links with nothing. Rows that
 repeat a doc_id are one node of the graph (with the largest of their sets); each row is returned
-with its own n_shingles. Hashes of 64 bits tell shingles apart, 48 of them in comparisons.
+with its own n_shingles. A very long text is one set, handled in a batch of its own. An empty table gives no rows. Other
+columns of docs are not read, so their names cannot clash. Hashes of 64 bits tell shingles apart, 48 of them in comparisons.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ META = "key long, n long, d1 long, d2 long"
 COLD, COUNTS, AROUND = 0, 1, 2
 #: Random pivots of a column in a round; products per column entry at which rounds end.
 PIVOTS, ENOUGH = 8, 2
+#: Rows of a column on either side of a block of its last products; parts into which a class of equal sets is dealt.
+BLOCK, SALTS = 2048, 16
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -346,10 +352,15 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
         links.append(stored(verify(_pivot_pairs(p, leads, percent, len(seeds)), sets, percent), "pivot-links"))
         p, before, turn = _labelled(prefix, links), left if turn else math.inf, turn + 1
     marks = sets.mapInArrow(_bitmaps, "key long, s0 long, s1 long, s2 long, s3 long")
-    rest = stored(p.join(leads.select("h", "main"), "h").join(marks, "key"), "rest")
+    # a column's products are cut into blocks of BLOCK rows a side, so that none is one task's
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    wide = leads.select("h", "main", blocks(F.col("all") - F.col("most")).alias("xs"), blocks(F.col("all")).alias("ys"))
+    rest = stored(p.join(wide, "h").join(marks, "key"), "rest")
     part = ("key", "n", "alone", "c", "s0", "s1", "s2", "s3")
-    x = rest.where("c <> main").select("h", "main", F.struct(*part).alias("x"))
-    y = rest.select("h", F.struct(*part).alias("y"))
+    own = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    x = rest.where("c <> main").select("h", "main", own("xs").alias("i"), every("ys").alias("j"), F.struct(*part).alias("x"))
+    y = rest.select("h", every("xs").alias("i"), own("ys").alias("j"), F.struct(*part).alias("y"))
     n, m = F.col("x.n"), F.col("y.n")
     differ = F.col("x.alone") + F.col("y.alone")
     for k in range(4):
@@ -357,7 +368,7 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
     # sets that differ in d have an overlap of (n + m - d) / 2; a pair outside its main component is met from either side
     fits = _possible(n, F.col("x.alone"), m, F.col("y.alone"), percent) & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m))
     once = (F.col("y.c") == F.col("main")) | (F.col("x.key") < F.col("y.key"))
-    met = x.join(y, "h").where((F.col("x.c") != F.col("y.c")) & once & fits)
+    met = x.join(y, ["h", "i", "j"]).where((F.col("x.c") != F.col("y.c")) & once & fits)
     count = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest(n, m)).alias("n"), F.max(n + m).alias("both"))
     pairs = count.where((100 + percent) * (F.col("k") + F.ceil(F.col("n") * percent / 100) - 1) >= percent * F.col("both"))
     links.append(stored(verify(pairs, sets, percent), "pair-links"))
@@ -371,8 +382,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc
     """(doc_id, n_shingles, component_id), a row per row of docs."""
     meta = stored(shingle_meta(docs, doc_id=doc_id, text=text, size=size), "shingle-meta")
     full = meta.where("n > 0 and key is not null")
-    classes = full.groupBy("n", "d1", "d2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    equal = full.join(classes, ["n", "d1", "d2"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    # a class may hold a third of all rows: they meet its least document in parts
+    part = ["n", "d1", "d2", "salt"]
+    classes = stored(full.groupBy("n", "d1", "d2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "classes")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    equal = salted.join(classes, part).select(F.col("key").alias("a"), F.col("rep").alias("b"))
     links = similar_links(docs, percent, doc_id=doc_id, text=text, size=size).union(equal)
     parts = connected_components(links)
     out = meta.join(parts, F.col("key") == F.col("node"), "left")
