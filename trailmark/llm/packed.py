@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -39,10 +39,11 @@ class PackedTable:
 
     def pack(self, split: list[list[str]]) -> list[bytes]:
         """The ids of each list of units."""
-        units = set().union(*split)
-        new = units.difference(self.rows)
         if self.held > self.limit:
-            self.older, self.rows, self.held, new = self.rows, {}, 0, units
+            self.older, self.rows, self.held = self.rows, {}, 0
+        new: set[str] = set()
+        for s in split:
+            new.update(filterfalse(self.rows.__contains__, s))
         if self.older:
             again = new.intersection(self.older)
             self.rows.update((u, self.older[u]) for u in again)

@@ -9,12 +9,14 @@ running sum. A file is a sequence of blocks of whole documents:
     block  = u32 documents, u32 ids, u32 data bytes, i64 key per document, u32 length per
              document, control bytes, data bytes            (all little-endian)
 
-Text is cut where the pre-tokenizer always cuts, between words and white space; each task keeps a
-table of the units it has met and lets the library encode each once. Texts that hold a special token's string go to the
-library as a whole.
+Text is cut where the pre-tokenizer always cuts, between words, marks and white space; each worker process
+keeps a bounded table of the units it has met (see packed) and asks the library for the new ones of about
+2 MB of text at a time. Texts that hold a special token's string go to the library as a whole.
 
 Defined results: a null or empty text is its end id alone. Documents are ordered by key, and rows that
-repeat a key by their ids; a null key is refused, since the files are ordered by it.
+repeat a key by their ids; a null key is refused, since the files are ordered by it. A very long text
+is encoded whole, in a batch and a block of its own, and must fit in a task's memory. An empty table gives no
+files and no rows. Other columns of docs are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,14 +34,25 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import shared_dir, stored
 from trailmark.llm.files import WholeFile, as_uri, made, read_files
+from trailmark.llm.packed import PackedTable
+from trailmark.llm.shingles import chunks
 
 MAGIC = b"RKVB0001"
 #: Fixed value: white space as the byte-level pre-tokenizer sees it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A run of other characters with the blank before it, or white space up to that blank. The pre-tokenizer cuts
-#: such units further, but never joins two of them, so each may be encoded alone.
-UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-TABLE_ROWS, BATCH, IDS_PER_FILE, IDS_PER_BLOCK = 600_000, 256, 4_000_000, 500_000
+#: Characters that the pre-tokenizer parts from letters and digits on either side; an apostrophe may begin a contraction.
+MARKS = re.escape('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
+LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
+#: Letters and digits up to a mark or white space, with the blank before them; any other run up to white space; white
+#: space up to such a blank. The pre-tokenizer cuts these units further, but never joins two of them.
+UNIT = re.compile(f" ?[{LETTERS}]+(?![^{SPACE}{MARKS}])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Byte -> the character that stands for it in the vocabulary: itself if it is visible in Latin-1, the others count up from 256.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+AS_CHARS = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
+#: Bytes of a generation of a worker's table of units.
+TABLE = 96 << 20
+IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
 #: Bytes of each of the four ids that a control byte speaks of.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
 
@@ -60,30 +73,29 @@ def id_type(path: str) -> str:
 
 
 class UnitTable:
-    """Unit of text -> its ids as bytes, encoded by the library when first met."""
+    """Ids of texts as bytes, through a table of units."""
 
     def __init__(self, path: str):
-        self.tk, self.rows = tokenizer(path), {}
-        self.kind = id_type(path)
+        self.tk, self.kind = tokenizer(path), id_type(path)
         self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-
-    def packed(self, text: str) -> bytes:
-        return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.packed(text)
-        units, rows = UNIT.findall(text), self.rows
-        try:
-            return b"".join(map(rows.__getitem__, units))
-        except KeyError:
-            new = [u for u in dict.fromkeys(units) if u not in rows]
-        if len(rows) + len(new) > TABLE_ROWS:
-            rows.clear()
-            new = list(dict.fromkeys(units))
-        for u, e in zip(new, self.tk.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            rows[u] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(rows.__getitem__, units))
+        self.table = PackedTable(self._units, self.kind, TABLE)
+        self.model = self.tk.model
+
+    def _units(self, units: list[str]) -> list[list[int]]:
+        # a run of letters is one word of the pre-tokenizer, which the library's model takes as it is, byte by byte
+        rest = [u for u in units if not WORD.fullmatch(u)]
+        found = dict(zip(rest, (e.ids for e in self.tk.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        tokens = self.model.tokenize
+        return [found[u] if u in found else [t.id for t in tokens(u.encode().decode("latin-1").translate(AS_CHARS))] for u in units]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # equal texts are encoded once; a text with the string of a special token is one unit, which stays out of the table
+        whole = {t for t in texts if any(s in t for s in self.special)}
+        plain = [t for t in dict.fromkeys(texts) if t not in whole]
+        found = dict(zip(plain, self.table.pack([UNIT.findall(t) for t in plain]), strict=True))
+        for t in whole:
+            found[t] = np.array(self.tk.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+        return [found[t] for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -121,9 +133,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, key: str
         table = unit_table(tokenizer_path)
         end = np.array([end_id], table.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                found = [table.encode(t or "") + end for t in part.column(1).to_pylist()]
+            for a, b in chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found = [x + end for x in table.encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(end) for x in found], pa.int64()), pa.array(found, pa.binary())], ["key", "n", "ids"])
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(work, "key long, n long, ids binary")
