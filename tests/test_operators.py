@@ -342,8 +342,11 @@ def test_solver_invariants(spark):
     assert s.where("assigned and not possible").count() == 0
     from trailmark import fixtures as fx
 
+    from trailmark.plans.graph_queries import GROUP
+
     t = fx.tracklets(spark, SMALL).select("tracklet", "fi", "ff")
-    a = s.where("assigned").join(t, "tracklet").withColumn("g", F.concat_ws(":", F.col("colony").cast("string"), "id")).select("g", "tracklet", "fi", "ff")
+    grp = F.floor((F.col("fi") - 1) / GROUP).cast("string")
+    a = s.where("assigned").join(t, "tracklet").withColumn("g", F.concat_ws(":", F.col("colony").cast("string"), grp, "id")).select("g", "tracklet", "fi", "ff")
     assert iv.overlaps(a, on="g").count() == 0
 
 
@@ -353,6 +356,20 @@ def test_counts_through_a_diamond(spark):
     assert values(sv.infer_counts(n, e), "tracklet", "nants") == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 1), (6, 0)]
 
 
+def test_counts_split_diamonds_alike(spark):
+    n = spark.createDataFrame([(1, 1.0, True), (2, 1.0, True), (3, 9.0, False), (4, 9.0, False), (5, 9.0, False), (6, 9.0, False)], "tracklet long, area double, single boolean")
+    e = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6)], "src long, dst long")
+    assert values(sv.infer_counts(n, e), "tracklet", "nants") == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 1), (6, None)]
+
+
+def test_prune_drops_late_roots_and_early_leaves(spark):
+    k = 12
+    nodes = spark.createDataFrame([(i, 1, 10 * i, 10 * i + 9) for i in range(k)] + [(1000, 1, 50, 59), (1001, 1, 80, 89)], "tracklet long, colony long, fi long, ff long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(k - 1)] + [(1000, 7), (3, 1001)], "src long, dst long")
+    parts = nodes.select("tracklet", F.lit(0).cast("long").alias("component"))
+    assert values(gr.prune_components(parts, nodes, edges, margin=5), "tracklet") == [(i,) for i in range(k)]
+
+
 def test_bottleneck_diamond(spark):
     n = spark.createDataFrame([(1, 0, 1, 5), (2, 0, 1, 5), (3, 0, 6, 10), (4, 0, 11, 15), (5, 0, 11, 15), (6, 0, 16, 20)], "tracklet long, colony long, fi long, ff long")
     e = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6)], "src long, dst long")

@@ -19,6 +19,16 @@ def display_map(x: Column) -> Column:
     return F.signum(x) * F.when(size < 10, 1.5 * size).otherwise(size + 5)
 
 
+def index_of(frame: Column, fi: Column, ff: Column) -> Column:
+    """The position (1..) of a frame in a tracklet's life, NULL outside it."""
+    return F.when((frame >= fi) & (frame <= ff), frame - fi + 1)
+
+
+def frame_of(index: Column, fi: Column, ff: Column) -> Column:
+    """The frame at a position (1..) of a tracklet's life, NULL outside it."""
+    return F.when((index >= 1) & (index <= ff - fi + 1), fi + index - 1)
+
+
 def angle_difference(a: Column, b: Column) -> Column:
     """a - b taken the short way round, in [-pi, pi)."""
     from trailmark.model import wrap

@@ -98,19 +98,23 @@ def component_scores(parts: DataFrame, nodes: DataFrame) -> DataFrame:
     return g.withColumn("score", (F.col("ff") - F.col("fi") + 1) * (0.1 + F.col("assigned")) * (0.1 + F.col("sources")) * F.col("best"))
 
 
-def _swept(keep: DataFrame, alive: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Nodes of ``alive`` reachable from ``keep`` along edges."""
+def _swept(keep: DataFrame, alive: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes of ``alive`` reachable from ``keep`` along edges; a round follows the links of the last round's nodes only.
+
+    There are as many rounds as links on the longest shortest path, in chunks of movies a few hundred at most.
+    """
     known = front = cut(keep)
-    for _ in range(rounds):
+    rounds = 0
+    while True:
         step = front.join(edges, front.tracklet == edges.src).select(F.col("dst").alias("tracklet")).distinct()
         front = cut(step.join(alive, "tracklet", "left_semi").join(known, "tracklet", "left_anti"))
         if front.isEmpty():
-            break
-        known = known.union(front)
-    return known
+            return known
+        rounds += 1
+        known = known.union(front) if rounds % 8 else cut(known.union(front))
 
 
-def prune_components(parts: DataFrame, nodes: DataFrame, edges: DataFrame, *, margin: int = 100, rounds: int = 1000) -> DataFrame:
+def prune_components(parts: DataFrame, nodes: DataFrame, edges: DataFrame, *, margin: int = 100) -> DataFrame:
     """Nodes that remain after dropping those not reachable from a root near their component's start, then those
     that reach no leaf near its end. parts: (tracklet, component)."""
     d = parts.join(nodes.select("tracklet", "fi", "ff"), "tracklet")
@@ -118,11 +122,11 @@ def prune_components(parts: DataFrame, nodes: DataFrame, edges: DataFrame, *, ma
     d = cut(d.join(span, "component"))
     e = cut(subgraph(edges.select("src", "dst"), d))
     roots = d.join(e, d.tracklet == e.dst, "left_anti").where(F.col("fi") <= F.col("c_fi") + margin).select("tracklet")
-    one = _swept(roots, d.select("tracklet"), e, rounds)
+    one = _swept(roots, d.select("tracklet"), e)
     d2 = d.join(one, "tracklet", "left_semi")
     e2 = cut(subgraph(e, d2))
     leaves = d2.join(e2, d2.tracklet == e2.src, "left_anti").where(F.col("ff") >= F.col("c_ff") - margin).select("tracklet")
-    return _swept(leaves, d2.select("tracklet"), e2.select(F.col("dst").alias("src"), F.col("src").alias("dst")), rounds)
+    return _swept(leaves, d2.select("tracklet"), e2.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def merge(nodes: list[DataFrame], edges: list[DataFrame], links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -275,14 +275,15 @@ def effective_ids(tracks: DataFrame, auto: DataFrame, manual: DataFrame, injecte
     return d.withColumns({"propid": F.coalesce("inid", "manualid", "autoid", F.lit("")), "propscore": score}).drop("autoscore", "inscore", "inid", "manualid", "autoid")
 
 
-def soft_assign(state: DataFrame, nodes: DataFrame, parts: DataFrame, *, long: int = 2000) -> DataFrame:
+def soft_assign(state: DataFrame, nodes: DataFrame, parts: DataFrame, *, long: int | None = 2000) -> DataFrame:
     """state with ``exported``: the node lies in a component of its id that holds an assigned node or spans
-    ``long`` frames, and at every frame of its life is the only node of such components that is possible.
+    ``long`` frames (None, for an arena with an open boundary: assigned nodes alone count), and at every frame of its life is
+    the only node of such components that is possible.
 
     parts: (colony, id, tracklet, component).
     """
     d = state.where("possible").join(nodes.select("tracklet", "fi", "ff"), "tracklet").join(parts, ["colony", "id", "tracklet"])
-    good = d.groupBy("colony", "id", "component").agg(F.bool_or("assigned").alias("any"), (F.max("ff") - F.min("fi") + 1).alias("span")).where(F.col("any") | (F.col("span") >= long))
+    good = d.groupBy("colony", "id", "component").agg(F.bool_or("assigned").alias("any"), (F.max("ff") - F.min("fi") + 1).alias("span")).where(F.col("any") if long is None else F.col("any") | (F.col("span") >= long))
     d = d.join(good.select("colony", "id", "component"), ["colony", "id", "component"], "left_semi")
     lap = overlap_join(d.select("colony", "id", "tracklet", "fi", "ff"), d.select("colony", "id", "tracklet", "fi", "ff"), ["colony", "id"], width=32).where("tracklet_a <> tracklet_b")
     shared = lap.select("colony", "id", F.col("tracklet_a").alias("tracklet"), F.lit(True).alias("shared")).distinct()
@@ -293,21 +294,23 @@ def soft_assign(state: DataFrame, nodes: DataFrame, parts: DataFrame, *, long: i
 def export_xy(soft: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(colony, ant, frame, x, y, ass_type) of exported nodes: 1 source, 2 assigned single, 3 assigned multi, 4 soft.
 
-    Where exported nodes of one ant share a frame the later node (fi, tracklet) counts.
+    If rows have orient or area, the result has them, for single nodes only. Gaps are filled by ``trajectory.interpolate_gaps``. Where exported nodes of one ant share a frame the later node (fi, tracklet) counts.
     """
     kind = F.when(F.col("source"), 1).when(F.col("assigned") & F.col("single"), 2).when(F.col("assigned"), 3).otherwise(4)
-    e = soft.where("exported").join(nodes.select("tracklet", "fi", "single", "source"), "tracklet").select("colony", F.col("id").alias("ant"), "tracklet", "fi", kind.alias("ass_type"))
-    d = e.join(rows.select("tracklet", "frame", "x", "y"), "tracklet")
+    e = soft.where("exported").join(nodes.select("tracklet", "fi", "single", "source"), "tracklet").select("colony", F.col("id").alias("ant"), "tracklet", "fi", "single", kind.alias("ass_type"))
+    more = [c for c in ("orient", "area") if c in rows.columns]
+    d = e.join(rows.select("tracklet", "frame", "x", "y", *more), "tracklet").withColumns({c: F.when(F.col("single"), F.col(c)) for c in more})
     w = Window.partitionBy("colony", "ant", "frame").orderBy(F.desc("fi"), F.desc("tracklet"))
-    return d.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("colony", "ant", "frame", "x", "y", "ass_type")
+    return d.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("colony", "ant", "frame", "x", "y", "ass_type", *more)
 
 
-def infer_counts(nodes: DataFrame, edges: DataFrame, *, rounds: int = 50, small: float = 0.0) -> DataFrame:
+def infer_counts(nodes: DataFrame, edges: DataFrame, *, small: float = 0.0) -> DataFrame:
     """(tracklet, nants): how many animals a tracklet holds, NULL where nothing tells.
 
     Singles hold 1, lone small tracklets 0. A node whose parents are all known, and have no other children, holds
-    their sum less its known siblings; the same along children. Repeated until nothing changes; in a round all nodes
-    are judged by the last round's counts, so the order of nodes does not matter.
+    their sum less its known siblings; the same along children. Repeated until a round tells nothing new; in a round all
+    nodes are judged by the last round's counts, so the order of nodes does not matter. Last, what is left of diamonds is
+    split: unknown nodes with the same parents and the same children share alike what their parents hold.
     """
     from trailmark.operators.components import cut
     from trailmark.operators.tracks import degrees
@@ -331,10 +334,32 @@ def infer_counts(nodes: DataFrame, edges: DataFrame, *, rounds: int = 50, small:
         ok = F.col("all") & F.coalesce("sall", F.lit(True)) & (F.coalesce("foreign", F.lit(0)) == 0)
         return g.where(ok).select("tracklet", F.greatest(F.col("s") - F.coalesce("t", F.lit(0)), F.lit(0)).alias("g"))
 
-    for _ in range(rounds):
+    known = n.where("nants is not null").count()
+    while True:
         up, down = guess(e), guess(back).withColumnRenamed("g", "h")
-        new = cut(n.join(up, "tracklet", "left").join(down, "tracklet", "left").select("tracklet", F.coalesce("nants", "g", "h").alias("nants")))
-        if new.where("nants is not null").count() == n.where("nants is not null").count():
+        n = cut(n.join(up, "tracklet", "left").join(down, "tracklet", "left").select("tracklet", F.coalesce("nants", "g", "h").alias("nants")))
+        before, known = known, n.where("nants is not null").count()
+        if known == before:
             break
-        n = new
-    return n
+    return _split_diamonds(n, e)
+
+
+def _split_diamonds(n: DataFrame, e: DataFrame) -> DataFrame:
+    """n with unknown nodes of a diamond, all nodes between one parent and one child, given equal parts of what the parent holds."""
+    one = lambda key, other, s: e.groupBy(F.col(key).alias("tracklet")).agg(F.min(other).alias(s), F.count(F.lit(1)).alias(f"n_{s}"))
+    d = n.join(one("dst", "src", "top"), "tracklet").join(one("src", "dst", "bottom"), "tracklet").where("n_top = 1 and n_bottom = 1")
+    sides = d.groupBy("top", "bottom").agg(F.count(F.lit(1)).alias("sides"), F.count("nants").alias("told")).where("sides > 1 and told = 0")
+    out, into = e.groupBy(F.col("src").alias("top")).agg(F.count(F.lit(1)).alias("outs")), e.groupBy(F.col("dst").alias("bottom")).agg(F.count(F.lit(1)).alias("ins"))
+    whole = sides.join(out, "top").join(into, "bottom").where("outs = sides and ins = sides")
+    held = n.where("nants is not null").select(F.col("tracklet").alias("top"), F.col("nants").alias("held"))
+    part = d.select("tracklet", "top", "bottom").join(whole, ["top", "bottom"]).join(held, "top").where("held % sides = 0").select("tracklet", (F.col("held") / F.col("sides")).cast("long").alias("part"))
+    return n.join(part, "tracklet", "left").select("tracklet", F.coalesce("nants", "part").alias("nants"))
+
+
+def exits_and_entrances(tracks: DataFrame, counts: DataFrame, edges: DataFrame, boundary: DataFrame) -> DataFrame:
+    """(tracklet, kind, frame, nants): tracklets at an open boundary that end without a child leave, those that begin without a
+    parent enter. boundary: (tracklet, at_start, at_end)."""
+    d = tracks.select("tracklet", "fi", "ff").join(counts, "tracklet").join(boundary, "tracklet")
+    ends = d.where("at_end").join(edges, d.tracklet == edges.src, "left_anti").select("tracklet", F.lit("exit").alias("kind"), F.col("ff").alias("frame"), "nants")
+    starts = d.where("at_start").join(edges, d.tracklet == edges.dst, "left_anti").select("tracklet", F.lit("entrance").alias("kind"), F.col("fi").alias("frame"), "nants")
+    return ends.union(starts)

@@ -9,10 +9,11 @@ from trailmark.model import MULTI_LABELS, NON_ANT_LABELS
 
 
 def tracklet_stats(rows: DataFrame) -> DataFrame:
-    """Mean area, length and end points of each tracklet from its rows per frame."""
+    """Mean area, length and end points of each tracklet from its rows per frame, and whether any touches the boundary, if rows say so."""
     first, last = F.min_by(F.struct("x", "y"), "frame"), F.max_by(F.struct("x", "y"), "frame")
-    s = rows.groupBy("tracklet").agg(F.avg("area").alias("mean_area"), F.count(F.lit(1)).alias("len"), F.min("frame").alias("fi"), F.max("frame").alias("ff"), first.alias("i"), last.alias("f"))
-    return s.select("tracklet", "mean_area", "len", "fi", "ff", F.col("i.x").alias("xi"), F.col("i.y").alias("yi"), F.col("f.x").alias("xf"), F.col("f.y").alias("yf"))
+    touch = [F.bool_or("boundary").alias("boundary")] if "boundary" in rows.columns else []
+    s = rows.groupBy("tracklet").agg(*touch, F.avg("area").alias("mean_area"), F.count(F.lit(1)).alias("len"), F.min("frame").alias("fi"), F.max("frame").alias("ff"), first.alias("i"), last.alias("f"))
+    return s.select("tracklet", "mean_area", "len", "fi", "ff", F.col("i.x").alias("xi"), F.col("i.y").alias("yi"), F.col("f.x").alias("xf"), F.col("f.y").alias("yf"), *["boundary"] * len(touch))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, node: str = "tracklet") -> DataFrame:

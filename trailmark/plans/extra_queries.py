@@ -226,3 +226,34 @@ def path_names(spark, d):
 def link_by_strategy(spark, d):
     t = fx.tracklets(spark, d).select(F.col("fi").alias("frame"), F.col("colony").alias("cluster"), (F.col("tracklet") % 5).alias("prev"), (F.col("tracklet") % 3).alias("cur"))
     return lc.link(t, "clusters")
+
+
+@query("""
+WITH b AS (SELECT u.tracklet % 3 AS movie, u.tracklet AS track, u.frame, CASE WHEN u.frame % 9 = 0 THEN 30.0 ELSE 0.1 END AS dt, u.frame % 14 < 7 AS boundary FROM fx_untagged u WHERE u.frame % 11 <> 0),
+n AS (SELECT *, coalesce((frame - lag(frame) OVER w > 1 OR dt > 25 OR boundary <> lag(boundary) OVER w)::INT, 1) AS new FROM b WINDOW w AS (PARTITION BY movie, track ORDER BY frame)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY movie, track ORDER BY frame) AS run FROM n),
+p AS (SELECT *, (row_number() OVER (PARTITION BY movie, track, run ORDER BY frame) - 1) // 4 AS part FROM r)
+SELECT movie, track, min(frame) AS fi, max(frame) AS ff, count(*) AS n FROM p GROUP BY movie, track, run, part""")
+def tracklet_breaks(spark, d):
+    """Tracklets end at gaps, late frames, changes at the open boundary, and after four rows."""
+    b = fx.untagged(fx.tracklets(spark, d)).where("frame % 11 <> 0")
+    b = b.select((F.col("tracklet") % 3).alias("movie"), F.col("tracklet").alias("track"), "frame", F.when(F.col("frame") % 9 == 0, 30.0).otherwise(0.1).alias("dt"), (F.col("frame") % 14 < 7).alias("boundary"))
+    return lc.batch_tracklets(b, most=4, fps=10.0).select("movie", "track", "fi", "ff", "n")
+
+
+@query("SELECT tracklet, bool_or(frame % 37 = 0) AS boundary, count(*) AS len FROM fx_untagged GROUP BY tracklet")
+def boundary_stats(spark, d):
+    u = fx.untagged(fx.tracklets(spark, d)).withColumn("boundary", F.col("frame") % 37 == 0)
+    return tk.tracklet_stats(u).select("tracklet", "boundary", "len")
+
+
+@query("SELECT tracklet, CASE WHEN 1500 BETWEEN fi AND ff THEN 1500 - fi + 1 END AS ix, CASE WHEN 5 <= ff - fi + 1 THEN fi + 4 END AS frame FROM fx_tracklets")
+def time_index(spark, d):
+    fi, ff = F.col("fi"), F.col("ff")
+    return fx.tracklets(spark, d).select("tracklet", sc.index_of(F.lit(1500), fi, ff).alias("ix"), sc.frame_of(F.lit(5), fi, ff).alias("frame"))
+
+
+@query("SELECT src, dst, hops, row_number() OVER (PARTITION BY src ORDER BY hops, dst) AS rank FROM (SELECT src, dst, 1 AS hops FROM fx_edges UNION SELECT a.src, b.dst, 2 FROM fx_edges a JOIN fx_edges b ON a.dst = b.src WHERE NOT EXISTS (SELECT 1 FROM fx_edges c WHERE c.src = a.src AND c.dst = b.dst))")
+def pairs_by_distance(spark, d):
+    h = gr.hop_distance(fx.edges(fx.tracklets(spark, d)), 2)
+    return sm.ranked(h, ["src"], [F.asc("hops"), F.asc("dst")]).select("src", "dst", F.col("hops"), "rank")

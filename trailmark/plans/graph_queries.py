@@ -33,9 +33,13 @@ def id_edges(t, e):
     return j.select("colony", "id", "src", "dst")
 
 
+#: Frames of the movies that are solved together.
+GROUP = 720
+
+
 def solver_nodes(t, e):
     s = tk.singles(t, e, min_area=AREA[0], max_area=AREA[1])
-    return t.join(s, "tracklet").withColumn("noant", F.col("label") == "NoAnt")
+    return t.join(s, "tracklet").withColumns({"noant": F.col("label") == "NoAnt", "grp": F.floor((F.col("fi") - 1) / GROUP).cast("long")})
 
 
 @query("SELECT src, dst FROM fx_edges")
@@ -186,7 +190,14 @@ def soft_assign(spark, d):
 def export_xy(spark, d):
     n, soft = _soft(spark, d)
     n = n.withColumn("source", F.col("single") & F.col("label").isin(*IDS))
-    return sv.export_xy(soft, n, fx.untagged(fx.tracklets(spark, d)))
+    u = fx.untagged(fx.tracklets(spark, d)).withColumn("orient", F.atan2("y", "x"))
+    x = sv.export_xy(soft, n, u)
+    from trailmark.operators import trajectory as tr
+
+    # a row for every frame between an ant's first and last, gaps filled where they are short
+    ends = x.groupBy("colony", "ant").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    dense = ends.select("colony", "ant", F.explode(F.sequence("lo", "hi")).alias("frame")).join(x, ["colony", "ant", "frame"], "left")
+    return tr.interpolate_gaps(dense, max_frames=30, max_distance=0.5, key=("colony", "ant")).where("x is not null")
 
 
 @query(None)
@@ -194,3 +205,12 @@ def infer_nants(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
     return sv.infer_counts(t.join(tk.singles(t, e, min_area=AREA[0], max_area=AREA[1]), "tracklet"), e)
+
+
+@query("""
+SELECT tracklet, 'exit' AS kind, ff AS frame, label <> 'NoAnt' AS nants FROM fx_tracklets t WHERE ff % 5 = 0 AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.src = t.tracklet)
+UNION ALL SELECT tracklet, 'entrance', fi, label <> 'NoAnt' FROM fx_tracklets t WHERE fi % 5 = 0 AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.dst = t.tracklet)""")
+def exits_and_entrances(spark, d):
+    t = nodes(spark, d)
+    edge = t.select("tracklet", (F.col("fi") % 5 == 0).alias("at_start"), (F.col("ff") % 5 == 0).alias("at_end"))
+    return sv.exits_and_entrances(t, t.select("tracklet", (F.col("label") != "NoAnt").alias("nants")), fx.edges(t), edge)

@@ -214,8 +214,8 @@ def heatmap(spark, d):
 WITH q AS (SELECT ant, frame, atan2(x, y) AS a1, atan2(y, x + 0.01) AS a2 FROM vw_inside),
 e AS (SELECT ant, frame, a1 - lag(a1) OVER w AS d1, a2 - lag(a2) OVER w AS d2 FROM q WINDOW w AS (PARTITION BY ant ORDER BY frame)),
 f AS (SELECT ant, frame, (d1 + pi()) - 2 * pi() * floor((d1 + pi()) / (2 * pi())) - pi() AS d1, (d2 + pi()) - 2 * pi() * floor((d2 + pi()) / (2 * pi())) - pi() AS d2 FROM e),
-g AS (SELECT ant, frame, count(d1) OVER w AS n, avg(d1 * d1) OVER w AS p1, avg(d2 * d2) OVER w AS p2, avg(d1 * d2) OVER w AS p12 FROM f WINDOW w AS (PARTITION BY ant ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-SELECT ant, frame, CASE WHEN n = 5 THEN round(p1 + p2, 9) END AS power, CASE WHEN n = 5 AND p1 * p2 > 0 THEN round(p12 / sqrt(p1 * p2), 6) END AS coherence FROM g""", V)
+g AS (SELECT ant, frame, count(d1) OVER w AS n, avg(d1 * d1) OVER w AS p1, avg(d2 * d2) OVER w AS p2, avg(d1 * d2) OVER w AS p12 FROM f WINDOW w AS (PARTITION BY ant ORDER BY frame ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING))
+SELECT ant, frame, CASE WHEN n = 51 THEN round(p1 + p2, 9) END AS power, CASE WHEN n = 51 AND p1 * p2 > 0 THEN round(p12 / sqrt(p1 * p2), 6) END AS coherence FROM g""", V)
 def antpower(spark, d):
     g = tr.interpolate(dense(spark, d)).select("ant", "frame", F.atan2("x", "y").alias("a1"), F.atan2(F.col("y"), F.col("x") + 0.01).alias("a2"))
-    return tr.antenna_power(g, 5).select("ant", "frame", F.round("power", 9).alias("power"), F.round("coherence", 6).alias("coherence"))
+    return tr.antenna_power(g, 51).select("ant", "frame", F.round("power", 9).alias("power"), F.round("coherence", 6).alias("coherence"))

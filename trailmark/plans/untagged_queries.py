@@ -180,8 +180,13 @@ def pose_relative(spark, d):
 
 @query("SELECT f.frame, f.m, 'U' || lpad(i::VARCHAR, 2, '0') AS ant, ((f.mf * 37 + i) % 100) / 100.0::DOUBLE AS score FROM fx_frames f, (SELECT unnest(range(4)) AS i)")
 def attach_scores(spark, d):
-    """Wide score rows without a frame column, one per movie frame in file order, joined by position."""
-    pos = fx.frames(spark).select("m", F.col("mf").alias("pos"))
-    wide = pos.select("m", "pos", *[((F.col("pos") * 37 + i) % 100 / 100.0).alias(f"U{i:02d}") for i in range(4)])
-    long = wide.unpivot(["m", "pos"], [f"U{i:02d}" for i in range(4)], "ant", "score")
-    return ug.merge_movies(long.withColumnRenamed("pos", "mf"), fx.movies(spark)).select("frame", "m", "ant", "score")
+    """Wide score files without a frame column, one per movie, joined by position."""
+    from trailmark.plans.extra_queries import folder
+    from trailmark.sources import files as fl
+
+    path = folder(spark, "scores")
+    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    pos = fx.frames(spark).select("m", "mf", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    ant = F.concat(F.lit("U"), F.lpad(F.col("i").cast("string"), 2, "0"))
+    fl.write_behaviour_scores(pos.select("m", "mf", ant.alias("ant"), ((F.col("mf") * 37 + F.col("i")) % 100 / 100.0).alias("score")), path, "walk")
+    return fl.read_behaviour_scores(spark, path, fx.movies(spark), ["walk"]).select("frame", "m", "ant", "score")

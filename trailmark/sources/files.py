@@ -101,6 +101,30 @@ def read_behaviour_scores(spark: SparkSession, path: str, movies: DataFrame, beh
     return nan_to_null(long.join(movies.select("m", "fi"), "m").select("behaviour", "m", (F.col("fi") + F.col("mf") - 1).alias("frame"), "ant", "score"))
 
 
+def write_behaviour_scores(scores: DataFrame, folder: str, behaviour: str) -> None:
+    """scores (m, mf, ant, score) as the wide files scores_<behaviour>_<m>.csv, a row per movie frame and no frame column.
+
+    A movie's file is written by the task that holds its rows, and appears under its name when it is whole.
+    """
+    ants = sorted(r[0] for r in scores.select("ant").distinct().collect())  # the individuals of one colony
+
+    def work(p):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        m = int(p["m"].iloc[0])
+        store.create_dir(root, recursive=True)
+        wide = p.set_index("mf").sort_index().reindex(range(1, int(p["mf"].max()) + 1))
+        draft, path = f"{root}/_{behaviour}_{m}.tmp", f"{root}/scores_{behaviour}_{m}.csv"
+        with store.open_output_stream(draft) as out:
+            out.write(wide[ants].to_csv(index=False).encode())
+        store.move(draft, path)
+        return p[["m"]].head(1)
+
+    wide = scores.groupBy("m", "mf").pivot("ant", ants).agg(F.first("score"))
+    wide.groupBy("m").applyInPandas(work, "m long").write.format("noop").mode("overwrite").save()
+
+
 def read_id_commands(spark: SparkSession, path: str, *, colonies: bool = True) -> DataFrame:
     """ids.cfg: 'remove [colony] id from to', blank-separated; without colonies the colony is 'all'."""
     t = spark.read.text(path).where(~F.trim("value").rlike("^(#|$)"))

@@ -110,11 +110,19 @@ def stream_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, ts:
     return stream.groupBy("movie").applyInPandasWithState(work, LIFE_OUT, LIFE_STATE, "append", timeout)
 
 
-def batch_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1) -> DataFrame:
-    """The same tracklets from a finished table, by windows only: (movie, track, fi, ff, n)."""
+def batch_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, fps: float | None = None) -> DataFrame:
+    """The same tracklets from a finished table, by windows only: (movie, track, fi, ff, n).
+
+    With fps, a frame that came more than 2.5 * fps after the one before (column dt) begins a new tracklet, as the published
+    rule has it; with a column boundary, so does a change of state at the open boundary.
+    """
     w = Window.partitionBy("movie", "track").orderBy("frame")
-    new = F.coalesce((F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"), F.lit(1))
-    d = blobs.withColumn("run", F.sum(new).over(w))
+    begins = F.col("frame") - F.lag("frame").over(w) > max_gap
+    if fps is not None:
+        begins = begins | F.coalesce(F.col("dt") > 2.5 * fps, F.lit(False))
+    if "boundary" in blobs.columns:
+        begins = begins | (F.lag(F.lit(1)).over(w).isNotNull() & ~F.col("boundary").eqNullSafe(F.lag("boundary").over(w)))
+    d = blobs.withColumn("run", F.sum(F.coalesce(begins.cast("int"), F.lit(1))).over(w))
     inside = Window.partitionBy("movie", "track", "run").orderBy("frame")
     d = d.withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
     return d.groupBy("movie", "track", "run", "part").agg(F.min("frame").alias("fi"), F.max("frame").alias("ff"), F.count(F.lit(1)).alias("n")).drop("run", "part")
