@@ -210,3 +210,64 @@ def test_tool_calls(spark):
     assert first[1, "a"]["canonical"] == '{"arguments":{"query_md5":"x","words":3},"call_id":"a","name":"search","result":"r"}'
     assert sum(r["status"] == "duplicate" for r in out) == 2
     assert toolcalls.link_tool_calls(calls.limit(0), results.limit(0), toolcalls.schema_table(spark)).count() == 0
+
+
+CLASH = ["key", "n", "label", "stratum", "rule", "rep", "node", "h", "range", "first", "docs", "last", "k", "slice", "rows", "copies", "c", "doc", "pos", "version"]
+
+
+def clashing(df):
+    """df with columns that bear the names of what operators make on the way."""
+    return df.withColumns({c: F.lit(7) for c in CLASH if c not in df.columns})
+
+
+def test_columns_of_any_name(spark, docs):
+    """Results do not depend on what other columns are called, and stages return them unchanged."""
+    labels = spark.createDataFrame([(9, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    wide, same = clashing(docs), lambda d: sorted((r["doc_id"], r["text"] or "") for r in d.collect())
+    for stage in (lambda d: quality.keep_good(d, labels), lines.dedup_lines, lambda d: mixing.repeat(d, labels, (0.8, 0.1, 0.1))):
+        out = stage(wide)
+        assert out.columns == wide.columns and same(out) == same(stage(docs))
+        assert all(r["rule"] == 7 for r in out.select("rule").collect())
+    model = tokenizer_path("piece_bpe_32k.model")
+    assert sorted(map(tuple, pieces.encode_texts(wide, model).collect())) == sorted(map(tuple, pieces.encode_texts(docs, model).collect()))
+    tied = wide.withColumn("tie", F.xxhash64("text"))
+    out = hilbert.hilbert_shards(tied, ["lang", "n_chars"], ["doc_id", "tie"], size=F.expr(SIZE))
+    assert out.count() == len(TEXTS) and {r["slice"] for r in out.select("slice").collect()} == {7}
+
+
+def test_missing_keys(spark, docs):
+    """A row without a key is handled by itself: it holds no line, and keeps its ids."""
+    gone = docs.withColumn("doc_id", F.when(F.col("doc_id") < 6, F.col("doc_id")))
+    out = sorted((r["doc_id"] or 0, r["text"] or "") for r in lines.dedup_lines(gone).collect())
+    assert out == sorted((k if k < 6 else 0, t or "") for k, t in TEXTS)  # the line is left with two holders
+    model = tokenizer_path("piece_bpe_32k.model")
+    n = sorted(r["n_tokens"] for r in pieces.encode_texts(docs, model).collect())
+    assert sorted(r["n_tokens"] for r in pieces.encode_texts(gone, model).collect()) == n
+
+
+def test_very_long_values(spark):
+    r = np.random.default_rng(2)
+    page = "<p>" + "word " * 600_000
+    got = {x["page_id"]: x for x in warc.round_trip(spark.createDataFrame([(1, "u", page), (2, "u", page)], "page_id long, url string, html string")).collect()}
+    assert got[2]["payload_bytes"] == len(page) and got[1]["refers_to"] == 2
+    base = r.normal(size=5000)
+    rows = [(i, 0, [float(x) for x in base + r.normal(size=5000) * s]) for i, s in enumerate((0.0, 0.1, 2.0))]
+    out = sorted(tuple(x) for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert out == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
+    long = "x" * 300_000
+    calls = spark.createDataFrame([(1, 0, "a", None, "search", '{"words": 3, "query_md5": "%s"}' % long)], "conv long, turn int, call string, parent string, name string, arguments string")
+    results = spark.createDataFrame([(1, 1, "a", long)], "conv long, turn int, call string, content string")
+    (x,) = toolcalls.link_tool_calls(clashing(calls), clashing(results), toolcalls.schema_table(spark)).collect()
+    assert x["status"] == "linked" and x["errors"] == [] and len(x["canonical"]) > 600_000
+    assert [r["doc_id"] for r in quality.keep_good(spark.createDataFrame([(1, "en", " ".join(f"w{i}" for i in range(200_000)))], "doc_id long, lang string, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect()] == [1]
+
+
+def test_ties(spark):
+    """Equal scores and equal posteriors get equal verdicts and rates."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, "en", text) for i in range(40)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(df, labels).count() == 40
+    rates = mixing.rates(df, labels, (0.8, 0.1, 0.1)).select("posterior", "rate").distinct().collect()
+    assert len(rates) == 1
+    assert quality.holdout_counts(quality.with_metrics(df), labels.limit(0), "lang").count() == 0

@@ -16,7 +16,8 @@ meet the targets, a warning gives the targets and the totals reached, and the re
 
 Defined results: a null or empty text has no tokens, the prior as posterior and takes part at its rate.
 Labels that are null or of unknown documents are not used; of repeated labels the largest domain
-counts. Without labels all posteriors are equal. Repeated rows are mixed as separate rows.
+counts. Without labels all posteriors are equal. Repeated rows are mixed as separate rows, ties alike. A very long text is handled
+whole in its row. An empty table gives no rows. Internal columns begin with ``__m_``; those of docs may have any other name.
 """
 
 from __future__ import annotations

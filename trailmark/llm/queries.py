@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +12,12 @@ from trailmark.llm.common import stored
 
 #: Domains are good, poor and toxic documents of the label table.
 MIX_WEIGHTS = (0.80, 0.15, 0.05)
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def tokenizer_path(name: str) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    """Where the registered queries find a public tokenizer; the operators take any path."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

@@ -14,6 +14,8 @@ content, counts, and the later one keeps its own turn, name, arguments, errors a
 ``orphan_result``. A parent that is unknown is no parent but an error ``parent:<id>``.
 Errors are sorted texts: ``malformed`` (no JSON object), ``tool:<name>`` (no such schema),
 ``missing:<arg>``, ``type:<arg>``, ``range:<arg>``, ``unknown:<arg>``.
+Arguments and results of any length are handled whole in their row. Empty tables give no rows. Other columns of calls and results
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ compared by SHA-1 and length in one aggregation with map-side combination.
 Defined results: a null payload is empty; a null url is written as about:blank, and white space or
 control characters in a url are percent-encoded. Rows that repeat the largest id are all
 responses. A row without id is refused, since records are named by it. A page is one record, whatever
-its length; it must fit in memory.
+its length; it must fit in memory. An empty table gives no archives and no rows. Other columns of pages are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
