@@ -148,16 +148,6 @@ def select_cutoffs(counts: DataFrame, alpha: float = ALPHA, delta: float = DELTA
     return tested.where(F.col("p") <= delta / (F.col("s") * tests)).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, text: str = "text", doc_id: str = "doc_id",
-              alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Safe cutoffs from all labelled good documents."""
-    held = labels.groupBy(doc_id).agg(F.min("quality").alias("quality")).where("quality = 1")
-    found = docs.join(held.select(doc_id), doc_id, "left_semi")
-    metrics = [F.col(f"__q_{m}") for m in (*METRICS, "n_lines", "n_capitals", "n_bangs")]
-    measured = stored(with_metrics(found, text).select(doc_id, stratum, *metrics), "holdout")
-    return select_cutoffs(holdout_counts(measured, held, stratum, doc_id=doc_id), alpha, delta)
-
-
 def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """measured (see with_metrics), ``__q_base_failed`` and ``__q_kept``."""
     # a stratum has cutoffs only if it holds enough labelled documents, so there are few
@@ -170,13 +160,12 @@ def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang")
     return df.drop("__q_stratum", "__q_cutoffs")
 
 
-def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", *, text: str = "text") -> DataFrame:
-    return with_verdict(with_metrics(docs, text), cutoffs, stratum)
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """docs without the documents that the rules reject, columns as before.
 
-
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs without the documents that the rules reject, columns as before."""
-    judged = judge(docs, stored(calibrate(docs, labels, stratum), "cutoffs"), stratum)
-    # a generated column keeps the planner from writing the whole chain of metrics into the filter
-    verdict = judged.select(*docs.columns, F.explode(F.array("__q_kept")).alias("__q_verdict"))
-    return verdict.where("__q_verdict").select(*docs.columns)
+    The metrics are computed once and stored beside the documents; the cutoffs come from all labelled good ones.
+    """
+    measured = stored(with_metrics(docs, text), "measured")
+    held = labels.groupBy(doc_id).agg(F.min("quality").alias("quality"))
+    cutoffs = stored(select_cutoffs(holdout_counts(measured, held, stratum, doc_id=doc_id), alpha, delta), "cutoffs")
+    return with_verdict(measured, cutoffs, stratum).where("__q_kept").select(*docs.columns)
