@@ -42,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import shuffle_partitions, stored
+from trailmark.llm.common import shuffle_partitions, small_batches, stored
 from trailmark.llm.components import connected_components
 from trailmark.llm.shingles import chunks, digests, shingle_sets
 
-BITS, FREQUENT, FLUSH, LAST = 48, 64, 1_500_000, (1 << 31) - 1
+BITS, FREQUENT, FLUSH, LAST = 48, 64, 1_000_000, (1 << 31) - 1
 META = "key long, n long, d1 long, d2 long"
 COLD, COUNTS, AROUND = 0, 1, 2
 #: Random pivots of a column in a round; products per column entry at which rounds end.
@@ -338,8 +338,9 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
     parts = shuffle_partitions(spark)
     bits = max(2, (2 * parts - 1).bit_length())
     sent = incidence(docs, bits, doc_id=doc_id, text=text, size=size).groupBy("block").applyInArrow(_shared_columns(parts), "bucket int, blob binary")
-    sets = stored(sent.groupBy("bucket").applyInArrow(_survivors(percent), "key long, n long, alone long, columns binary"), "shingle-sets")
-    prefix = stored(sets.mapInArrow(_prefixes(percent), "h long, key long, n long, alone long"), "prefixes")
+    with small_batches(spark):
+        sets = stored(sent.groupBy("bucket").applyInArrow(_survivors(percent), "key long, n long, alone long, columns binary"), "shingle-sets")
+        prefix = stored(sets.mapInArrow(_prefixes(percent), "h long, key long, n long, alone long"), "prefixes")
     links: list[DataFrame] = []
     entries = prefix.count()
     p, before, turn = _labelled(prefix, links), math.inf, 0
@@ -349,13 +350,15 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
         left = leads.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
         if not left or turn and (left <= ENOUGH * entries or left > 0.9 * before):
             break
-        links.append(stored(verify(_pivot_pairs(p, leads, percent, len(seeds)), sets, percent), "pivot-links"))
+        with small_batches(spark):
+            links.append(stored(verify(_pivot_pairs(p, leads, percent, len(seeds)), sets, percent), "pivot-links"))
         p, before, turn = _labelled(prefix, links), left if turn else math.inf, turn + 1
     marks = sets.mapInArrow(_bitmaps, "key long, s0 long, s1 long, s2 long, s3 long")
     # a column's products are cut into blocks of BLOCK rows a side, so that none is one task's
     blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
     wide = leads.select("h", "main", blocks(F.col("all") - F.col("most")).alias("xs"), blocks(F.col("all")).alias("ys"))
-    rest = stored(p.join(wide, "h").join(marks, "key"), "rest")
+    with small_batches(spark):
+        rest = stored(p.join(wide, "h").join(marks, "key"), "rest")
     part = ("key", "n", "alone", "c", "s0", "s1", "s2", "s3")
     own = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -371,7 +374,8 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
     met = x.join(y, ["h", "i", "j"]).where((F.col("x.c") != F.col("y.c")) & once & fits)
     count = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest(n, m)).alias("n"), F.max(n + m).alias("both"))
     pairs = count.where((100 + percent) * (F.col("k") + F.ceil(F.col("n") * percent / 100) - 1) >= percent * F.col("both"))
-    links.append(stored(verify(pairs, sets, percent), "pair-links"))
+    with small_batches(spark):
+        links.append(stored(verify(pairs, sets, percent), "pair-links"))
     out = links[0]
     for e in links[1:]:
         out = out.union(e)
@@ -380,7 +384,8 @@ def similar_links(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
 
 def jaccard_components(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs."""
-    meta = stored(shingle_meta(docs, doc_id=doc_id, text=text, size=size), "shingle-meta")
+    with small_batches(docs.sparkSession):
+        meta = stored(shingle_meta(docs, doc_id=doc_id, text=text, size=size), "shingle-meta")
     full = meta.where("n > 0 and key is not null")
     # a class may hold a third of all rows: they meet its least document in parts
     part = ["n", "d1", "d2", "salt"]

@@ -10,7 +10,7 @@ import numpy as np
 #: Bytes that an entry takes besides its characters and ids: two objects and its place in the table.
 ENTRY = 140
 #: Bytes of each of the two generations of a table.
-LIMIT = 40 << 20
+LIMIT = 12 << 20
 
 
 class PackedTable:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trailmark.llm.common import small_batches, stored
 from trailmark.llm.packed import PackedTable
 from trailmark.llm.shingles import chunks as runs
 
@@ -107,4 +108,6 @@ def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * ids)
+    out = docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, {SCHEMA}" + ", ids array<int>, decoded string" * ids)
+    with small_batches(docs.sparkSession):
+        return stored(out, "pieces")

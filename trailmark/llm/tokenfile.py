@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import shared_dir, stored
+from trailmark.llm.common import shared_dir, small_batches, stored
 from trailmark.llm.files import WholeFile, as_uri, made, read_files
 from trailmark.llm.packed import PackedTable
 from trailmark.llm.shingles import chunks
@@ -51,7 +51,7 @@ WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 AS_CHARS = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
 #: Bytes of a generation of a worker's table of units.
-TABLE = 96 << 20
+TABLE = 64 << 20
 IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
 #: Bytes of each of the four ids that a control byte speaks of.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
@@ -158,7 +158,8 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> DataFrame:
 def write_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the corpus in key order; returns (file, docs, ids) per file, already written."""
     folder = made(folder)
-    ids = stored(token_ids(docs, tokenizer_path, end_id=end_id, key=key, text=text), "token-ids", "zstd")
+    with small_batches(docs.sparkSession):
+        ids = stored(token_ids(docs, tokenizer_path, end_id=end_id, key=key, text=text), "token-ids", "zstd")
     if ids.where("key is null").limit(1).count():
         raise ValueError("token files are ordered by key, which may not be null")
     vocabulary = tokenizer(tokenizer_path).get_vocab_size()
