@@ -112,7 +112,15 @@ def bottleneck_pairs(spark, d):
     return gr.bottleneck_pairs(t, fx.edges(t), depth=10)
 
 
-@query(None)
+@query("""
+WITH RECURSIVE r(node, seen) AS (SELECT tracklet, tracklet FROM fx_tracklets UNION SELECT e.dst, r.seen FROM r JOIN vw_both e ON r.node = e.src),
+k AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+d AS (SELECT tracklet, fi, ff, min(fi) OVER (PARTITION BY component) AS c_fi, max(ff) OVER (PARTITION BY component) AS c_ff FROM k JOIN fx_tracklets ON node = tracklet),
+f(node) AS (SELECT tracklet FROM d WHERE fi <= c_fi + 10 AND tracklet NOT IN (SELECT dst FROM fx_edges) UNION SELECT e.dst FROM f JOIN fx_edges e ON f.node = e.src),
+d2 AS (SELECT d.* FROM d WHERE tracklet IN (SELECT node FROM f)),
+g(node) AS (SELECT tracklet FROM d2 WHERE ff >= c_ff - 10 AND tracklet NOT IN (SELECT e.src FROM fx_edges e WHERE e.dst IN (SELECT tracklet FROM d2))
+  UNION SELECT e.src FROM g JOIN fx_edges e ON g.node = e.dst WHERE e.src IN (SELECT tracklet FROM d2))
+SELECT node AS tracklet FROM g""", V)
 def cc_prune(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
@@ -135,7 +143,10 @@ def graph_slice(spark, d):
     return gr.slice_time(t, fx.edges(t), 1500, 1600)[1].select("src", "dst")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE c AS (SELECT src, dst FROM fx_edges WHERE src IN (SELECT src FROM fx_edges GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM fx_edges GROUP BY dst HAVING count(*) = 1)),
+r(node, chain, pos) AS (SELECT tracklet, tracklet, 0 FROM fx_tracklets WHERE tracklet NOT IN (SELECT dst FROM c) UNION ALL SELECT c.dst, r.chain, r.pos + 1 FROM r JOIN c ON r.node = c.src)
+SELECT node, chain, pos FROM r""")
 def build_tracklets(spark, d):
     t = nodes(spark, d)
     return gr.build_chains(fx.edges(t), t.select(F.col("tracklet").alias("node")))
