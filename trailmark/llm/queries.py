@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import embeddings, hilbert, lines, mixing, ngram_join, pieces, quality, tokenfile, toolcalls, warc
+from trailmark.llm import collocations, embeddings, hilbert, lines, mixing, negatives, ngram_join, pieces, quality, tokenfile, toolcalls, toxicity, warc
 from trailmark.llm.common import stored
 
 #: Domains are good, poor and toxic documents of the label table.
@@ -91,8 +91,25 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    d = toxicity.score_documents(docs, labels, usable=~held_out)
+    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _read(spark, sf_dir, "embeddings")
+    v = v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(v, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tool_calls, op2_quality_rules, op3_line_dedup, op4_warc, op5_sentencepiece, op6_token_files, op7_mixing, op8_ngram_join, op9_hilbert_shards, op10_embeddings)
+    f.__name__: f for f in (op1_tool_calls, op2_quality_rules, op3_line_dedup, op4_warc, op5_sentencepiece, op6_token_files, op7_mixing, op8_ngram_join, op9_hilbert_shards, op10_embeddings, op11_collocations, op12_toxicity, op13_hard_negatives)
 }
 
 
