@@ -121,11 +121,11 @@ def prune_components(parts: DataFrame, nodes: DataFrame, edges: DataFrame, *, ma
     span = d.groupBy("component").agg(F.min("fi").alias("c_fi"), F.max("ff").alias("c_ff"))
     d = cut(d.join(span, "component"))
     e = cut(subgraph(edges.select("src", "dst"), d))
-    roots = d.join(e, d.tracklet == e.dst, "left_anti").where(F.col("fi") <= F.col("c_fi") + margin).select("tracklet")
+    roots = d.join(e, d.tracklet == e.dst, "left_anti").where(F.col("fi") < F.col("c_fi") + margin).select("tracklet")
     one = _swept(roots, d.select("tracklet"), e)
     d2 = d.join(one, "tracklet", "left_semi")
     e2 = cut(subgraph(e, d2))
-    leaves = d2.join(e2, d2.tracklet == e2.src, "left_anti").where(F.col("ff") >= F.col("c_ff") - margin).select("tracklet")
+    leaves = d2.join(e2, d2.tracklet == e2.src, "left_anti").where(F.col("ff") > F.col("c_ff") - margin).select("tracklet")
     return _swept(leaves, d2.select("tracklet"), e2.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.components import cut
 from trailmark.operators.intervals import overlap_join
 
 STATE = "colony long, tracklet long, id string, possible boolean, assigned boolean, score double, finalized boolean"
@@ -39,9 +40,11 @@ class Colony:
         shape = (len(nodes), len(self.ids))
         self.possible, self.assigned = np.ones(shape, bool), np.zeros(shape, bool)
         self.score, self.contradictions = np.full(shape, np.nan), 0
-        self.single = nodes["single"].to_numpy(bool)
-        self.weight = {}  # node -> score of a source, 1000 for one of the manual configuration
-        self.given: set[int] = set()
+        self.single = nodes["single"].to_numpy(bool) if "single" in nodes else np.zeros(len(nodes), bool)
+        self.finalized = np.zeros(len(nodes), bool)
+        self.weight: dict[int, float] = {}  # score of a source
+        self.source_of: dict[int, int] = {}  # its id
+        self.given: set[int] = set()  # nodes of the manual configuration
 
     def alive_with(self, n: int) -> np.ndarray:
         """Nodes that share a frame with n: they begin no later than it ends, and no more than the longest life before it."""
@@ -57,7 +60,7 @@ class Colony:
             return False
         self.assigned[n, i], self.score[n, i] = True, score
         if self.single[n]:
-            self.possible[n] = self.assigned[n]
+            self.possible[n], self.finalized[n] = self.assigned[n], True
         there = self.alive_with(n)
         self.possible[there[~self.assigned[there, i]], i] = False
         return True
@@ -143,45 +146,69 @@ class Colony:
         return out
 
     def filter_components(self, edge_mode: bool, margin: int = 100) -> int:
-        """Per id keep the best components that do not overlap in time; drop the others, prune what is kept."""
-        lost = 0
+        """Per id keep the best components that do not overlap in time and undo the others; then prune each kept one. Returns how many were not kept.
+
+        Components are ranked by score; one that overlaps a single kept one, and has a source, stays without its nodes in the other's span. Unless in
+        edge mode, those that touch the first or last frame stay as well, without a say in these decisions.
+        """
+        dropped = 0
         first, last = (self.fi.min(), self.ff.max()) if len(self.fi) else (0, 0)
         for i in range(len(self.ids)):
-            parts = self.components(i)
             rows = []
-            for p in parts:
-                lo, hi = self.fi[p].min(), self.ff[p].max()
+            for p in self.components(i):
+                lo, hi = int(self.fi[p].min()), int(self.ff[p].max())
                 source, given = [self.weight[n] for n in p.tolist() if n in self.weight], sum(n in self.given for n in p.tolist())
                 best = 1000.0 if given else max(source, default=0.1)
                 value = (hi - lo + 1) * (0.1 + self.assigned[p, i].mean()) * (0.1 + len(source) + given) * best
                 rows.append([value, lo, hi, bool(source), bool(source or given), p])
-            bare = [r[0] for r in rows if not r[4]]
+            bare = max((r[0] for r in rows if not r[4]), default=0.0)
             for r in rows:
-                r[0] -= max(bare) if bare and not r[4] else 0
+                r[0] -= 0.0 if r[4] else bare
+            rows.sort(key=lambda r: (-r[0], int(r[5][0])))
+            lows, highs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
             kept: list = []
-            for _, lo, hi, has, _, p in sorted(rows, key=lambda r: (-r[0], r[1], int(r[5][0]))):
-                clash = [k for k in kept if k[0] <= hi and k[1] >= lo]
-                edge = not edge_mode and (lo == first or hi == last)
-                if not clash or edge:
-                    kept.append((lo, hi))
-                    lost += self.prune(p, i, lo, hi, margin)
-                elif len(clash) == 1 and has:
-                    over = p[(self.fi[p] <= clash[0][1]) & (self.ff[p] >= clash[0][0])]
-                    lost += self.eliminate(over, i)
-                    kept.append((lo, hi))
-                else:
-                    lost += self.eliminate(p, i)
-        return lost
-
-    def eliminate(self, p: np.ndarray, i: int) -> int:
-        n = int(self.possible[p, i].sum())
-        self.possible[p, i], self.assigned[p, i], self.score[p, i] = False, False, np.nan
-        return n
-
-    def prune(self, p: np.ndarray, i: int, lo: int, hi: int, margin: int) -> int:
-        """Drop nodes not reached from a root near the start, then those that reach no leaf near the end."""
-        lost, alive = 0, set(p.tolist())
-        for ahead, back, near in ((self.down, self.up, lambda n: self.fi[n] <= lo + margin), (self.up, self.down, lambda n: self.ff[n] >= hi - margin)):
+            gone: list = []
+            for _, lo, hi, has, _, p in rows:
+                k = len(kept)
+                clash = np.flatnonzero((lows[:k] <= hi) & (highs[:k] >= lo))
+                if len(clash) > 1 or (len(clash) and not has):
+                    gone.append((lo, hi, p))
+                    continue
+                if len(clash):
+                    self.eliminate(p[(self.fi[p] <= highs[clash[0]]) & (self.ff[p] >= lows[clash[0]])], i)
+                lows[k], highs[k] = lo, hi
+                kept.append((lo, hi, p))
+            if not edge_mode:
+                kept += [g for g in gone if g[0] == first or g[1] == last]
+                gone = [g for g in gone if g[0] != first and g[1] != last]
+            dropped += len(gone)
+            if gone:
+                self.undo(np.concatenate([p for _, _, p in gone]), i)
+            for lo, hi, p in kept:
+                self.prune(p, i, lo, hi, margin)
+        return dropped
+
+    def eliminate(self, p: np.ndarray, i: int) -> None:
+        self.possible[p, i], self.assigned[p, i] = False, False
+
+    def undo(self, p: np.ndarray, i: int) -> None:
+        """Nodes of components that were not kept: without any assignment they lose the id. Else assignments are taken back, what they
+        had shut out is possible again unless it is finalized, and sources of the id among that are assigned by falling score."""
+        was = p[self.assigned[p, i]]
+        self.assigned[p, i] = False
+        if not len(was):
+            self.possible[p, i] = False
+            return
+        beside = np.unique(np.concatenate([(o := self.alive_with(n))[o != n] for n in was]))
+        beside = beside[~self.finalized[beside]]
+        self.possible[beside, i] = True
+        for n in sorted((n for n in beside.tolist() if self.source_of.get(n) == i), key=lambda n: -self.weight[n]):
+            self.assign(n, i, self.weight[n])
+
+    def prune(self, p: np.ndarray, i: int, lo: int, hi: int, margin: int) -> None:
+        """Take the id from nodes not reached from a root near the start, then from those that reach no leaf near the end; assigned ones keep it."""
+        alive = set(p.tolist())
+        for ahead, back, near in ((self.down, self.up, lambda n: self.fi[n] < lo + margin), (self.up, self.down, lambda n: self.ff[n] > hi - margin)):
             todo = [n for n in alive if near(n) and not any(m in alive for m in back[n])]
             seen = set(todo)
             while todo:
@@ -189,22 +216,36 @@ class Colony:
                     if m in alive and m not in seen:
                         seen.add(m)
                         todo.append(m)
-            off = np.array(sorted(n for n in alive - seen if not self.assigned[n, i]), int)
-            lost += self.eliminate(off, i)
-            alive -= set(off.tolist())
-        return lost
+            off = np.array(sorted(alive - seen), int)
+            self.possible[off[~self.assigned[off, i]], i] = False
+            alive = seen
 
 
 def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame, removed: pd.DataFrame, commands: pd.DataFrame, ids: Sequence[str], *,
-                 rounds: int = 10, small: float = 1e-6, stitch: bool = False, safe: bool = True) -> pd.DataFrame:
-    """One group: filters, removals, the manual commands single, eliminate and assign in this order, sources, rounds of rules."""
+                 state: pd.DataFrame | None = None, rounds: int = 10, small: float = 1e-6, stitch: bool = False, safe: bool = True) -> pd.DataFrame:
+    """One group: filters, singles, removals, the manual commands single, eliminate and assign in this order, sources, rounds of rules.
+
+    With ``fit`` among the columns of nodes, single is what is fit for it and has at most one link on either side, links of nodes filtered out aside.
+    ``state``, rows of an earlier pass (tracklet, id, possible, assigned, score, finalized), is what the group begins with.
+    """
     c = Colony(nodes, edges, ids, safe=safe)
     at = {t: i for i, t in enumerate(c.nodes["tracklet"])}
     number = {x: i for i, x in enumerate(c.ids)}
+    if state is not None:
+        c.possible[:], c.finalized[:] = False, True  # a node without rows was left without ids
+        for t, x, *flags in state[["tracklet", "id", "possible", "assigned", "score", "finalized"]].itertuples(index=False):
+            if t in at and x in number:
+                n, i = at[t], number[x]
+                c.possible[n, i], c.assigned[n, i], c.score[n, i], c.finalized[n] = flags
     out = c.nodes["noant"].to_numpy(bool)
     lone = np.array([not c.up[n] and not c.down[n] for n in range(len(out))], bool)
-    out |= lone & (c.nodes["len"].to_numpy() <= 3) & (c.nodes["area"].fillna(0).to_numpy() <= small) & ~c.nodes["label"].isin(c.ids).to_numpy()
-    c.possible[out] = False
+    out = out | (lone & (c.nodes["len"].to_numpy() <= 3) & (c.nodes["area"].fillna(0).to_numpy() <= small) & ~c.nodes["label"].isin(c.ids).to_numpy())
+    c.possible[out] = c.assigned[out]
+    c.finalized[out] = True
+    if "fit" in c.nodes:
+        ant = c.possible.any(axis=1)
+        few = [sum(ant[m] for m in c.up[n]) <= 1 and sum(ant[m] for m in c.down[n]) <= 1 if ant[n] else len(c.up[n]) <= 1 and len(c.down[n]) <= 1 for n in range(len(ant))]
+        c.single = c.nodes["fit"].to_numpy(bool) & np.array(few, bool)
     for t, x in zip(removed["tracklet"], removed["id"], strict=True):
         if t in at and x in number:
             c.possible[at[t], number[x]] = False
@@ -219,11 +260,11 @@ def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame,
             c.assign(n, number[v], math.inf)
             c.given.add(n)
     links = [(at[a], at[b]) for a, b in pairs.sort_values(["hops", "src", "dst"])[["src", "dst"]].itertuples(index=False) if a in at and b in at]
-    c.nodes["source"] = c.single & c.nodes["label"].isin(c.ids).to_numpy()
-    sources = c.nodes[c.nodes["source"]].sort_values("score", ascending=False, kind="stable").index
+    sources = c.nodes[c.single & c.nodes["label"].isin(c.ids).to_numpy()].sort_values("score", ascending=False, kind="stable").index
     c.weight = {n: float(c.nodes.at[n, "score"]) for n in sources}
+    c.source_of = {n: number[c.nodes.at[n, "label"]] for n in sources}
     for n in sources:
-        c.assign(n, number[c.nodes.at[n, "label"]], c.weight[n])
+        c.assign(n, c.source_of[n], c.weight[n])
     c.propagate(links)
     c.filter_components(edge_mode=stitch)
     for _ in range(rounds):
@@ -231,15 +272,16 @@ def solve_colony(nodes: pd.DataFrame, edges: pd.DataFrame, pairs: pd.DataFrame,
             break
     done = (c.possible == c.assigned).all(axis=1)
     n, i = np.nonzero(c.possible | c.assigned)
-    return pd.DataFrame({"colony": c.nodes["colony"].to_numpy()[n], "tracklet": c.nodes["tracklet"].to_numpy()[n], "id": np.array(c.ids, object)[i], "possible": c.possible[n, i], "assigned": c.assigned[n, i], "score": c.score[n, i], "finalized": done[n]})
+    score = np.where(c.assigned[n, i], c.score[n, i], np.nan)
+    return pd.DataFrame({"colony": c.nodes["colony"].to_numpy()[n], "tracklet": c.nodes["tracklet"].to_numpy()[n], "id": np.array(c.ids, object)[i], "possible": c.possible[n, i], "assigned": c.assigned[n, i], "score": score, "finalized": done[n]})
 
 
 def solve(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFrame, ids: Sequence[str], *, commands: DataFrame | None = None,
-          stitch: bool = False, safe: bool = True) -> DataFrame:
+          state: DataFrame | None = None, stitch: bool = False, safe: bool = True) -> DataFrame:
     """(colony, tracklet, id, possible, assigned, score, finalized), rows that are possible or assigned.
 
-    nodes: (colony, tracklet, fi, ff, len, area, label, score, single, noant[, grp]); a group is a colony, or with grp
-    a part of it, and links between groups are not followed. edges, pairs, removed and commands (command, tracklet, value, line)
+    nodes: (colony, tracklet, fi, ff, len, area, label, score, single or fit, noant[, grp]); a group is a colony, or with grp
+    a part of it, and links between groups are not followed; see ``solve_across`` for those. state: rows of an earlier pass, with which a group begins. edges, pairs, removed and commands (command, tracklet, value, line)
     are given their group by their nodes. One kind of row per table is sent to the group's task.
     stitch drops components at the group's first and last frame on the first pass too; without safe, an assignment
     overrules what was eliminated.
@@ -247,7 +289,8 @@ def solve(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFra
     if "grp" not in nodes.columns:
         nodes = nodes.withColumn("grp", F.lit(0).cast("long"))
     home = nodes.select("tracklet", "colony", "grp")
-    n = nodes.select("colony", "grp", "tracklet", "fi", "ff", "len", "area", "label", "score", "single", "noant", F.lit("n").alias("kind"))
+    mark = "fit" if "fit" in nodes.columns else "single"
+    n = nodes.select("colony", "grp", "tracklet", "fi", "ff", "len", "area", "label", "score", mark, "noant", F.lit("n").alias("kind"))
     e = edges.select("src", "dst").join(home.withColumnRenamed("tracklet", "src"), "src").withColumn("kind", F.lit("e"))
     p = pairs.select("src", "dst", "hops").join(home.withColumnRenamed("tracklet", "src"), "src").withColumn("kind", F.lit("p"))
     r = removed.select("tracklet", "id").join(home, "tracklet").withColumn("kind", F.lit("r"))
@@ -257,16 +300,33 @@ def solve(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFra
     else:
         every = every.unionByName(commands.select("command", "tracklet", "value", F.col("line").cast("long").alias("line")).join(home, "tracklet").withColumn("kind", F.lit("c")), True)
 
+    carried = state is not None
+    if carried:
+        old = state.select("tracklet", "id", "possible", "assigned", F.col("score").alias("old_score"), "finalized").join(home, "tracklet")
+        every = every.unionByName(old.withColumn("kind", F.lit("s")), True)
+
     def work(df: pd.DataFrame) -> pd.DataFrame:
-        part = {k: df[df["kind"] == k].reset_index(drop=True) for k in "neprc"}
+        part = {k: df[df["kind"] == k].reset_index(drop=True) for k in "neprcs"}
         for k, cols in (("e", ["src", "dst"]), ("p", ["src", "dst", "hops"]), ("n", ["tracklet", "fi", "ff", "len"])):
             part[k][cols] = part[k][cols].astype("int64")
-        part["n"][["single", "noant"]] = part["n"][["single", "noant"]].astype(bool)
-        return solve_colony(part["n"], part["e"], part["p"], part["r"], part["c"], ids, stitch=stitch, safe=safe)
+        part["n"][[mark, "noant"]] = part["n"][[mark, "noant"]].astype(bool)
+        start = part["s"].drop(columns="score").rename(columns={"old_score": "score"}) if carried else None
+        return solve_colony(part["n"], part["e"], part["p"], part["r"], part["c"], ids, state=start, stitch=stitch, safe=safe)
 
     return every.groupBy("colony", "grp").applyInPandas(work, STATE)
 
 
+def solve_across(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, removed: DataFrame, ids: Sequence[str], *, movies: str = "movie", commands: DataFrame | None = None,
+                 safe: bool = True) -> DataFrame:
+    """Two passes: first every movie (the column ``movies``) alone, then the groups (grp) of movies with the links between them.
+
+    The second pass begins with what the first left possible and assigned, so it mostly carries ids over the borders of movies, and drops
+    components at the group's first and last frame that overlap better ones. Movies are many small tasks; a group is one.
+    """
+    first = solve(nodes.withColumn("grp", F.col(movies)), edges, pairs, removed, ids, commands=commands, safe=safe)
+    return solve(nodes, edges, pairs, removed, ids, commands=commands, state=cut(first), stitch=True, safe=safe)
+
+
 def effective_ids(tracks: DataFrame, auto: DataFrame, manual: DataFrame, injected: DataFrame) -> DataFrame:
     """tracks with propid and propscore: injected (tracklet, label, score) before manual (tracklet, label; score infinite) before automatic ids."""
     side = lambda d, s: d.select("tracklet", F.col("label").alias(f"{s}id"), *([F.col("score").alias(f"{s}score")] if s != "manual" else []))
@@ -312,7 +372,6 @@ def infer_counts(nodes: DataFrame, edges: DataFrame, *, small: float = 0.0) -> D
     nodes are judged by the last round's counts, so the order of nodes does not matter. Last, what is left of diamonds is
     split: unknown nodes with the same parents and the same children share alike what their parents hold.
     """
-    from trailmark.operators.components import cut
     from trailmark.operators.tracks import degrees
 
     d = nodes.join(degrees(nodes, edges), "tracklet")

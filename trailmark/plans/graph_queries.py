@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark import fixtures as fx
+from trailmark.model import MULTI_LABELS
 from trailmark.operators import graph as gr
 from trailmark.operators import intervals as iv
 from trailmark.operators import solve as sv
@@ -33,13 +34,15 @@ def id_edges(t, e):
     return j.select("colony", "id", "src", "dst")
 
 
-#: Frames of the movies that are solved together.
-GROUP = 720
+#: Frames of a movie, and of the movies that are solved together.
+MOVIE, GROUP = 240, 720
 
 
-def solver_nodes(t, e):
-    s = tk.singles(t, e, min_area=AREA[0], max_area=AREA[1])
-    return t.join(s, "tracklet").withColumns({"noant": F.col("label") == "NoAnt", "grp": F.floor((F.col("fi") - 1) / GROUP).cast("long")})
+def solver_nodes(t):
+    """``fit``: single by area and label; links are looked at by the solver, which leaves out those of non-ants."""
+    fit = F.coalesce((F.col("area") > AREA[0]) & (F.col("area") < AREA[1]), F.lit(False)) & ~F.col("label").isin(*MULTI_LABELS)
+    part = lambda n: F.floor((F.col("fi") - 1) / n).cast("long")
+    return t.withColumns({"fit": fit, "noant": F.col("label") == "NoAnt", "grp": part(GROUP), "movie": part(MOVIE)})
 
 
 @query("SELECT src, dst FROM fx_edges")
@@ -116,15 +119,15 @@ def bottleneck_pairs(spark, d):
 WITH RECURSIVE r(node, seen) AS (SELECT tracklet, tracklet FROM fx_tracklets UNION SELECT e.dst, r.seen FROM r JOIN vw_both e ON r.node = e.src),
 k AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
 d AS (SELECT tracklet, fi, ff, min(fi) OVER (PARTITION BY component) AS c_fi, max(ff) OVER (PARTITION BY component) AS c_ff FROM k JOIN fx_tracklets ON node = tracklet),
-f(node) AS (SELECT tracklet FROM d WHERE fi <= c_fi + 10 AND tracklet NOT IN (SELECT dst FROM fx_edges) UNION SELECT e.dst FROM f JOIN fx_edges e ON f.node = e.src),
+f(node) AS (SELECT tracklet FROM d WHERE fi < c_fi + 100 AND tracklet NOT IN (SELECT dst FROM fx_edges) UNION SELECT e.dst FROM f JOIN fx_edges e ON f.node = e.src),
 d2 AS (SELECT d.* FROM d WHERE tracklet IN (SELECT node FROM f)),
-g(node) AS (SELECT tracklet FROM d2 WHERE ff >= c_ff - 10 AND tracklet NOT IN (SELECT e.src FROM fx_edges e WHERE e.dst IN (SELECT tracklet FROM d2))
+g(node) AS (SELECT tracklet FROM d2 WHERE ff > c_ff - 100 AND tracklet NOT IN (SELECT e.src FROM fx_edges e WHERE e.dst IN (SELECT tracklet FROM d2))
   UNION SELECT e.src FROM g JOIN fx_edges e ON g.node = e.dst WHERE e.src IN (SELECT tracklet FROM d2))
 SELECT node AS tracklet FROM g""", V)
 def cc_prune(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
-    return gr.prune_components(gr.weak_components(t, e), t, e, margin=10)
+    return gr.prune_components(gr.weak_components(t, e), t, e)
 
 
 @query("SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM fx_edges e JOIN fx_tracklets a ON e.src = a.tracklet JOIN fx_tracklets b ON e.dst = b.tracklet WHERE (a.fi <= 2000) = (b.fi <= 2000) OR a.ff % 2 = 0")
@@ -169,7 +172,7 @@ def link_single(spark, d):
 def _solved(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
-    n = cut(solver_nodes(t, e))
+    n = cut(solver_nodes(t))
     gone = iv.temporal_removals(t, removal_commands(spark))
     return n, e, cut(sv.solve(n, e, gr.bottleneck_pairs(t, e), gone, IDS))
 
@@ -179,6 +182,14 @@ def solve(spark, d):
     return _solved(spark, d)[2]
 
 
+@query(None)
+def solve_across(spark, d):
+    t = nodes(spark, d)
+    e = fx.edges(t)
+    gone = iv.temporal_removals(t, removal_commands(spark))
+    return sv.solve_across(cut(solver_nodes(t)), e, cut(gr.bottleneck_pairs(t, e)), gone, IDS)
+
+
 def _soft(spark, d):
     """Components per id are found on one graph whose nodes are (tracklet, id) pairs numbered as one long."""
     n, e, state = _solved(spark, d)
@@ -200,7 +211,8 @@ def soft_assign(spark, d):
 @query(None)
 def export_xy(spark, d):
     n, soft = _soft(spark, d)
-    n = n.withColumn("source", F.col("single") & F.col("label").isin(*IDS))
+    t = nodes(spark, d)
+    n = n.join(tk.singles(t, fx.edges(t), min_area=AREA[0], max_area=AREA[1]), "tracklet").withColumn("source", F.col("single") & F.col("label").isin(*IDS))
     u = fx.untagged(fx.tracklets(spark, d)).withColumn("orient", F.atan2("y", "x"))
     x = sv.export_xy(soft, n, u)
     from trailmark.operators import trajectory as tr
