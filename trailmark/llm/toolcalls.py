@@ -12,20 +12,24 @@ Defined results (status): ``linked``; ``no_result``; ``orphan_result`` (a result
 ``duplicate`` (a later call or result with an identifier that is taken; the first by turn, then by
 content, counts, and the later one keeps its own turn, name, arguments, errors and content); ``cycle``. Missing identifiers link with nothing: a call is ``no_result``, a result
 ``orphan_result``. A parent that is unknown is no parent but an error ``parent:<id>``.
-Errors are sorted texts: ``malformed`` (no JSON object), ``tool:<name>`` (no such schema),
-``missing:<arg>``, ``type:<arg>``, ``range:<arg>``, ``unknown:<arg>``.
+Errors are sorted texts: ``malformed`` (not exactly one JSON object: another value, a key twice in one object, text behind it), ``number`` (a
+number that no type holds as written: over 38 digits, or an exponent that a double cannot hold), ``tool:<name>`` (no such schema),
+``missing:<arg>``, ``type:<arg>``, ``range:<arg>``, ``enum:<arg>`` (none of the values allowed), ``unknown:<arg>``. With either of the first two
+the row keeps the arguments as they were written, as a JSON text, and no argument is looked at.
 Arguments and results of any length are handled whole in their row. Empty tables give no rows. Other columns of calls and results
 are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import global_rank, stored
 
 MAX_ROUNDS = 40
+#: Bits of a rank within a run of rows that are joined together.
+RUN_BITS = 14
 ID = ["conv", "call"]
 
 
@@ -62,19 +66,36 @@ def depths(calls: DataFrame) -> DataFrame:
     return d.select("conv", "call", F.when(F.col("jump").isNull(), F.col("depth")).alias("depth"))
 
 
+def one_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else. The parser stops behind a first value; within an array and within an object, text behind it cannot hide."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    is_object = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return F.coalesce(is_object & named.isNotNull() & inside.isNotNull() & F.try_variant_get(inside, "$[1]", "variant").isNull(), F.lit(False))
+
+
+def inexact_number(text: Column) -> Column:
+    """Whether a JSON text has a number of over 38 digits, of over 17 before an exponent, or with an exponent of three digits. Texts within it do not count."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
+    return F.coalesce(F.regexp_like(bare, F.lit(r"[0-9][0-9.]{39,}|[0-9]{39,}|[0-9.]{19,}[eE]|[eE][+-]?0*[1-9][0-9]{2,}")), F.lit(False))
+
+
 def argument_errors(calls: DataFrame, schemas: DataFrame, key: list[str] = ID) -> DataFrame:
     """(conv, call, errors), or other columns that tell calls apart in place of the first two, for calls whose arguments break their schema.
 
-    schemas: (name, param, type, required, low, high), type one of string, integer, number, boolean.
+    schemas: (name, param, type, required, low, high[, allowed]), type one of string, integer, number, boolean, object, array; allowed, the texts that a
+    string may be, or null.
     """
-    args = calls.select(*key, "name", F.from_json("arguments", "map<string,variant>").alias("args"))
+    text = F.col("arguments")
+    fault = F.when(~one_object(text), "malformed").when(inexact_number(text), "number")
+    args = calls.select(*key, "name", fault.alias("broken"), F.when(fault.isNull(), F.from_json(text, "map<string,variant>")).alias("args"))
     tools = schemas.groupBy("name").agg(F.collect_set("param").alias("params"))
     bad = F.col("args").isNull()
     d = args.join(tools, "name", "left")
     shape = d.select(
         *key,
         F.explode(
-            F.when(bad, F.array(F.lit("malformed")))
+            F.when(bad, F.array(F.coalesce("broken", F.lit("malformed"))))
             .when(F.col("params").isNull(), F.array(F.concat(F.lit("tool:"), F.coalesce("name", F.lit("")))))
             .otherwise(F.transform(F.array_except(F.map_keys("args"), "params"), lambda k: F.concat(F.lit("unknown:"), k)))
         ).alias("e"),
@@ -84,9 +105,11 @@ def argument_errors(calls: DataFrame, schemas: DataFrame, key: list[str] = ID) -
     number = F.try_variant_get(value, "$", "double")
     fits = (
         F.when(F.col("type") == "string", kind == "STRING")
-        .when(F.col("type") == "integer", kind.isin("BIGINT") | (kind.isin("DECIMAL", "DOUBLE") & (number == F.floor(number))))
+        .when(F.col("type") == "integer", kind.isin("BIGINT") | (kind.isin("DECIMAL", "DOUBLE") & (number % 1 == 0)))
         .when(F.col("type") == "number", kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"))
         .when(F.col("type") == "boolean", kind == "BOOLEAN")
+        .when(F.col("type") == "object", kind == "OBJECT")
+        .when(F.col("type") == "array", kind == "ARRAY")
         .otherwise(F.lit(True))
     )
     there = F.array_contains(F.map_keys("args"), F.col("param"))
@@ -95,13 +118,18 @@ def argument_errors(calls: DataFrame, schemas: DataFrame, key: list[str] = ID) -
         .when(~fits, F.lit("type:"))
         .when(F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)), F.lit("range:"))
     )
+    if "allowed" in schemas.columns:
+        fault = F.coalesce(fault, F.when(there & F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.try_variant_get(value, "$", "string")), F.lit("enum:")))
     values = args.where("args is not null").join(schemas, "name").withColumn("fault", fault).where("fault is not null")
     each = shape.unionByName(values.select(*key, F.concat("fault", "param").alias("e")))
     return each.groupBy(*key).agg(F.array_sort(F.collect_set("e")).alias("errors"))
 
 
 def canonical(arguments: Column) -> Column:
-    return F.to_json(F.try_parse_json(arguments))
+    """Sorted keys, no white space; what is no single object, or holds a number that would change, as the text it is."""
+    as_text = F.to_json(F.struct(arguments.alias("a")))  # {"a":"..."}
+    as_text = F.substr(as_text, F.lit(6), F.length(as_text) - 6)
+    return F.when(one_object(arguments) & ~inexact_number(arguments), F.to_json(F.try_parse_json(arguments))).when(arguments.isNotNull(), as_text)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -149,8 +177,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     row = row.unionByName(loose, allowMissingColumns=True)
     row = row.withColumns({"errors": F.coalesce("errors", F.array().cast("array<string>")), "o_depth": F.coalesce("depth", F.lit(1 << 40)), "o_status": F.when(F.col("status") == "linked", 0).otherwise(1)})
     ranked, _ = global_rank(row, ["conv", "o_depth", "turn", "call", "o_status", "status", "tie", "again"], "tool-calls")
-    start = ranked.groupBy("conv").agg(F.min("__rank").alias("start")).withColumnRenamed("conv", "s_conv")
-    out = ranked.join(start, F.col("conv").eqNullSafe(F.col("s_conv")))
+    # a conversation's first rank, once per run of ranks, so that a long conversation is joined in parts
+    run = F.shiftright("__rank", RUN_BITS)
+    parts = ranked.groupBy("conv", run.alias("s_run")).agg(F.min("__rank").alias("start"))
+    start = parts.withColumn("start", F.min("start").over(Window.partitionBy("conv"))).withColumnRenamed("conv", "s_conv")
+    out = ranked.join(start, F.col("conv").eqNullSafe(F.col("s_conv")) & (run == F.col("s_run")))
     # keys in sorted order: arguments stand before all others
     rest = F.to_json(F.struct(F.col("call").alias("call_id"), "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
     text = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(","), F.substr(rest, F.lit(2)))
