@@ -13,7 +13,7 @@
 5. Phrases are joined with the counts of their parts, scored in exact decimals, and ranked per language.
 
 Defined results: a null text is empty and gives nothing; a null language is ``und``. A text of any length is handled whole. Repeated rows count as often as they stand there. Phrases of equal
-score and count follow each other by their bytes. Counts are exact up to 10**16, far above what decimals of 38 digits need. An empty table gives no
+score and count follow each other by their bytes. Scores are exact for counts up to 10**15, whose products decimals of 38 digits hold. An empty table gives no
 rows. Other columns of documents are not read, so their names cannot clash.
 """
 
@@ -67,19 +67,29 @@ def _chunk_of(texts: list[bytes], lang: str, number: int) -> pa.RecordBatch | No
 
 
 def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a language are gathered over batches until they make a chunk; what is gathered of all languages together is bounded too."""
     number = TaskContext.get().partitionId() << 32
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        size.pop(lang)
+        out = _chunk_of(held.pop(lang), lang, number)
+        number += 1
+        if out is not None:
+            yield out
+
     for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            texts = batch.column("text").filter(pc.equal(langs.indices, k)).cast(pa.large_binary())
-            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-                out = _chunk_of(texts.slice(at, to - at).to_pylist(), lang, number)
-                at, number = to, number + 1
-                if out is not None:
-                    yield out
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            if lang in size and size[lang] + len(text) > CHUNK:
+                yield from flush(lang)
+            held.setdefault(lang, []).append(text)
+            size[lang] = size.get(lang, 0) + len(text)
+        while sum(size.values()) > 2 * CHUNK:
+            yield from flush(max(size, key=size.get))
+    for lang in list(held):
+        yield from flush(lang)
 
 
 def radix_order(columns: list[np.ndarray]) -> np.ndarray:
