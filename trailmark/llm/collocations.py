@@ -244,6 +244,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
     three = triples.join(front, ["a", "b"]).join(back, ["b", "c"]).join(word("a").join(words.select(F.col("id").alias("a"), "lang"), "a"), "a").join(word("b"), "b").join(word("c"), "c")
     cut = F.least(F.struct(score("fa", "f_bc").alias("s"), F.lit(1).alias("k"), F.col("fa").alias("l"), F.col("f_bc").alias("r")), F.struct(score("f_ab", "fc").alias("s"), F.lit(2).alias("k"), F.col("f_ab").alias("l"), F.col("fc").alias("r")))
     three = three.withColumn("cut", cut).select("lang", F.concat_ws(" ", "wa", "wb", "wc").alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", F.col("cut.s").alias("score"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # the first of each part of a language, then of these, so that no task sorts a whole language
+    part = F.pmod(F.xxhash64("phrase"), F.lit(shuffle_partitions(docs.sparkSession)))
+    each = two.unionByName(three).withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
