@@ -364,57 +364,6 @@ def export_xy(soft: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return d.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("colony", "ant", "frame", "x", "y", "ass_type", *more)
 
 
-def infer_counts(nodes: DataFrame, edges: DataFrame, *, small: float = 0.0) -> DataFrame:
-    """(tracklet, nants): how many animals a tracklet holds, NULL where nothing tells.
-
-    Singles hold 1, lone small tracklets 0. A node whose parents are all known, and have no other children, holds
-    their sum less its known siblings; the same along children. Repeated until a round tells nothing new; in a round all
-    nodes are judged by the last round's counts, so the order of nodes does not matter. Last, what is left of diamonds is
-    split: unknown nodes with the same parents and the same children share alike what their parents hold.
-    """
-    from trailmark.operators.tracks import degrees
-
-    d = nodes.join(degrees(nodes, edges), "tracklet")
-    lone = (F.col("indeg") + F.col("outdeg") == 0) & (F.coalesce("area", F.lit(0.0)) <= small)
-    n = cut(d.select("tracklet", F.when(F.col("single"), 1).when(lone, 0).cast("long").alias("nants")))
-    e = cut(edges.select("src", "dst").distinct())
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-    def guess(e: DataFrame) -> DataFrame:
-        """From parents: their sum less the siblings', if all of both are known."""
-        known = e.join(n.withColumnRenamed("tracklet", "src"), "src")
-        par = known.groupBy(F.col("dst").alias("tracklet")).agg(F.sum("nants").alias("s"), (F.count("nants") == F.count(F.lit(1))).alias("all"))
-        sib = e.join(e.withColumnRenamed("dst", "sib"), "src").where("sib <> dst").select(F.col("dst").alias("tracklet"), "sib").distinct()
-        out = e.select("src", "dst")
-        more = sib.join(out.select(F.col("dst").alias("sib"), F.col("src").alias("p2")), "sib").join(out.select(F.col("dst").alias("tracklet"), F.col("src").alias("p2"), F.lit(True).alias("mine")), ["tracklet", "p2"], "left")
-        open_ = more.groupBy("tracklet").agg(F.count_if(F.col("mine").isNull()).alias("foreign"))
-        sibs = sib.join(n.withColumnRenamed("tracklet", "sib"), "sib").groupBy("tracklet").agg(F.sum("nants").alias("t"), (F.count("nants") == F.count(F.lit(1))).alias("sall"))
-        g = par.join(sibs, "tracklet", "left").join(open_, "tracklet", "left")
-        ok = F.col("all") & F.coalesce("sall", F.lit(True)) & (F.coalesce("foreign", F.lit(0)) == 0)
-        return g.where(ok).select("tracklet", F.greatest(F.col("s") - F.coalesce("t", F.lit(0)), F.lit(0)).alias("g"))
-
-    known = n.where("nants is not null").count()
-    while True:
-        up, down = guess(e), guess(back).withColumnRenamed("g", "h")
-        n = cut(n.join(up, "tracklet", "left").join(down, "tracklet", "left").select("tracklet", F.coalesce("nants", "g", "h").alias("nants")))
-        before, known = known, n.where("nants is not null").count()
-        if known == before:
-            break
-    return _split_diamonds(n, e)
-
-
-def _split_diamonds(n: DataFrame, e: DataFrame) -> DataFrame:
-    """n with unknown nodes of a diamond, all nodes between one parent and one child, given equal parts of what the parent holds."""
-    one = lambda key, other, s: e.groupBy(F.col(key).alias("tracklet")).agg(F.min(other).alias(s), F.count(F.lit(1)).alias(f"n_{s}"))
-    d = n.join(one("dst", "src", "top"), "tracklet").join(one("src", "dst", "bottom"), "tracklet").where("n_top = 1 and n_bottom = 1")
-    sides = d.groupBy("top", "bottom").agg(F.count(F.lit(1)).alias("sides"), F.count("nants").alias("told")).where("sides > 1 and told = 0")
-    out, into = e.groupBy(F.col("src").alias("top")).agg(F.count(F.lit(1)).alias("outs")), e.groupBy(F.col("dst").alias("bottom")).agg(F.count(F.lit(1)).alias("ins"))
-    whole = sides.join(out, "top").join(into, "bottom").where("outs = sides and ins = sides")
-    held = n.where("nants is not null").select(F.col("tracklet").alias("top"), F.col("nants").alias("held"))
-    part = d.select("tracklet", "top", "bottom").join(whole, ["top", "bottom"]).join(held, "top").where("held % sides = 0").select("tracklet", (F.col("held") / F.col("sides")).cast("long").alias("part"))
-    return n.join(part, "tracklet", "left").select("tracklet", F.coalesce("nants", "part").alias("nants"))
-
-
 def exits_and_entrances(tracks: DataFrame, counts: DataFrame, edges: DataFrame, boundary: DataFrame) -> DataFrame:
     """(tracklet, kind, frame, nants): tracklets at an open boundary that end without a child leave, those that begin without a
     parent enter. boundary: (tracklet, at_start, at_end)."""

@@ -65,6 +65,9 @@ def ant_frames(spark, d):
     return ex.ant_frames(1, 3000, s, rows, key=["colony", "label"], hide_ends=True).select("colony", "label", "frame", "x", "area", "single")
 
 
-@query("SELECT frame, max(x) FILTER (WHERE ant = 'U01') AS U01_x, max(y) FILTER (WHERE ant = 'U01') AS U01_y, max(x) FILTER (WHERE ant = 'U02') AS U02_x, max(y) FILTER (WHERE ant = 'U02') AS U02_y FROM fx_xy GROUP BY frame")
+ANTS = [f"U{i:02d}" for i in range(fx.N_ANTS)]
+
+
+@query("SELECT frame, " + ", ".join(f"max({c}) FILTER (WHERE ant = '{a}') AS {a}_{c}" for a in ANTS for c in "xy") + " FROM fx_xy GROUP BY frame")
 def export_wide(spark, d):
-    return ex.wide(fx.xy(spark, d), ["U01", "U02"])
+    return ex.wide(fx.xy(spark, d), ANTS)

@@ -15,6 +15,7 @@ from trailmark.operators import sampling as sm
 from trailmark.operators import solve as sv
 from trailmark.operators import tracks as tk
 from trailmark.operators.components import local_dir
+from trailmark.plans.graph_queries import REACH
 from trailmark.plans.registry import query
 from trailmark.plans.tracklet_queries import AREA, IDS
 from trailmark.sources import files as fl
@@ -85,13 +86,13 @@ def autoid_files(spark, d):
     return fl.read_autoids(spark, path).select("tracklet", "label", "score", "best_frame")
 
 
-@query("SELECT m, count(*) AS n, min(frame) AS first_frame FROM fx_xy WHERE m <= 6 AND (m <= 3 OR frame % 2 = 0) GROUP BY m")
+@query("SELECT m, count(*) AS n, min(frame) AS first_frame FROM fx_xy WHERE m <= 15 OR frame % 2 = 0 GROUP BY m")
 def movie_rerun(spark, d):
-    """Movies 4 to 6 are replaced in a stored table; the others stay."""
-    x = fx.xy(spark, d).where("m <= 6")
+    """Movies from 16 on are replaced in a stored table; the others stay."""
+    x = fx.xy(spark, d)
     path = folder(spark, "movies")
     fl.write_by_movie(x, path)
-    fl.write_by_movie(x.where("m > 3 and frame % 2 = 0"), path)
+    fl.write_by_movie(x.where("m > 15 and frame % 2 = 0"), path)
     return fl.read_by_movie(spark, path).groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first_frame"))
 
 
@@ -253,7 +254,7 @@ def time_index(spark, d):
     return fx.tracklets(spark, d).select("tracklet", sc.index_of(F.lit(1500), fi, ff).alias("ix"), sc.frame_of(F.lit(5), fi, ff).alias("frame"))
 
 
-@query("SELECT src, dst, hops, row_number() OVER (PARTITION BY src ORDER BY hops, dst) AS rank FROM (SELECT src, dst, 1 AS hops FROM fx_edges UNION SELECT a.src, b.dst, 2 FROM fx_edges a JOIN fx_edges b ON a.dst = b.src WHERE NOT EXISTS (SELECT 1 FROM fx_edges c WHERE c.src = a.src AND c.dst = b.dst))")
+@query("WITH RECURSIVE " + REACH.format(depth=10) + " SELECT src, dst, hops, row_number() OVER (PARTITION BY src ORDER BY hops, dst) AS rank FROM (SELECT src, dst, min(hops) AS hops FROM vw_reach GROUP BY ALL)")
 def pairs_by_distance(spark, d):
-    h = gr.hop_distance(fx.edges(fx.tracklets(spark, d)), 2)
+    h = gr.hop_distance(fx.edges(fx.tracklets(spark, d)), 10)
     return sm.ranked(h, ["src"], [F.asc("hops"), F.asc("dst")]).select("src", "dst", F.col("hops"), "rank")

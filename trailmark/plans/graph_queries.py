@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark import fixtures as fx
 from trailmark.model import MULTI_LABELS
+from trailmark.operators import counts as ct
 from trailmark.operators import graph as gr
 from trailmark.operators import intervals as iv
 from trailmark.operators import solve as sv
@@ -15,6 +16,7 @@ from trailmark.plans.registry import query
 from trailmark.plans.tracklet_queries import AREA, IDS
 from trailmark.plans.tracklet_queries import V as TV
 from trailmark.plans.tracklet_queries import commands as removal_commands
+from trailmark.streaming import tracking as tf
 
 REACH = "vw_reach AS (SELECT src, dst, 1 AS hops FROM fx_edges UNION SELECT r.src, e.dst, r.hops + 1 FROM vw_reach r JOIN fx_edges e ON r.dst = e.src WHERE r.hops < {depth})"
 V = TV | {
@@ -223,11 +225,22 @@ def export_xy(spark, d):
     return tr.interpolate_gaps(dense, max_frames=30, max_distance=0.5, key=("colony", "ant")).where("x is not null")
 
 
-@query(None)
-def infer_nants(spark, d):
+def _counted(spark, d):
     t = nodes(spark, d)
     e = fx.edges(t)
-    return sv.infer_counts(t.join(tk.singles(t, e, min_area=AREA[0], max_area=AREA[1]), "tracklet"), e)
+    n = t.join(tk.singles(t, e, min_area=AREA[0], max_area=AREA[1]), "tracklet").withColumn("grp", F.floor((F.col("fi") - 1) / GROUP).cast("long"))
+    # a quarter of the tracklets lie at the open boundary
+    return t, ct.infer_counts(n.withColumn("touching", F.col("tracklet") % 4 == 0), e, small=AREA[0])
+
+
+@query(None)
+def infer_nants(spark, d):
+    return _counted(spark, d)[1]
+
+
+@query(None)
+def boundary_times(spark, d):
+    return ct.boundary_times(*_counted(spark, d))
 
 
 @query("""
@@ -237,3 +250,10 @@ def exits_and_entrances(spark, d):
     t = nodes(spark, d)
     edge = t.select("tracklet", (F.col("fi") % 5 == 0).alias("at_start"), (F.col("ff") % 5 == 0).alias("at_end"))
     return sv.exits_and_entrances(t, t.select("tracklet", (F.col("label") != "NoAnt").alias("nants")), fx.edges(t), edge)
+
+
+@query(None)
+def track_frames(spark, d):
+    """Each colony's rows per frame as blobs of a movie."""
+    b = fx.untagged(nodes(spark, d)).select(F.col("colony").alias("movie"), "frame", F.col("tracklet").alias("blob"), "x", "y", F.coalesce("area", F.lit(0.0)).cast("double").alias("area"), F.lit(1.0).alias("dt"), (F.col("x") < 0.05).alias("boundary"))
+    return tf.batch_frames(b, tf.Rules(max_speed=0.02, reach=0.04, area=float(AREA[0]), longest=600, open_boundary=True))

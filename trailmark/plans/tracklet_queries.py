@@ -245,11 +245,11 @@ def tracklet_velocity(spark, d):
     return tk.tracklet_velocity(u).select("tracklet", "frame", "vnorm", "vang")
 
 
-@query("SELECT sum(len) / (3000.0 * 8 * 25) AS rate, sum(CASE WHEN single THEN len ELSE 0 END) / (3000.0 * 8 * 25) AS classified FROM vw_single WHERE label LIKE 'A%'", V)
+@query("SELECT sum(len) / (3000.0 * 8 * c) AS rate, sum(CASE WHEN single THEN len ELSE 0 END) / (3000.0 * 8 * c) AS classified FROM vw_single, (SELECT count(DISTINCT colony) AS c FROM fx_tracklets) WHERE label LIKE 'A%' GROUP BY c", V)
 def assignment_rate(spark, d):
     t = tracks(spark, d)
     s = tk.singles(t, fx.edges(t), min_area=AREA[0], max_area=AREA[1]).withColumnRenamed("single", "source")
-    return tk.assignment_rate(t.where(F.col("label").isin(*IDS)).join(s, "tracklet"), 3000, 8, 25)
+    return tk.assignment_rate(t.where(F.col("label").isin(*IDS)).join(s, "tracklet"), 3000, len(IDS), t.select("colony").distinct().count())
 
 
 @query("""
