@@ -383,10 +383,3 @@ def test_sets_and_samples(spark):
     assert sm.sample_until(d, ["k"], "i", "n", 35).count() == 4
     assert sm.split_share(d, ["k"], "i", 0.8).where("train").count() == 16
     assert [r["part"] for r in sm.divide(d, "i", 3).groupBy("part").count().orderBy("part").collect()] == [1, 2, 3]
-
-
-def test_cross_movie_links(spark):
-    s = "m long, colony long, tracklet long, x double, y double"
-    a = spark.createDataFrame([(1, 0, 1, 0.0, 0.0), (1, 0, 2, 5.0, 0.0), (2, 0, 9, 0.0, 0.0)], s)
-    b = spark.createDataFrame([(1, 0, 3, 5.1, 0.0), (1, 0, 4, 0.2, 0.0), (1, 0, 5, 90.0, 0.0)], s)
-    assert values(kn.cross_movie_links(a, b), "parent", "child") == [(1, 4), (2, 3)]

@@ -111,59 +111,6 @@ def fix_orientations(rows: DataFrame, costs: HeadCosts | None = None) -> DataFra
     return rows.select("tracklet", "frame", "x", "y", "orient", "eccentricity", "dt").groupBy("tracklet").applyInPandas(work, "tracklet long, frame long, orient double")
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, by shortest augmenting paths; rows <= columns after turning."""
-    flip = cost.shape[0] > cost.shape[1]
-    c = cost.T if flip else cost
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, done = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            done[j0] = True
-            free = ~done[1:]
-            now = c[match[j0] - 1] - u[match[j0]] - v[1:]
-            better = free & (now < low[1:])
-            low[1:][better], way[1:][better] = now[better], j0
-            j1 = 1 + int(np.where(free, low[1:], np.inf).argmin())
-            delta = low[j1]
-            u[match[done]] += delta
-            v[done] -= delta
-            low[~done] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((b, a) if flip else (a, b) for a, b in pairs)
-
-
-def cross_movie_links(ends: DataFrame, starts: DataFrame, *, unassigned: float = 2.0) -> DataFrame:
-    """(m, parent, child): at each boundary the cheapest matching of track ends with track starts, where leaving
-    either alone costs ``unassigned``. ends and starts: (m, colony, tracklet, x, y), m the movie that ends.
-
-    A boundary holds the animals of one colony in one frame, so a task's matrix is small.
-    """
-    both = ends.withColumn("side", F.lit(0)).unionByName(starts.withColumn("side", F.lit(1)))
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        a, b = (p[p["side"] == s].sort_values("tracklet") for s in (0, 1))
-        n, k = len(a), len(b)
-        if not n or not k:
-            return pd.DataFrame({"m": [], "parent": [], "child": []}).astype("int64")
-        d = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy()[None], a["y"].to_numpy()[:, None] - b["y"].to_numpy()[None])
-        # each end and start also has a partner of its own that stands for "alone"
-        big = np.zeros((n + k, n + k))
-        big[:n, :k], big[:n, k:], big[n:, :k] = d, unassigned, unassigned
-        pairs = [(i, j) for i, j in assign(big) if i < n and j < k]
-        return pd.DataFrame({"m": [p["m"].iloc[0]] * len(pairs), "parent": [a["tracklet"].iloc[i] for i, _ in pairs], "child": [b["tracklet"].iloc[j] for _, j in pairs]}).astype("int64")
-
-    return both.groupBy("m", "colony").applyInPandas(work, "m long, parent long, child long")
-
-
 def dyadic_periods(n: int, shortest: float, longest: float) -> np.ndarray:
     return shortest * 2 ** (np.arange(n) * math.log2(longest / shortest) / (n - 1))
 

@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trailmark import fixtures as fx
+from trailmark.operators import borders as bd
+from trailmark.operators import embedding as em
 from trailmark.operators import kernels as kn
 from trailmark.operators import trajectory as tr
+from trailmark.operators.components import cut
 from trailmark.plans.registry import query
 from trailmark.plans.trajectory_queries import V, dense
 
@@ -41,8 +44,22 @@ def fix_orientation(spark, d):
 
 @query(None)
 def cross_movie_links(spark, d):
+    """Blobs are the places of a border's two frames in one cell of a grid, so animals side by side share one."""
     t = fx.tracklets(spark, d)
-    return kn.cross_movie_links(*kn.boundary_points(t, fx.untagged(t), 24), unassigned=0.25)
+    rows = fx.untagged(t)
+    at = rows.withColumns({"blob": F.floor(F.col("x") * 20) * 100 + F.floor(F.col("y") * 20), "after": (F.col("frame") - 1) % fx.MOVIE_FRAMES == 0})
+    at = at.where(F.col("after") | (F.col("frame") % fx.MOVIE_FRAMES == 0)).withColumn("m", fx.movie_of(F.col("frame")) - F.col("after").cast("long"))
+    blobs = cut(at.groupBy("m", "colony", "after", "blob").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+    before, after = (blobs.where(c).drop("after") for c in (~F.col("after"), F.col("after")))
+    near = bd.within(before.withColumnRenamed("blob", "prev"), after.withColumnRenamed("blob", "cur"), 0.1)
+    return bd.border_links(*kn.boundary_points(t, rows, fx.MOVIE_FRAMES), before, after, near, alone=0.02)
+
+
+@query("""
+SELECT a.m FROM fx_movies a JOIN fx_movies b ON b.fi = a.ff + 1 LEFT JOIN (SELECT frame, coalesce(S1 - 499, 1) AS dt FROM fx_dat) d ON d.frame = b.fi WHERE coalesce(d.dt <= 2.5, true)""")
+def open_borders(spark, d):
+    dat = fx.dat(spark, d).select("frame", F.coalesce(F.col("S1") - 499, F.lit(1.0)).alias("tracking_dt"))
+    return bd.open_borders(fx.movies(spark), dat, 2.5)
 
 
 @query(None)
@@ -93,3 +110,12 @@ def fit_ellipse(spark, d):
     t = fx.tracklets(spark, d).select("tracklet", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
     r1, r2 = F.col("tracklet") % 7 + 3, F.col("tracklet") % 3 + 1
     return kn.fit_ellipse(t.select("tracklet", (F.cos(a) * r1 + F.col("tracklet") % 10).alias("x"), (F.sin(a) * r2 + 1).alias("y")), "tracklet")
+
+
+@query(None)
+def embed_points(spark, d):
+    """Class distributions placed among those of the 1,500 tracklets and frames of least number, whose places are their first two axes."""
+    p = fx.scores(spark, d).select((F.col("tracklet") * 5 + F.col("frame")).alias("id"), "p")
+    known = np.array([r["p"] for r in p.orderBy("id").limit(1_500).collect()])
+    logs = np.log(known / known.sum(axis=1, keepdims=True))
+    return em.embed(p, known, em.axes(logs, 2))
