@@ -25,6 +25,49 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], *, width: int, suffi
     return j.where((F.col("fi" + x) <= F.col("ff" + y)) & (F.col("ff" + x) >= F.col("fi" + y)) & (F.col("__block") == first)).drop("__block")
 
 
+def _shift(x: Column, level: Column) -> Column:
+    return F.call_function("shiftright", x, level)
+
+
+def cover_nodes(lo: Column, hi: Column, levels: int) -> Column:
+    """Array of (level, node) of a binary tree over the whole numbers that together hold lo..hi and nothing else: at most two per level."""
+
+    def at(level: Column) -> Column:
+        begin, end = -_shift(-lo, level), _shift(hi + 1, level)
+        odd = lambda x: (x.bitwiseAND(F.lit(1)) == 1) & (begin < end)
+        return F.array(F.when(odd(begin), F.struct(level.alias("level"), begin.alias("node"))), F.when(odd(end), F.struct(level.alias("level"), (end - 1).alias("node"))))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at)), lambda x: x.isNotNull())
+
+
+def stab_join(points: DataFrame, intervals: DataFrame, on: list[str], *, at: str = "frame", leaf: int = 32, levels: int | None = None) -> DataFrame:
+    """points joined with the intervals [fi, ff] of their group that hold them, each pair once; names other than ``on`` differ.
+
+    Blocks of ``leaf`` frames are the leaves of a binary tree. An interval enters the few nodes that cover its blocks, a point
+    all nodes above its own block, so an interval of any length costs about twice the logarithm of it. levels: how many the
+    longest interval needs; without it they are counted first. Intervals that end before they begin, and nulls, hold nothing.
+    """
+    block = lambda c: F.floor(F.col(c) / leaf).cast("long")
+    if levels is None:
+        longest = intervals.agg(F.max(block("ff") - block("fi") + 1)).first()[0] or 1
+        levels = max(1, int(longest).bit_length())
+    above = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda level: F.struct(level.alias("level"), _shift(block(at), level).alias("node")))
+    p = points.where(F.col(at).isNotNull()).withColumn("__node", F.explode(above))
+    i = intervals.where("fi <= ff").withColumn("__node", F.explode(cover_nodes(block("fi"), block("ff"), levels)))
+    return p.join(i, [*on, "__node"]).where((F.col("fi") <= F.col(at)) & (F.col(at) <= F.col("ff"))).drop("__node")
+
+
+def dyadic_join(a: DataFrame, b: DataFrame, on: list[str], *, leaf: int = 32, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """As overlap_join, for intervals of very different lengths: one of two overlapping intervals holds the other's first
+    frame, so the pairs are two joins of first frames with intervals, and each is met once."""
+    x, y = suffixes
+    named = lambda df, s: df.select(*on, *[F.col(c).alias(c + s) for c in df.columns if c not in on])
+    l, r = named(a.where("fi <= ff"), x), named(b.where("fi <= ff"), y)
+    held = lambda points, at, rows, s: stab_join(points, rows.withColumns({"fi": F.col("fi" + s), "ff": F.col("ff" + s)}), on, at=at, leaf=leaf).drop("fi", "ff")
+    later = held(l, "fi" + x, r, y)
+    return later.unionByName(held(r, "fi" + y, l, x).where(F.col("fi" + y) > F.col("fi" + x)))
+
+
 def overlaps(tracks: DataFrame, on: str = "colony", width: int = 32) -> DataFrame:
     """(colony, a, b): ordered pairs of different tracklets of a colony that share a frame."""
     t = tracks.select(on, "tracklet", "fi", "ff")
@@ -78,16 +121,16 @@ def blob_table(tracks: DataFrame) -> DataFrame:
     return tracks.select("tracklet", F.posexplode(F.sequence("fi", "ff")).alias("ix", "frame"))
 
 
-def temporal_removals(tracks: DataFrame, commands: DataFrame, width: int = 64) -> DataFrame:
+def temporal_removals(tracks: DataFrame, commands: DataFrame, leaf: int = 64) -> DataFrame:
     """(tracklet, id) taken out by commands (colony, id, fi, ff); the colony 'all' stands for every colony.
 
-    The wildcard is a union of two equi joins, not a condition with OR.
+    The wildcard is a union of two equi joins, not a condition with OR. A command may span the whole recording.
     """
     here = commands.where("colony <> 'all'").withColumn("colony", F.col("colony").cast("long"))
     every = commands.where("colony = 'all'").drop("colony")
     t = tracks.select("tracklet", "colony", "fi", "ff")
-    one = overlap_join(t, here, ["colony"], width=width).select(F.col("tracklet_a").alias("tracklet"), F.col("id_b").alias("id"))
-    two = overlap_join(t, every, [], width=width).select(F.col("tracklet_a").alias("tracklet"), F.col("id_b").alias("id"))
+    one = dyadic_join(t, here, ["colony"], leaf=leaf).select(F.col("tracklet_a").alias("tracklet"), F.col("id_b").alias("id"))
+    two = dyadic_join(t, every, [], leaf=leaf).select(F.col("tracklet_a").alias("tracklet"), F.col("id_b").alias("id"))
     return one.union(two).distinct()
 
 

@@ -19,6 +19,7 @@ from trailmark.plans.graph_queries import REACH
 from trailmark.plans.registry import query
 from trailmark.plans.tracklet_queries import AREA, IDS
 from trailmark.sources import files as fl
+from trailmark.sources import recorder as rc
 from trailmark.streaming import lifecycle as lc
 
 V = {
@@ -258,3 +259,27 @@ def time_index(spark, d):
 def pairs_by_distance(spark, d):
     h = gr.hop_distance(fx.edges(fx.tracklets(spark, d)), 10)
     return sm.ranked(h, ["src"], [F.asc("hops"), F.asc("dst")]).select("src", "dst", F.col("hops"), "rank")
+
+
+V["vw_recorded"] = "SELECT DISTINCT (date_diff('day', DATE '1992-01-01', o_orderdate::DATE)) // 90 + 3 AS file, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::BIGINT AS framenum FROM orders"
+
+
+def recorded(spark, d):
+    """(m, framenum, timestamp) of a recorder: a frame per day with orders, ninety days a file, files from 3."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    f = fx.table(spark, d, "orders").select(day.alias("framenum")).distinct()
+    return f.select((F.floor(F.col("framenum") / 90) + 3).cast("long").alias("m"), "framenum", (F.col("framenum") * 3.0 + F.col("framenum") % 3).alias("timestamp"))
+
+
+@query("""
+WITH t AS (SELECT file, framenum, framenum * 3.0::DOUBLE + framenum % 3 AS timestamp FROM vw_recorded), s AS (SELECT *, timestamp - lag(timestamp) OVER w AS dt, lead(timestamp) OVER w - timestamp AS ahead, row_number() OVER w AS frame FROM t WINDOW w AS (ORDER BY file, timestamp))
+SELECT file - (SELECT min(file) FROM t) + 1 AS m, frame, framenum, timestamp, coalesce(dt, ahead) AS dt FROM s""", V)
+def recorder_frames(spark, d):
+    at = folder(spark, "recorder")
+    rc.write_archives(recorded(spark, d), at, "cam")
+    return rc.frame_steps(rc.read_recorder(spark, at))
+
+
+@query("SELECT file AS m, floor((file - 1) // 4 * 4 + 1)::BIGINT || '_' || least((file - 1) // 4 * 4 + 4, (SELECT max(file) FROM vw_recorded)) AS folder FROM vw_recorded GROUP BY file", V)
+def recorder_folders(spark, d):
+    return rc.movie_folders(recorded(spark, d).select("m").distinct(), fps=1.0, frames_per_file=21_600)

@@ -203,6 +203,16 @@ def overlaps(spark, d):
     return iv.overlaps(tracks(spark, d))
 
 
+@query("""
+SELECT t.tracklet, t.colony, s.label, s.fi, s.ff FROM fx_tracklets t JOIN (SELECT colony, label, min(fi) AS fi, max(ff) AS ff FROM fx_tracklets GROUP BY ALL) s ON t.colony = s.colony AND t.fi <= s.ff AND t.ff >= s.fi AND t.label <> s.label""")
+def overlaps_spans(spark, d):
+    """Tracklets beside the spans, hundreds of times as long, over which another label occurs in their colony."""
+    t = tracks(spark, d)
+    spans = t.groupBy("colony", "label").agg(F.min("fi").alias("fi"), F.max("ff").alias("ff"))
+    j = iv.dyadic_join(t.select("tracklet", "colony", "label", "fi", "ff"), spans, ["colony"])
+    return j.where("label_a <> label_b").select(F.col("tracklet_a").alias("tracklet"), "colony", F.col("label_b").alias("label"), F.col("fi_b").alias("fi"), F.col("ff_b").alias("ff"))
+
+
 @query("SELECT a.tracklet, b.tracklet AS other, greatest(0, b.fi - a.ff, a.fi - b.ff) AS gap FROM fx_tracklets a JOIN fx_tracklets b ON a.colony = b.colony AND a.fi = b.fi AND a.tracklet < b.tracklet")
 def node_dist(spark, d):
     t = tracks(spark, d)
