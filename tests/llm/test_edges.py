@@ -186,6 +186,16 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_labels_of_any_type(spark):
+    from datetime import date
+
+    same = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [0.0, 1.0])]
+    for kind, a, b in (("string", "animal, wild", "7a"), ("double", 0.5, float("nan")), ("date", date(2020, 1, 1), date(2020, 1, 2)), ("boolean", True, False)):
+        rows = [(i, a if i % 2 else b, v) for i, v in same] + [(60, None, [1.0, 0.0])]
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<double>")).collect()}
+        assert got == {i: (19, i % 2) for i in range(40)} | {50: (0, 50), 60: (0, 60)}
+
+
 def test_embeddings_with_repeated_ids(spark):
     """Rows of one vec_id under two labels, or with two vectors, are separate vectors; sure and doubtful pairs add up."""
     far, turn = [0.0, 1.0, 0.0], lambda c: [c, float(np.sqrt(1 - c * c)), 0.0]

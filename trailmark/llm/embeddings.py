@@ -13,7 +13,7 @@ there, and the uncertain pairs. A label's work grows with the square of its dist
 are asked for; it is spread over its pairs of tiles, and each tile travels once per tile of its label.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
-vectors without label, link with nothing. Vectors of different length do not link. Rows that
+vectors without label, link with nothing. Labels of any type are equal when their texts are. Vectors of different length do not link. Rows that
 repeat a vec_id are separate vectors, in one label or several; a component's id is the least vec_id of its rows, of
 which all rows with that vec_id are kept. A row without vec_id is dropped from the links, and is its
 own row with null component. Vectors of any length are compared whole. An empty table gives no rows. Other
@@ -34,11 +34,13 @@ from trailmark.llm.components import connected_components, forest
 
 #: Vectors of a tile, and rows of one tile whose products are held at a time.
 TILE, STRIP = 4096, 512
+#: Parts in which the rows of equal vectors meet their class.
+SALTS = 16
 #: Slack for double rounding of norms, products and bounds; far above what 1e6 components can add up to.
 SLACK = 1e-9
 TILE_NAMES = ["label", "dim", "tile", "tiles", "nodes", "copies", "q", "step", "error"]
-TILE_KINDS = "label long, dim int, tile int, tiles int, nodes binary, copies binary, q binary, step binary, error binary"
-TILE_SCHEMA = pa.schema([("label", pa.int64()), *[(c, pa.int32()) for c in TILE_NAMES[1:4]], *[(c, pa.binary()) for c in TILE_NAMES[4:]]])
+TILE_KINDS = "label string, dim int, tile int, tiles int, nodes binary, copies binary, q binary, step binary, error binary"
+TILE_SCHEMA = pa.schema([("label", pa.string()), *[(c, pa.int32()) for c in TILE_NAMES[1:4]], *[(c, pa.binary()) for c in TILE_NAMES[4:]]])
 #: sure rows: a class, its certain links and the least class it reaches by them; the others: two classes in doubt
 LINK_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("sure", pa.bool_())])
 
@@ -124,7 +126,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str
     """(vec_id, n_links, component_id, kept), a row per vector; see the module's text."""
     v = F.col(vector)
     sound = v.isNotNull() & F.col(label).isNotNull() & F.col(vec_id).isNotNull() & (F.size(v) > 0) & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    d = vectors.select(F.col(vec_id).alias("vec"), F.col(label).cast("long").alias("label"), F.when(F.coalesce(sound, F.lit(False)), v.cast("array<double>")).alias("vector"))
+    d = vectors.select(F.col(vec_id).alias("vec"), F.col(label).cast("string").alias("label"), F.when(F.coalesce(sound, F.lit(False)), v.cast("array<double>")).alias("vector"))
     d = d.withColumns({"c1": F.xxhash64("vector"), "c2": F.xxhash64(F.lit(1), "vector")})
     key = ["label", "c1", "c2"]
     classes = d.where("vector is not null").groupBy(*key).agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
@@ -145,9 +147,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str
     per = classes.select(*key, "rep", "copies", "node").join(linked, "node", "left").join(parts, "node", "left")
     per = stored(per.withColumn("part", F.coalesce("part", "node")), "vector-classes-linked")
     least = per.groupBy("part").agg(F.min("rep").alias("component"))
-    per = per.join(least, "part").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
-    rows = d.select("vec", *key, F.col("vector").isNotNull().alias("sound"))
-    out = rows.where("sound").join(per, key).select("vec", "n_links", "component").unionByName(
+    # a class of equal vectors may hold a third of all rows: they meet it in parts; a class of one row goes to that row's part alone
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    parts_of = F.when(F.col("copies") == 1, F.array(part("rep"))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    per = per.join(least, "part").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", F.explode(parts_of).alias("salt"))
+    rows = d.select("vec", *key, F.col("vector").isNotNull().alias("sound"), part("vec").alias("salt"))
+    out = rows.where("sound").join(per, [*key, "salt"]).select("vec", "n_links", "component").unionByName(
         rows.where("not sound").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component"))
     )
     return out.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("vec") == F.col("component")).alias("kept"))
