@@ -66,6 +66,21 @@ def test_warc(spark):
         warc.write_archives(pages.withColumn("page_id", F.lit(None).cast("long")), as_uri(shared_dir(spark, "null-id")))
 
 
+def test_every_archive_begins_with_a_dictionary():
+    """One record, a few, equal ones, empty ones: each is decoded by the dictionary in front and not without it."""
+    import struct
+
+    import zstandard
+
+    for n, body in ((1, b""), (1, b"<html>" * 5000), (6, b"abc"), (7, b""), (300, b"x"), (20, b"page " * 300)):
+        whole = b"".join(warc.frames(iter([warc.record(i, "u", body, None) for i in range(n)])))
+        magic, size = struct.unpack_from("<II", whole)
+        assert magic == warc.SKIPPABLE and size > 0
+        assert [(r["page_id"], r["payload"]) for r in warc.read_archive(whole)] == [(i, body) for i in range(n)]
+        with pytest.raises(zstandard.ZstdError):
+            zstandard.ZstdDecompressor().decompressobj().decompress(whole[8 + size :])
+
+
 def test_archives_with_faults_are_refused():
     whole = b"".join(warc.frames(iter([warc.record(i, "u", b"payload %d" % i * 40, None) for i in range(20)])))
     assert [r["page_id"] for r in warc.read_archive(whole)] == list(range(20))

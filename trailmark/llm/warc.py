@@ -34,6 +34,10 @@ from trailmark.llm.files import WholeFile, as_uri, made, read_files
 
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 BYTES_PER_FILE, DICT_BYTES, SAMPLE_BYTES, PIECE = 24 << 20, 32 << 10, 1 << 20, 16 << 10
+#: Heads of records, and the dictionary's size, where a file's own records do not suffice to train one.
+HEADS, HEAD_DICT_BYTES = 64, 4 << 10
+#: Parts in which records of one payload meet the one that they refer to.
+SALTS = 16
 VERSION, MANDATORY = "WARC/1.1", ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 #: Records carry this date unless the table has one: the archive is a copy of a table, not a crawl.
 DATE = "1970-01-01T00:00:00Z"
@@ -95,15 +99,17 @@ def parse_record(raw: bytes) -> dict:
 
 
 def dictionary(samples: list[bytes]):
-    """A dictionary trained on a file's first records, or none if they are too few or too alike."""
+    """A dictionary trained on a file's first records. Where these are too few or too alike to train on, heads of records
+    are added, which any record begins with, so that every archive has one."""
     import zstandard
 
-    if len(samples) < 8:
-        return None
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+    heads = [record(i, f"https://page.example/{i}", b"", None) for i in range(HEADS)]
+    for some, size in ((samples, DICT_BYTES), (samples + heads, HEAD_DICT_BYTES), (heads, HEAD_DICT_BYTES)):
+        try:
+            return zstandard.train_dictionary(size, some, k=256, d=8)
+        except (zstandard.ZstdError, ValueError):
+            continue
+    raise RuntimeError("no dictionary could be trained")
 
 
 def frames(records: Iterator[bytes]) -> Iterator[bytes]:
@@ -117,9 +123,8 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         if held >= SAMPLE_BYTES:
             break
     trained = dictionary(first)
-    if trained:
-        yield struct.pack("<II", SKIPPABLE, len(trained.as_bytes())) + trained.as_bytes()
-    c = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True) if trained else zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+    yield struct.pack("<II", SKIPPABLE, len(trained.as_bytes())) + trained.as_bytes()
+    c = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
     for r in first:
         yield c.compress(r)
     for r in records:
@@ -158,7 +163,9 @@ def revisits(pages: DataFrame, *, min_revisit: int = 1000, page_id: str = "page_
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     d = pages.select(F.col(page_id).alias("page"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= min_revisit)
     last = d.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return d.join(last, ["digest", "size"]).where("page < refers_to").select("page", "refers_to").distinct()
+    # a payload may fill a third of all rows: they meet the last one in parts
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return d.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(last, ["digest", "size", "salt"]).where("page < refers_to").select("page", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = 1000, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
