@@ -35,3 +35,42 @@ def test_length_is_no_domain(spark):
         assert abs((tokens * p[:, d]).sum() - tokens[kind == d].sum()) < 0.02 * tokens.sum()
     reached = (np.array([r["rate"] for r in rows]) * tokens) @ p
     assert np.allclose(reached / reached.sum(), (0.80, 0.15, 0.05), atol=1e-4)
+
+
+def test_posteriors_part_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit_classifier(docs.select("doc_id", "text"), mixing.label_domains(labels), 3)
+    soft = mixing.with_posteriors(docs, model).join(mixing.label_domains(labels).distinct(), "doc_id")
+    mean = soft.groupBy("domain").agg(*[F.avg(F.get("__m_p", F.lit(i))).alias(str(i)) for i in range(3)]).collect()
+    assert len(mean) == 3
+    for r in mean:
+        assert max(range(3), key=lambda i: r[str(i)]) == r["domain"] and r[str(r["domain"])] > 0.6
+
+
+def projected_gradient(tokens, p, share, floor, ceiling, steps=4000):
+    """The least distance of the totals from their targets, by plain steps on every document's rate."""
+    q, target = (p - share, 0.0) if floor > 0 else (p, share * tokens.sum())
+    size = np.linalg.eigvalsh((tokens[:, None] * q).T @ q).max()
+    x = z = np.ones(len(p))
+    t = 1.0
+    for _ in range(steps):
+        y = np.clip(z - q @ ((z * tokens) @ q - target) / size, floor, ceiling)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        again = (z - y) @ (y - x) > 0
+        z, x, t = (y, y, 1.0) if again else (y + (t - 1) / after * (y - x), y, after)
+    return np.linalg.norm((x * tokens) @ q - target)
+
+
+def test_closest_fit(spark):
+    r = np.random.default_rng(11)
+    tokens, p = r.integers(1, 900, 400), r.dirichlet((3, 0.4, 0.3), 400)
+    soft = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "__m_tokens long, __m_p array<double>").cache()
+    for weights, floor, ceiling, met in (((0.7, 0.2, 0.1), 0.0, 4.0, True), ((0.05, 0.05, 0.9), 0.0, 4.0, False), ((0.3, 0.2, 0.5), 1.0, 2.0, False), ((0.8, 0.1, 0.1), 1.0, 8.0, True)):
+        rate, report = mixing.fit_rates(soft, weights, floor=floor, ceiling=ceiling)
+        assert report["met"] == met
+        now, target = np.array(report["reached"]), np.array(report["target"])
+        least = projected_gradient(tokens, p, np.array(weights), floor, ceiling)
+        assert np.linalg.norm(now - target) <= least + 1e-3 * tokens.sum()
+        rates = np.array([x[0] for x in soft.select(rate).collect()])
+        assert rates.min() >= floor and rates.max() <= ceiling
+        assert np.allclose((rates * tokens) @ p, now, rtol=1e-6)

@@ -7,12 +7,16 @@ document's summed weights, the same by length, and shares of symbols, capitals,
 and repeats is fitted, each document weighing as its tokens, so that there the expected token totals
 are the labelled ones, whatever the length of the texts.
 
-Rates between floor and ceiling (repeats of a document) follow from multipliers, one per domain:
-rate = 1 + sum of multiplier * posterior, clipped, which is the least change of the rates that meets
-the targets. The multipliers are fitted by Newton steps on the distance between expected token totals,
-sum of rate * tokens * posterior, and the targets, or by gradient steps where these do not lower it.
-A round is one aggregation to a few sums, and no state moves. Where no rates within the bounds
-meet the targets, a warning gives the targets and the totals reached, and the report holds them.
+Rates between floor and ceiling (repeats of a document) are the least squares fit of the expected token
+totals, sum of rate * tokens * posterior, to the targets, by projected gradient in its lazy form: the
+gradient at a document is its posterior times the misfit of each domain, so that all steps add up to
+one vector of pulls, one per domain, and a document's rate is 1 - sum of pull * posterior, projected
+onto the bounds. Steps are scaled by the inverse of the curvature of the documents off the bounds, and
+their length is found by halving. A round is one aggregation to a few sums, and no state moves. The change
+of the rates is part of what is made least, with a weight that falls to almost nothing, so that of all
+fits as close the one with the least change is found. Where no
+rates within the bounds meet the targets, a warning gives the targets and the totals of the closest
+fit, and the report holds them.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and takes part at its rate.
 Labels that are null or of unknown documents are not used; of repeated labels the largest domain
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import WS_CHARS, stored, words
 
 SLOTS, MAX_WORDS, MAX_LABELLED, SIGNIFICANT, ROUNDS, CEILING = 1 << 15, 4096, 20_000, 4.0, 60, 4.0
+#: falling weights, per token, of the change of the rates against the misfit
+SOFTEN = (1e-1, 1e-3, 1e-5, 1e-7, 1e-9)
 SYMBOLS = "#*$%&|<>"
 
 
@@ -52,11 +58,14 @@ def _word_weights(docs: DataFrame, n_domains: int, text: str) -> list[tuple[int,
     size = {r["__m_domain"]: r["count"] for r in docs.groupBy("__m_domain").count().collect()}
     per = [F.count(F.when(F.col("__m_domain") == d, 1)) for d in range(n_domains)]
     met = docs.select("__m_domain", F.explode(_hashes(F.coalesce(F.col(text), F.lit("")))).alias("h")).groupBy("h").agg(*[n.alias(f"n{d}") for d, n in enumerate(per)])
+    part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
     odds, sure = [], []
     for d in range(1, n_domains):
-        here, base = F.col(f"n{d}") + 0.5, F.col("n0") + 0.5
-        w = F.log(here / (size.get(d, 0) + 1)) - F.log(base / (size.get(0, 0) + 1))
-        z = F.abs(w) / F.sqrt(1 / here + 1 / base)
+        a, b, na, nb = F.col(f"n{d}").cast("double"), F.col("n0").cast("double"), size.get(d, 0), size.get(0, 0)
+        w = F.log((a + 0.5) / (na + 1)) - F.log((b + 0.5) / (nb + 1))
+        both = (a + b) / max(na + nb, 1)  # share of documents with the word if domains did not differ
+        ratio = part(a, na * both) + part(b, nb * both) + part(na - a, na * (1 - both)) + part(nb - b, nb * (1 - both))
+        z = F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))  # of a likelihood ratio, which holds for words that one domain lacks
         odds.append(F.when(z > SIGNIFICANT, F.round(w, 4)).otherwise(0.0))
         sure.append(z)
     found = met.withColumns({"w": F.array(*odds), "z": F.greatest(F.lit(0.0), F.lit(0.0), *sure)})
@@ -191,54 +200,63 @@ def fit_rates(soft: DataFrame, weights: Sequence[float], *, floor: float = 0.0,
     ``tolerance``, the targets were not met.
     """
     k = len(weights)
-    p = [F.get("__m_p", F.lit(i)) for i in range(k)]
     share = np.array(weights, float) / sum(weights)
-    t = F.col("__m_tokens")
+    p, t = [F.get("__m_p", F.lit(i)) for i in range(k)], F.col("__m_tokens")
+    q = [x - F.lit(float(s)) if floor > 0 else x for x, s in zip(p, share, strict=True)]
     # a decimal sum does not depend on the order of its terms
     exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
 
-    def rate(multipliers: np.ndarray) -> tuple[Column, Column]:
+    def rate(pull: np.ndarray) -> tuple[Column, Column]:
         free = F.lit(1.0)
-        for m, x, s in zip(multipliers, p, share, strict=True):
-            free = free + F.lit(float(m)) * (x - F.lit(float(s)) if floor > 0 else x)
+        for m, x in zip(pull, q, strict=True):
+            free = free - F.lit(float(m)) * x
         return F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), free)), free
 
-    def totals(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token totals, and their derivatives: the products of posteriors over the documents off the bounds."""
-        r, free = rate(multipliers)
+    def totals(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token totals by domain, and how fast the misfit changes: products over the documents off the bounds."""
+        r, free = rate(pull)
         moving = F.when((free >= floor) & (free <= ceiling), t).otherwise(0)
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = [x or 0.0 for x in soft.agg(*[exact(r * t * x) for x in p], *[exact(moving * p[i] * p[j]) for i, j in pairs]).first()]
+        row = [x or 0.0 for x in soft.agg(*[exact(r * t * x) for x in p], *[exact(moving * q[i] * q[j]) for i, j in pairs]).first()]
         curve = np.zeros((k, k))
         for (i, j), x in zip(pairs, row[k:], strict=True):
             curve[i, j] = curve[j, i] = x
         return np.array(row[:k]), curve
 
-    now, curve = totals(np.zeros(k))
-    kept = now.sum()
-    shift = np.eye(k) - np.outer(share, np.ones(k)) if floor > 0 else np.eye(k)
+    pull = np.zeros(k)
+    now, curve = totals(pull)
+    kept = max(now.sum(), 1.0)
     target = lambda x: share * (x.sum() if floor > 0 else kept)
     error = lambda x: float(np.abs(x - target(x)).sum() / max(x.sum() if floor > 0 else kept, 1.0))
-    multipliers, errors, idle = np.zeros(k), [error(now)], 0
-    widest = max(float(np.trace(shift @ curve @ shift.T)), 1.0)  # at least the greatest slope anywhere
-    for _ in range(rounds):
-        if errors[-1] <= tolerance or idle == 3:
+    errors, looks, best = [error(now)], 1, (now, pull)
+    for part in SOFTEN:
+        soften, before = part * kept, errors[-1]
+        down = lambda x, m: x - target(x) - soften * m  # noqa: B023, E731
+        start = slope = down(now, pull)
+        while looks < rounds and np.linalg.norm(slope) > max(1e-3 * np.linalg.norm(start), 1e-9 * kept):
+            step = np.linalg.solve(curve + soften * np.eye(k), slope)
+            # along a line the slope only falls: the stretch in which it passes zero is narrowed until little of it is left
+            low, high, size = 0.0, math.inf, 1.0
+            while True:
+                there = pull + size * step
+                then, curve_then = totals(there)
+                looks += 1
+                left = float(down(then, there) @ step) / float(slope @ step)
+                if abs(left) <= 0.5 or looks >= rounds:
+                    break
+                low, high = (size, high) if left > 0 else (low, size)
+                size = 4 * size if high == math.inf else (low + high) / 2 if low > 0 else high / 4
+            pull, now, curve, slope = there, then, curve_then, down(then, there)
+        errors.append(error(now))
+        if errors[-1] < error(best[0]):
+            best = now, pull
+        # softening that matters no more: the targets are met, or no rates come closer
+        if errors[-1] <= tolerance or looks >= rounds or (len(errors) > 3 and errors[-1] > 0.9 * before):
             break
-        bend, gap = shift @ curve @ shift.T, now - target(now)
-        newton = np.linalg.solve(bend + 1e-9 * widest * np.eye(k), gap)
-        # a gradient step of this length never adds to the distance; it helps where documents leave their bounds
-        for size, step in ((1.0, newton), (0.5, newton), (0.2, newton), (0.0, gap / widest)):
-            there = multipliers - (size or 1.0) * step
-            then, curve_then = totals(there)
-            fallen = 1 - float(np.linalg.norm(then - target(then)) / np.linalg.norm(gap))
-            if fallen > 0.1 * size:
-                break
-        idle = idle + 1 if fallen < 1e-3 else 0
-        if fallen > 0:
-            multipliers, now, curve = there, then, curve_then
-            errors.append(error(now))
+    now, pull = best
+    errors.append(error(now))
     report = {"target": target(now).tolist(), "reached": now.tolist(), "errors": errors, "gap": errors[-1], "met": errors[-1] <= tolerance, "ceiling": ceiling}
-    return rate(multipliers)[0], report
+    return rate(pull)[0], report
 
 
 def warn_unmet(report: dict) -> dict:
