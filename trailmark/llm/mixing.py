@@ -49,15 +49,19 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", d.alias("domain")).where("domain is not null and doc_id is not null")
 
 
-def _hashes(text: Column) -> Column:
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
+def _hashes(lower_words: Column) -> Column:
+    return F.array_distinct(F.transform(lower_words, lambda w: F.xxhash64(w)))
+
+
+def _lower_words(text: str) -> Column:
+    return words(F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _word_weights(docs: DataFrame, n_domains: int, text: str) -> list[tuple[int, list[float]]]:
     """(hash of a word, log odds per domain relative to domain 0) of the most significant words. docs have ``__m_domain``."""
     size = {r["__m_domain"]: r["count"] for r in docs.groupBy("__m_domain").count().collect()}
     per = [F.count(F.when(F.col("__m_domain") == d, 1)) for d in range(n_domains)]
-    met = docs.select("__m_domain", F.explode(_hashes(F.coalesce(F.col(text), F.lit("")))).alias("h")).groupBy("h").agg(*[n.alias(f"n{d}") for d, n in enumerate(per)])
+    met = docs.select("__m_domain", F.explode(_hashes(_lower_words(text))).alias("h")).groupBy("h").agg(*[n.alias(f"n{d}") for d, n in enumerate(per)])
     part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
     odds, sure = [], []
     for d in range(1, n_domains):
@@ -84,8 +88,9 @@ def _with_features(docs: DataFrame, weights: list[tuple[int, list[float]]], n_do
 
     ids = table([slots[i][0] if i in slots else 0 for i in range(SLOTS)], "array<bigint>")
     slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
-    d = docs.withColumn("__m_text", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumns({"__m_h": _hashes(F.col("__m_text")), "__m_w": words(F.col("__m_text"))})
+    # words are split once: lower case changes neither their number nor the space between them
+    d = docs.withColumns({"__m_text": F.coalesce(F.col(text), F.lit("")), "__m_w": _lower_words(text)})
+    d = d.withColumn("__m_h", _hashes(F.col("__m_w")))
     t, w = F.col("__m_text"), F.col("__m_w")
     tokens = F.when(F.get(w, F.lit(0)) == "", F.lit(0)).otherwise(F.size(w))
     less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
