@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import blocks, intervals, sampling
+from trailmark.operators import sampling as sm
 from trailmark.operators import trajectory as tr
+from trailmark.operators import untagged as ug
 from trailmark.streaming.lifecycle import tracking_dt
 
 
@@ -67,3 +70,25 @@ def test_global_difference_orders_by_another_column(spark):
     d = spark.createDataFrame([(1, 5.0), (2, 3.0), (40, 9.0), (41, None), (90, 1.0)], "frame long, t double")
     got = [r["dt"] for r in sampling.global_difference(d, "t", "frame", 10, order="frame").orderBy("frame").collect()]
     assert got == [None, -2.0, 6.0, None, None]
+
+
+def test_ranks_inside_a_hot_key(spark):
+    """Carried ranks and sums equal those of one window over each group, with null keys, ties, null sizes and a group of most rows."""
+    rows = [("hot" if i % 3 else "b" if i % 6 else None, None if i % 97 == 0 else i // 2 if i % 5 == 0 else i, None if i % 11 == 0 else i % 13, i) for i in range(6000)]
+    d = spark.createDataFrame(rows, "g string, i long, n long, row long")
+    order = sm.shuffled("i")
+    ties = d.groupBy("g", "i").agg(F.max("n").alias("n"))  # one row per place, so that running sums are defined
+    whole = Window.partitionBy("g").orderBy(*order)
+    cum = F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    want = ties.withColumn("cum", cum).where(F.col("cum") - F.col("n") < 900)
+    assert sorted(map(tuple, sm.sample_until(ties, ["g"], "i", "n", 900).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    want = d.withColumn("train", F.percent_rank().over(whole) < 0.8)
+    assert sorted(map(tuple, sm.split_share(d, ["g"], "i", 0.8).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    r = F.row_number().over(Window.partitionBy("g").orderBy("row"))
+    want = d.withColumn("r", r).where("r >= 4 and (r - 4) % 7 = 0").drop("r")
+    assert sorted(map(tuple, sm.stride(d, ["g"], "row", first=4, skip=7, block=50).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    z = {x["row"]: x["z"] for x in ug.zscore(d, "n", ["g"]).collect()}
+    for x in d.withColumn("z", F.try_divide(F.col("n") - F.avg("n").over(Window.partitionBy("g")), F.stddev_pop("n").over(Window.partitionBy("g")))).collect():
+        assert (z[x["row"]] is None) == (x["z"] is None) and (x["z"] is None or abs(z[x["row"]] - x["z"]) < 1e-9)
+    none = d.limit(0)
+    assert sm.sample_until(none, ["g"], "i", "n", 5).count() == sm.split_share(none, ["g"], "i", 0.5).count() == sm.stride(none, ["g"], "row", first=1, skip=2).count() == 0

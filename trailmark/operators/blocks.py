@@ -56,3 +56,22 @@ def running_count(df: DataFrame, flag: Column, name: str, key: Sequence[str], bl
     here = in_block(*key).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn(name, F.sum("__flag").over(here)).join(sums, [*key, "__b"])
     return d.withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__flag", "__before")
+
+
+def with_carry(df: DataFrame, key: Sequence[str], block: Column, value: Column) -> DataFrame:
+    """df with ``__b`` (the block), ``__before`` and ``__total``: sums of value over earlier blocks of the key and over the whole key.
+
+    The block must not fall along the order that is meant, so that a window inside a block and what
+    earlier blocks hand on give a rank or a running sum inside a key, however many rows the key holds.
+    Keys and blocks may be null; a null block comes first, as nulls do in an ascending order.
+    """
+    d = df.withColumn("__b", block)
+    names = [f"__k{i}" for i in range(len(key))]
+    sums = d.groupBy(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)], F.col("__b").alias("__kb")).agg(F.sum(value).alias("__n"))
+    # a row per key and block
+    all_of, ahead = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, "__kb", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.sum("__n").over(all_of).alias("__total"))
+    on = F.col("__b").eqNullSafe(F.col("__kb"))
+    for c, n in zip(key, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return d.join(sums, on).drop("__kb", *names)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trailmark.operators.blocks import BLOCK, block_of, with_carry
+
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
@@ -28,20 +30,42 @@ def sample_n(df: DataFrame, by: Sequence[str], key: str, n: int) -> DataFrame:
     return first_n(df, by, shuffled(key), n)
 
 
-def sample_until(df: DataFrame, by: Sequence[str], key: str, size: str, least: int) -> DataFrame:
-    """Rows in sample order until their sizes add up to ``least``; cum is the running sum."""
-    w = Window.partitionBy(*by).orderBy(*shuffled(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("cum", F.sum(size).over(w)).where(F.col("cum") - F.col(size) < least)
+#: digits of md5 that name a block of a sample's order: 4,096 blocks in each group
+DIGITS = 3
 
 
-def split_share(df: DataFrame, by: Sequence[str], key: str, share: float) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*shuffled(key))
-    return df.withColumn("train", F.percent_rank().over(w) < share)
+def _md5_block(key: str) -> Column:
+    return F.substring(F.md5(F.col(key).cast("string")), 1, DIGITS)
 
 
-def stride(df: DataFrame, by: Sequence[str], order: str, *, first: int, skip: int) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("__r", r).where((F.col("__r") >= first) & (F.pmod(F.col("__r") - first, F.lit(skip)) == 0)).drop("__r")
+def _in_block(by: Sequence[str], order: Sequence[Column]) -> WindowSpec:
+    return Window.partitionBy(*by, "__b").orderBy(*order)
+
+
+def sample_until(df: DataFrame, by: Sequence[str], key: str, size: str, least: int) -> DataFrame:
+    """Rows in sample order until their sizes add up to ``least``; cum is the running sum.
+
+    A group's order is cut into blocks by the first digits of md5, so no task holds a whole group, and
+    blocks that begin beyond ``least`` are left out before any row is sorted. Sizes are not negative.
+    """
+    d = with_carry(df, by, _md5_block(key), F.col(size)).where((F.col("__before") < least) | F.col("__before").isNull())
+    here = F.sum(size).over(_in_block(by, shuffled(key)).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("cum", here + F.col("__before")).where(F.col("cum") - F.col(size) < least).drop("__b", "__before", "__total")
+
+
+def split_share(df: DataFrame, by: Sequence[str], key: str, share: float) -> DataFrame:
+    """df with train: whether a row is among the first ``share`` of its group in sample order; blocks as in sample_until."""
+    d = with_carry(df, by, _md5_block(key), F.lit(1))
+    ahead = F.col("__before") + F.rank().over(_in_block(by, shuffled(key))) - 1
+    place = F.when(F.col("__total") > 1, ahead / (F.col("__total") - 1)).otherwise(0.0)
+    return d.withColumn("train", place < share).drop("__b", "__before", "__total")
+
+
+def stride(df: DataFrame, by: Sequence[str], order: str, *, first: int, skip: int, block: int = BLOCK) -> DataFrame:
+    """Every ``skip``-th row of each group from the ``first`` on, in the order of a number; blocks are ranges of that number."""
+    d = with_carry(df, by, block_of(order, block), F.lit(1))
+    d = d.withColumn("__r", F.col("__before") + F.row_number().over(_in_block(by, [F.col(order)])))
+    return d.where((F.col("__r") >= first) & (F.pmod(F.col("__r") - first, F.lit(skip)) == 0)).drop("__r", "__b", "__before", "__total")
 
 
 def divide(df: DataFrame, order: str, k: int) -> DataFrame:

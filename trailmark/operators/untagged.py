@@ -74,9 +74,13 @@ def row_mean(*columns: str):
 
 
 def zscore(df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
-    """df with z: population standard score inside each group."""
-    w = Window.partitionBy(*key)
-    return df.withColumn("z", F.try_divide(F.col(column) - F.avg(column).over(w), F.stddev_pop(column).over(w)))
+    """df with z: population standard score inside each group; groups are added up before the shuffle, and their two numbers joined back."""
+    names = [f"__k{i}" for i in range(len(key))]
+    g = df.groupBy(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)]).agg(F.avg(column).alias("__mean"), F.stddev_pop(column).alias("__sd"))
+    on = F.lit(True)
+    for c, n in zip(key, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return df.join(g, on).withColumn("z", F.try_divide(F.col(column) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd", *names)
 
 
 def merge_movies(rows: DataFrame, movies: DataFrame) -> DataFrame:
