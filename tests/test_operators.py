@@ -384,3 +384,17 @@ def test_sets_and_samples(spark):
     assert sm.sample_until(d, ["k"], "i", "n", 35).count() == 4
     assert sm.split_share(d, ["k"], "i", 0.8).where("train").count() == 16
     assert [r["part"] for r in sm.divide(d, "i", 3).groupBy("part").count().orderBy("part").collect()] == [1, 2, 3]
+
+
+def test_texts_of_all_forms(spark):
+    """The odd forms of movie lists, times, properties and options; the queries read theirs off the tables."""
+    movies = spark.createDataFrame([(m, 24 * m - 23, 24 * m, 24) for m in range(1, 31)], "m long, fi long, ff long, nframes long")
+    lists = spark.createDataFrame([(x,) for x in ("4", "3,5,6", "1-5,7", "9,2-3,2")], "t string")
+    assert [r[0] for r in lists.select(names.movies_of(F.col("t"))).collect()] == [[4], [3, 5, 6], [1, 2, 3, 4, 5, 7], [2, 3, 9]]
+    times = spark.createDataFrame([("start", "end"), ("f400", "f450"), ("m3", "m3"), ("m3f10", "m4f2"), ("oops", "m99")], "from string, to string")
+    assert {(r["from"], r["fi"], r["ff"]) for r in names.parse_times(times, movies).collect()} == {("start", 1, 720), ("f400", 400, 450), ("m3", 49, 72), ("m3f10", 58, 74), ("oops", None, None)}
+    lines = spark.createDataFrame([(x,) for x in ("single trj_1 1", "# note", "", "Assign  trj_2 B G", "ELIMINATE trj_3 BG, OP")], "line string")
+    assert values(names.parse_properties(lines), "command", "tracklet", "value") == [("assign", "trj_2", "BG"), ("eliminate", "trj_3", "BG,OP"), ("single", "trj_1", "1")]
+    options = spark.createDataFrame([("a=1, b=x,c=2.5",)], "t string").select(names.parse_options(F.col("t"))).first()[0]
+    assert options == {"a": "1", "b": "x", "c": "2.5"}
+    assert names.all_possible_ids(spark.createDataFrame([("B",), ("G",), ("G",)], "colour string")).count() == 4

@@ -45,6 +45,12 @@ def movies(spark: SparkSession) -> DataFrame:
     return m.select("m", ((F.col("m") - 1) * MOVIE_FRAMES + 1).alias("fi"), (F.col("m") * MOVIE_FRAMES).alias("ff"), F.lit(MOVIE_FRAMES).cast("long").alias("nframes"), F.lit(1.0).alias("fps"))
 
 
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """The movies in which an ant was seen, as many as the events ask for; nframes reaches to the last frame with one."""
+    m = xy(spark, path).groupBy("m").agg(F.max("mf").alias("nframes"))
+    return m.select("m", ((F.col("m") - 1) * MOVIE_FRAMES + 1).alias("fi"), (F.col("m") * MOVIE_FRAMES).alias("ff"), "nframes", F.lit(1.0).alias("fps"))
+
+
 def frames(spark: SparkSession) -> DataFrame:
     f = spark.range(1, N_FRAMES + 1).withColumnRenamed("id", "frame")
     return f.select("frame", movie_of(F.col("frame")).alias("m"), movie_frame(F.col("frame")).alias("mf"))

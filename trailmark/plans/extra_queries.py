@@ -218,10 +218,10 @@ def derived_settings(spark, d):
     return spark.createDataFrame([(k, round(float(v), 12)) for k, v in p.items()], "name string, value double")
 
 
-@query("SELECT m, 'a_b' AS behaviour, m AS found FROM fx_movies")
+@query("SELECT m, 'a_b' AS behaviour, m AS found FROM fx_recorded")
 def path_names(spark, d):
     p = F.concat(F.lit("/x/scores_a_b_"), F.col("m").cast("string"), F.lit(".csv"))
-    return fx.movies(spark).select("m", names.behaviour_of(p).alias("behaviour"), names.movie_index(p).alias("found"))
+    return fx.recorded(spark, d).select("m", names.behaviour_of(p).alias("behaviour"), names.movie_index(p).alias("found"))
 
 
 @query("SELECT frame, min(prev) AS prev, min(cur) AS cur FROM (SELECT fi AS frame, colony AS cluster, tracklet % 5 AS prev, tracklet % 3 AS cur FROM fx_tracklets) GROUP BY frame, cluster HAVING count(DISTINCT prev) = 1 AND count(DISTINCT cur) = 1")

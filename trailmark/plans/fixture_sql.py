@@ -10,6 +10,7 @@ SELECT frame, (frame - 1) // 24 + 1 AS m, (frame - 1) % 24 + 1 AS mf, ant, arg_m
   SELECT 'U' || lpad((user_id % 16)::VARCHAR, 2, '0') AS ant, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::BIGINT + 1 AS frame, event_id,
     value * 1e-4 AS x, json_extract_string(props, '$.k')::DOUBLE * 1e-3 AS y FROM events) GROUP BY frame, ant""",
     "fx_movies": "SELECT m, 24 * (m - 1) + 1 AS fi, 24 * m AS ff, 24::BIGINT AS nframes, 1.0::DOUBLE AS fps FROM (SELECT unnest(range(1, 31)) AS m)",
+    "fx_recorded": "SELECT m, 24 * (m - 1) + 1 AS fi, 24 * m AS ff, max(mf) AS nframes, 1.0::DOUBLE AS fps FROM fx_xy GROUP BY m",
     "fx_frames": "SELECT frame, (frame - 1) // 24 + 1 AS m, (frame - 1) % 24 + 1 AS mf FROM (SELECT unnest(range(1, 721)) AS frame)",
     "fx_ants": "SELECT DISTINCT ant FROM fx_xy",
     "fx_tracklets": """

@@ -57,9 +57,9 @@ def frame_dat(spark, d):
     return fx.dat(spark, d).where(F.col("frame").between(100, 300)).select("frame", "S1", "T1")
 
 
-@query("SELECT m, nframes, fi, ff FROM fx_movies")
+@query("SELECT m, nframes, (sum(nframes) OVER (ORDER BY m) - nframes)::BIGINT + 1 AS fi, (sum(nframes) OVER (ORDER BY m))::BIGINT AS ff FROM fx_recorded")
 def movies_fi_ff(spark, d):
-    return iv.movie_frames(fx.movies(spark).select("m", "nframes")).select("m", "nframes", "fi", "ff")
+    return iv.movie_frames(fx.recorded(spark, d).select("m", "nframes")).select("m", "nframes", "fi", "ff")
 
 
 @query("""
@@ -91,10 +91,10 @@ def labels_by_category(spark, d):
     return tracks(spark, d).groupBy(c.alias("category")).agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
-@query("SELECT t, list_sort(list_distinct(flatten(list_transform(string_split(t, ','), lambda p: range(split_part(p, '-', 1)::BIGINT, coalesce(nullif(split_part(p, '-', 2), ''), split_part(p, '-', 1))::BIGINT + 1)))))::VARCHAR AS movies FROM (SELECT unnest(['4', '3,5,6', '1-5,7', '9,2-3,2']) AS t)")
+@query("SELECT tracklet, list_sort(list_distinct(list_concat(range(fi, ff + 1), [colony])))::VARCHAR AS movies FROM fx_tracklets")
 def parse_movlist(spark, d):
-    t = spark.createDataFrame([(x,) for x in ("4", "3,5,6", "1-5,7", "9,2-3,2")], "t string")
-    return t.select("t", F.concat(F.lit("["), F.array_join(F.transform(names.movies_of(F.col("t")), lambda x: x.cast("string")), ", "), F.lit("]")).alias("movies"))
+    t = tracks(spark, d).select("tracklet", F.concat_ws("", F.col("fi"), F.lit("-"), F.col("ff"), F.lit(","), F.col("colony")).alias("t"))
+    return t.select("tracklet", F.concat(F.lit("["), F.array_join(F.transform(names.movies_of(F.col("t")), lambda x: x.cast("string")), ", "), F.lit("]")).alias("movies"))
 
 
 @query("""
@@ -185,9 +185,10 @@ def frame_to_movie(spark, d):
     return iv.frame_to_movie(e, fx.movies(spark))
 
 
-@query("SELECT frame, least((frame - 1) // 24 + 1, 30) AS m, frame - 24 * (least((frame - 1) // 24 + 1, 30) - 1) AS mf FROM (SELECT unnest(range(1, 801)) AS frame)")
+@query("SELECT event_id, frame, least((frame - 1) // 24 + 1, l) AS m, frame - 24 * (least((frame - 1) // 24 + 1, l) - 1) AS mf FROM (SELECT event_id, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::BIGINT + 81 AS frame FROM events), (SELECT max(m) AS l FROM fx_recorded)")
 def frame_to_movie_open(spark, d):
-    return iv.frame_to_movie(spark.range(1, 801).withColumnRenamed("id", "frame"), fx.movies(spark), open_end=True)
+    e = fx.table(spark, d, "events").select("event_id", (fx.hour_of(F.col("ts")) + 80).alias("frame"))
+    return iv.frame_to_movie(e, fx.recorded(spark, d), open_end=True)
 
 
 @query("SELECT colony, frame, any_value(tracklet) AS tracklet FROM (SELECT colony, frame, tracklet FROM fx_untagged WHERE frame % 10 = 0) GROUP BY colony, frame HAVING count(*) = 1")
@@ -301,26 +302,32 @@ def parse_tracklet_name(spark, d):
     return t.select("name", *[c.alias(n) for n, c in names.parse_tracklet_name(F.col("name")).items()])
 
 
-@query("SELECT * FROM (VALUES ('start', 'end', 1, 720), ('f400', 'f450', 400, 450), ('m3', 'm3', 49, 72), ('m3f10', 'm4f2', 58, 74), ('oops', 'm99', NULL, NULL)) AS t(\"from\", \"to\", fi, ff)")
+@query("""
+SELECT CASE ant WHEN 'U00' THEN 'start' WHEN 'U01' THEN 'f' || frame ELSE 'm' || m || 'f' || mf END AS "from", CASE ant WHEN 'U00' THEN 'end' WHEN 'U01' THEN 'f' || frame WHEN 'U02' THEN 'oops' ELSE 'm' || m END AS "to",
+  CASE ant WHEN 'U00' THEN first ELSE frame END AS fi, CASE ant WHEN 'U00' THEN last WHEN 'U01' THEN frame WHEN 'U02' THEN NULL ELSE 24 * m END AS ff
+FROM fx_xy, (SELECT min(fi) AS first, max(ff) AS last FROM fx_recorded)""")
 def parse_time_config(spark, d):
-    c = spark.createDataFrame([("start", "end"), ("f400", "f450"), ("m3", "m3"), ("m3f10", "m4f2"), ("oops", "m99")], "from string, to string")
-    return names.parse_times(c, fx.movies(spark))
+    ant, frame = F.col("ant"), F.concat_ws("", F.lit("f"), F.col("frame"))
+    frm = F.when(ant == "U00", "start").when(ant == "U01", frame).otherwise(F.concat_ws("", F.lit("m"), F.col("m"), F.lit("f"), F.col("mf")))
+    to = F.when(ant == "U00", "end").when(ant == "U01", frame).when(ant == "U02", "oops").otherwise(F.concat_ws("", F.lit("m"), F.col("m")))
+    return names.parse_times(fx.xy(spark, d).select(frm.alias("from"), to.alias("to")), fx.recorded(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('single', 'trj_1', '1'), ('assign', 'trj_2', 'BG'), ('eliminate', 'trj_3', 'BG,OP')) AS t(command, tracklet, value)")
+@query("SELECT CASE WHEN tracklet % 2 = 0 THEN 'assign' ELSE 'eliminate' END AS command, 'trj_' || tracklet AS tracklet, label || CASE WHEN tracklet % 2 = 0 THEN '' ELSE ',OP' END AS value FROM fx_tracklets WHERE tracklet % 3 <> 0")
 def parse_prop_config(spark, d):
-    return names.parse_properties(spark.createDataFrame([("single trj_1 1",), ("# note",), ("",), ("Assign  trj_2 B G",), ("ELIMINATE trj_3 BG, OP",)], "line string"))
+    line = F.when(F.col("tracklet") % 3 == 0, "# note").when(F.col("tracklet") % 2 == 0, F.format_string("Assign  trj_%d %s", "tracklet", "label")).otherwise(F.format_string("ELIMINATE trj_%d %s, OP", "tracklet", "label"))
+    return names.parse_properties(tracks(spark, d).select(line.alias("line")))
 
 
-@query("SELECT a || b AS id FROM (SELECT unnest(['B', 'G', 'O', 'P']) AS a), (SELECT unnest(['B', 'G', 'O', 'P']) AS b)")
+@query("WITH l AS (SELECT DISTINCT label FROM fx_tracklets) SELECT a.label || b.label AS id FROM l a, l b")
 def all_possible_ids(spark, d):
-    return names.all_possible_ids(spark.createDataFrame([("B",), ("G",), ("O",), ("P",)], "colour string"))
+    return names.all_possible_ids(tracks(spark, d), "label")
 
 
-@query("SELECT 'a' AS k, '1' AS v UNION ALL SELECT 'b', 'x' UNION ALL SELECT 'c', '2.5'")
+@query("SELECT tracklet, 'len' AS k, len::VARCHAR AS v FROM fx_tracklets UNION ALL SELECT tracklet, 'label', label FROM fx_tracklets")
 def parse_options(spark, d):
-    t = spark.createDataFrame([("a=1, b=x,c=2.5",)], "t string")
-    return t.select(F.explode(names.parse_options(F.col("t"))).alias("k", "v"))
+    t = tracks(spark, d).select("tracklet", F.format_string("len=%d, label=%s", "len", "label").alias("t"))
+    return t.select("tracklet", F.explode(names.parse_options(F.col("t"))).alias("k", "v"))
 
 
 @query("SELECT tracklet, score, row_number() OVER (PARTITION BY colony ORDER BY score DESC, tracklet) AS rank FROM vw_single WHERE single AND label LIKE 'A%'", V)
@@ -357,19 +364,19 @@ def stride_sample(spark, d):
     return sm.stride(fx.xy(spark, d), ["ant"], "frame", first=3, skip=10).select("ant", "frame")
 
 
-@query("SELECT m, ntile(7) OVER (ORDER BY m) AS part FROM fx_movies")
+@query("SELECT m, ntile(7) OVER (ORDER BY m) AS part FROM fx_recorded")
 def divide2groups(spark, d):
-    return sm.divide(fx.movies(spark), "m", 7).select("m", "part")
+    return sm.divide(fx.recorded(spark, d), "m", 7).select("m", "part")
 
 
-@query("SELECT m FROM fx_movies WHERE (m - 1) % 4 = 0")
+@query("SELECT m FROM fx_recorded WHERE (m - 1) % 4 = 0")
 def downsample(spark, d):
-    return sm.downsample(fx.movies(spark), "m", 4).select("m")
+    return sm.downsample(fx.recorded(spark, d), "m", 4).select("m")
 
 
-@query("SELECT m // 10 AS grp, min(m) AS first_m, max(m) AS last_m, string_agg(m::VARCHAR, ',' ORDER BY m) AS movies FROM fx_movies GROUP BY 1")
+@query("SELECT m // 10 AS grp, min(m) AS first_m, max(m) AS last_m, string_agg(m::VARCHAR, ',' ORDER BY m) AS movies FROM fx_recorded GROUP BY 1")
 def solve_groups(spark, d):
-    return sm.solve_groups(fx.movies(spark), 10).withColumn("movies", F.array_join("movies", ","))
+    return sm.solve_groups(fx.recorded(spark, d), 10).withColumn("movies", F.array_join("movies", ","))
 
 
 @query("SELECT a.colony, b.colony AS other, a.ids = b.ids AS same FROM (SELECT colony, list_sort(list(DISTINCT label)) AS ids FROM fx_tracklets GROUP BY 1) a JOIN (SELECT colony, list_sort(list(DISTINCT label)) AS ids FROM fx_tracklets GROUP BY 1) b ON b.colony = a.colony + 1")
@@ -384,6 +391,6 @@ def dict_merge(spark, d):
     return sm.merge_later([t, t.where("tracklet % 5 = 0").withColumn("label", F.lit("B"))], ["tracklet"])
 
 
-@query("SELECT m, format('{}_{}', 10 * ((m - 1) // 10) + 1, 10 * ((m - 1) // 10) + 10) AS subdir FROM fx_movies")
+@query("SELECT m, format('{}_{}', 10 * ((m - 1) // 10) + 1, 10 * ((m - 1) // 10) + 10) AS subdir FROM fx_recorded")
 def subdirs(spark, d):
-    return fx.movies(spark).select("m", names.subdir(F.col("m"), 10).alias("subdir"))
+    return fx.recorded(spark, d).select("m", names.subdir(F.col("m"), 10).alias("subdir"))

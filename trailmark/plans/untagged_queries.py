@@ -178,7 +178,7 @@ def pose_relative(spark, d):
     return ps.relative_to(x.where("ant <> 'U00'"), x.where("ant = 'U00'"), ["frame"]).select("ant", "frame", "x", "y")
 
 
-@query("SELECT f.frame, f.m, 'U' || lpad(i::VARCHAR, 2, '0') AS ant, ((f.mf * 37 + i) % 100) / 100.0::DOUBLE AS score FROM fx_frames f, (SELECT unnest(range(4)) AS i)")
+@query("SELECT f.frame, f.m, a.ant, coalesce(x.x, 0.0) AS score FROM (SELECT frame, m FROM fx_frames JOIN fx_recorded USING (m)) f CROSS JOIN fx_ants a LEFT JOIN fx_xy x ON x.ant = a.ant AND x.frame = f.frame")
 def attach_scores(spark, d):
     """Wide score files without a frame column, one per movie, joined by position."""
     from trailmark.plans.extra_queries import folder
@@ -186,7 +186,10 @@ def attach_scores(spark, d):
 
     path = folder(spark, "scores")
     path = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    pos = fx.frames(spark).select("m", "mf", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    ant = F.concat(F.lit("U"), F.lpad(F.col("i").cast("string"), 2, "0"))
-    fl.write_behaviour_scores(pos.select("m", "mf", ant.alias("ant"), ((F.col("mf") * 37 + F.col("i")) % 100 / 100.0).alias("score")), path, "walk")
-    return fl.read_behaviour_scores(spark, path, fx.movies(spark), ["walk"]).select("frame", "m", "ant", "score")
+    x, movies = fx.xy(spark, d), fx.recorded(spark, d)
+    # a row per frame and ant of a recording, of which there are few
+    ants = x.agg(F.array_sort(F.collect_set("ant")).alias("ants"))
+    every = movies.select("m", F.explode(F.sequence("fi", "ff")).alias("frame")).join(F.broadcast(ants)).select("m", "frame", F.explode("ants").alias("ant"))
+    scores = every.join(x.select("frame", "ant", "x"), ["frame", "ant"], "left").select("m", fx.movie_frame(F.col("frame")).alias("mf"), "ant", F.coalesce("x", F.lit(0.0)).alias("score"))
+    fl.write_behaviour_scores(scores, path, "walk")
+    return fl.read_behaviour_scores(spark, path, movies, ["walk"]).select("frame", "m", "ant", "score")
