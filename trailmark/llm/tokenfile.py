@@ -51,7 +51,7 @@ WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 AS_CHARS = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
 #: Bytes of a generation of a worker's table of units.
-TABLE = 128 << 20
+TABLE = 64 << 20
 IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
 #: Bytes of each of the four ids that a control byte speaks of.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
