@@ -92,3 +92,53 @@ def test_ranks_inside_a_hot_key(spark):
         assert (z[x["row"]] is None) == (x["z"] is None) and (x["z"] is None or abs(z[x["row"]] - x["z"]) < 1e-9)
     none = d.limit(0)
     assert sm.sample_until(none, ["g"], "i", "n", 5).count() == sm.split_share(none, ["g"], "i", 0.5).count() == sm.stride(none, ["g"], "row", first=1, skip=2).count() == 0
+
+
+def test_tables_per_frame_are_not_broadcast(spark):
+    """The planner sees one row where an explode makes many; joins with such a table keep it out of broadcasts."""
+    from trailmark.operators import intervals as iv
+    from trailmark.operators import pose as ps
+    from trailmark.operators import solve as sv
+    from trailmark.operators import tracks as tk
+    from trailmark.operators import untagged as ug
+
+    t = spark.range(40).selectExpr("id as tracklet", "id % 3 as colony", "id + 1 as fi", "id + 9 as ff", "'A1' as label", "true as single", "true as source", "true as assigned", "true as exported", "'A1' as id")
+    rows = t.selectExpr("tracklet", "colony", "explode(sequence(fi, ff)) as frame").selectExpr("*", "tracklet / 50D as x", "frame / 50D as y")
+    points = t.selectExpr("tracklet", "fi + 3 as frame")
+    pose = rows.join(t.select("tracklet", "fi"), "tracklet").selectExpr("tracklet", "frame - fi as ix", "'head' as bodypart", "x", "y")
+    found = {
+        "value_at": tk.value_at(rows, points, "x"),
+        "positions_at": tk.positions_at(rows.withColumnRenamed("tracklet", "target"), points.selectExpr("tracklet as target", "frame", "2 as offset"), ["x"]),
+        "dyadic_join": iv.dyadic_join(t.select("tracklet", "colony", "fi", "ff"), t.selectExpr("colony", "fi", "ff + 500 as ff"), ["colony"]),
+        "overlaps": iv.overlaps(t),
+        "blob_mates": ug.blob_mates(rows, near=0.1, scale=1.0, key=("colony", "frame")),
+    }
+    for name, df in found.items():
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+        assert df.count() > 0
+    # here small tables are joined too, and may be sent
+    found = {
+        "export_xy": (1, sv.export_xy(t.select("tracklet", "colony", "id", "assigned", "exported"), t.select("tracklet", "fi", "single", "source"), rows)),
+        "frame_tracklet_data": (2, ps.frame_tracklet_data(rows.select("tracklet", "frame"), t, t.select("tracklet", "label"), pose)),
+    }
+    for name, (least, df) in found.items():
+        assert df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [") >= least, name
+        assert df.count() > 0
+
+
+def test_blob_mates_meet_over_cells(spark):
+    """Counts against all pairs, with places on the borders of cells, missing places, and frames of one animal."""
+    import itertools
+    import math
+
+    from trailmark.operators import untagged as ug
+
+    at = [(i, 1, i % 4, None if i % 17 == 0 else (i * 37 % 50) / 20 - 1, (i * 11 % 40) / 20 - 1) for i in range(120)] + [(900, 2, 1, 0.4, 0.4)]
+    rows = spark.createDataFrame(at, "tracklet long, colony long, frame long, x double, y double")
+    got = {r["tracklet"]: (r["n_in_blob"], r["frac_in_blob"]) for r in ug.blob_mates(rows, near=0.1, scale=1.0, key=("colony", "frame")).collect()}
+    n, of = dict.fromkeys(got, 0), dict.fromkeys(got, 0)
+    for a, b in itertools.product(at, at):
+        if a[1:3] == b[1:3]:
+            of[a[0]] += 1
+            n[a[0]] += a[3] is not None and b[3] is not None and math.hypot(a[3] - b[3], a[4] - b[4]) < 0.1
+    assert len(got) == len(at) and all(got[k] == (n[k], n[k] / of[k]) for k in got)

@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.blocks import per_frame
+
 
 def untagged(rows: DataFrame, tracks: DataFrame, counts: DataFrame) -> DataFrame:
     """Every tracklet frame with its number of animals."""
-    return rows.join(tracks.select("tracklet", "label"), "tracklet").join(counts, "tracklet", "left").select("tracklet", "frame", "x", "y", "area", "label", "nants")
+    return per_frame(rows).join(tracks.select("tracklet", "label"), "tracklet").join(counts, "tracklet", "left").select("tracklet", "frame", "x", "y", "area", "label", "nants")
 
 
 def no_propagation(rows: DataFrame, tracks: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Positions by a tracklet's own label only; of two tracklets in a frame the later one counts."""
-    d = rows.join(tracks.where(F.col("label").isin(*ids)).select("tracklet", F.col("label").alias("ant"), "fi"), "tracklet")
+    d = per_frame(rows).join(tracks.where(F.col("label").isin(*ids)).select("tracklet", F.col("label").alias("ant"), "fi"), "tracklet")
     g = d.groupBy("colony", "ant", "frame").agg(F.max_by(F.struct("x", "y"), F.struct("fi", "tracklet")).alias("p"))
     return g.select("colony", "ant", "frame", "p.x", "p.y")
 
@@ -56,11 +58,11 @@ def ant_frames(first: int, last: int, table: DataFrame, rows: DataFrame, *, key:
     tracklets that are not.
     """
     k = list(key)
-    d = rows.join(table.select(*k, "tracklet", "fi", "ff", "single"), "tracklet").where((F.col("frame") >= F.col("fi")) & (F.col("frame") <= F.col("ff")))
+    d = per_frame(rows).join(table.select(*k, "tracklet", "fi", "ff", "single"), "tracklet").where((F.col("frame") >= F.col("fi")) & (F.col("frame") <= F.col("ff")))
     end = ~F.col("single") & ((F.col("frame") == F.col("fi")) | (F.col("frame") == F.col("ff"))) if hide_ends else F.lit(False)
     p = d.groupBy(*k, "frame").agg(F.max_by(F.struct(F.when(~end, F.col("x")).alias("x"), F.when(~end, F.col("y")).alias("y"), F.when(F.col("single"), F.col("area")).alias("area"), "single"), F.struct("fi", "tracklet")).alias("p"))
     axis = table.select(*k).distinct().withColumn("frame", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    return axis.join(p, [*k, "frame"], "left").select(*k, "frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
+    return axis.join(per_frame(p), [*k, "frame"], "left").select(*k, "frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
 
 
 def wide(xy: DataFrame, ants: Sequence[str], columns: Sequence[str] = ("x", "y")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.blocks import block_of
+from trailmark.operators.blocks import block_of, per_frame
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], *, width: int, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
@@ -20,7 +20,7 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], *, width: int, suffi
         return d.select(*on, "__block", *[F.col(c).alias(c + s) for c in df.columns if c not in on])
 
     x, y = suffixes
-    j = side(a, x).join(side(b, y), [*on, "__block"])
+    j = per_frame(side(a, x)).join(per_frame(side(b, y)), [*on, "__block"])
     first = F.floor(F.greatest("fi" + x, "fi" + y) / width).cast("long")
     return j.where((F.col("fi" + x) <= F.col("ff" + y)) & (F.col("ff" + x) >= F.col("fi" + y)) & (F.col("__block") == first)).drop("__block")
 
@@ -54,7 +54,7 @@ def stab_join(points: DataFrame, intervals: DataFrame, on: list[str], *, at: str
     above = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda level: F.struct(level.alias("level"), _shift(block(at), level).alias("node")))
     p = points.where(F.col(at).isNotNull()).withColumn("__node", F.explode(above))
     i = intervals.where("fi <= ff").withColumn("__node", F.explode(cover_nodes(block("fi"), block("ff"), levels)))
-    return p.join(i, [*on, "__node"]).where((F.col("fi") <= F.col(at)) & (F.col(at) <= F.col("ff"))).drop("__node")
+    return per_frame(p).join(per_frame(i), [*on, "__node"]).where((F.col("fi") <= F.col(at)) & (F.col(at) <= F.col("ff"))).drop("__node")
 
 
 def dyadic_join(a: DataFrame, b: DataFrame, on: list[str], *, leaf: int = 32, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
@@ -124,8 +124,10 @@ def blob_table(tracks: DataFrame) -> DataFrame:
 def temporal_removals(tracks: DataFrame, commands: DataFrame, leaf: int = 64) -> DataFrame:
     """(tracklet, id) taken out by commands (colony, id, fi, ff); the colony 'all' stands for every colony.
 
-    The wildcard is a union of two equi joins, not a condition with OR. A command may span the whole recording.
+    The wildcard is a union of two equi joins, not a condition with OR. A command may span the whole recording. Commands
+    are lines written by hand, so they are sent to all tasks.
     """
+    commands = F.broadcast(commands)
     here = commands.where("colony <> 'all'").withColumn("colony", F.col("colony").cast("long"))
     every = commands.where("colony = 'all'").drop("colony")
     t = tracks.select("tracklet", "colony", "fi", "ff")

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.blocks import per_frame
+
 
 def pose_rows(pose: DataFrame, tracks: DataFrame, bodyparts: Sequence[str] | None = None) -> DataFrame:
     """pose of known tracklets with frame, counted from the tracklet's first (ix 0)."""
     d = pose if bodyparts is None else pose.where(F.col("bodypart").isin(*bodyparts))
-    return d.join(tracks.select("tracklet", "fi"), "tracklet").withColumn("frame", F.col("fi") + F.col("ix")).drop("fi")
+    return per_frame(d).join(tracks.select("tracklet", "fi"), "tracklet").withColumn("frame", F.col("fi") + F.col("ix")).drop("fi")
 
 
 def combined(rows: DataFrame, pose: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Both tables in one: where both have a value, that of rows counts."""
     p = pose.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
-    return rows.join(p, list(key), "full").select(*key, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
+    return rows.join(per_frame(p), list(key), "full").select(*key, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
 
 
 def weighted(likelihood: Column, least: float, *values: Column) -> list[Column]:
@@ -39,12 +41,12 @@ def frame_tracklet_data(rows: DataFrame, tracks: DataFrame, autoids: DataFrame,
     t = tracks.select("tracklet", "fi").join(autoids.select("tracklet", F.col("label").alias("autoid")), "tracklet", "left")
     if only_ants:
         t = t.where(F.col("autoid").isin(*ants))
-    d = rows.join(t, "tracklet").withColumn("frameix", F.col("frame") - F.col("fi")).drop("fi")
+    d = per_frame(rows).join(t, "tracklet").withColumn("frameix", F.col("frame") - F.col("fi")).drop("fi")
     if pose is not None:
         parts = [r[0] for r in pose.select("bodypart").distinct().collect()]  # a handful of body parts
         wide = pose.groupBy("tracklet", F.col("ix").alias("frameix")).pivot("bodypart", sorted(parts)).agg(F.first("x").alias("x"), F.first("y").alias("y"))
         names = {f"{p}_{c}": f"{c}_{p}" for p in parts for c in "xy"}
-        d = d.join(wide.withColumnsRenamed(names), ["tracklet", "frameix"], "left")
+        d = d.join(per_frame(wide.withColumnsRenamed(names)), ["tracklet", "frameix"], "left")
     return d
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.model import MULTI_LABELS, NON_ANT_LABELS
+from trailmark.operators.blocks import per_frame
 
 
 def tracklet_stats(rows: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def nearest_blob(centres: DataFrame, blobs: DataFrame) -> DataFrame:
 def positions_at(rows: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
     """points (target, frame, offset) with the target's columns at frame + offset; NULL where it has no row there."""
     at = rows.select("target", F.col("frame").alias("__at"), *columns)
-    return points.withColumn("__at", F.col("frame") + F.col("offset")).join(at, ["target", "__at"], "left").drop("__at")
+    return points.withColumn("__at", F.col("frame") + F.col("offset")).join(per_frame(at), ["target", "__at"], "left").drop("__at")
 
 
 def close_tracklets(rows: DataFrame, cells: DataFrame, size: float, *, area: tuple[float, float], eccentricity: tuple[float, float]) -> DataFrame:
@@ -146,7 +147,7 @@ def stitch(rows: DataFrame, order: str) -> DataFrame:
 
 def value_at(rows: DataFrame, points: DataFrame, column: str) -> DataFrame:
     """points (tracklet, frame) with a column of the tracklet's row at that frame; missing where there is none."""
-    return points.join(rows.select("tracklet", "frame", column), ["tracklet", "frame"], "left")
+    return points.join(per_frame(rows.select("tracklet", "frame", column)), ["tracklet", "frame"], "left")
 
 
 def assignment_rate(table: DataFrame, frames: int, ants: int, colonies: int) -> DataFrame:
