@@ -142,3 +142,30 @@ def test_blob_mates_meet_over_cells(spark):
             of[a[0]] += 1
             n[a[0]] += a[3] is not None and b[3] is not None and math.hypot(a[3] - b[3], a[4] - b[4]) < 0.1
     assert len(got) == len(at) and all(got[k] == (n[k], n[k] / of[k]) for k in got)
+
+
+def test_orientation_of_many_tracklets_at_once(spark):
+    """Sequences of all lengths, with missing values, beside one at a time; batches end inside tracklets, and ids may be null."""
+    import numpy as np
+
+    from trailmark.operators import kernels as kn
+
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 40, 60)
+    first, n = np.r_[0, np.cumsum(size)[:-1]], int(size.sum())
+    orient, ecc, speed, move = rng.uniform(-3, 3, n), rng.uniform(0, 1, n), rng.uniform(0, 0.01, n), rng.uniform(-3, 3, n)
+    speed[first] = move[first] = np.nan
+    orient[rng.integers(0, n, 20)] = np.nan
+    many = kn.fix_orientation_many(orient, ecc, speed, move, first)
+    one = np.concatenate([kn.fix_orientation(*(v[a : a + s] for v in (orient, ecc, speed, move))) for a, s in zip(first, size, strict=True)])
+    assert np.array_equal(many, one, equal_nan=True)
+
+    rows = spark.range(300).selectExpr("if(id % 6 = 0, null, id % 6) as tracklet", "id as frame", "id * 37 % 50 / 50D as x", "id * 11 % 50 / 50D as y", "id % 7 - 3D as orient", "id % 10 / 10D as eccentricity", "100D as dt")
+    whole = sorted(kn.fix_orientations(rows).collect(), key=str)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(kn.fix_orientations(rows).collect(), key=str) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(whole) == 300 and sum(r["tracklet"] is None for r in whole) == 50

@@ -99,16 +99,66 @@ def fix_orientation(orient: np.ndarray, eccentricity: np.ndarray, speed: np.ndar
     return (out + math.pi) % (2 * math.pi) - math.pi
 
 
+def fix_orientation_many(orient: np.ndarray, eccentricity: np.ndarray, speed: np.ndarray, move: np.ndarray, first: np.ndarray, costs: HeadCosts | None = None) -> np.ndarray:
+    """``fix_orientation`` of many sequences one after another, each beginning at its number in ``first``; a step is taken in all of them at once."""
+    n, costs = len(orient), costs or HeadCosts()
+    if n == 0:
+        return orient
+    length = np.diff(np.r_[first, n])
+    longest = np.argsort(-length, kind="stable")
+    at, size = first[longest], length[longest]
+    both = np.stack([orient, orient + math.pi], axis=1)
+    local = np.nan_to_num(costs.moving(speed)[:, None] * np.abs(both - move[:, None]))
+    turn = np.nan_to_num(costs.turning(eccentricity))
+    cost, came = np.zeros((len(at), 2)), np.zeros((n, 2), np.int8)
+    going = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sequences of that many rows and more
+    for t in range(1, size[0]):
+        rows = at[: going[t]] + t
+        step = turn[rows, None, None] * np.abs(both[rows][:, None, :] - both[rows - 1][:, :, None]) + cost[: going[t], :, None]
+        came[rows] = step.argmin(axis=1)
+        cost[: going[t]] = step.min(axis=1) + local[rows]
+    k, out = cost.argmin(axis=1), np.empty(n)
+    for t in range(size[0] - 1, -1, -1):
+        rows, head = at[: going[t]] + t, k[: going[t]]
+        out[rows] = both[rows, head]
+        k[: going[t]] = came[rows, head]
+    return (out + math.pi) % (2 * math.pi) - math.pi
+
+
 def fix_orientations(rows: DataFrame, costs: HeadCosts | None = None) -> DataFrame:
-    """(tracklet, frame, orient) for rows (tracklet, frame, x, y, orient, eccentricity, dt); a tracklet has a bounded number of rows."""
+    """(tracklet, frame, orient) for rows (tracklet, frame, x, y, orient, eccentricity, dt); a tracklet has a bounded number of rows.
+
+    A task reads its tracklets in order and works on all that a batch completes; the last one waits for the next batch.
+    """
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame")
+        first = np.flatnonzero(np.r_[True, p["tracklet"].to_numpy()[1:] != p["tracklet"].to_numpy()[:-1]])
         vx, vy = (np.r_[np.nan, np.diff(p[c].to_numpy(float))] / p["dt"].to_numpy(float) for c in ("x", "y"))
-        fixed = fix_orientation(p["orient"].to_numpy(float), p["eccentricity"].to_numpy(float), np.hypot(vx, vy), np.arctan2(vy, vx), costs)
+        vx[first] = vy[first] = np.nan
+        fixed = fix_orientation_many(p["orient"].to_numpy(float), p["eccentricity"].to_numpy(float), np.hypot(vx, vy), np.arctan2(vy, vx), first, costs)
         return pd.DataFrame({"tracklet": p["tracklet"].to_numpy(), "frame": p["frame"].to_numpy(), "orient": fixed})
 
-    return rows.select("tracklet", "frame", "x", "y", "orient", "eccentricity", "dt").groupBy("tracklet").applyInPandas(work, "tracklet long, frame long, orient double")
+    def whole_tracklets(parts):
+        held = []
+        for p in parts:
+            if not len(p):
+                continue
+            last = p["tracklet"].to_numpy() == p["tracklet"].iloc[-1]
+            if not last.all():
+                yield work(pd.concat([*held, p[~last]], ignore_index=True))
+                held = [p[last]]
+            elif held and held[0]["tracklet"].iloc[0] != p["tracklet"].iloc[0]:
+                yield work(pd.concat(held, ignore_index=True))
+                held = [p]
+            else:
+                held.append(p)
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
+
+    none = F.lit(-(2**63))  # rows without a tracklet stay together, and numbers whole
+    d = rows.select(F.coalesce("tracklet", none).alias("tracklet"), "frame", "x", "y", "orient", "eccentricity", "dt")
+    d = d.repartition("tracklet").sortWithinPartitions("tracklet", "frame").mapInPandas(whole_tracklets, "tracklet long, frame long, orient double")
+    return d.withColumn("tracklet", F.nullif("tracklet", none))
 
 
 def dyadic_periods(n: int, shortest: float, longest: float) -> np.ndarray:
