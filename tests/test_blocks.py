@@ -169,3 +169,15 @@ def test_orientation_of_many_tracklets_at_once(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert len(whole) == 300 and sum(r["tracklet"] is None for r in whole) == 50
+
+
+def test_arena_features_shuffle_positions_only(spark):
+    """Two shuffles, by frame and by tracklet, neither of which carries a feature or is joined back."""
+    from trailmark.operators import untagged as ug
+
+    rows = spark.range(200).selectExpr("id % 20 as tracklet", "id % 2 as colony", "id div 20 as frame", "id * 37 % 50 / 50D as x", "id * 11 % 50 / 50D as y", "1D as area", "0D as theta", "0.1D as dt")
+    grid = spark.range(1).selectExpr("id as cx", "id as cy", "1D as wall", "0D as wall_angle", "1D as openwall", "0D as openwall_angle")
+    f = ug.derivative_features(ug.arena_features(rows, grid, cell=1.0, centre=(0.5, 0.5), scale=0.02, key=("colony", "frame")), ["dist_median", "angle_center"])
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+    assert f.count() == 200
