@@ -181,3 +181,22 @@ def test_arena_features_shuffle_positions_only(spark):
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
     assert f.count() == 200
+
+
+def test_frame_loop_takes_rows_as_lists(spark, monkeypatch):
+    """No table is made or sorted per frame; few points are clustered as many are."""
+    import numpy as np
+    import pandas as pd
+
+    from trailmark.streaming import tracking as tf
+
+    rng = np.random.default_rng(5)
+    frame = np.repeat(np.arange(400), 6)
+    rows = pd.DataFrame({"frame": frame, "blob": np.tile(np.arange(6)[::-1], 400), "x": rng.uniform(0, 1, 2400), "y": rng.uniform(0, 1, 2400), "area": 1.0, "dt": 1.0, "boundary": rng.integers(0, 2, 2400) == 1})
+    rules = tf.Rules(max_speed=0.1, reach=0.15, area=0.5, longest=9, open_boundary=True)
+    sorts, plain = [], pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *a, **k: sorts.append(1) or plain(self, *a, **k))
+    few = tf.run_frames(tf.Movie(), rows, rules, to_the_end=True)
+    assert len(sorts) <= 1 and sum(r[-1] for r in few if r[0] == "tracklet") == len(rows)
+    monkeypatch.setattr(tf, "FEW", 0)
+    assert tf.run_frames(tf.Movie(), rows, rules, to_the_end=True) == few

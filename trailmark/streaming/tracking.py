@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 BLOB = ["frame", "blob", "x", "y", "area", "dt", "boundary"]
 OUT = "movie long, kind string, serial long, other long, fi long, ff long, n long"
 OUT_NAMES = ["movie", "kind", "serial", "other", "fi", "ff", "n"]
+#: Points of a frame and the one before up to which all pairs are compared.
+FEW = 24
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,12 @@ class Movie:
 
 def clusters(xy: np.ndarray, radius: float) -> np.ndarray:
     """The least member of each point's cluster: points nearer than twice the radius are together. Union-find over cells of that width."""
-    root = list(range(len(xy)))
+    return np.array(_clusters([complex(x, y) for x, y in xy], radius), int)
+
+
+def _clusters(at: list[complex], radius: float) -> list[int]:
+    """Few points are compared with all before them, many with those of the cells about them."""
+    root = list(range(len(at)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -56,92 +63,136 @@ def clusters(xy: np.ndarray, radius: float) -> np.ndarray:
             i = root[i]
         return i
 
-    width = max(2 * radius, 1e-12)
+    reach = 2 * radius
+    width = max(reach, 1e-12)
     cells: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(xy):
-        cx, cy = int(x // width), int(y // width)
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for j in cells.get((cx + dx, cy + dy), ()):
-                    if np.hypot(*(xy[i] - xy[j])) <= 2 * radius:
-                        a, b = sorted((find(i), find(j)))
-                        root[b] = a
-        cells.setdefault((cx, cy), []).append(i)
-    return np.array([find(i) for i in range(len(xy))], int)
+    for i, p in enumerate(at):
+        if len(at) <= FEW:
+            near = range(i)
+        else:
+            cx, cy = int(p.real // width), int(p.imag // width)
+            near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())]
+            cells.setdefault((cx, cy), []).append(i)
+        for j in near:
+            if abs(p - at[j]) <= reach:
+                a, b = find(i), find(j)
+                if a < b:
+                    root[b] = a
+                else:
+                    root[a] = b
+    return [find(i) for i in range(len(at))]
+
+
+@dataclass
+class Frame:
+    """Blobs of one frame in order of their number, as lists: frames are many and hold few blobs."""
+
+    frame: int
+    at: list[complex]
+    area: list[float]
+    dt: float
+    boundary: list[bool]
+
+
+def frames_of(rows: pd.DataFrame) -> Iterator[Frame]:
+    rows = rows[rows["frame"].notna()]
+    rows = rows.iloc[np.lexsort((rows["blob"].to_numpy(), rows["frame"].to_numpy()))]
+    frame, x, y, area, dt = (rows[c].to_numpy(t).tolist() for c, t in (("frame", np.int64), ("x", float), ("y", float), ("area", float), ("dt", float)))
+    at, touch = list(map(complex, x, y)), rows["boundary"].to_numpy(bool).tolist()
+    new = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1)).tolist() if frame else []
+    for lo, hi in zip(new, [*new[1:], len(frame)], strict=True):
+        yield Frame(frame[lo], at[lo:hi], area[lo:hi], dt[lo], touch[lo:hi])
 
 
 def link_frames(prev: list[tuple], cur: pd.DataFrame, rules: Rules) -> np.ndarray:
     """(blob before, blob now): which are linked. A cluster with one of either is a link; in others those within reach are, and what is left alone
     finds the only other one left alone, or the only blob whose area changed by an animal."""
     links = np.zeros((len(prev), len(cur)), bool)
-    if not len(prev) or not len(cur):
-        return links
-    dt = float(np.clip(cur["dt"].iloc[0], 1 / rules.fps, 4 / rules.fps))
-    p, c = np.array([b[1:3] for b in prev], float), cur[["x", "y"]].to_numpy(float)
-    of = clusters(np.concatenate([p, c]), rules.max_speed * rules.radius * dt / rules.scale)
-    was, now = np.array([b[3] for b in prev], float), cur["area"].to_numpy(float)
-    for k in np.unique(of):
-        a, b = np.flatnonzero(of[: len(p)] == k), np.flatnonzero(of[len(p) :] == k)
-        if len(a) == 1 and len(b) == 1:
-            links[a[0], b[0]] = True
-            continue
-        if not len(a) or not len(b):
-            continue
-        near = np.hypot(*(p[a][:, None] - c[b][None]).transpose(2, 0, 1)) <= rules.reach
-        lost, new = np.flatnonzero(~near.any(axis=1)), np.flatnonzero(~near.any(axis=0))
-        if len(lost) == 1 and len(new) == 1:
-            near[lost[0], new[0]] = True
-        elif len(lost) == 1 and not len(new):
-            gain = now[b] - near.T @ was[a]
-            if (gain > rules.area).sum() == 1:
-                near[lost[0], np.argmax(gain)] = True
-        elif not len(lost) and len(new) == 1:
-            loss = was[a] - near @ now[b]
-            if (loss > rules.area).sum() == 1:
-                near[np.argmax(loss), new[0]] = True
-        links[np.ix_(a, b)] = near
+    if len(cur):
+        now = Frame(0, [complex(x, y) for x, y in zip(cur["x"], cur["y"], strict=True)], cur["area"].to_numpy(float).tolist(), float(cur["dt"].iloc[0]), [])
+        for b, parents in enumerate(_parents(prev, now, rules)):
+            links[parents, b] = True
     return links
 
 
-def take_frame(state: Movie, cur: pd.DataFrame, rules: Rules) -> Iterator[tuple]:
+def _parents(prev: list[tuple], cur: Frame, rules: Rules) -> list[list[int]]:
+    """Of each blob the blobs before that it is linked to, in order."""
+    of: list[list[int]] = [[] for _ in cur.at]
+    if not prev or not cur.at:
+        return of
+    dt = min(max(cur.dt, 1 / rules.fps), 4 / rules.fps)
+    members: dict[int, tuple[list[int], list[int]]] = {}
+    for i, k in enumerate(_clusters([complex(b[1], b[2]) for b in prev] + cur.at, rules.max_speed * rules.radius * dt / rules.scale)):
+        a, b = members.setdefault(k, ([], []))
+        (a if i < len(prev) else b).append(i if i < len(prev) else i - len(prev))
+    for a, b in members.values():
+        if len(a) == 1 and len(b) == 1:
+            of[b[0]].append(a[0])
+        elif a and b:
+            near = _crowded([prev[i] for i in a], [cur.at[i] for i in b], [cur.area[i] for i in b], rules)
+            for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+                of[b[j]].append(a[i])
+    return of
+
+
+def _crowded(prev: list[tuple], at: list[complex], area: list[float], rules: Rules) -> np.ndarray:
+    """Links inside a cluster of more than two."""
+    p, c, was, now = np.array([b[1:3] for b in prev], float), np.array([(z.real, z.imag) for z in at]), np.array([b[3] for b in prev], float), np.array(area)
+    near = np.hypot(*(p[:, None] - c[None]).transpose(2, 0, 1)) <= rules.reach
+    lost, new = np.flatnonzero(~near.any(axis=1)), np.flatnonzero(~near.any(axis=0))
+    if len(lost) == 1 and len(new) == 1:
+        near[lost[0], new[0]] = True
+    elif len(lost) == 1 and not len(new):
+        gain = now - near.T @ was
+        if (gain > rules.area).sum() == 1:
+            near[lost[0], np.argmax(gain)] = True
+    elif not len(lost) and len(new) == 1:
+        loss = was - near @ now
+        if (loss > rules.area).sum() == 1:
+            near[np.argmax(loss), new[0]] = True
+    return near
+
+
+def take_frame(state: Movie, cur: Frame, rules: Rules) -> Iterator[tuple]:
     """Advance by one frame; yields ('tracklet', serial, id, fi, ff, n) of what closes and ('link', parent, child, frame, None, None)."""
-    frame = int(cur["frame"].iloc[0])
-    cur = cur.sort_values("blob", kind="stable")
-    prev, dt = state.prev, float(cur["dt"].iloc[0])
+    frame, prev = cur.frame, state.prev
     if state.last is not None and frame - state.last > rules.step:
         yield from _close(state, [b[0] for b in prev])  # frames between without any blob
         prev = []
-    links = link_frames(prev, cur, rules)
-    alone_in, alone_out = links.sum(axis=0) == 1, links.sum(axis=1) == 1
+    parents = _parents(prev, cur, rules)
+    children = [0] * len(prev)
+    for of in parents:
+        for i in of:
+            children[i] += 1
     serials = [b[0] for b in prev]
-    full = np.array([rules.longest > 0 and state.open[s][3] >= rules.longest for s in serials], bool)
-    go_on = alone_in & np.array([links[:, j].any() and bool((alone_out & ~full)[np.argmax(links[:, j])]) for j in range(len(cur))], bool)
-    if dt > 2.5 * rules.fps:
-        go_on[:] = False
-        if dt > 3.5 * rules.fps:
-            links[:] = False
-    from_ = np.argmax(links, axis=0) if len(prev) else np.zeros(len(cur), int)
-    touch = cur["boundary"].to_numpy(bool)
-    if rules.open_boundary and len(prev):
-        go_on &= np.array([b[4] for b in prev], bool)[from_] == touch
-    kept = {serials[from_[j]]: j for j in np.flatnonzero(go_on)}
-    gone = [s for s in serials if s not in kept]
+    if cur.dt > 3.5 * rules.fps:
+        parents = [[] for _ in parents]
+    kept: dict[int, int] = {}
+    for j, of in enumerate(parents):
+        if len(of) != 1 or children[of[0]] != 1 or cur.dt > 2.5 * rules.fps:
+            continue
+        full = rules.longest > 0 and state.open[serials[of[0]]][3] >= rules.longest
+        parted = rules.open_boundary and prev[of[0]][4] != cur.boundary[j]
+        if not full and not parted:
+            kept[serials[of[0]]] = j
     used = {state.open[s][0] for s in kept}
-    yield from _close(state, gone)
-    of = [0] * len(cur)
+    yield from _close(state, [s for s in serials if s not in kept])
+    serial_of = [-1] * len(cur.at)
     for s, j in kept.items():
         state.open[s][2:] = [frame, state.open[s][3] + 1]
-        of[j] = s
-    free = 1
-    for j in np.flatnonzero(~go_on):
+        serial_of[j] = s
+    free, going_on = 1, set(kept.values())
+    for j, of in enumerate(parents):
+        if j in going_on:
+            continue
         while free in used:
             free += 1
         used.add(free)
-        of[j], state.serial = state.serial, state.serial + 1
-        state.open[of[j]] = [free, frame, frame, 1]
-        for i in np.flatnonzero(links[:, j]):
-            yield ("link", serials[i], of[j], frame, None, None)
-    state.prev = [(s, float(x), float(y), float(a), bool(t)) for s, x, y, a, t in zip(of, cur["x"], cur["y"], cur["area"], touch, strict=True)]
+        serial_of[j], state.serial = state.serial, state.serial + 1
+        state.open[serial_of[j]] = [free, frame, frame, 1]
+        for i in of:
+            yield ("link", serials[i], serial_of[j], frame, None, None)
+    state.prev = [(s, z.real, z.imag, a, t) for s, z, a, t in zip(serial_of, cur.at, cur.area, cur.boundary, strict=True)]
     state.last = frame
 
 
@@ -152,7 +203,7 @@ def _close(state: Movie, serials: list[int]) -> Iterator[tuple]:
 
 
 def run_frames(state: Movie, rows: pd.DataFrame, rules: Rules, *, to_the_end: bool) -> list[tuple]:
-    out = [x for _, frame in rows.groupby("frame", sort=True) for x in take_frame(state, frame, rules)]
+    out = [x for frame in frames_of(rows) for x in take_frame(state, frame, rules)]
     return out + (list(_close(state, sorted(state.open))) if to_the_end else [])
 
 
