@@ -79,3 +79,27 @@ def test_query_on_the_small_table(spark):
     out = op12_toxicity(spark, "/root/testdata/sf0.001").collect()
     assert {r["doc_id"]: r["held_out"] for r in out} == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
+
+
+def test_labels_past_any_number_are_learnt_from(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices(["an", "be", "co", "du", "er", "fi"], k=3)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(vocabulary, k=8)), "en", 0.5, "l") for i in range(7000)], SCHEMA)
+    late = {x["doc_id"]: k for k, x in enumerate(docs.orderBy(F.xxhash64("doc_id")).select("doc_id").collect())}
+    # the last thousand in hash order hold a word of their own, half of them toxic
+    toxic = {i for i, k in late.items() if k >= 6000 and k % 2} | {i for i, k in late.items() if k < 6000 and k % 9 == 0}
+    insult = F.when(F.col("doc_id").isin(*[i for i in toxic if late[i] >= 6000]), "grobian").when(F.col("doc_id").isin(*toxic), "unhold").otherwise("")
+    labels = docs.select("doc_id", F.col("doc_id").isin(*toxic).cast("int").alias("toxic"))
+    rows = docs.withColumn("text", F.concat_ws(" ", "text", insult)).union(spark.createDataFrame([(-1, "beco " * 4 + "grobian", "en", 0.5, "l"), (-2, "beco " * 5, "en", 0.5, "l")], SCHEMA))
+    got = scores(toxicity.score_documents(rows, labels).where("doc_id < 0"))
+    assert got[-1] >= 0.3 > got[-2]
+
+
+def test_shares_in_any_order(spark, tables, monkeypatch):
+    docs, labels = tables
+    monkeypatch.setattr(toxicity, "SHARE_BYTES", 60_000)
+    usable = F.col("doc_id") % 4 != 2
+    rows = toxicity.score_documents(docs, labels, usable=usable).collect()
+    assert np.mean([(r["score"] >= 0.3) == (r["doc_id"] % 6 == 0) for r in rows if r["doc_id"] % 4 == 2]) > 0.97
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", 10)
+    assert scores(toxicity.score_documents(docs.repartition(5), labels.repartition(2), usable=usable)) == {r["doc_id"]: r["score"] for r in rows}
