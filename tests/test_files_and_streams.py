@@ -117,3 +117,19 @@ def test_tracking_dt_falls_back(spark):
     d = spark.createDataFrame([(1, None, None), (2, 5.0, 0.3), (3, 5.2, None)], "frame long, timestamp double, dt double")
     got = [round(r["tracking_dt"], 6) for r in lc.tracking_dt(d, fps=10.0).orderBy("frame").collect()]
     assert got == [0.1, 0.3, 0.2]
+
+
+def test_tracklets_of_a_large_table_are_many_tasks_with_one_sort(spark, monkeypatch):
+    from trailmark.operators import blocks
+
+    monkeypatch.setattr(blocks, "TASK_ROWS", 500)
+    b = spark.range(4000).select((F.col("id") % 2).alias("movie"), (F.col("id") % 40).alias("track"), F.floor(F.col("id") / 40).alias("frame"))
+    b = b.where("frame % 7 <> 3").withColumns({"dt": F.lit(0.1), "boundary": F.col("frame") < 30})
+    out = lc.batch_tracklets(b, most=4, fps=10.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert out.rdd.getNumPartitions() == 7
+    got = [(r["fi"], r["ff"], r["n"]) for r in out.where("track = 5").orderBy("fi").collect()]
+    assert got[:3] == [(0, 2, 3), (4, 7, 4), (8, 9, 2)] and (29, 29, 1) in got and (30, 30, 1) in got and sum(n for *_, n in got) == 86
+    # of two rows of one frame the second is late: both are of the run that it begins
+    twice = spark.createDataFrame([(0, 1, f, dt, True) for f, dt in ((1, 0.1), (2, 0.1), (2, 30.0), (3, 0.1), (4, 0.1))], "movie int, track int, frame long, dt double, boundary boolean")
+    assert sorted((r["fi"], r["ff"], r["n"]) for r in lc.batch_tracklets(twice, most=3, fps=10.0).collect()) == [(1, 1, 1), (2, 3, 3), (4, 4, 1)]

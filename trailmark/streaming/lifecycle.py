@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trailmark.operators.blocks import BLOCK
+from trailmark.operators.blocks import BLOCK, dealt_out
 from trailmark.operators.sampling import global_difference
 
 
@@ -111,7 +111,7 @@ def stream_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, ts:
 
 
 def batch_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, fps: float | None = None) -> DataFrame:
-    """The same tracklets from a finished table, by windows only: (movie, track, fi, ff, n).
+    """The same tracklets from a finished table, by windows in one order: (movie, track, fi, ff, n).
 
     With fps, a frame that came more than 2.5 * fps after the one before (column dt) begins a new tracklet, as the published
     rule has it; with a column boundary, so does a change of state at the open boundary.
@@ -122,9 +122,10 @@ def batch_tracklets(blobs: DataFrame, *, most: int = 600, max_gap: int = 1, fps:
         begins = begins | F.coalesce(F.col("dt") > 2.5 * fps, F.lit(False))
     if "boundary" in blobs.columns:
         begins = begins | (F.lag(F.lit(1)).over(w).isNotNull() & ~F.col("boundary").eqNullSafe(F.lag("boundary").over(w)))
-    d = blobs.withColumn("run", F.sum(F.coalesce(begins.cast("int"), F.lit(1))).over(w))
-    inside = Window.partitionBy("movie", "track", "run").orderBy("frame")
-    d = d.withColumn("part", F.floor((F.row_number().over(inside) - 1) / most))
+    d = dealt_out(blobs, "movie", "track").withColumns({"begins": F.coalesce(begins, F.lit(True)), "row": F.row_number().over(w), "rank": F.rank().over(w)})
+    # a run is named by its first row; all rows of a frame belong to one run
+    d = d.withColumn("run", F.max(F.when(F.col("begins"), F.col("rank"))).over(w))
+    d = d.withColumn("part", F.floor((F.col("row") - F.col("run")) / most))
     return d.groupBy("movie", "track", "run", "part").agg(F.min("frame").alias("fi"), F.max("frame").alias("ff"), F.count(F.lit(1)).alias("n")).drop("run", "part")
 
 
