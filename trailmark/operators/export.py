@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.blocks import per_frame
+from trailmark.operators.blocks import BLOCK, block_of, by_tracklet, dealt_out, in_block, per_frame
 
 
 def untagged(rows: DataFrame, tracks: DataFrame, counts: DataFrame) -> DataFrame:
     """Every tracklet frame with its number of animals."""
-    return per_frame(rows).join(tracks.select("tracklet", "label"), "tracklet").join(counts, "tracklet", "left").select("tracklet", "frame", "x", "y", "area", "label", "nants")
+    t = tracks.select("tracklet", "label").join(counts.select("tracklet", "nants"), "tracklet", "left")
+    return rows.join(by_tracklet(t), "tracklet").select("tracklet", "frame", "x", "y", "area", "label", "nants")
 
 
 def no_propagation(rows: DataFrame, tracks: DataFrame, ids: Sequence[str]) -> DataFrame:
