@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmark import fixtures as fx
 from trailmark.operators import export as ex
 from trailmark.operators import tracks as tk
+from trailmark.operators.blocks import TASK_ROWS, dealt_out
 from trailmark.plans.registry import query
 from trailmark.plans.tracklet_queries import AREA, IDS
 from trailmark.plans.tracklet_queries import V as TV
@@ -36,7 +37,8 @@ def export_groupids(spark, d):
 
 @query("SELECT tracklet AS target, count(*) AS n, min(frame) AS first_frame, arg_min(x * 0.02 * 1000, frame) AS x0, arg_max(y * 0.02 * 1000, frame) AS y1, any_value(sqrt(area) * 0.02 * 1000 / 4 * sqrt(1 - 0.36)) AS b FROM fx_untagged GROUP BY tracklet")
 def export_trx(spark, d):
-    u = fx.untagged(fx.tracklets(spark, d)).select(F.col("tracklet").alias("target"), "frame", "x", "y", F.sqrt("area").alias("majax"), F.lit(0.36).alias("eccentricity"))
+    # a target becomes a row for each of up to 30 frames
+    u = fx.untagged(dealt_out(fx.tracklets(spark, d), "tracklet", rows=TASK_ROWS // 15)).select(F.col("tracklet").alias("target"), "frame", "x", "y", F.sqrt("area").alias("majax"), F.lit(0.36).alias("eccentricity"))
     t = ex.targets(u, 0.02)
     return t.select("target", F.size("trx").cast("long").alias("n"), F.col("trx")[0]["frame"].alias("first_frame"), F.col("trx")[0]["x"].alias("x0"), F.element_at("trx", -1)["y"].alias("y1"), F.element_at("trx", 1)["b"].alias("b"))
 
