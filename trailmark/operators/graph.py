@@ -38,8 +38,11 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hop_distance(edges: DataFrame, depth: int, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, hops): shortest directed distances from 1 to depth; each round joins the last frontier only."""
-    e = edges.select("src", "dst").distinct()
+    """(src, dst, hops): shortest directed distances from 1 to depth; each round joins the last frontier only.
+
+    The links are worked out once and written, as every round reads them.
+    """
+    e = cut(edges.select("src", "dst").distinct())
     front = e if sources is None else e.join(sources.select(F.col("tracklet").alias("src")), "src", "left_semi")
     front = cut(front.withColumn("hops", F.lit(1)))
     known, step = front, e.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
