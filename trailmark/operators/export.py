@@ -59,11 +59,19 @@ def ant_frames(first: int, last: int, table: DataFrame, rows: DataFrame, *, key:
     tracklets that are not.
     """
     k = list(key)
-    d = per_frame(rows).join(table.select(*k, "tracklet", "fi", "ff", "single"), "tracklet").where((F.col("frame") >= F.col("fi")) & (F.col("frame") <= F.col("ff")))
+    d = rows.join(by_tracklet(table.select(*k, "tracklet", "fi", "ff", "single").dropna(subset=k)), "tracklet").where((F.col("frame") >= F.greatest("fi", F.lit(first))) & (F.col("frame") <= F.least("ff", F.lit(last))))
     end = ~F.col("single") & ((F.col("frame") == F.col("fi")) | (F.col("frame") == F.col("ff"))) if hide_ends else F.lit(False)
-    p = d.groupBy(*k, "frame").agg(F.max_by(F.struct(F.when(~end, F.col("x")).alias("x"), F.when(~end, F.col("y")).alias("y"), F.when(F.col("single"), F.col("area")).alias("area"), "single"), F.struct("fi", "tracklet")).alias("p"))
-    axis = table.select(*k).distinct().withColumn("frame", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    return axis.join(per_frame(p), [*k, "frame"], "left").select(*k, "frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
+    p = F.struct(F.when(~end, F.col("x")).alias("x"), F.when(~end, F.col("y")).alias("y"), F.when(F.col("single"), F.col("area")).alias("area"), "single")
+    d = d.select(*k, "frame", F.struct("fi", "tracklet").alias("order"), p.alias("p"))
+    # each block of an ant begins with a row of its own, which a tracklet's row at that frame replaces; a row then fills the frames up to the next
+    blocks = F.explode(F.sequence(block_of(F.lit(first)), block_of(F.lit(last))))
+    begin = table.select(*k).distinct().select(*k, blocks.alias("__b")).withColumn("frame", F.greatest(F.lit(first), F.col("__b") * BLOCK).cast("long"))
+    d = dealt_out(d.withColumn("__b", block_of("frame")).unionByName(begin, allowMissingColumns=True), *k, "__b")
+    d = d.groupBy(*k, "__b", "frame").agg(F.max_by("p", "order").alias("p"))
+    d = d.withColumn("__to", F.coalesce(F.lead("frame").over(in_block(*k)), F.least(F.lit(last + 1), (F.col("__b") + 1) * BLOCK)) - 1)
+    d = d.withColumn("__f", F.explode(F.sequence("frame", "__to")))
+    p = F.when(F.col("__f") == F.col("frame"), F.col("p"))
+    return d.select(*k, F.col("__f").alias("frame"), p.alias("p")).select(*k, "frame", "p.x", "p.y", "p.area", F.coalesce("p.single", F.lit(False)).alias("single"))
 
 
 def wide(xy: DataFrame, ants: Sequence[str], columns: Sequence[str] = ("x", "y")) -> DataFrame:
