@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.blocks import per_frame
+from trailmark.operators.blocks import by_tracklet, per_frame
 
 
 def pose_rows(pose: DataFrame, tracks: DataFrame, bodyparts: Sequence[str] | None = None) -> DataFrame:
     """pose of known tracklets with frame, counted from the tracklet's first (ix 0)."""
     d = pose if bodyparts is None else pose.where(F.col("bodypart").isin(*bodyparts))
-    return per_frame(d).join(tracks.select("tracklet", "fi"), "tracklet").withColumn("frame", F.col("fi") + F.col("ix")).drop("fi")
+    return d.join(by_tracklet(tracks.select("tracklet", "fi")), "tracklet").withColumn("frame", F.col("fi") + F.col("ix")).drop("fi")
 
 
 def combined(rows: DataFrame, pose: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
