@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.blocks import by_tracklet
+
 
 def centred_median(x: np.ndarray, k: int, edge: str) -> np.ndarray:
     """Centred moving median over k values (odd). edge: ``null`` leaves the ends empty, ``zero`` pads with
@@ -288,8 +290,9 @@ def fit_ellipse(points: DataFrame, key: str) -> DataFrame:
 def boundary_points(tracks: DataFrame, rows: DataFrame, movie: int) -> tuple[DataFrame, DataFrame]:
     """Ends in the last and starts in the first frame of movies of ``movie`` frames, keyed by the movie that ends."""
     first, last = F.min_by(F.struct("x", "y"), "frame"), F.max_by(F.struct("x", "y"), "frame")
-    p = rows.groupBy("tracklet").agg(first.alias("i"), last.alias("f"))
-    t = tracks.join(p, "tracklet")
+    t = tracks.where((F.col("ff") % movie == 0) | ((F.col("fi") - 1) % movie == 0))
+    p = rows.join(by_tracklet(t.select("tracklet")), "tracklet", "left_semi").groupBy("tracklet").agg(first.alias("i"), last.alias("f"))
+    t = t.join(p, "tracklet")
     ends = t.where(F.col("ff") % movie == 0).select((F.col("ff") / movie).cast("long").alias("m"), "colony", "tracklet", "f.x", "f.y")
     starts = t.where((F.col("fi") - 1) % movie == 0).select(((F.col("fi") - 1) / movie).cast("long").alias("m"), "colony", "tracklet", "i.x", "i.y")
     return ends, starts
