@@ -10,6 +10,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,12 +171,28 @@ def write_graph(path: str, nodes: DataFrame, edges: DataFrame, node_ids: DataFra
         df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
 
 
+def read_folders(spark: SparkSession, path: str, *wanted: tuple[str, Sequence | None]) -> DataFrame:
+    """Parquet stored by folders name=value, outermost first in ``wanted`` with the values asked for (None: all).
+
+    Folders that are not asked for are not listed, as far as values are given from the outermost on; a recording has very many.
+    """
+    at = path.rstrip("/")
+    for name, values in wanted:
+        if not values or not all(isinstance(v, int) or str(v).isidentifier() for v in values):
+            break
+        at += f"/{name}={{{','.join(map(str, values))}}}"
+    try:
+        d = spark.read.option("basePath", path).parquet(at)
+    except AnalysisException:  # there are none of these
+        d = spark.read.parquet(path)
+    for name, values in wanted:
+        d = d if values is None else d.where(F.col(name).isin(*values))
+    return d
+
+
 def read_graph(spark: SparkSession, path: str, table: str, *, colonies: Sequence[int] | None = None, movies: Sequence[int] | None = None) -> DataFrame:
     """A table of a stored graph; colonies and movies choose folders, so the others are not read."""
-    d = spark.read.parquet(f"{path}/{table}")
-    if colonies is not None:
-        d = d.where(F.col("colony").isin(*colonies))
-    return d.where(F.col("m").isin(*movies)) if movies is not None else d
+    return read_folders(spark, f"{path}/{table}", ("colony", colonies), ("m", movies))
 
 
 def write_xy(df: DataFrame, path: str) -> None:
@@ -184,10 +201,8 @@ def write_xy(df: DataFrame, path: str) -> None:
 
 
 def read_xy(spark: SparkSession, path: str, *, type: str = "final", colony: int | None = None, movies: Sequence[int] | None = None, ants: Sequence[str] | None = None) -> DataFrame:
-    d = spark.read.parquet(path).where(F.col("type") == type)
-    for c, keep in (("colony", None if colony is None else [colony]), ("m", movies), ("ant", ants)):
-        d = d if keep is None else d.where(F.col(c).isin(*keep))
-    return d
+    d = read_folders(spark, path, ("type", [type]), ("colony", None if colony is None else [colony]), ("m", movies))
+    return d if ants is None else d.where(F.col("ant").isin(*ants))
 
 
 def read_pose(spark: SparkSession, path: str | Sequence[str], movies: Sequence[int] | None = None) -> DataFrame:
