@@ -95,3 +95,28 @@ def test_components_in_node_order():
 @pytest.mark.parametrize("name", ["ant_frames", "collective_measures", "weighted_mean", "nest_untagged"])
 def test_at_sf001(spark, name):
     check(spark, plans.queries()[name], plans.oracle_sql()[name], "/root/testdata/sf0.01")
+
+
+def test_soft_assignment_joins_no_rows_of_frames_and_no_whole_state(planned):
+    plan = planned("soft_assign")
+    assert "explode" not in plan and plan.count("sequence(") == 0
+
+
+def test_solver_reads_written_links(spark, monkeypatch):
+    from trailmark.plans import graph_queries as gq
+
+    made = []
+    monkeypatch.setattr(gr, "bottleneck_pairs", lambda t, e: made.extend([t, e]) or e)
+    gq._to_solve(spark, SMALL)
+    assert all("Join" not in d._jdf.queryExecution().optimizedPlan().toString() for d in made)
+
+
+def test_bottlenecks_join_frames_once(spark, monkeypatch):
+    from trailmark.operators import graph
+
+    calls = []
+    join = graph.overlap_join
+    monkeypatch.setattr(graph, "overlap_join", lambda *a, **k: calls.append(1) or join(*a, **k))
+    t = spark.createDataFrame([(i, 0, 3 * i, 3 * i + 2) for i in range(6)], "tracklet long, colony long, fi long, ff long")
+    gr.bottleneck_pairs(t, spark.createDataFrame([(i, i + 1) for i in range(5)] + [(0, 2)], "src long, dst long"))
+    assert len(calls) == 1 and not hasattr(graph, "overlaps")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.components import connected_components, cut
-from trailmark.operators.intervals import overlap_join, overlaps
+from trailmark.operators.intervals import overlap_join
 
 
 def build_edges(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -70,22 +70,21 @@ def bottleneck_pairs(nodes: DataFrame, edges: DataFrame, *, depth: int = 10) ->
     n = nodes.select("tracklet", "colony", "fi", "ff")
     i = edges.groupBy(F.col("dst").alias("tracklet")).agg(F.count(F.lit(1)).alias("indeg"))
     o = edges.groupBy(F.col("src").alias("tracklet")).agg(F.count(F.lit(1)).alias("outdeg"))
-    s = n.join(i.where("indeg > 1"), "tracklet").join(o, "tracklet", "left").select(F.col("tracklet").alias("src"), "colony", F.col("ff").alias("s_ff"), "outdeg")
-    t = n.join(i, "tracklet").select(F.col("tracklet").alias("dst"), F.col("fi").alias("t_fi"), F.col("indeg").alias("t_in"))
+    s = n.join(i.where("indeg > 1"), "tracklet").join(o, "tracklet", "left").select(F.col("tracklet").alias("src"), "colony", F.col("fi").alias("s_fi"), F.col("ff").alias("s_ff"), "outdeg")
+    t = n.join(i, "tracklet").select(F.col("tracklet").alias("dst"), F.col("fi").alias("t_fi"), F.col("ff").alias("t_ff"), F.col("indeg").alias("t_in"))
     pairs = cut(reach.join(s, "src").join(t, "dst"))
     near = pairs.where("hops = 1 and outdeg = 1 and t_in = 1").select("src", "dst", "hops")
     far = pairs.where("hops > 1")
     pair = ["src", "dst"]
-    # alive strictly between: an overlap with the frames behind src and before dst, found by blocks of frames
-    gap = far.select("colony", "src", "dst", (F.col("s_ff") + 1).alias("fi"), (F.col("t_fi") - 1).alias("ff"))
-    mid = overlap_join(gap, n.withColumnRenamed("tracklet", "mid"), ["colony"], width=32).select(F.col("src_a").alias("src"), F.col("dst_a").alias("dst"), F.col("mid_b").alias("mid")).where("mid <> src and mid <> dst")
+    # who is alive strictly between, with src and with dst: one join of blocks of frames for the three
+    asked = lambda about, fi, ff: far.select("colony", "src", "dst", F.lit(about).alias("about"), fi.alias("fi"), ff.alias("ff"))
+    ask = asked("gap", F.col("s_ff") + 1, F.col("t_fi") - 1).union(asked("src", F.col("s_fi"), F.col("s_ff"))).union(asked("dst", F.col("t_fi"), F.col("t_ff")))
+    mid = overlap_join(ask, n.withColumnRenamed("tracklet", "mid"), ["colony"], width=32).select(F.col("src_a").alias("src"), F.col("dst_a").alias("dst"), F.col("about_a").alias("about"), F.col("mid_b").alias("mid"))
+    mid = mid.where("case about when 'gap' then mid <> src and mid <> dst when 'src' then mid <> src else mid <> dst end")
     r1, r2 = reach.select("src", F.col("dst").alias("mid"), F.lit(True).alias("from_s")), reach.select(F.col("src").alias("mid"), "dst", F.lit(True).alias("to_t"))
     mid = mid.join(r1, ["src", "mid"], "left").join(r2, ["mid", "dst"], "left")
-    odd = mid.where(F.coalesce("from_s", F.lit(False)) != F.coalesce("to_t", F.lit(False))).select(*pair)
-    lap = overlaps(nodes)
-    beside_s = far.join(lap.select(F.col("a").alias("src"), F.col("b").alias("mid")), "src").join(reach.select(F.col("src").alias("mid"), "dst"), ["mid", "dst"]).select(*pair)
-    beside_t = far.join(lap.select(F.col("a").alias("dst"), F.col("b").alias("mid")), "dst").join(reach.select("src", F.col("dst").alias("mid")), ["src", "mid"]).select(*pair)
-    good = far.select("src", "dst", "hops").join(odd.union(beside_s).union(beside_t).distinct(), pair, "left_anti")
+    odd = mid.where("case about when 'gap' then coalesce(from_s, false) <> coalesce(to_t, false) when 'src' then to_t is not null else from_s is not null end").select(*pair)
+    good = far.select("src", "dst", "hops").join(odd.distinct(), pair, "left_anti")
     return near.union(good)
 
 
