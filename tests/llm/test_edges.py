@@ -116,6 +116,12 @@ def test_byte_code_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     control, data = tokenfile.encode_ranks(ranks)
     assert (tokenfile.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(ranks)) == ranks).all()
+    for top in (0, 255, 256, 65535, 65536, 1 << 24):
+        few = np.array([top, 0, top, 1, 2][: 5 if top else 0], np.uint32)
+        control, data = (np.frombuffer(x, np.uint8) for x in tokenfile.encode_ranks(few))
+        assert tokenfile.decode_ranks(control, data, len(few)).tolist() == few.tolist()
+    with pytest.raises(IndexError):  # data cut short is no zeros
+        tokenfile.decode_ranks(control, data[:-1], len(few))
 
 
 def test_mixing(spark, docs, none):

@@ -54,7 +54,7 @@ AS_CHARS = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(s
 TABLE = 64 << 20
 IDS_PER_FILE, IDS_PER_BLOCK = 4_000_000, 500_000
 #: Bytes of each of the four ids that a control byte speaks of.
-LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1).astype(np.uint8)
 
 
 @lru_cache(maxsize=2)
@@ -107,22 +107,26 @@ def unit_table(path: str) -> UnitTable:
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes)"""
     r = ranks.astype("<u4")
-    size = 1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)
+    top = int(r.max(initial=0))
+    width = max(1, -(-top.bit_length() // 8))  # bytes that any of them takes
+    longer = [r >= 1 << 8 * k for k in range(1, width)]
     four = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    four[: len(r)] = size - 1
-    control = (four.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    raw = r.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    for x in longer:
+        four[: len(r)] += x
+    control = four[::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
+    has = np.ones((len(r), width), bool)
+    for k, x in enumerate(longer, 1):
+        has[:, k] = x
+    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[:, :width][has].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n]
-    at = np.cumsum(size) - size
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
-        out[has] |= padded[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        has = np.flatnonzero(size > k)
+        out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
