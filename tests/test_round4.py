@@ -12,6 +12,7 @@ from tests.test_growth import planned  # noqa: F401
 from trailmark import plans
 from trailmark.operators import solve as sv
 from trailmark.operators import untagged as ug
+from trailmark.sources import files as fl
 
 
 def middle(pairs):
@@ -78,3 +79,30 @@ def test_groups_are_solved_without_a_table_each(spark):
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert any(x[0] is None for x in want) and any(x[4] for x in want)
+
+
+def test_folders_do_not_follow_colonies(spark, tmp_path):
+    """Colonies share folders, and are replaced and read one by one all the same."""
+    path, schema = str(tmp_path / "xy"), "colony long, type string, m long, x double"
+    fl.write_xy(spark.createDataFrame([(c, t, m, c / 1000) for c in range(200) for t in ("final", "untagged") for m in (0, 1)] + [(None, "final", 0, 7.0)], schema), path)
+    assert sum(1 for f in (tmp_path / "xy").rglob("m=*")) <= 2 * 2 * fl.FOLDERS
+    assert len(list((tmp_path / "xy").rglob("*.parquet"))) <= 2 * 2 * fl.FOLDERS
+    fl.write_xy(spark.createDataFrame([(5, "final", 1, 9.0), (900, "final", 1, 8.0), (None, "final", 0, 6.0)], schema), path)
+    got = sorted((tuple(r) for r in fl.read_xy(spark, path).select("colony", "m", "x").collect()), key=str)
+    want = [(c, m, 9.0 if (c, m) == (5, 1) else c / 1000) for c in range(200) for m in (0, 1)] + [(900, 1, 8.0), (None, 0, 6.0)]
+    assert got == sorted(want, key=str)
+    assert fl.read_xy(spark, path, type="untagged").count() == 400
+    assert [r["x"] for r in fl.read_xy(spark, path, colony=5, movies=[1]).collect()] == [9.0]
+    assert fl.read_xy(spark, path, colony=6, movies=[1]).columns == fl.read_xy(spark, path).columns
+
+
+def test_graphs_of_named_colonies(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    nodes = spark.createDataFrame([(i, f"c{i % 50}", i % 3) for i in range(300)], "tracklet long, colony string, m long")
+    edges = spark.createDataFrame([(f"c{i % 50}", i % 3, i, i + 150) for i in range(150)], "colony string, m long, src long, dst long")
+    fl.write_graph(path, nodes, edges)
+    fl.write_graph(path, nodes.where("colony = 'c7' and m = 1"), edges.where("colony = 'c7' and m = 1 and src < 50"))
+    assert sorted(r["tracklet"] for r in fl.read_graph(spark, path, "nodes", colonies=["c7", "c8"]).collect()) == [i for i in range(300) if i % 50 in (7, 8)]
+    left = [i for i in range(150) if not (i % 50 == 7 and i % 3 == 1 and i >= 50)]
+    assert sorted(r["src"] for r in fl.read_graph(spark, path, "edges").collect()) == left
+    assert len(list((tmp_path / "graph" / "nodes").rglob("*.parquet"))) <= 3 * fl.FOLDERS

@@ -7,11 +7,12 @@ sensor tables. NaN becomes NULL on the way in.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,16 +164,58 @@ def missing(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.select("m").distinct().join(done.select("m"), "m", "left_anti")
 
 
+#: Folders (``colonies``) that the colonies of a movie are dealt to: a recording may hold very many, and a folder of its own costs more than a colony's rows.
+FOLDERS = 16
+
+
+def folder_of(colony: object) -> object:
+    """The folder of a colony, for a column or a value; the same for 2 as a number of any type and as text."""
+    if isinstance(colony, Column):
+        return F.coalesce(F.crc32(colony.cast("string")) % FOLDERS, F.lit(0)).cast("int")
+    return zlib.crc32(str(colony).encode()) % FOLDERS
+
+
+def replace_rows(df: DataFrame, path: str, *key: str) -> None:
+    """Replace the stored rows of the keys that df holds and leave all others.
+
+    There is a folder for each key, but for colonies one of ``FOLDERS``, in the files of which they lie in order. What the folders of df's
+    keys hold of other colonies is written again beside its rows; so many folders and movies are listed as df has, whatever its rows.
+    """
+    folders = ["colonies" if c == "colony" else c for c in key]
+    d, new = df, None
+    if "colony" in key:
+        d = df.withColumn("colonies", folder_of(F.col("colony")))
+        try:
+            old = df.sparkSession.read.parquet(path)
+        except AnalysisException:  # nothing is stored
+            old = None
+        if old is not None:
+            if "colonies" not in old.columns:
+                raise ValueError(f"{path} has a folder per colony, of an earlier layout")
+            old = old.select(*[F.col(c).cast(d.schema[c].dataType).alias(c) if c in d.columns else F.col(c) for c in old.columns])
+            new = d.select("colony", *folders).distinct().persist()
+            touched = new.agg(*[F.collect_set(c).alias(c) for c in folders]).first()  # as many as there are folders
+            for c in folders:
+                old = old.where(F.col(c).isNull() | F.col(c).isin(touched[c]))
+            same = lambda names: [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in names]
+            old = old.alias("o").join(F.broadcast(new.select(*folders).distinct().alias("n")), same(folders), "left_semi")
+            d = d.unionByName(old.alias("o").join(new.alias("n"), same(["colony", *folders]), "left_anti"), True)
+    if folders:
+        d = d.hint("rebalance", *folders).sortWithinPartitions(*folders, *[c for c in ("colony",) if c in key])
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+    if new is not None:
+        new.unpersist()
+
+
 def write_graph(path: str, nodes: DataFrame, edges: DataFrame, node_ids: DataFrame | None = None) -> None:
-    """Nodes (tracklet, colony, m, ...), edges (colony, m, src, dst; m is the parent's movie) and the long table of ids, each split by colony and movie."""
+    """Nodes (tracklet, colony, m, ...), edges (colony, m, src, dst; m is the parent's movie) and the long table of ids, each replaced by colony and movie."""
     tables = {"nodes": nodes, "edges": edges} | ({"node_ids": node_ids} if node_ids is not None else {})
     for name, df in tables.items():
-        by = [c for c in ("colony", "m") if c in df.columns]
-        df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+        replace_rows(df, f"{path}/{name}", *[c for c in ("colony", "m") if c in df.columns])
 
 
 def read_folders(spark: SparkSession, path: str, *wanted: tuple[str, Sequence | None]) -> DataFrame:
-    """Parquet stored by folders name=value, outermost first in ``wanted`` with the values asked for (None: all).
+    """Parquet stored by ``replace_rows``, with its folders outermost first in ``wanted`` and the values asked for (None: all).
 
     Folders that are not asked for are not listed, as far as values are given from the outermost on; a recording has very many.
     """
@@ -180,6 +223,8 @@ def read_folders(spark: SparkSession, path: str, *wanted: tuple[str, Sequence |
     for name, values in wanted:
         if not values or not all(isinstance(v, int) or str(v).isidentifier() for v in values):
             break
+        if name == "colony":
+            name, values = "colonies", sorted({folder_of(v) for v in values})
         at += f"/{name}={{{','.join(map(str, values))}}}"
     try:
         d = spark.read.option("basePath", path).parquet(at)
@@ -187,17 +232,17 @@ def read_folders(spark: SparkSession, path: str, *wanted: tuple[str, Sequence |
         d = spark.read.parquet(path)
     for name, values in wanted:
         d = d if values is None else d.where(F.col(name).isin(*values))
-    return d
+    return d.drop("colonies")
 
 
 def read_graph(spark: SparkSession, path: str, table: str, *, colonies: Sequence[int] | None = None, movies: Sequence[int] | None = None) -> DataFrame:
-    """A table of a stored graph; colonies and movies choose folders, so the others are not read."""
+    """A table of a stored graph; colonies and movies choose folders, and colonies parts of their files, so the others are not read."""
     return read_folders(spark, f"{path}/{table}", ("colony", colonies), ("m", movies))
 
 
 def write_xy(df: DataFrame, path: str) -> None:
-    """Trajectories (colony, type, m, ...): final, without propagation or untagged ones in folders of their own."""
-    df.repartition("type", "colony", "m").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "colony", "m").parquet(path)
+    """Trajectories (colony, type, m, ...): final, without propagation or untagged ones in folders of their own; replaced by type, colony and movie."""
+    replace_rows(df, path, "type", "colony", "m")
 
 
 def read_xy(spark: SparkSession, path: str, *, type: str = "final", colony: int | None = None, movies: Sequence[int] | None = None, ants: Sequence[str] | None = None) -> DataFrame:
