@@ -10,8 +10,10 @@ import pytest
 from tests.oracle import SMALL
 from tests.test_growth import planned  # noqa: F401
 from trailmark import plans
+from trailmark.operators import blocks
 from trailmark.operators import solve as sv
 from trailmark.operators import untagged as ug
+from trailmark.plans import untagged_queries as uq
 from trailmark.sources import files as fl
 
 
@@ -45,7 +47,7 @@ def test_nest_has_both_medians(spark):
             assert (r[c] is None) == (want is None) and (want is None or math.isclose(r[c], want))
 
 
-@pytest.mark.parametrize("name", ["nest_untagged", "weighted_median", "weighted_mean"])
+@pytest.mark.parametrize("name", ["nest_untagged", "weighted_median", "weighted_mean", "jaaba_features"])
 def test_rows_of_frames_are_not_sent(planned, name):
     """Pieces of tracklets are dealt out; what is above the explode needs no other exchange."""
     plan = planned(name)
@@ -106,3 +108,22 @@ def test_graphs_of_named_colonies(spark, tmp_path):
     left = [i for i in range(150) if not (i % 50 == 7 and i % 3 == 1 and i >= 50)]
     assert sorted(r["src"] for r in fl.read_graph(spark, path, "edges").collect()) == left
     assert len(list((tmp_path / "graph" / "nodes").rglob("*.parquet"))) <= 3 * fl.FOLDERS
+
+
+def test_pieces_hold_every_frame_once(spark):
+    """Frames of a span in their own blocks, and the frame before a block once more in it; spans may begin and end at borders."""
+    spans = [(1, 1, 0, 9), (2, 1, 9, 10), (3, 1, 10, 10), (4, 2, 5, 31), (5, 2, 29, 29), (6, 2, 30, 30), (7, 3, 8, 7)]
+    df = spark.createDataFrame(spans, "tracklet long, colony long, fi long, ff long")
+    for before in (0, 1):
+        got = [tuple(r) for r in blocks.pieces(df, "colony", before=before, block=10).selectExpr("tracklet", "__b", "explode(sequence(fi, ff)) as frame").collect()]
+        want = [(t, b, f) for t, _, lo, hi in spans for f in range(lo, hi + 1) for b in range(f // 10, (f + before) // 10 + 1)]
+        assert sorted(got) == sorted(want)
+
+
+def test_features_over_blocks(spark, monkeypatch):
+    """Speeds at the first frame of a block look at the block before, and medians there at all of its tracklets."""
+    want = plans.queries()["jaaba_features"](spark, SMALL).toPandas().sort_values(["tracklet", "frame"]).reset_index(drop=True)
+    monkeypatch.setitem(blocks.pieces.__kwdefaults__, "block", 7)
+    monkeypatch.setattr(uq, "SPAN", 7)
+    got = plans.queries()["jaaba_features"](spark, SMALL).toPandas().sort_values(["tracklet", "frame"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want)
