@@ -11,6 +11,7 @@ from tests.oracle import SMALL
 from tests.test_growth import planned  # noqa: F401
 from trailmark import plans
 from trailmark.operators import blocks
+from trailmark.operators import pose as ps
 from trailmark.operators import solve as sv
 from trailmark.operators import untagged as ug
 from trailmark.plans import untagged_queries as uq
@@ -127,3 +128,29 @@ def test_features_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(uq, "SPAN", 7)
     got = plans.queries()["jaaba_features"](spark, SMALL).toPandas().sort_values(["tracklet", "frame"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_pose_meets_rows_where_they_are(spark):
+    """Rows and pose that are dealt out by tracklet are not sent again; rows found twice stay, and parts that are missing are null."""
+    t = spark.range(300).selectExpr("id as tracklet", "10 * id as fi", "if(id % 3 = 0, 'A1', 'Unknown') as label").repartition(6, "tracklet")
+    rows = t.selectExpr("tracklet", "explode(sequence(fi, fi + 4)) as frame", "label")
+    pose = t.selectExpr("tracklet", "explode(sequence(0L, 3L)) as ix").selectExpr("tracklet", "ix", "explode(array('head', 'tail')) as bodypart").selectExpr("*", "tracklet + ix / 8D as x", "if(bodypart = 'head', 1D, 2D) as y")
+    pose = pose.where("not (bodypart = 'tail' and ix = 2)")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = ps.frame_tracklet_data(rows.drop("label"), t, t.select("tracklet", "label"), pose, ants=["A1"], only_ants=True)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
+        got = {(r["tracklet"], r["frame"]): r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(got) == [(i, 10 * i + k) for i in range(0, 300, 3) for k in range(5)]
+    for (i, f), r in got.items():
+        k = f - 10 * i
+        assert (r["frameix"], r["autoid"], r["x_head"], r["y_head"]) == (k, "A1", i + k / 8 if k < 4 else None, 1.0 if k < 4 else None)
+        assert (r["x_tail"], r["y_tail"]) == ((i + k / 8, 2.0) if k < 4 and k != 2 else (None, None))
+    twice = ps.frame_tracklet_data(rows.drop("label").union(rows.drop("label").where("tracklet = 3")), t, t.select("tracklet", "label"), pose)
+    assert twice.where("tracklet = 3").count() == 10 and twice.count() == 1505
+    with pytest.raises(ValueError):
+        ps.assert_unique(twice, ["tracklet", "frame"])

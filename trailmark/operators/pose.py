@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.blocks import by_tracklet, per_frame
@@ -43,10 +43,13 @@ def frame_tracklet_data(rows: DataFrame, tracks: DataFrame, autoids: DataFrame,
         t = t.where(F.col("autoid").isin(*ants))
     d = per_frame(rows).join(t, "tracklet").withColumn("frameix", F.col("frame") - F.col("fi")).drop("fi")
     if pose is not None:
-        parts = [r[0] for r in pose.select("bodypart").distinct().collect()]  # a handful of body parts
-        wide = pose.groupBy("tracklet", F.col("ix").alias("frameix")).pivot("bodypart", sorted(parts)).agg(F.first("x").alias("x"), F.first("y").alias("y"))
-        names = {f"{p}_{c}": f"{c}_{p}" for p in parts for c in "xy"}
-        d = d.join(per_frame(wide.withColumnsRenamed(names)), ["tracklet", "frameix"], "left")
+        parts = sorted(r[0] for r in pose.select("bodypart").distinct().collect())  # a handful of body parts
+        # both kinds of rows stand side by side, by tracklet: of neither are the rows per frame sent again for their meeting
+        q = per_frame(pose.select("tracklet", F.col("ix").alias("frameix"), F.col("bodypart").alias("__part"), F.col("x").alias("__x"), F.col("y").alias("__y"))).join(t.select("tracklet"), "tracklet", "left_semi")
+        one = Window.partitionBy("tracklet", "frameix")
+        names = {f"{c}_{p}": F.first(F.when(F.col("__part") == p, F.col(f"__{c}")), True).over(one) for p in parts for c in "xy"}
+        both = d.withColumn("__row", F.lit(True)).unionByName(q.withColumn("__row", F.lit(False)), True)
+        d = both.withColumns(names).where("__row").select(*d.columns, *names)
     return d
 
 
