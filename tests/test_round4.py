@@ -13,6 +13,7 @@ from trailmark import plans
 from trailmark.operators import blocks
 from trailmark.operators import pose as ps
 from trailmark.operators import solve as sv
+from trailmark.operators import trajectory as tr
 from trailmark.operators import untagged as ug
 from trailmark.plans import untagged_queries as uq
 from trailmark.sources import files as fl
@@ -154,3 +155,23 @@ def test_pose_meets_rows_where_they_are(spark):
     assert twice.where("tracklet = 3").count() == 10 and twice.count() == 1505
     with pytest.raises(ValueError):
         ps.assert_unique(twice, ["tracklet", "frame"])
+
+
+def test_gaps_are_filled_without_frames_between(spark):
+    """fill_gaps on rows of known places against interpolate_gaps on all frames, whole and in blocks with the frames ahead of them."""
+    rng = random.Random(2)
+    kept = [(a, f, rng.random(), rng.random(), rng.randint(1, 4), float(f)) for a in "ab" for f in range(1, 200) if rng.random() < 0.35 and not 60 < f < 75]
+    schema = "ant string, frame long, x double, y double, ass_type int, area double"
+    rows = spark.createDataFrame(kept, schema)
+    seen = {k[:2] for k in kept}
+    dense = spark.createDataFrame(kept + [(a, f, None, None, None, None) for a in "ab" for f in range(1, 200) if (a, f) not in seen], schema)
+    want = sorted(map(tuple, tr.interpolate_gaps(dense, max_frames=4, max_distance=0.6).where("x is not null").collect()))
+    assert sorted(map(tuple, tr.fill_gaps(rows, max_frames=4, max_distance=0.6).collect())) == want and len(want) > len(kept)
+    pieces = blocks.with_halo(rows, 5, 0, 7)
+    got = tr.fill_gaps(pieces, max_frames=4, max_distance=0.6, key=("ant", "__b"), block=7)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == want
+
+
+def test_exported_rows_are_not_sent(planned):
+    plan = planned("export_xy")
+    assert "Exchange" not in plan[: plan.index("explode(sequence(fi")]

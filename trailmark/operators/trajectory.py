@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailmark.model import wrap
-from trailmark.operators.blocks import in_block, known_neighbours, own_rows, running_count, with_halo
+from trailmark.operators.blocks import block_of, in_block, known_neighbours, own_rows, running_count, with_halo
 
 
 def by_frame(*key: str) -> WindowSpec:
@@ -67,6 +67,23 @@ def interpolate_gaps(dense: DataFrame, *, max_frames: int = 300, max_distance: f
     return d.withColumns(filled | {"ass_type": F.when(F.col("__gap"), mark).otherwise(F.col("ass_type"))}).select(*dense.columns)
 
 
+def fill_gaps(rows: DataFrame, *, max_frames: int = 300, max_distance: float = 0.01, key: Sequence[str] = ("ant",), mark: int = 5, block: int | None = None) -> DataFrame:
+    """``interpolate_gaps`` for rows of known places alone, without the frames of longer gaps: what is filled is added to the rows, with nulls in other columns.
+
+    With block, the last of the key is ``__b``, a block of frames that also has the rows up to max_frames + 1 frames ahead of it; these are not returned.
+    """
+    w = Window.partitionBy(*key).orderBy("frame")
+    d = rows.withColumn("__p", F.lag(F.struct("frame", "x", "y")).over(w))
+    if block is not None:
+        d = d.where(F.col("__b") == block_of("frame", block))
+    f0, f1 = F.col("__p.frame"), F.col("frame")
+    gap = (f1 - f0 - 1 <= max_frames) & (F.hypot(F.col("x") - F.col("__p.x"), F.col("y") - F.col("__p.y")) <= max_distance)
+    d = d.withColumn("__f", F.explode(F.sequence(F.when(gap, f0 + 1).otherwise(f1), f1)))
+    own, part = F.col("__f") == f1, (F.col("__f") - f0) / (f1 - f0)
+    filled = {c: F.when(own, F.col(c)).otherwise(F.col(f"__p.{c}") + (F.col(c) - F.col(f"__p.{c}")) * part) for c in "xy"} | {"ass_type": F.when(own, F.col("ass_type")).otherwise(mark), "frame": F.col("__f")}
+    return d.select(*[(F.col(c) if c in key else filled.get(c, F.when(own, F.col(c)))).alias(c) for c in rows.columns if c != "__b"])
+
+
 def nest(dense: DataFrame) -> DataFrame:
     """(frame, nest_x, nest_y): median over the ants of their positions, gaps inside filled."""
     return interpolate(dense).groupBy("frame").agg(F.percentile("x", 0.5).alias("nest_x"), F.percentile("y", 0.5).alias("nest_y"))
